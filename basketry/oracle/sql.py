@@ -126,3 +126,141 @@ ORACLE["daily_purchases_range"] = oracle(
        WHERE purchase_date BETWEEN (SELECT COALESCE(max(purchase_date), """ + AS_OF + """ - 1) FROM daily_purchase_summary) - 89
                                AND (SELECT COALESCE(max(purchase_date), """ + AS_OF + """ - 1) FROM daily_purchase_summary)""",
     DPS_VIEWS, _DPS_CTES)
+
+# ---------------------------------------------------------------- steps 01-04
+AMAP = "amap AS (SELECT alias_barcode, canonical_barcode FROM product_aliases)"
+_PD_CTES = [
+    AMAP,
+    f"""sales_pd AS (
+        SELECT {pdate('s.sale_datetime_raw')} AS date, COALESCE(a.canonical_barcode, s.barcode) AS product_id,
+               sum({zc('s.sale_qty')} + {zc('s.free_qty')}) AS qty, sum({zc('s.net_total')}) AS rev
+        FROM raw_sales_itemwise s LEFT JOIN amap a ON s.barcode = a.alias_barcode
+        WHERE {pdate('s.sale_datetime_raw')} IS NOT NULL AND COALESCE(a.canonical_barcode, s.barcode) IS NOT NULL
+        GROUP BY 1, 2)""",
+    f"""purch_pd AS (
+        SELECT {ddate('p.purchase_date_raw')} AS date, COALESCE(a.canonical_barcode, p.barcode) AS product_id,
+               sum({zc('p.total_qty')}) AS pqty
+        FROM raw_purchase_itemwise p LEFT JOIN amap a ON p.barcode = a.alias_barcode
+        WHERE {ddate('p.purchase_date_raw')} IS NOT NULL AND COALESCE(a.canonical_barcode, p.barcode) IS NOT NULL
+        GROUP BY 1, 2)""",
+    """prods AS (
+        SELECT DISTINCT COALESCE(a.canonical_barcode, s.barcode) AS product_id
+        FROM raw_sales_itemwise s LEFT JOIN amap a ON s.barcode = a.alias_barcode
+        WHERE COALESCE(a.canonical_barcode, s.barcode) IS NOT NULL)""",
+]
+PD_VIEWS = ["raw_sales_billwise", "raw_sales_itemwise", "raw_purchase_itemwise", "product_aliases"]
+
+_DENSE_CTES = _DSS_CTES + _PD_CTES + [
+    f"""spine AS (SELECT CAST(unnest(generate_series(lo, {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS date
+                 FROM (SELECT min(sale_date) AS lo FROM daily_sales_summary))""",
+    """dense AS (
+        SELECT g.date, g.product_id, COALESCE(s.qty, 0) AS qty, COALESCE(s.rev, 0) AS rev,
+               COALESCE(p.pqty, 0) AS pqty
+        FROM (SELECT spine.date, prods.product_id FROM spine CROSS JOIN prods) g
+        LEFT JOIN sales_pd s ON g.date = s.date AND g.product_id = s.product_id
+        LEFT JOIN purch_pd p ON g.date = p.date AND g.product_id = p.product_id)""",
+    """win AS (
+        SELECT date, product_id, qty, rev, pqty,
+          CAST(lag(qty, 1) OVER w AS DOUBLE) AS lag_1_qty,
+          CAST(lag(qty, 7) OVER w AS DOUBLE) AS lag_7_qty,
+          CAST(sum(qty) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE)
+            / CAST(count(*) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last_7_day_avg,
+          CAST(sum(qty) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS DOUBLE)
+            / CAST(count(*) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last_30_day_avg,
+          CAST(sum(qty) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS DOUBLE)
+            / CAST(count(*) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last_60_day_avg,
+          count(*) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS n7,
+          CAST(sum(qty) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE) AS s7d,
+          CAST(qty AS DOUBLE) AS l0,
+          CAST(lag(qty, 1) OVER w AS DOUBLE) AS l1,
+          CAST(lag(qty, 2) OVER w AS DOUBLE) AS l2,
+          CAST(lag(qty, 3) OVER w AS DOUBLE) AS l3,
+          CAST(lag(qty, 4) OVER w AS DOUBLE) AS l4,
+          CAST(lag(qty, 5) OVER w AS DOUBLE) AS l5,
+          CAST(lag(qty, 6) OVER w AS DOUBLE) AS l6,
+          sum(pqty) OVER (w ROWS UNBOUNDED PRECEDING) AS tp,
+          sum(qty) OVER (w ROWS UNBOUNDED PRECEDING) AS ts,
+          max(CASE WHEN qty > 0 THEN date END) OVER (w ROWS UNBOUNDED PRECEDING) AS last_sale_date,
+          max(CASE WHEN pqty > 0 THEN date END) OVER (w ROWS UNBOUNDED PRECEDING) AS last_purchase_date
+        FROM dense WINDOW w AS (PARTITION BY product_id ORDER BY date))""",
+    """win2 AS (
+        SELECT *, CASE WHEN n7 > 1 THEN sqrt((COALESCE((l0 - s7d / CAST(n7 AS DOUBLE)) * (l0 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l1 - s7d / CAST(n7 AS DOUBLE)) * (l1 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l2 - s7d / CAST(n7 AS DOUBLE)) * (l2 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l3 - s7d / CAST(n7 AS DOUBLE)) * (l3 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l4 - s7d / CAST(n7 AS DOUBLE)) * (l4 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l5 - s7d / CAST(n7 AS DOUBLE)) * (l5 - s7d / CAST(n7 AS DOUBLE)), 0.0) + COALESCE((l6 - s7d / CAST(n7 AS DOUBLE)) * (l6 - s7d / CAST(n7 AS DOUBLE)), 0.0))
+                                             / CAST(n7 - 1 AS DOUBLE)) END AS last_7_day_stddev
+        FROM win)""",
+]
+DENSE_VIEWS = PD_VIEWS
+
+
+def _health(src: str, a7="last_7_day_avg", a30="last_30_day_avg", a60="last_60_day_avg",
+            sd="last_7_day_stddev", lag1="lag_1_qty") -> str:
+    return f"""
+        {rnd(f"greatest(0.6 * COALESCE({a7}, 0.0) + 0.3 * COALESCE({a30}, 0.0) + 0.1 * COALESCE({a60}, 0.0), 0.02)", 4)}
+            AS predicted_daily_demand,
+        {a7} AS last_7_day_avg, {a30} AS last_30_day_avg, {a60} AS last_60_day_avg,
+        {sd} AS demand_volatility,
+        COALESCE({a7} > {a30} * 1.2, false) AS fast_moving_flag,
+        COALESCE({a30} > 0 AND {a7} < {a30} * 0.5, false) AS slow_moving_flag,
+        COALESCE({a30} = 0, false) AS dead_stock_flag,
+        COALESCE({lag1} > {a7} * 2, false) AS demand_spike_flag"""
+
+
+_FEST_ROWS = None
+
+
+def festival_values() -> str:
+    from ..operators.calendar import RETAIL_FESTIVALS
+    rows = []
+    for i, (name, pre, post, peaks) in enumerate(RETAIL_FESTIVALS):
+        for p in peaks:
+            rows.append(f"('{name}', {i}, DATE '{p}', {pre}, {post})")
+    return "fest(name, priority, peak, pre, post) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def calendar_ctes(lo: str, hi: str) -> list[str]:
+    return [
+        festival_values(),
+        f"""cdays AS (SELECT CAST(unnest(generate_series({lo}, {hi}, INTERVAL 1 DAY)) AS DATE) AS date)""",
+        """fw AS (SELECT CAST(unnest(generate_series(peak - pre, peak + post, INTERVAL 1 DAY)) AS DATE) AS date,
+                         name, priority FROM fest)""",
+        "fwin AS (SELECT date, arg_min(name, priority) AS festival_name FROM fw GROUP BY date)",
+        """calendar_dim AS (
+            SELECT d.date, CAST(dayofweek(d.date) AS BIGINT) AS dow, dayofweek(d.date) IN (0, 6) AS is_weekend,
+                   CAST(month(d.date) AS BIGINT) AS month, CAST(quarter(d.date) AS BIGINT) AS quarter,
+                   CAST(weekofyear(d.date) AS BIGINT) AS week_of_year,
+                   fwin.festival_name IS NOT NULL AS is_holiday, fwin.festival_name AS holiday_name,
+                   fwin.festival_name IS NOT NULL AS is_festival_window, fwin.festival_name,
+                   CAST((SELECT min(peak) FROM fest WHERE peak >= d.date) - d.date AS BIGINT) AS days_to_next_festival,
+                   CAST(d.date - (SELECT max(peak) FROM fest WHERE peak <= d.date) AS BIGINT) AS days_since_last_festival
+            FROM cdays d LEFT JOIN fwin ON d.date = fwin.date)""",
+    ]
+
+
+_CAL_BOUNDS = ("(SELECT min(sale_date) FROM daily_sales_summary)", AS_OF)
+
+ORACLE["product_daily_sparse"] = oracle(
+    """SELECT s.date, s.product_id, CAST(s.qty AS DOUBLE) AS quantity_sold, CAST(s.rev AS DOUBLE) AS revenue,
+              CASE WHEN s.qty <> 0 THEN CAST(s.rev AS DOUBLE) / CAST(s.qty AS DOUBLE) END AS avg_price,
+              CAST(COALESCE(p.pqty, 0) AS DOUBLE) AS purchase_quantity
+       FROM sales_pd s LEFT JOIN purch_pd p ON s.date = p.date AND s.product_id = p.product_id""",
+    PD_VIEWS, _PD_CTES)
+ORACLE["product_daily_metrics"] = oracle(
+    """SELECT date, product_id, CAST(qty AS DOUBLE) AS quantity_sold, CAST(rev AS DOUBLE) AS revenue,
+              CASE WHEN qty <> 0 THEN CAST(rev AS DOUBLE) / CAST(qty AS DOUBLE) END AS avg_price,
+              CAST(pqty AS DOUBLE) AS purchase_quantity FROM dense""",
+    DENSE_VIEWS, _DENSE_CTES)
+ORACLE["product_daily_features"] = oracle(
+    """SELECT w.date, w.product_id, CAST(qty AS DOUBLE) AS quantity_sold, CAST(rev AS DOUBLE) AS revenue,
+              CAST(pqty AS DOUBLE) AS purchase_quantity, lag_1_qty, lag_7_qty, last_7_day_avg, last_30_day_avg,
+              last_60_day_avg, last_7_day_stddev, CAST(dayofweek(w.date) AS BIGINT) AS day_of_week,
+              (qty = 0 AND COALESCE(last_7_day_avg, 0) > 0.5 AND pqty = 0) AS stockout_proxy,
+              c.is_holiday, c.days_to_next_festival, c.days_since_last_festival
+       FROM win2 w LEFT JOIN calendar_dim c ON w.date = c.date""",
+    DENSE_VIEWS, _DENSE_CTES + calendar_ctes(*_CAL_BOUNDS))
+ORACLE["product_health_signals"] = oracle(
+    "SELECT date, product_id, " + _health("win2") + " FROM win2", DENSE_VIEWS, _DENSE_CTES)
+ORACLE["product_stock_position"] = oracle(
+    """SELECT date, product_id, CAST(tp AS DOUBLE) AS total_purchased, CAST(ts AS DOUBLE) AS total_sold,
+              CAST(tp - ts AS DOUBLE) AS pseudo_stock, last_sale_date, last_purchase_date FROM win2""",
+    DENSE_VIEWS, _DENSE_CTES)
+ORACLE["calendar_dim"] = oracle("SELECT * FROM calendar_dim", DSS_VIEWS,
+                                _DSS_CTES + calendar_ctes(*_CAL_BOUNDS))

@@ -70,3 +70,59 @@ def q_daily_payments_range(spark, sf_dir):
 @register("daily_purchases_range")
 def q_daily_purchases_range(spark, sf_dir):
     return daily.date_range(_dps(tables(spark, sf_dir)), "purchase_date", as_of=AS_OF)
+
+
+# ---------------------------------------------------------------- product x day
+from ..operators import calendar as cal  # noqa: E402
+from ..operators import product  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _start(t: RetailTables):
+    return product.spine_start(t.raw_sales_billwise, t.raw_sales_itemwise)
+
+
+def _dense(t: RetailTables):
+    return product.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases,
+                                 _start(t), AS_OF)
+
+
+def _calendar(t: RetailTables):
+    return cal.calendar_dim(t.spark, _start(t), F.lit(AS_OF))
+
+
+def _latest(t: RetailTables):
+    return product.latest_state(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases,
+                                _start(t), AS_OF)
+
+
+@register("product_daily_sparse")
+def q_product_daily_sparse(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return product.product_daily_sparse(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases)
+
+
+@register("product_daily_metrics")
+def q_product_daily_metrics(spark, sf_dir):
+    return product.product_daily_metrics(_dense(tables(spark, sf_dir)))
+
+
+@register("product_daily_features")
+def q_product_daily_features(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return product.product_daily_features(product.windowed(_dense(t)), _calendar(t))
+
+
+@register("product_health_signals")
+def q_product_health_signals(spark, sf_dir):
+    return product.product_health_signals(product.windowed(_dense(tables(spark, sf_dir))))
+
+
+@register("product_stock_position")
+def q_product_stock_position(spark, sf_dir):
+    return product.product_stock_position(product.windowed(_dense(tables(spark, sf_dir))))
+
+
+@register("calendar_dim")
+def q_calendar_dim(spark, sf_dir):
+    return _calendar(tables(spark, sf_dir))
