@@ -48,10 +48,10 @@ def to_double(c) -> Column:
 def remap(df: DataFrame, col: str, aliases: DataFrame, out: str = "product_id") -> DataFrame:
     """Alias barcode -> canonical barcode (left join, coalesce)."""
     amap = broadcast_if_small(
-        aliases.select(F.col("alias_barcode").alias("_alias"), F.col("canonical_barcode").alias("_canon")))
-    return (df.join(amap, df[col] == amap["_alias"], "left")
-            .withColumn(out, F.coalesce(F.col("_canon"), F.col(col)))
-            .drop("_alias", "_canon"))
+        aliases.select(F.col("alias_barcode").alias("__alias"), F.col("canonical_barcode").alias("__canon")))
+    return (df.join(amap, df[col] == amap["__alias"], "left")
+            .withColumn(out, F.coalesce(F.col("__canon"), F.col(col)))
+            .drop("__alias", "__canon"))
 
 
 def sales_by_product_day(items: DataFrame, aliases: DataFrame) -> DataFrame:

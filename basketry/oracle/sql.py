@@ -264,3 +264,111 @@ ORACLE["product_stock_position"] = oracle(
     DENSE_VIEWS, _DENSE_CTES)
 ORACLE["calendar_dim"] = oracle("SELECT * FROM calendar_dim", DSS_VIEWS,
                                 _DSS_CTES + calendar_ctes(*_CAL_BOUNDS))
+
+# ---------------------------------------------------------------- step 05 dims
+_DIM_CTES = [
+    """lic AS (
+        SELECT barcode AS product_id, CAST(purchase_price AS DOUBLE) AS purchase_price, CAST(rate AS DOUBLE) AS rate,
+               CAST(mrp AS DOUBLE) AS mrp, expiry_date_raw, hsn_code, CAST(system_stock_snapshot AS DOUBLE) AS current_stock
+        FROM (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY imported_at DESC, import_batch_id DESC) AS rn
+              FROM raw_item_combinations) x WHERE rn = 1)""",
+    """sloc AS (
+        SELECT supplier_name_raw AS supplier_name,
+               CASE WHEN city_raw = 'Bellary' THEN 'BELLARY' ELSE 'OUTSIDE' END AS supplier_region
+        FROM (SELECT *, row_number() OVER (PARTITION BY supplier_name_raw
+                                           ORDER BY imported_at DESC, import_batch_id DESC, city_raw DESC) AS rn
+              FROM raw_supplier_master) x WHERE rn = 1)""",
+    "psm AS (SELECT DISTINCT barcode AS product_id, supplier_name_raw AS supplier_name FROM raw_purchase_itemwise)",
+    AMAP,
+    """imn AS (
+        SELECT barcode, item_name_raw FROM (
+            SELECT COALESCE(a.canonical_barcode, r.barcode) AS barcode, r.item_name_raw,
+                   row_number() OVER (PARTITION BY COALESCE(a.canonical_barcode, r.barcode)
+                                      ORDER BY r.imported_at DESC, r.import_batch_id DESC, r.item_name_raw DESC) AS rn
+            FROM raw_item_combinations r LEFT JOIN amap a ON r.barcode = a.alias_barcode
+            WHERE r.item_name_raw IS NOT NULL AND r.item_name_raw <> '') x WHERE rn = 1)""",
+    """snn AS (
+        SELECT barcode, item_name_raw FROM (
+            SELECT COALESCE(a.canonical_barcode, r.barcode) AS barcode, r.item_name_raw,
+                   row_number() OVER (PARTITION BY COALESCE(a.canonical_barcode, r.barcode)
+                                      ORDER BY r.imported_at DESC, r.item_name_raw DESC) AS rn
+            FROM raw_sales_itemwise r LEFT JOIN amap a ON r.barcode = a.alias_barcode
+            WHERE r.item_name_raw IS NOT NULL AND r.item_name_raw <> '') x WHERE rn = 1)""",
+    """pdim AS (
+        SELECT ab.barcode AS product_id,
+               COALESCE(ap.canonical_name, im.item_name_raw, sn.item_name_raw, ab.barcode) AS product_name,
+               ap.brand, ap.hsn_code, ap.category, ap.product_type, ap.is_reviewed
+        FROM (SELECT barcode FROM imn UNION SELECT barcode FROM snn) ab
+        LEFT JOIN products ap ON ab.barcode = ap.barcode
+        LEFT JOIN imn im ON ab.barcode = im.barcode
+        LEFT JOIN snn sn ON ab.barcode = sn.barcode)""",
+]
+DIM_VIEWS = ["raw_item_combinations", "raw_supplier_master", "raw_purchase_itemwise", "raw_sales_itemwise",
+             "product_aliases", "products"]
+ORACLE["latest_item_combinations"] = oracle("SELECT * FROM lic", DIM_VIEWS, _DIM_CTES)
+ORACLE["supplier_location"] = oracle("SELECT * FROM sloc", DIM_VIEWS, _DIM_CTES)
+ORACLE["product_supplier_mapping"] = oracle("SELECT * FROM psm", DIM_VIEWS, _DIM_CTES)
+ORACLE["product_dimension"] = oracle("SELECT * FROM pdim", DIM_VIEWS, _DIM_CTES)
+
+# ---------------------------------------------------------------- step 06 + sheets
+# Latest-day signals come from the dense windows (the fast path must equal them).
+_ALL_VIEWS = sorted(set(DENSE_VIEWS + DIM_VIEWS))
+_LATEST_CTES = _DENSE_CTES + [c for c in _DIM_CTES if not c.startswith("amap")] + [
+    "maxd AS (SELECT max(date) AS d FROM win2)",
+    "hl AS (SELECT date, product_id, " + _health("win2") + " FROM win2 WHERE date = (SELECT d FROM maxd))",
+    """stl AS (SELECT product_id, CAST(tp - ts AS DOUBLE) AS pseudo_stock FROM win2
+              WHERE date = (SELECT d FROM maxd))""",
+    "sup1 AS (SELECT product_id, min(supplier_name) AS supplier_name FROM psm GROUP BY product_id)",
+    """restock AS (
+        SELECT h.date, h.product_id, pd.product_name, sup1.supplier_name, s.pseudo_stock AS current_stock,
+               h.predicted_daily_demand,
+               CASE WHEN h.predicted_daily_demand = 0 THEN NULL
+                    ELSE s.pseudo_stock / h.predicted_daily_demand END AS days_of_cover,
+               CASE WHEN sup1.supplier_name IS NULL THEN 2.0 * h.predicted_daily_demand
+                    ELSE 7.0 * h.predicted_daily_demand END AS min_stock,
+               30.0 * h.predicted_daily_demand AS max_stock,
+               greatest(30.0 * h.predicted_daily_demand - s.pseudo_stock, 0.0) AS required_quantity,
+               CASE WHEN sl.supplier_region = 'BELLARY' THEN 7 ELSE 15 END AS lead_time_days
+        FROM hl h JOIN stl s ON h.product_id = s.product_id
+        LEFT JOIN sup1 ON h.product_id = sup1.product_id
+        LEFT JOIN sloc sl ON sup1.supplier_name = sl.supplier_name
+        LEFT JOIN pdim pd ON h.product_id = pd.product_id)""",
+]
+ORACLE["restock_recommendations"] = oracle("SELECT * FROM restock", _ALL_VIEWS, _LATEST_CTES)
+ORACLE["replenishment_sheet"] = oracle(
+    f"""SELECT h.product_id AS barcode, pd.product_name, sm.supplier_name, ic.current_stock AS system_stock,
+              {rnd('h.predicted_daily_demand', 2)} AS predicted_daily_demand,
+              {rnd("h.predicted_daily_demand * CASE WHEN sl.supplier_region = 'BELLARY' THEN 7.0 ELSE 15.0 END", 0)} AS min_stock,
+              {rnd("h.predicted_daily_demand * CASE WHEN sl.supplier_region = 'BELLARY' THEN 15.0 ELSE 30.0 END", 0)} AS max_stock
+       FROM hl h LEFT JOIN pdim pd ON h.product_id = pd.product_id
+       LEFT JOIN psm sm ON h.product_id = sm.product_id
+       LEFT JOIN sloc sl ON sm.supplier_name = sl.supplier_name
+       LEFT JOIN lic ic ON h.product_id = ic.product_id""",
+    _ALL_VIEWS, _LATEST_CTES)
+ORACLE["conversion_attention_sheet"] = oracle(
+    f"""SELECT h.product_id AS barcode, pd.product_name, ic.current_stock,
+              {rnd('h.predicted_daily_demand', 2)} AS predicted_daily_demand,
+              {rnd('greatest(h.predicted_daily_demand * 7.0, 5.0)', 0)} AS min_stock,
+              {rnd('greatest(h.predicted_daily_demand * 15.0, 5.0)', 0)} AS max_stock
+       FROM hl h LEFT JOIN pdim pd ON h.product_id = pd.product_id
+       LEFT JOIN lic ic ON h.product_id = ic.product_id
+       WHERE NOT EXISTS (SELECT 1 FROM psm WHERE psm.product_id = h.product_id)
+         AND h.predicted_daily_demand > 0.02""",
+    _ALL_VIEWS, _LATEST_CTES)
+ORACLE["supplier_purchase_sheet"] = oracle(
+    """SELECT r.product_id AS barcode, pd.product_name, r.supplier_name, ic.current_stock AS system_stock,
+              s.pseudo_stock, greatest(ic.current_stock, s.pseudo_stock, 0.0) AS effective_stock,
+              r.predicted_daily_demand, lt AS lead_time_days,
+              greatest(ic.current_stock, s.pseudo_stock, 0.0) / NULLIF(r.predicted_daily_demand, 0) AS days_of_cover,
+              r.predicted_daily_demand * CAST(lt + 7 AS DOUBLE) AS target_stock,
+              greatest(r.predicted_daily_demand * CAST(lt + 7 AS DOUBLE) + r.predicted_daily_demand * 3.0
+                       - greatest(ic.current_stock, s.pseudo_stock, 0.0), 0.0) AS required_quantity,
+              CAST(lt AS DOUBLE) - greatest(ic.current_stock, s.pseudo_stock, 0.0) / NULLIF(r.predicted_daily_demand, 0)
+                  AS urgency_score
+       FROM (SELECT r.*, CASE WHEN sl.supplier_region = 'BELLARY' THEN 7 ELSE 15 END AS lt, sm.supplier_name AS msup
+             FROM restock r LEFT JOIN psm sm ON r.product_id = sm.product_id
+             LEFT JOIN sloc sl ON sm.supplier_name = sl.supplier_name) r
+       LEFT JOIN pdim pd ON r.product_id = pd.product_id
+       LEFT JOIN lic ic ON r.product_id = ic.product_id
+       LEFT JOIN stl s ON r.product_id = s.product_id""",
+    _ALL_VIEWS, _LATEST_CTES)

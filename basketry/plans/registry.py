@@ -126,3 +126,71 @@ def q_product_stock_position(spark, sf_dir):
 @register("calendar_dim")
 def q_calendar_dim(spark, sf_dir):
     return _calendar(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- dims, restock, sheets
+from ..operators import dims, restock  # noqa: E402
+
+
+def _lic(t):
+    return dims.latest_item_combinations(t.raw_item_combinations)
+
+
+def _loc(t):
+    return dims.supplier_location(t.raw_supplier_master)
+
+
+def _psm(t):
+    return dims.product_supplier_mapping(t.raw_purchase_itemwise)
+
+
+def _pdim(t):
+    return dims.product_dimension(t.raw_item_combinations, t.raw_sales_itemwise, t.product_aliases, t.products)
+
+
+def _restock(t, latest=None):
+    return restock.restock_recommendations(latest if latest is not None else _latest(t), _psm(t), _loc(t), _pdim(t))
+
+
+@register("latest_item_combinations")
+def q_latest_item_combinations(spark, sf_dir):
+    return _lic(tables(spark, sf_dir))
+
+
+@register("supplier_location")
+def q_supplier_location(spark, sf_dir):
+    return _loc(tables(spark, sf_dir))
+
+
+@register("product_supplier_mapping")
+def q_product_supplier_mapping(spark, sf_dir):
+    return _psm(tables(spark, sf_dir))
+
+
+@register("product_dimension")
+def q_product_dimension(spark, sf_dir):
+    return _pdim(tables(spark, sf_dir))
+
+
+@register("restock_recommendations")
+def q_restock_recommendations(spark, sf_dir):
+    return _restock(tables(spark, sf_dir))
+
+
+@register("replenishment_sheet")
+def q_replenishment_sheet(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return restock.replenishment_sheet(_latest(t), _pdim(t), _psm(t), _loc(t), _lic(t))
+
+
+@register("conversion_attention_sheet")
+def q_conversion_attention_sheet(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return restock.conversion_attention_sheet(_latest(t), _pdim(t), _psm(t), _lic(t))
+
+
+@register("supplier_purchase_sheet")
+def q_supplier_purchase_sheet(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    latest = _latest(t)
+    return restock.supplier_purchase_sheet(_restock(t, latest), latest, _pdim(t), _lic(t), _psm(t), _loc(t))
