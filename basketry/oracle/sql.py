@@ -372,3 +372,140 @@ ORACLE["supplier_purchase_sheet"] = oracle(
        LEFT JOIN lic ic ON r.product_id = ic.product_id
        LEFT JOIN stl s ON r.product_id = s.product_id""",
     _ALL_VIEWS, _LATEST_CTES)
+
+# ---------------------------------------------------------------- steps 08-09 customers
+_CUST_CTES = [
+    f"""cb AS (
+        SELECT bill_no, {pdate('bill_datetime_raw')} AS bill_date, customer_name_raw,
+               {MOBILE.format(c='customer_mobile_raw')} AS mobile_clean,
+               {zc('membercard_discount')} AS mcd, {zc('net_total')} AS net, {zc('total_discount')} AS disc,
+               COALESCE(actual_cash, cash_amount, {Z}) AS cash_amt, {zc('card_amount')} AS card_amt,
+               {zc('google_pay_amount')} + {zc('phonepe_amount')} + {zc('paytm_amount')} AS upi_amt,
+               {zc('credit_amount')} AS credit_amt
+        FROM raw_sales_billwise WHERE {pdate('bill_datetime_raw')} IS NOT NULL)""",
+    f"""cc AS (SELECT *, (mobile_clean IS NULL
+                          OR upper(trim(COALESCE(customer_name_raw, ''))) IN ({WALK_IN_LIST})) AS is_walk_in,
+                   CASE WHEN mobile_clean IS NULL
+                          OR upper(trim(COALESCE(customer_name_raw, ''))) IN ({WALK_IN_LIST})
+                        THEN 'WALK-IN' ELSE mobile_clean END AS customer_key
+            FROM cb)""",
+    """nmc AS (SELECT mobile_clean, trim(customer_name_raw) AS nm, count(*) AS c FROM cc
+             WHERE NOT is_walk_in AND customer_name_raw IS NOT NULL GROUP BY 1, 2)""",
+    """md AS (SELECT mobile_clean, nm FROM (
+                SELECT *, row_number() OVER (PARTITION BY mobile_clean ORDER BY c DESC, nm ASC) AS rn FROM nmc) x
+             WHERE rn = 1)""",
+    """customer_dimension AS (
+        SELECT cc.mobile_clean, md.nm AS display_name, false AS is_walk_in, bool_or(mcd > 0) AS is_member,
+               min(bill_date) AS first_seen_date, max(bill_date) AS last_seen_date, count(*) AS total_bills
+        FROM cc LEFT JOIN md ON cc.mobile_clean = md.mobile_clean WHERE NOT is_walk_in
+        GROUP BY cc.mobile_clean, md.nm
+        UNION ALL
+        SELECT 'WALK-IN', 'Walk-in / Retail', true, bool_or(mcd > 0), min(bill_date), max(bill_date), count(*)
+        FROM cc WHERE is_walk_in)""",
+    f"""cagg AS (
+        SELECT customer_key AS mobile_clean, sum(net) AS rev, count(*) AS total_bills, sum(disc) AS disc,
+               min(bill_date) AS first_purchase_date, max(bill_date) AS last_purchase_date,
+               sum(cash_amt) AS sc, sum(card_amt) AS sk, sum(upi_amt) AS su, sum(credit_amt) AS sr
+        FROM cc GROUP BY customer_key)""",
+    f"""customer_metrics AS (
+        SELECT mobile_clean, CAST(rev AS DOUBLE) AS total_revenue, total_bills,
+               CAST(rev AS DOUBLE) / CAST(total_bills AS DOUBLE) AS avg_bill_value,
+               CAST(disc AS DOUBLE) AS total_discount_received, first_purchase_date, last_purchase_date,
+               CAST({AS_OF} - last_purchase_date AS BIGINT) AS days_since_last_visit,
+               CASE WHEN total_bills > 1 THEN CAST(last_purchase_date - first_purchase_date AS DOUBLE)
+                                              / CAST(total_bills - 1 AS DOUBLE) END AS avg_days_between_visits,
+               total_bills > 1 AS is_repeat,
+               CASE WHEN greatest(sc, sk, su, sr) = sc THEN 'cash' WHEN greatest(sc, sk, su, sr) = sk THEN 'card'
+                    WHEN greatest(sc, sk, su, sr) = su THEN 'upi' WHEN greatest(sc, sk, su, sr) = sr THEN 'credit'
+                    ELSE 'cash' END AS preferred_payment
+        FROM cagg)""",
+]
+ORACLE["customer_dimension"] = oracle("SELECT * FROM customer_dimension", ["raw_sales_billwise"], _CUST_CTES)
+ORACLE["customer_metrics"] = oracle("SELECT * FROM customer_metrics", ["raw_sales_billwise"], _CUST_CTES)
+
+
+# ---------------------------------------------------------------- step 10 baskets
+def assoc_ctes(min_co: int, item: str) -> list[str]:
+    if item == "barcode":
+        bi = ("""bi AS (SELECT DISTINCT s.bill_no, COALESCE(a.canonical_barcode, s.barcode) AS item
+                 FROM raw_sales_itemwise s LEFT JOIN amap a ON s.barcode = a.alias_barcode
+                 WHERE s.bill_no IS NOT NULL AND COALESCE(a.canonical_barcode, s.barcode) IS NOT NULL)""")
+    else:
+        bi = f"""bi AS (SELECT DISTINCT bill_no, {item} AS item FROM raw_sales_itemwise
+                 WHERE bill_no IS NOT NULL AND {item} IS NOT NULL)"""
+    return [AMAP, bi,
+            "ib AS (SELECT item, count(*) AS bill_count FROM bi GROUP BY item)",
+            "nb AS (SELECT count(DISTINCT bill_no) AS n FROM raw_sales_itemwise WHERE bill_no IS NOT NULL)",
+            f"""pairs AS (SELECT x.item AS barcode_a, y.item AS barcode_b, count(*) AS co
+                 FROM bi x JOIN bi y ON x.bill_no = y.bill_no AND x.item < y.item
+                 GROUP BY 1, 2 HAVING count(*) >= {min_co})""",
+            f"""assoc AS (
+                SELECT p.barcode_a, p.barcode_b, p.co AS co_occurrences,
+                  {rnd('CAST(p.co AS DOUBLE) / CAST(nb.n AS DOUBLE)', 6)} AS support,
+                  {rnd('CAST(p.co AS DOUBLE) / CAST(ca.bill_count AS DOUBLE)', 4)} AS confidence_a_to_b,
+                  {rnd('CAST(p.co AS DOUBLE) / CAST(cb.bill_count AS DOUBLE)', 4)} AS confidence_b_to_a,
+                  {rnd('(CAST(p.co AS DOUBLE) / CAST(nb.n AS DOUBLE)) / ((CAST(ca.bill_count AS DOUBLE) / CAST(nb.n AS DOUBLE)) * (CAST(cb.bill_count AS DOUBLE) / CAST(nb.n AS DOUBLE)))', 4)} AS lift
+                FROM pairs p JOIN ib ca ON p.barcode_a = ca.item JOIN ib cb ON p.barcode_b = cb.item, nb)"""]
+
+
+ORACLE["product_associations"] = oracle("SELECT * FROM assoc", ["raw_sales_itemwise", "product_aliases"],
+                                        assoc_ctes(5, "brand_raw"))
+ORACLE["product_associations_part"] = oracle("SELECT * FROM assoc", ["raw_sales_itemwise", "product_aliases"],
+                                             assoc_ctes(2, "barcode"))
+ORACLE["bought_together"] = oracle(
+    """SELECT t.barcode, t.other_barcode, COALESCE(p.canonical_name, d.product_name) AS canonical_name, p.category,
+              ic.mrp, t.co_occurrences, t.lift, t.confidence, t.rank
+       FROM (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY co_occurrences DESC, lift DESC,
+                                          other_barcode) AS rank
+             FROM (SELECT barcode_a AS barcode, barcode_b AS other_barcode, co_occurrences, lift,
+                          confidence_a_to_b AS confidence FROM assoc
+                   UNION ALL
+                   SELECT barcode_b, barcode_a, co_occurrences, lift, confidence_b_to_a FROM assoc) u) t
+       JOIN pdim d ON d.product_id = t.other_barcode
+       LEFT JOIN products p ON p.barcode = t.other_barcode
+       LEFT JOIN lic ic ON ic.product_id = t.other_barcode
+       WHERE t.rank <= 5""",
+    DIM_VIEWS, assoc_ctes(2, "barcode") + [c for c in _DIM_CTES if not c.startswith("amap")])
+
+# ---------------------------------------------------------------- reconciliation
+_RECON_SALES = f"""
+    WITH_ITEMS AS (SELECT bill_no, sale_datetime_raw AS bill_datetime_raw, operator_name,
+                          sale_location AS location_name, count(*) AS item_line_count, sum(sale_qty) AS iq,
+                          sum({zc('taxable_amount')}) AS it, sum({zc('net_total')}) AS inet
+                   FROM raw_sales_itemwise GROUP BY 1, 2, 3, 4)"""
+_RECON_CTES = [
+    _RECON_SALES.strip().replace("WITH_ITEMS", "ia"),
+    """recon_sales AS (
+        SELECT b.bill_no, b.bill_datetime_raw, b.operator_name, b.location_name,
+               CAST(b.total_qty AS DOUBLE) AS bill_total_qty, CAST(b.taxable_amount AS DOUBLE) AS bill_taxable_amount,
+               CAST(b.net_total AS DOUBLE) AS bill_net_total, CAST(b.round_off AS DOUBLE) AS bill_round_off,
+               i.item_line_count, CAST(i.iq AS DOUBLE) AS total_item_qty, CAST(i.it AS DOUBLE) AS item_taxable_amount,
+               CAST(i.inet AS DOUBLE) AS item_net_total,
+               CAST(b.taxable_amount - i.it AS DOUBLE) AS delta_taxable_amount,
+               CAST(b.net_total - i.inet AS DOUBLE) AS delta_net_total
+        FROM raw_sales_billwise b LEFT JOIN ia i ON b.bill_no = i.bill_no AND b.bill_datetime_raw = i.bill_datetime_raw
+             AND b.operator_name = i.operator_name AND b.location_name = i.location_name)""",
+]
+ORACLE["recon_sales_bill_vs_item"] = oracle("SELECT * FROM recon_sales", ["raw_sales_billwise", "raw_sales_itemwise"],
+                                            _RECON_CTES)
+ORACLE["recon_sales_discrepancies"] = oracle(
+    "SELECT * FROM recon_sales WHERE abs(delta_net_total) <> 0 ORDER BY abs(delta_net_total) DESC",
+    ["raw_sales_billwise", "raw_sales_itemwise"], _RECON_CTES)
+ORACLE["recon_purchase_bill_vs_item"] = oracle(
+    f"""SELECT b.purchase_id, b.invoice_no, b.purchase_date_raw, b.supplier_name_raw,
+              CAST(b.total_qty AS DOUBLE) AS bill_total_qty, CAST(b.taxable_value AS DOUBLE) AS bill_taxable_value,
+              i.item_line_count, CAST(i.iq AS DOUBLE) AS item_total_qty, CAST(i.it AS DOUBLE) AS item_taxable_value,
+              CAST(b.total_qty - i.iq AS DOUBLE) AS delta_qty, CAST(b.taxable_value - i.it AS DOUBLE) AS delta_taxable_value
+       FROM raw_purchase_billwise b LEFT JOIN (
+            SELECT purchase_id, invoice_no, count(*) AS item_line_count, sum({zc('total_qty')}) AS iq,
+                   sum({zc('taxable_value')}) AS it FROM raw_purchase_itemwise GROUP BY 1, 2) i
+         ON b.purchase_id = i.purchase_id AND b.invoice_no = i.invoice_no""",
+    ["raw_purchase_billwise", "raw_purchase_itemwise"])
+ORACLE["recon_daily_quantity_flow"] = oracle(
+    f"""SELECT COALESCE(p.day, s.day) AS day, CAST(p.q AS DOUBLE) AS purchased_qty, CAST(s.q AS DOUBLE) AS sold_qty,
+              CAST(p.q - s.q AS DOUBLE) AS net_flow
+       FROM (SELECT {ddate('purchase_date_raw')} AS day, sum({zc('total_qty')}) AS q FROM raw_purchase_itemwise
+             WHERE {ddate('purchase_date_raw')} IS NOT NULL GROUP BY 1) p
+       FULL OUTER JOIN (SELECT {pdate('sale_datetime_raw')} AS day, sum({zc('sale_qty')}) AS q FROM raw_sales_itemwise
+             WHERE {pdate('sale_datetime_raw')} IS NOT NULL GROUP BY 1) s ON p.day = s.day""",
+    ["raw_purchase_itemwise", "raw_sales_itemwise"])

@@ -194,3 +194,63 @@ def q_supplier_purchase_sheet(spark, sf_dir):
     t = tables(spark, sf_dir)
     latest = _latest(t)
     return restock.supplier_purchase_sheet(_restock(t, latest), latest, _pdim(t), _lic(t), _psm(t), _loc(t))
+
+
+# ---------------------------------------------------------------- customers, baskets, recon
+from ..operators import baskets, customers, recon  # noqa: E402
+
+
+@register("customer_dimension")
+def q_customer_dimension(spark, sf_dir):
+    return customers.customer_dimension(tables(spark, sf_dir).raw_sales_billwise)
+
+
+@register("customer_metrics")
+def q_customer_metrics(spark, sf_dir):
+    return customers.customer_metrics(tables(spark, sf_dir).raw_sales_billwise, AS_OF)
+
+
+@register("product_associations")
+def q_product_associations(spark, sf_dir):
+    """Brand-level baskets, min_co = 5 (part level is too sparse at small SF)."""
+    t = tables(spark, sf_dir)
+    return baskets.product_associations(t.raw_sales_itemwise, None, min_co=5, item_col="brand_raw")
+
+
+def _assoc_part(t):
+    return baskets.product_associations(t.raw_sales_itemwise, t.product_aliases, min_co=2, item_col="barcode")
+
+
+@register("product_associations_part")
+def q_product_associations_part(spark, sf_dir):
+    return _assoc_part(tables(spark, sf_dir))
+
+
+@register("bought_together")
+def q_bought_together(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return baskets.bought_together(_assoc_part(t), _pdim(t), t.products, _lic(t), k=5)
+
+
+@register("recon_sales_bill_vs_item")
+def q_recon_sales(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return recon.recon_sales_bill_vs_item(t.raw_sales_billwise, t.raw_sales_itemwise)
+
+
+@register("recon_sales_discrepancies")
+def q_recon_sales_discrepancies(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return recon.recon_sales_bill_vs_item(t.raw_sales_billwise, t.raw_sales_itemwise, only_discrepancies=True)
+
+
+@register("recon_purchase_bill_vs_item")
+def q_recon_purchase(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return recon.recon_purchase_bill_vs_item(t.raw_purchase_billwise, t.raw_purchase_itemwise)
+
+
+@register("recon_daily_quantity_flow")
+def q_recon_flow(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return recon.recon_daily_quantity_flow(t.raw_purchase_itemwise, t.raw_sales_itemwise)
