@@ -104,12 +104,16 @@ def spine_start(bills: DataFrame, items: DataFrame) -> Column:
 
 
 def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
-                  start: Column, as_of: dt.date) -> DataFrame:
+                  start: Column, as_of: dt.date, grid_from: dt.date | None = None) -> DataFrame:
     """Densified (product, day) grid: date, product_id, qty, rev, pqty (unscaled LONG).
 
     The result is hash partitioned by product_id; the grid rows are generated
-    after the (small) product shuffle and never cross an exchange.
+    after the (small) product shuffle and never cross an exchange. With
+    ``grid_from`` the grid is truncated to [grid_from, as_of]: rolling
+    windows stay exact for days at least 59 days after ``grid_from``
+    (cumulative stock would need an opening balance and is not derived).
     """
+    first = start if grid_from is None else F.greatest(start, F.lit(grid_from))
     zero = F.lit(0).cast("bigint")
     sales = sales_by_product_day(items, aliases).select(
         "product_id", "date", "qty", "rev", zero.alias("pqty"), F.lit(False).alias("_grid"))
@@ -118,7 +122,7 @@ def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
     sparse = sales.unionByName(purch).repartition("product_id")
     grid = (
         sold_products(items, aliases).repartition("product_id")
-        .select("product_id", F.explode(F.sequence(start, F.lit(as_of))).alias("date"))
+        .select("product_id", F.explode(F.sequence(first, F.lit(as_of))).alias("date"))
         .select("product_id", "date", zero.alias("qty"), zero.alias("rev"), zero.alias("pqty"),
                 F.lit(True).alias("_grid"))
     )
@@ -127,7 +131,7 @@ def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
         .groupBy("product_id", "date")
         .agg(F.sum("qty").alias("qty"), F.sum("rev").alias("rev"), F.sum("pqty").alias("pqty"),
              F.max("_grid").alias("_grid"))
-        .filter(F.col("_grid"))
+        .filter(F.col("_grid") & (F.col("date") >= first))
         .drop("_grid")
     )
 
@@ -161,14 +165,19 @@ def stddev_lags(lags: list[Column], s7: Column, n7: Column) -> Column:
     return F.when(n7 > 1, F.sqrt(acc / (n7 - 1).cast("double")))
 
 
-def windowed(dense: DataFrame) -> DataFrame:
-    """W1-W9 in one window pass per product (one sort, no exchange)."""
+def windowed(dense: DataFrame, start: Column | None = None) -> DataFrame:
+    """W1-W9 in one window pass per product (one sort, no exchange).
+
+    ``start`` (the spine start) gives each day its position on the full
+    spine, so a truncated grid keeps the right window sizes.
+    """
     w = Window.partitionBy("product_id").orderBy("date")
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
     q = F.col("qty")
+    rn = F.row_number().over(w) if start is None else F.datediff(F.col("date"), start) + 1
     base = dense.select(
         "date", "product_id", "qty", "rev", "pqty",
-        F.row_number().over(w).alias("_rn"),
+        rn.alias("_rn"),
         F.sum(q).over(cum).alias("_cq"),
         F.sum("pqty").over(cum).alias("_tp"),
         F.max(F.when(q > 0, F.col("date"))).over(cum).alias("last_sale_date"),
@@ -294,6 +303,7 @@ def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
             F.sum(F.when(last(7), q)).alias("_s7"),
             F.sum(F.when(last(30), q)).alias("_s30"),
             F.sum(F.when(last(60), q)).alias("_s60"),
+            F.sum(F.when(last(180), q)).alias("_s180"),
             *[on_lag(i) for i in range(0, 7)],
             F.sum(F.when(in_grid, pq)).alias("_tp"),
             F.sum(F.when(in_grid, q)).alias("_ts"),
@@ -318,6 +328,7 @@ def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
         to_double(zc("_ts")).alias("total_sold"),
         to_double(zc("_tp") - zc("_ts")).alias("pseudo_stock"),
         "last_sale_date", "last_purchase_date",
+        round_half_up(to_double(zc("_s180")) / F.lit(6.0), 2).alias("avg_monthly_consumption"),
     )
 
 

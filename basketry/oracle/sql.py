@@ -509,3 +509,161 @@ ORACLE["recon_daily_quantity_flow"] = oracle(
        FULL OUTER JOIN (SELECT {pdate('sale_datetime_raw')} AS day, sum({zc('sale_qty')}) AS q FROM raw_sales_itemwise
              WHERE {pdate('sale_datetime_raw')} IS NOT NULL GROUP BY 1) s ON p.day = s.day""",
     ["raw_purchase_itemwise", "raw_sales_itemwise"])
+
+# ---------------------------------------------------------------- reports
+_REP_CTES = _LATEST_CTES + [
+    f"""amc AS (SELECT product_id, {rnd('CAST(sum(qty) AS DOUBLE) / 6.0', 2)} AS avg_monthly_consumption
+               FROM dense WHERE date > {AS_OF} - 180 GROUP BY product_id)""",
+    "sup_c AS (SELECT product_id, string_agg(DISTINCT supplier_name, ', ' ORDER BY supplier_name) AS suppliers FROM psm GROUP BY product_id)",
+    "sup_p AS (SELECT product_id, string_agg(DISTINCT supplier_name, ' | ' ORDER BY supplier_name) AS suppliers FROM psm GROUP BY product_id)",
+    """hrow AS (SELECT h.*, pd.product_name, amc.avg_monthly_consumption FROM hl h
+               LEFT JOIN pdim pd ON h.product_id = pd.product_id LEFT JOIN amc ON h.product_id = amc.product_id)""",
+]
+_REP_VIEWS = _ALL_VIEWS
+_SIGNAL = """CASE WHEN fast_moving_flag THEN 'Fast Moving' WHEN slow_moving_flag THEN 'Slow Moving'
+                 WHEN dead_stock_flag THEN 'Dead Stock' WHEN demand_spike_flag THEN 'Demand Spike' ELSE 'Normal' END"""
+
+ORACLE["health_signals_page"] = oracle(
+    """SELECT h.product_id, h.product_name, fast_moving_flag, slow_moving_flag, dead_stock_flag, demand_spike_flag,
+              predicted_daily_demand, last_7_day_avg, last_30_day_avg, last_60_day_avg, demand_volatility,
+              avg_monthly_consumption, s.suppliers, (SELECT count(*) FROM hl) AS total
+       FROM hrow h LEFT JOIN sup_c s ON h.product_id = s.product_id
+       ORDER BY predicted_daily_demand DESC NULLS LAST, h.product_id LIMIT 50""",
+    _REP_VIEWS, _REP_CTES)
+ORACLE["health_report"] = oracle(
+    f"""SELECT h.product_name, h.product_id AS barcode, s.suppliers,
+              COALESCE(avg_monthly_consumption, 0.0) AS avg_monthly_consumption,
+              {rnd('last_30_day_avg', 3)} AS avg_daily_demand, {rnd('predicted_daily_demand', 3)} AS predicted_daily_demand,
+              {rnd('last_7_day_avg', 3)} AS last_7_day_avg, {rnd('last_60_day_avg', 3)} AS last_60_day_avg,
+              {rnd('demand_volatility * 100.0', 1)} AS volatility_pct, {_SIGNAL} AS signal
+       FROM hrow h LEFT JOIN sup_p s ON h.product_id = s.product_id""",
+    _REP_VIEWS, _REP_CTES)
+ORACLE["supplier_report"] = oracle(
+    f"""SELECT sm.supplier_name AS supplier, h.product_name, h.product_id AS barcode, ic.mrp, ic.purchase_price,
+              COALESCE(avg_monthly_consumption, 0.0) AS avg_monthly_consumption,
+              {rnd('predicted_daily_demand', 3)} AS predicted_daily_demand, {rnd('ic.current_stock', 0)} AS current_stock,
+              {_SIGNAL} AS signal
+       FROM hrow h JOIN psm sm ON h.product_id = sm.product_id LEFT JOIN lic ic ON h.product_id = ic.product_id""",
+    _REP_VIEWS, _REP_CTES)
+_URG = """CASE WHEN days_of_cover IS NULL THEN 'No Data'
+               WHEN lead_time_days IS NOT NULL AND lead_time_days <> 0 AND days_of_cover < lead_time_days THEN 'Urgent'
+               WHEN lead_time_days IS NOT NULL AND lead_time_days <> 0 AND days_of_cover < lead_time_days * 1.5 THEN 'Low'
+               ELSE 'OK' END"""
+_RITEMS = f"""SELECT product_id AS barcode, product_name, supplier_name, current_stock AS system_stock,
+                     predicted_daily_demand, days_of_cover, min_stock, max_stock, required_quantity, lead_time_days,
+                     {_URG} AS urgency FROM restock WHERE date = (SELECT max(date) FROM restock)"""
+ORACLE["replenishment_page"] = oracle(
+    f"""SELECT *, (SELECT count(*) FROM ({_RITEMS}) c) AS total FROM ({_RITEMS}) r
+       ORDER BY days_of_cover ASC NULLS LAST, barcode LIMIT 100""", _REP_VIEWS, _REP_CTES)
+ORACLE["supplier_restock_pages"] = oracle(
+    f"""SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY days_of_cover ASC NULLS LAST, barcode) AS rank,
+                 count(*) OVER (PARTITION BY supplier_name) AS total
+          FROM ({_RITEMS}) r WHERE supplier_name IS NOT NULL) x WHERE rank <= 100""", _REP_VIEWS, _REP_CTES)
+ORACLE["top_products"] = oracle(
+    f"""SELECT row_number() OVER (ORDER BY s.rev DESC, s.product_id) AS rank, s.product_id AS barcode, pd.product_name,
+              CAST(s.rev AS DOUBLE) AS total_revenue, CAST(s.qty AS DOUBLE) AS total_qty
+       FROM (SELECT product_id, sum(rev) AS rev, sum(qty) AS qty FROM dense
+             WHERE date >= {AS_OF} - 30 AND qty > 0 GROUP BY product_id) s
+       LEFT JOIN pdim pd ON s.product_id = pd.product_id
+       ORDER BY s.rev DESC, s.product_id LIMIT 10""", _REP_VIEWS, _REP_CTES)
+ORACLE["top_products_by_qty"] = oracle(
+    f"""SELECT CAST(rank AS BIGINT) AS rank, barcode, product_name, total_revenue, total_qty FROM (
+          SELECT row_number() OVER (ORDER BY s.rev DESC, s.product_id) AS rank, s.product_id AS barcode,
+                 pd.product_name, CAST(s.rev AS DOUBLE) AS total_revenue, CAST(s.qty AS DOUBLE) AS total_qty, s.qty
+          FROM (SELECT product_id, sum(rev) AS rev, sum(qty) AS qty FROM dense
+                WHERE date >= {AS_OF} - 30 AND qty > 0 GROUP BY product_id) s
+          LEFT JOIN pdim pd ON s.product_id = pd.product_id) x
+       ORDER BY qty DESC, barcode LIMIT 10""", _REP_VIEWS, _REP_CTES)
+ORACLE["demand_trend"] = oracle(
+    f"""SELECT product_id, date, CAST(qty AS DOUBLE) AS quantity_sold, CAST(rev AS DOUBLE) AS revenue,
+              last_7_day_avg, last_30_day_avg,
+              {rnd('greatest(0.6 * COALESCE(last_7_day_avg, 0.0) + 0.3 * COALESCE(last_30_day_avg, 0.0) + 0.1 * COALESCE(last_60_day_avg, 0.0), 0.02)', 4)} AS predicted_daily_demand
+       FROM win2 WHERE date >= {AS_OF} - 60
+         AND date <= (SELECT COALESCE(max(sale_date), {AS_OF} - 1) FROM daily_sales_summary)""",
+    DENSE_VIEWS, _DENSE_CTES)
+ORACLE["supplier_list"] = oracle(
+    """SELECT m.supplier_name, l.supplier_region, CASE WHEN l.supplier_region = 'BELLARY' THEN 7 ELSE 15 END AS lead_time_days,
+              count(m.product_id) AS product_count
+       FROM psm m LEFT JOIN sloc l ON m.supplier_name = l.supplier_name GROUP BY m.supplier_name, l.supplier_region""",
+    DIM_VIEWS, _DIM_CTES)
+_CAT = """SELECT d.product_id, COALESCE(p.canonical_name, d.product_name) AS canonical_name, p.category, p.subcategory,
+                 p.brand, p.product_type, p.size, p.colour, p.hsn_code, p.is_active, p.is_reviewed
+          FROM pdim d LEFT JOIN products p ON d.product_id = p.barcode"""
+ORACLE["product_search"] = oracle(
+    f"""SELECT c.product_id AS barcode, c.canonical_name, c.category, ic.mrp FROM ({_CAT}) c
+       LEFT JOIN lic ic ON c.product_id = ic.product_id
+       WHERE c.canonical_name ILIKE '%ring%' OR c.product_id ILIKE '%ring%'
+       ORDER BY c.canonical_name, c.product_id LIMIT 20""", DIM_VIEWS, _DIM_CTES)
+ORACLE["product_list"] = oracle(
+    f"""SELECT product_id AS barcode, canonical_name, category, subcategory, brand, product_type, size, colour,
+              is_active, is_reviewed,
+              (SELECT count(*) FROM ({_CAT}) x WHERE x.is_active IS NULL OR x.is_active) AS total
+       FROM ({_CAT}) c WHERE c.is_active IS NULL OR c.is_active
+       ORDER BY canonical_name, barcode LIMIT 50""", DIM_VIEWS, _DIM_CTES)
+ORACLE["product_detail"] = oracle(
+    f"""SELECT c.product_id AS barcode, c.canonical_name, c.category, c.subcategory, c.brand, c.product_type, c.size,
+              c.colour, c.hsn_code, c.is_active, c.is_reviewed, ic.mrp, ic.purchase_price, ic.current_stock AS system_stock,
+              s.suppliers, amc.avg_monthly_consumption
+       FROM ({_CAT}) c LEFT JOIN lic ic ON c.product_id = ic.product_id
+       LEFT JOIN sup_c s ON c.product_id = s.product_id LEFT JOIN amc ON c.product_id = amc.product_id""",
+    _REP_VIEWS, _REP_CTES)
+_CUSTJ = """SELECT d.*, m.total_revenue, m.total_bills AS m_total_bills, m.avg_bill_value, m.total_discount_received,
+                   m.days_since_last_visit, m.avg_days_between_visits, m.is_repeat, m.preferred_payment
+            FROM customer_dimension d LEFT JOIN customer_metrics m ON d.mobile_clean = m.mobile_clean"""
+ORACLE["customer_list"] = oracle(
+    f"""SELECT mobile_clean, display_name, is_walk_in, is_member, first_seen_date, last_seen_date, total_bills,
+              total_revenue, avg_bill_value, total_discount_received, days_since_last_visit, avg_days_between_visits,
+              is_repeat, preferred_payment, (SELECT count(*) FROM ({_CUSTJ}) x WHERE NOT x.is_walk_in) AS total
+       FROM ({_CUSTJ}) c WHERE NOT is_walk_in ORDER BY total_revenue DESC NULLS LAST, mobile_clean LIMIT 50""",
+    ["raw_sales_billwise"], _CUST_CTES)
+ORACLE["customer_summary"] = oracle(
+    f"""SELECT count(*) AS total_unique_customers, count(*) FILTER (WHERE is_repeat) AS repeat_customer_count,
+              {rnd("CAST(count(*) FILTER (WHERE is_repeat) AS DOUBLE) * 100.0 / CAST(NULLIF(count(*), 0) AS DOUBLE)", 1)} AS repeat_customer_percent,
+              count(*) FILTER (WHERE is_member) AS members_count,
+              count(*) FILTER (WHERE first_seen_date >= {AS_OF} - 30) AS new_customers_last_30d,
+              {rnd("(SELECT CAST(sum(CAST(COALESCE(total_revenue, 0.0) AS DECIMAL(38,4))) AS DOUBLE) FROM customer_metrics WHERE mobile_clean = 'WALK-IN') * 100.0 / NULLIF((SELECT CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE) FROM customer_metrics), 0.0)", 1)} AS walk_in_revenue_percent
+       FROM ({_CUSTJ}) c WHERE NOT is_walk_in""",
+    ["raw_sales_billwise"], _CUST_CTES)
+_TS = ("COALESCE(try_strptime(sp, '%d-%m-%Y %I:%M %p'), try_strptime(sp, '%d-%m-%Y %H:%M'))")
+ORACLE["customer_history"] = oracle(
+    f"""SELECT mobile_clean, bill_no, net_total, total_discount, cash_total, card_total, upi_total, credit_total,
+              rank, CAST(bill_ts AS DATE) AS bill_date FROM (
+          SELECT *, row_number() OVER (PARTITION BY mobile_clean ORDER BY bill_ts DESC NULLS LAST, bill_no DESC) AS rank
+          FROM (SELECT {MOBILE.format(c='customer_mobile_raw')} AS mobile_clean, bill_no,
+                       CASE WHEN bill_datetime_raw IS NOT NULL AND regexp_matches(bill_datetime_raw, '^\\d{{2}}-\\d{{2}}-\\d{{4}}')
+                            THEN {_TS} END AS bill_ts,
+                       CAST(net_total AS DOUBLE) AS net_total, CAST(total_discount AS DOUBLE) AS total_discount,
+                       CAST(COALESCE(actual_cash, cash_amount, 0) AS DOUBLE) AS cash_total,
+                       CAST(COALESCE(card_amount, 0) AS DOUBLE) AS card_total,
+                       CAST(COALESCE(google_pay_amount, 0) + COALESCE(phonepe_amount, 0) + COALESCE(paytm_amount, 0) AS DOUBLE) AS upi_total,
+                       CAST(COALESCE(credit_amount, 0) AS DOUBLE) AS credit_total
+                FROM (SELECT *, trim(CASE WHEN substr(bill_datetime_raw, 11, 1) = ' ' THEN bill_datetime_raw
+                                          ELSE substr(bill_datetime_raw, 1, 10) || ' ' || substr(bill_datetime_raw, 11) END) AS sp
+                      FROM raw_sales_billwise) b) y
+          WHERE mobile_clean IS NOT NULL) z WHERE rank <= 50""",
+    ["raw_sales_billwise"])
+ORACLE["data_freshness"] = oracle(
+    f"SELECT max(sale_date) AS last_data_date, CAST({AS_OF} - max(sale_date) AS BIGINT) AS days_behind FROM daily_sales_summary",
+    DSS_VIEWS, _DSS_CTES)
+ORACLE["kpi_summary"] = oracle(
+    f"""SELECT (SELECT max(sale_date) FROM daily_sales_summary) AS latest_date,
+          (SELECT CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE) FROM daily_sales_summary WHERE sale_date >= (SELECT max(sale_date) FROM daily_sales_summary) - 6) AS total_revenue_last_7d,
+          (SELECT sum(total_bills) FROM daily_sales_summary WHERE sale_date >= (SELECT max(sale_date) FROM daily_sales_summary) - 6) AS total_bills_last_7d,
+          (SELECT CAST(sum(CAST(total_taxable_value AS DECIMAL(38,4))) AS DOUBLE) FROM daily_purchase_summary WHERE purchase_date >= (SELECT max(sale_date) FROM daily_sales_summary) - 6) AS total_purchases_last_7d,
+          (SELECT sum(total_purchase_bills) FROM daily_purchase_summary WHERE purchase_date >= (SELECT max(sale_date) FROM daily_sales_summary) - 6) AS total_purchase_bills_last_7d,
+          (SELECT CAST(sum(CAST(COALESCE(total_due_amount, 0.0) AS DECIMAL(38,4))) AS DOUBLE) FROM daily_purchase_summary WHERE purchase_date >= (SELECT max(sale_date) FROM daily_sales_summary) - 6) AS total_credit_last_7d,
+          (SELECT count(*) FILTER (WHERE fast_moving_flag) FROM hl WHERE date = (SELECT max(sale_date) FROM daily_sales_summary)) AS fast_moving_count,
+          (SELECT count(*) FILTER (WHERE slow_moving_flag) FROM hl WHERE date = (SELECT max(sale_date) FROM daily_sales_summary)) AS slow_moving_count,
+          (SELECT count(*) FILTER (WHERE dead_stock_flag) FROM hl WHERE date = (SELECT max(sale_date) FROM daily_sales_summary)) AS dead_stock_count,
+          (SELECT count(*) FILTER (WHERE demand_spike_flag) FROM hl WHERE date = (SELECT max(sale_date) FROM daily_sales_summary)) AS demand_spike_count,
+          (SELECT count(*) FROM restock WHERE date = (SELECT max(sale_date) FROM daily_sales_summary) AND required_quantity > 0) AS products_needing_reorder,
+          (SELECT count(*) FILTER (WHERE NOT is_walk_in) FROM ({_CUSTJ}) c) AS total_unique_customers,
+          (SELECT count(*) FILTER (WHERE COALESCE(is_repeat, false) AND NOT is_walk_in) FROM ({_CUSTJ}) c) AS repeat_customer_count,
+          (SELECT CASE WHEN count(*) FILTER (WHERE NOT is_walk_in) > 0 THEN
+                  {rnd("CAST(count(*) FILTER (WHERE COALESCE(is_repeat, false) AND NOT is_walk_in) AS DOUBLE) / CAST(count(*) FILTER (WHERE NOT is_walk_in) AS DOUBLE) * 100.0", 1)} END
+           FROM ({_CUSTJ}) c) AS repeat_customer_percent,
+          (SELECT count(*) FILTER (WHERE first_seen_date >= {AS_OF} - 30 AND NOT is_walk_in) FROM ({_CUSTJ}) c) AS new_customers_last_30d,
+          (SELECT {rnd("100.0 * CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) FILTER (WHERE mobile_clean = 'WALK-IN') AS DOUBLE) / NULLIF(CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE), 0.0)", 1)} FROM customer_metrics) AS walk_in_revenue_percent""",
+    sorted(set(_REP_VIEWS + ["raw_purchase_billwise", "raw_sales_billwise"])),
+    _REP_CTES + _DPS_CTES + [c for c in _CUST_CTES])

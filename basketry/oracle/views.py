@@ -136,6 +136,7 @@ FROM part WHERE p_partkey % 50 = 49"""
 
 VIEWS["products"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS barcode, upper(p_name) AS canonical_name, p_type AS category,
+       CAST(NULL AS VARCHAR) AS subcategory,
        p_brand AS brand, lpad(CAST(p_size AS VARCHAR), 2, '0') || '01' AS hsn_code,
        CAST(p_size AS VARCHAR) || 'KG' AS size, CAST(NULL AS VARCHAR) AS colour,
        'retail' AS product_type, p_partkey % 2 = 0 AS is_reviewed,

@@ -254,3 +254,123 @@ def q_recon_purchase(spark, sf_dir):
 def q_recon_flow(spark, sf_dir):
     t = tables(spark, sf_dir)
     return recon.recon_daily_quantity_flow(t.raw_purchase_itemwise, t.raw_sales_itemwise)
+
+
+# ---------------------------------------------------------------- reports
+import datetime as _dt  # noqa: E402
+
+from ..operators import reports  # noqa: E402
+
+
+def _cdim(t):
+    return customers.customer_dimension(t.raw_sales_billwise)
+
+
+def _cmet(t):
+    return customers.customer_metrics(t.raw_sales_billwise, AS_OF)
+
+
+@register("kpi_summary")
+def q_kpi_summary(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    latest = _latest(t)
+    return reports.kpi_summary(_dss(t), _dps(t), latest, _restock(t, latest), _cdim(t), _cmet(t), AS_OF)
+
+
+@register("health_signals_page")
+def q_health_signals_page(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.health_signals_page(_latest(t), _pdim(t), _psm(t))
+
+
+@register("health_report")
+def q_health_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.health_report(_latest(t), _pdim(t), _psm(t))
+
+
+@register("supplier_report")
+def q_supplier_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.supplier_report(_latest(t), _psm(t), _pdim(t), _lic(t))
+
+
+@register("replenishment_page")
+def q_replenishment_page(spark, sf_dir):
+    return reports.replenishment_page(_restock(tables(spark, sf_dir)))
+
+
+@register("supplier_restock_pages")
+def q_supplier_restock_pages(spark, sf_dir):
+    return reports.supplier_restock_pages(_restock(tables(spark, sf_dir)))
+
+
+@register("top_products")
+def q_top_products(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    sales = product.sales_by_product_day(t.raw_sales_itemwise, t.product_aliases)
+    return reports.top_products(sales, _pdim(t), AS_OF, _start(t))
+
+
+@register("top_products_by_qty")
+def q_top_products_by_qty(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    sales = product.sales_by_product_day(t.raw_sales_itemwise, t.product_aliases)
+    return reports.top_products(sales, _pdim(t), AS_OF, _start(t), sort_by="qty")
+
+
+@register("demand_trend")
+def q_demand_trend(spark, sf_dir):
+    """Every product's last 60 days; the grid is truncated to 60 + 59 days of history."""
+    t = tables(spark, sf_dir)
+    start = _start(t)
+    dense = product.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases, start, AS_OF,
+                                  grid_from=AS_OF - _dt.timedelta(days=60 + 59))
+    last_sale = _dss(t).agg(F.coalesce(F.max("sale_date"), F.date_sub(F.lit(AS_OF), 1))).scalar()
+    return reports.demand_trend(product.windowed(dense, start), AS_OF, last_sale)
+
+
+@register("supplier_list")
+def q_supplier_list(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.supplier_list(_psm(t), _loc(t))
+
+
+@register("product_search")
+def q_product_search(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.product_search(_pdim(t), t.products, _lic(t), q="ring")
+
+
+@register("product_list")
+def q_product_list(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.product_list(_pdim(t), t.products)
+
+
+@register("product_detail")
+def q_product_detail(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.product_detail(_pdim(t), t.products, _lic(t), _psm(t), _latest(t))
+
+
+@register("customer_list")
+def q_customer_list(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.customer_list(_cdim(t), _cmet(t))
+
+
+@register("customer_summary")
+def q_customer_summary(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return reports.customer_summary(_cdim(t), _cmet(t), AS_OF)
+
+
+@register("customer_history")
+def q_customer_history(spark, sf_dir):
+    return reports.customer_history(tables(spark, sf_dir).raw_sales_billwise)
+
+
+@register("data_freshness")
+def q_data_freshness(spark, sf_dir):
+    return reports.data_freshness(_dss(tables(spark, sf_dir)), AS_OF)
