@@ -96,6 +96,21 @@ def product_daily_sparse(items: DataFrame, pitems: DataFrame, aliases: DataFrame
     )
 
 
+def grid_partitions(spark, est_rows: int | None = None, rows_per_partition: int = 2_000_000) -> int:
+    """Partition count for the product grid.
+
+    The product list is small, so an AQE-coalesced shuffle would collapse the
+    whole grid into one task; a fixed count keeps it spread. It is at least
+    the session's shuffle partitions / default parallelism, and grows with
+    the estimated grid size when one is given.
+    """
+    base = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+               spark.sparkContext.defaultParallelism)
+    if est_rows:
+        base = max(base, -(-est_rows // rows_per_partition))
+    return base
+
+
 def spine_start(bills: DataFrame, items: DataFrame) -> Column:
     """MIN(sale_date) of the daily summary, as a scalar subquery."""
     b = bills.select(export_date("bill_datetime_raw").alias("d"))
@@ -103,6 +118,17 @@ def spine_start(bills: DataFrame, items: DataFrame) -> Column:
     return b.unionByName(i).agg(F.min("d")).scalar()
 
 
+def spine_start_date(bills: DataFrame, items: DataFrame) -> dt.date | None:
+    """The same value resolved once (one partial+final min over the date column).
+
+    The grid and fast path reference the spine start in many expressions;
+    binding it as a literal plans it once and lets the optimizer fold it.
+    """
+    b = bills.select(export_date("bill_datetime_raw").alias("d"))
+    i = items.select(export_date("sale_datetime_raw").alias("d"))
+    return b.unionByName(i).agg(F.min("d").alias("d")).first()["d"]
+
+
 def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
                   start: Column, as_of: dt.date, grid_from: dt.date | None = None) -> DataFrame:
     """Densified (product, day) grid: date, product_id, qty, rev, pqty (unscaled LONG).
@@ -115,13 +141,14 @@ def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
     """
     first = start if grid_from is None else F.greatest(start, F.lit(grid_from))
     zero = F.lit(0).cast("bigint")
+    n_parts = grid_partitions(items.sparkSession)
     sales = sales_by_product_day(items, aliases).select(
         "product_id", "date", "qty", "rev", zero.alias("pqty"), F.lit(False).alias("_grid"))
     purch = purchases_by_product_day(pitems, aliases).select(
         "product_id", "date", zero.alias("qty"), zero.alias("rev"), "pqty", F.lit(False).alias("_grid"))
-    sparse = sales.unionByName(purch).repartition("product_id")
+    sparse = sales.unionByName(purch).repartition(n_parts, "product_id")
     grid = (
-        sold_products(items, aliases).repartition("product_id")
+        sold_products(items, aliases).repartition(n_parts, "product_id")
         .select("product_id", F.explode(F.sequence(first, F.lit(as_of))).alias("date"))
         .select("product_id", "date", zero.alias("qty"), zero.alias("rev"), zero.alias("pqty"),
                 F.lit(True).alias("_grid"))
@@ -189,16 +216,17 @@ def windowed(dense: DataFrame, start: Column | None = None) -> DataFrame:
     def ksum(k):
         return cq - F.coalesce(F.lag(cq, k).over(w), F.lit(0))
 
+    sums = base.select("*", ksum(7).alias("_s7"), ksum(30).alias("_s30"), ksum(60).alias("_s60"))
     lags = [q] + [F.col(f"_l{i}") for i in range(1, 7)]
     n7 = F.least(rn, F.lit(7))
-    s7 = ksum(7)
-    return base.select(
+    s7 = F.col("_s7")
+    return sums.select(
         "date", "product_id", "qty", "rev", "pqty", "last_sale_date", "last_purchase_date",
         to_double("_l1").alias("lag_1_qty"),
         to_double("_l7").alias("lag_7_qty"),
         rolling_mean(s7, n7).alias("last_7_day_avg"),
-        rolling_mean(ksum(30), F.least(rn, F.lit(30))).alias("last_30_day_avg"),
-        rolling_mean(ksum(60), F.least(rn, F.lit(60))).alias("last_60_day_avg"),
+        rolling_mean(F.col("_s30"), F.least(rn, F.lit(30))).alias("last_30_day_avg"),
+        rolling_mean(F.col("_s60"), F.least(rn, F.lit(60))).alias("last_60_day_avg"),
         stddev_lags(lags, s7, n7).alias("last_7_day_stddev"),
         F.col("_tp"), cq.alias("_ts"),
     )

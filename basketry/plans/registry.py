@@ -79,7 +79,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 
 def _start(t: RetailTables):
-    return product.spine_start(t.raw_sales_billwise, t.raw_sales_itemwise)
+    """Spine start bound as a literal, resolved once per tables object."""
+    if not hasattr(t, "_spine_start"):
+        t._spine_start = product.spine_start_date(t.raw_sales_billwise, t.raw_sales_itemwise)
+    return F.lit(t._spine_start)
 
 
 def _dense(t: RetailTables):
