@@ -667,3 +667,49 @@ ORACLE["kpi_summary"] = oracle(
           (SELECT {rnd("100.0 * CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) FILTER (WHERE mobile_clean = 'WALK-IN') AS DOUBLE) / NULLIF(CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE), 0.0)", 1)} FROM customer_metrics) AS walk_in_revenue_percent""",
     sorted(set(_REP_VIEWS + ["raw_purchase_billwise", "raw_sales_billwise"])),
     _REP_CTES + _DPS_CTES + [c for c in _CUST_CTES])
+
+# ---------------------------------------------------------------- entity, ingest, misc
+ORACLE["alias_violations"] = oracle(
+    """SELECT a.alias_barcode, a.canonical_barcode, 'canonical_is_alias' AS reason FROM product_aliases a
+       WHERE a.canonical_barcode IN (SELECT alias_barcode FROM product_aliases)
+       UNION ALL
+       SELECT a.alias_barcode, a.canonical_barcode, 'alias_is_canonical' FROM product_aliases a
+       WHERE a.alias_barcode IN (SELECT canonical_barcode FROM product_aliases)""", ["product_aliases"])
+ORACLE["alias_list"] = oracle(
+    """SELECT a.alias_barcode, a.canonical_barcode, p.canonical_name, CAST(a.similarity_score AS DOUBLE) AS similarity_score,
+              a.confirmed_at, a.notes
+       FROM product_aliases a LEFT JOIN products p ON a.canonical_barcode = p.barcode""",
+    ["product_aliases", "products"])
+ORACLE["entity_product_facts"] = oracle(
+    f"""SELECT m.barcode, m.item_name_raw AS item_name, m.brand_raw AS brand, CAST(m.mrp AS DOUBLE) AS mrp,
+              CAST(m.purchase_price AS DOUBLE) AS purchase_price, CAST(m.rate AS DOUBLE) AS rate, m.size_raw AS size,
+              m.expiry_date_raw AS expiry_date, m.hsn_code, CAST(m.system_stock_snapshot AS DOUBLE) AS system_stock,
+              COALESCE(s.q, 0.0) AS total_sales_qty, s.last_sold
+       FROM (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY imported_at DESC, import_batch_id DESC) AS rn
+             FROM raw_item_combinations) m
+       LEFT JOIN (SELECT barcode, CAST(sum(COALESCE(sale_qty, 0)) AS DOUBLE) AS q,
+                         max(CASE WHEN sale_datetime_raw IS NOT NULL AND regexp_matches(sale_datetime_raw, '^\\d{{2}}-\\d{{2}}-\\d{{4}}')
+                                  THEN {_TS} END) AS last_sold
+                  FROM (SELECT *, trim(CASE WHEN substr(sale_datetime_raw, 11, 1) = ' ' THEN sale_datetime_raw
+                                            ELSE substr(sale_datetime_raw, 1, 10) || ' ' || substr(sale_datetime_raw, 11) END) AS sp
+                        FROM raw_sales_itemwise) x GROUP BY barcode) s ON m.barcode = s.barcode
+       WHERE m.rn = 1""",
+    ["raw_item_combinations", "raw_sales_itemwise"])
+ORACLE["filter_query"] = oracle(
+    """SELECT bill_no, bill_datetime_raw, operator_name, CAST(net_total AS DOUBLE) AS net_total FROM raw_sales_billwise
+       WHERE operator_name IN ('1-URGENT', '2-HIGH') AND net_total >= 100000""", ["raw_sales_billwise"])
+ORACLE["load_dedup"] = oracle(
+    """SELECT bill_no, barcode, line_no, CAST(sale_qty AS DOUBLE) AS sale_qty FROM (
+          SELECT *, row_number() OVER (PARTITION BY bill_no, barcode ORDER BY line_no) AS rn FROM raw_sales_itemwise
+          WHERE bill_no IS NOT NULL AND barcode IS NOT NULL) f
+       WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM raw_sales_itemwise e WHERE e.imported_at < TIMESTAMP '1998-01-01'
+                                    AND e.bill_no = f.bill_no AND e.barcode = f.barcode)
+       UNION ALL
+       SELECT bill_no, barcode, line_no, CAST(sale_qty AS DOUBLE) FROM raw_sales_itemwise
+       WHERE bill_no IS NULL OR barcode IS NULL""", ["raw_sales_itemwise"])
+ORACLE["upsert"] = oracle(
+    """SELECT barcode, item_name_raw, CAST(mrp AS DOUBLE) AS mrp, import_batch_id FROM raw_item_combinations
+       WHERE import_batch_id = 1 AND barcode NOT IN (SELECT barcode FROM raw_item_combinations WHERE import_batch_id = 2)
+       UNION ALL
+       SELECT barcode, item_name_raw, CAST(mrp AS DOUBLE), import_batch_id FROM raw_item_combinations
+       WHERE import_batch_id = 2""", ["raw_item_combinations"])

@@ -51,6 +51,7 @@ SELECT
     o_orderpriority AS operator_name,
     'Main' AS sale_location,
     CAST(l_partkey AS VARCHAR) AS barcode,
+    CAST(l_linenumber AS BIGINT) AS line_no,
     p_name || ' ' || CAST(p_size AS VARCHAR) || 'KG' AS item_name_raw,
     p_brand AS brand_raw,
     lpad(CAST(p_size AS VARCHAR), 2, '0') || '01' AS hsn_code,
@@ -131,7 +132,8 @@ VIEWS["raw_item_combinations"] = (
 )
 
 VIEWS["product_aliases"] = """
-SELECT CAST(p_partkey AS VARCHAR) AS alias_barcode, CAST(p_partkey - 1 AS VARCHAR) AS canonical_barcode
+SELECT CAST(p_partkey AS VARCHAR) AS alias_barcode, CAST(p_partkey - 1 AS VARCHAR) AS canonical_barcode,
+       CAST(90 AS DECIMAL(5,2)) AS similarity_score, TIMESTAMP '2001-07-01 00:00:00' AS confirmed_at, 'fixture' AS notes
 FROM part WHERE p_partkey % 50 = 49"""
 
 VIEWS["products"] = """

@@ -377,3 +377,106 @@ def q_customer_history(spark, sf_dir):
 @register("data_freshness")
 def q_data_freshness(spark, sf_dir):
     return reports.data_freshness(_dss(tables(spark, sf_dir)), AS_OF)
+
+
+# ---------------------------------------------------------------- entity resolution, catalog, misc
+from ..operators import cash, catalog, entity, offers  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+
+def _clusters(t):
+    c = entity.candidates(t.raw_item_combinations, t.raw_sales_itemwise, t.product_aliases)
+    return entity.name_clusters(c, t.products, entity.CLI_MIN_SCORE)
+
+
+@register("name_clusters")
+def q_name_clusters(spark, sf_dir):
+    return _clusters(tables(spark, sf_dir))[0]
+
+
+@register("merge_suggestions")
+def q_merge_suggestions(spark, sf_dir):
+    clusters, edges = _clusters(tables(spark, sf_dir))
+    return entity.merge_suggestions(clusters, edges)
+
+
+@register("suggestion_clusters")
+def q_suggestion_clusters(spark, sf_dir):
+    clusters, edges = _clusters(tables(spark, sf_dir))
+    return entity.suggestion_clusters(entity.merge_suggestions(clusters, edges))
+
+
+@register("alias_violations")
+def q_alias_violations(spark, sf_dir):
+    return entity.alias_violations(tables(spark, sf_dir).product_aliases)
+
+
+@register("alias_list")
+def q_alias_list(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return entity.alias_list(t.product_aliases, t.products)
+
+
+@register("entity_product_facts")
+def q_entity_product_facts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return entity.entity_product_facts(t.raw_item_combinations, t.raw_sales_itemwise)
+
+
+@register("canonical_products")
+def q_canonical_products(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return catalog.canonical_products(t.raw_item_combinations, t.products)
+
+
+@register("cash_closure")
+def q_cash_closure(spark, sf_dir):
+    return cash.cash_closure_totals(cash.closures_from_events(tables(spark, sf_dir).base("events")))
+
+
+def offer_sheet(t: RetailTables) -> DataFrame:
+    """A promotion sheet derived from the part table (text cells, as a CSV would give)."""
+    pk = F.col("p_partkey")
+    dtype = (F.when(pk % 4 == 0, "Percent").when(pk % 4 == 1, "amount").when(pk % 4 == 2, "combo")
+             .otherwise("unknown"))
+    dval = (F.when(pk % 4 == 0, (F.col("p_size") % 30 + 5).cast("string"))
+            .when(pk % 4 == 1, F.col("p_size").cast("string")).when(pk % 4 == 2, F.lit("Buy 1 Get 1"))
+            .otherwise(F.lit("")))
+    return t.base("part").select(
+        pk.alias("_row"),
+        F.when(pk % 97 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("Name"),
+        F.when(pk % 89 == 0, F.lit("NA")).otherwise(F.col("p_retailprice").cast("string")).alias("MRP"),
+        dtype.alias("Discount Type"), dval.alias("Discount Value"),
+        F.concat(F.lit("img/"), pk.cast("string"), F.lit(".png")).alias("Image"))
+
+
+@register("offer_pricing")
+def q_offer_pricing(spark, sf_dir):
+    return offers.offer_pricing(offer_sheet(tables(spark, sf_dir)))
+
+
+@register("filter_query")
+def q_filter_query(spark, sf_dir):
+    spec = {"filters": [{"field": "operator_name", "operator": "in", "value": ["1-URGENT", "2-HIGH"]},
+                        {"field": "net_total", "operator": "gte", "value": 100000}],
+            "condition": "and", "sort": {"net_total": -1}}
+    out = offers.filter_query(tables(spark, sf_dir).raw_sales_billwise, spec)
+    return out.select("bill_no", "bill_datetime_raw", "operator_name", F.col("net_total").cast("double"))
+
+
+@register("load_dedup")
+def q_load_dedup(spark, sf_dir):
+    """Re-delivered export: everything loaded before 1998 is already in the table."""
+    items = tables(spark, sf_dir).raw_sales_itemwise
+    existing = items.filter(F.col("imported_at") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    fresh = ingest.load_dedup(existing, items, ["bill_no", "barcode"], "line_no")
+    return fresh.select("bill_no", "barcode", "line_no", F.col("sale_qty").cast("double"))
+
+
+@register("upsert")
+def q_upsert(spark, sf_dir):
+    im = tables(spark, sf_dir).raw_item_combinations
+    cols = ["barcode", "item_name_raw", "mrp", "import_batch_id", "imported_at"]
+    out = ingest.upsert(im.filter("import_batch_id = 1").select(*cols), im.filter("import_batch_id = 2").select(*cols),
+                        ["barcode"], "imported_at")
+    return out.select("barcode", "item_name_raw", F.col("mrp").cast("double"), "import_batch_id")

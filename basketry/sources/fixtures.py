@@ -110,7 +110,7 @@ class RetailTables:
     @cached_property
     def raw_sales_itemwise(self) -> DataFrame:
         li = self.base("lineitem").select(
-            "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
         o = self.base("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         p = self.base("part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
         one = F.lit(1).cast("decimal(3,2)")
@@ -124,6 +124,7 @@ class RetailTables:
                 F.col("o_orderpriority").alias("operator_name"),
                 F.lit("Main").alias("sale_location"),
                 _key("l_partkey").alias("barcode"),
+                F.col("l_linenumber").cast("long").alias("line_no"),
                 F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("KG"))
                 .alias("item_name_raw"),
                 F.col("p_brand").alias("brand_raw"),
