@@ -713,3 +713,11 @@ ORACLE["upsert"] = oracle(
        UNION ALL
        SELECT barcode, item_name_raw, CAST(mrp AS DOUBLE), import_batch_id FROM raw_item_combinations
        WHERE import_batch_id = 2""", ["raw_item_combinations"])
+ORACLE["ingest_report"] = oracle(
+    """SELECT bill_no, bill_datetime_raw, operator_name, location_name, CAST(net_total AS DOUBLE) AS net_total,
+              CAST(cash_amount AS DOUBLE) AS cash_amount FROM raw_sales_billwise""", ["raw_sales_billwise"])
+ORACLE["stream_daily_sales"] = oracle(
+    """SELECT sale_date, total_bills, CAST(rev AS DOUBLE) AS total_revenue FROM b""", DSS_VIEWS, _DSS_CTES)
+ORACLE["stream_ingest"] = oracle(
+    "SELECT bill_no, bill_datetime_raw, CAST(net_total AS DOUBLE) AS net_total FROM raw_sales_billwise",
+    ["raw_sales_billwise"])

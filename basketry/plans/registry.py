@@ -480,3 +480,82 @@ def q_upsert(spark, sf_dir):
     out = ingest.upsert(im.filter("import_batch_id = 1").select(*cols), im.filter("import_batch_id = 2").select(*cols),
                         ["barcode"], "imported_at")
     return out.select("barcode", "item_name_raw", F.col("mrp").cast("double"), "import_batch_id")
+
+
+# ---------------------------------------------------------------- files, ingest, streaming
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import jobs as stream_jobs  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint dir (never a machine-local temp dir)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/basketry-{name}-{uuid.uuid4().hex}"
+
+
+def export_bills_csv(t: RetailTables, folder: str) -> str:
+    """Bill-wise export files (one per year) with the export headers and a trailing totals row."""
+    from ..sources.ingest import HEADER_MAP
+    rev = {v: k for k, v in HEADER_MAP["sales_billwise"].items()}
+    b = t.raw_sales_billwise.withColumn("_slice", F.substring("bill_datetime_raw", 7, 4))
+    cols = [c for c in rev if c in b.columns]
+    body = b.select("_slice", F.lit(0).alias("_total"), *[F.col(c).cast("string").alias(rev[c]) for c in cols])
+    totals = b.groupBy("_slice").agg(F.sum("net_total").cast("string").alias(rev["net_total"]),
+                                     F.sum("total_qty").cast("string").alias(rev["total_qty"]))
+    q = lambda n: F.col(f"`{n}`")  # noqa: E731 - export headers contain dots
+    totals = totals.select("_slice", F.lit(1).alias("_total"),
+                           *[q(rev[c]) if rev[c] in totals.columns else F.lit(None).cast("string").alias(rev[c])
+                             for c in cols])
+    out = (body.unionByName(totals).repartition("_slice")
+           .sortWithinPartitions("_slice", "_total", q(rev["bill_no"])).drop("_total"))
+    out.write.partitionBy("_slice").option("header", True).csv(folder)
+    return folder
+
+
+@register("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    folder = export_bills_csv(t, _scratch(spark, "bills-csv"))
+    rows, _quarantine = ingest.read_report(spark, f"{folder}/*/*.csv", "sales_billwise", batch_id=1)
+    return rows.select("bill_no", "bill_datetime_raw", "operator_name", "location_name",
+                       F.col("net_total").cast("double").alias("net_total"),
+                       F.col("cash_amount").cast("double").alias("cash_amount"))
+
+
+@register("ingest_manifest")
+def q_ingest_manifest(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    folder = export_bills_csv(t, _scratch(spark, "bills-csv"))
+    m = ingest.file_manifest(spark, f"{folder}/*/*.csv", None, "sales_billwise")
+    return m.select("file_hash", "report_type", "is_new")
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Bill-wise exports dropped in a folder, ingested by a file stream with first-wins dedup."""
+    t = tables(spark, sf_dir)
+    src = export_bills_csv(t, _scratch(spark, "drop"))
+    target, ck = _scratch(spark, "raw"), _scratch(spark, "ck")
+    q = stream_jobs.stream_ingest(spark, f"{src}/*", "sales_billwise", target, ck, ["bill_no"])
+    q.awaitTermination()
+    return spark.read.parquet(target).select("bill_no", "bill_datetime_raw",
+                                             F.col("net_total").cast("decimal(18,4)").cast("double").alias("net_total"))
+
+
+@register("stream_daily_sales")
+def q_stream_daily_sales(spark, sf_dir):
+    """T4: daily bills and revenue maintained by a watermarked stream (equals the batch result)."""
+    t = tables(spark, sf_dir)
+    src = _scratch(spark, "bills")
+    b = t.raw_sales_billwise.select("bill_datetime_raw", "net_total")
+    yr = F.substring("bill_datetime_raw", 7, 4)
+    # the distinct export years (a handful of values) fix the slice order
+    years = sorted(r[0] for r in b.select(yr.alias("y")).filter(F.col("y").rlike("^[0-9]{4}$")).distinct().collect())
+    # event-time ordered slices so the stream sees days in order (nothing falls behind the watermark)
+    for y in years:
+        b.filter(yr == y).write.mode("append").parquet(f"{src}/y={y}")
+    schema = b.schema
+    return stream_jobs.run_daily_sales_stream(spark, f"{src}/*", schema, _scratch(spark, "daily"),
+                                              _scratch(spark, "ck"))

@@ -176,7 +176,8 @@ def load_dedup(existing: DataFrame, batch: DataFrame, keys: list[str], order_col
     keyed = batch.filter(~_key_null(keys))
     w = Window.partitionBy(*keys).orderBy(F.col(order_col))
     first = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    fresh = first.join(existing.select(*keys).filter(~_key_null(keys)).distinct(), keys, "left_anti")
+    loaded = existing.select(*keys).filter(~_key_null(keys)).distinct()
+    fresh = first.join(loaded, keys, "left_anti")
     return fresh.unionByName(nulls)
 
 

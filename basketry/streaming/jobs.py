@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import export_timestamp
-from ..sources.ingest import HEADER_MAP, load_dedup
+from ..sources.ingest import HAS_TOTALS_ROW, HEADER_MAP, load_dedup
 
 
 def export_schema(report_type: str) -> StructType:
@@ -25,19 +25,23 @@ def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: st
                   keys: list[str]):
     """New files -> typed, deduplicated rows appended to ``target`` (availableNow)."""
     src = (spark.readStream.schema(export_schema(report_type)).option("header", True)
-           .option("pathGlobFilter", "[!.~]*").csv(folder))
+           .option("multiLine", True).option("pathGlobFilter", "[!.~]*").csv(folder))
     hmap = HEADER_MAP[report_type]
     mapped = src.select(*[F.col(f"`{h}`").alias(c) for h, c in hmap.items()],
-                        F.col("_metadata.file_path").alias("source_file_name"),
-                        F.monotonically_increasing_id().alias("_pos"))
+                        F.col("_metadata.file_path").alias("source_file_name"))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # row position inside the (static) micro-batch decides "first wins"
+        batch = batch.withColumn("_pos", F.monotonically_increasing_id())
+        if report_type in HAS_TOTALS_ROW:  # S10: each file's last row is its totals row
+            last = batch.groupBy("source_file_name").agg(F.max("_pos").alias("_pos"))
+            batch = batch.join(last, ["source_file_name", "_pos"], "left_anti")
         try:
             existing = spark.read.parquet(target)
         except Exception:  # noqa: BLE001 - first batch: nothing loaded yet
             existing = batch.limit(0)
-        fresh = load_dedup(existing.select(*batch.columns), batch, keys, "_pos")
-        fresh.write.mode("append").parquet(target)
+        fresh = load_dedup(existing.select(*keys), batch, keys, "_pos")
+        fresh.drop("_pos").write.mode("append").parquet(target)
 
     return (mapped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -53,3 +57,23 @@ def daily_sales_stream(bills: DataFrame, watermark: str = "2 days") -> DataFrame
             .agg(F.count(F.lit(1)).alias("total_bills"), F.sum("net_total").alias("_rev"))
             .select(F.to_date(F.col("w.start")).alias("sale_date"), "total_bills",
                     F.col("_rev").cast("double").alias("total_revenue")))
+
+
+def run_daily_sales_stream(spark: SparkSession, source_dir: str, schema: StructType, target: str,
+                           checkpoint: str, watermark: str = "2 days") -> DataFrame:
+    """T4 end to end: file stream -> windowed update-mode aggregate -> versioned day table.
+
+    Each micro-batch appends its updated days tagged with the epoch; the
+    table's current state is the newest epoch per day (upsert on read).
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(target)
+
+    q = (daily_sales_stream(stream, watermark).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    t = spark.read.parquet(target)
+    return (t.groupBy("sale_date").agg(F.max_by(F.struct("total_bills", "total_revenue"), "_epoch").alias("_v"))
+            .select("sale_date", "_v.total_bills", "_v.total_revenue"))
