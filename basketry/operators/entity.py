@@ -81,11 +81,14 @@ def name_pairs(blk: DataFrame, min_score: float) -> DataFrame:
     a = names.select("block_key", F.col("norm").alias("norm_a"), F.col("_ts").alias("ts_a"))
     b = names.select("block_key", F.col("norm").alias("norm_b"), F.col("_ts").alias("ts_b"))
     la, lb = F.length("ts_a"), F.length("ts_b")
-    slack = (F.lit(1.0 - min_score / 100.0) * (la + lb).cast("double"))
+    # score >= t  <=>  indel * 100 <= (100 - t) * (la + lb); levenshtein <= indel, so
+    # bounding levenshtein the same way is sound. Scaled to integers (plus a margin)
+    # so rounding can never drop a qualifying pair.
+    budget = F.lit(100.0 - float(min_score)) * (la + lb).cast("double") + F.lit(1e-6)
     cand = (a.join(b, "block_key")
             .filter(F.col("norm_a") < F.col("norm_b"))
-            .filter(F.abs(la - lb).cast("double") <= slack)
-            .filter(F.levenshtein("ts_a", "ts_b").cast("double") <= slack))
+            .filter((F.abs(la - lb) * 100).cast("double") <= budget)
+            .filter((F.levenshtein("ts_a", "ts_b") * 100).cast("double") <= budget))
     return (cand.withColumn("score", indel_ratio_udf("ts_a", "ts_b"))
             .filter(F.col("score") >= F.lit(float(min_score)))
             .select("block_key", "norm_a", "norm_b", "score"))
