@@ -721,3 +721,55 @@ ORACLE["stream_daily_sales"] = oracle(
 ORACLE["stream_ingest"] = oracle(
     "SELECT bill_no, bill_datetime_raw, CAST(net_total AS DOUBLE) AS net_total FROM raw_sales_billwise",
     ["raw_sales_billwise"])
+
+# ---------------------------------------------------------------- cash closure, offers
+ORACLE["cash_closure"] = """
+WITH per AS (SELECT CAST(ts AS DATE) AS closure_date, event_type,
+                    CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM events GROUP BY 1, 2),
+scal AS (SELECT closure_date,
+                max(CASE WHEN event_type = 'signup' THEN amount END) AS opening_cash,
+                max(CASE WHEN event_type = 'purchase' THEN amount END) AS net_sales,
+                max(CASE WHEN event_type = 'view' THEN amount END) AS card_amount,
+                max(CASE WHEN event_type = 'click' THEN amount END) AS click_amt,
+                max(CASE WHEN event_type = 'error' THEN amount END) AS error_amt
+         FROM per GROUP BY 1),
+notes AS (SELECT CAST(ts AS DATE) AS closure_date,
+                 CAST(sum(list_extract([500, 200, 100, 50, 20, 10, 5, 2, 1], CAST(user_id % 9 + 1 AS INTEGER))) AS DOUBLE) AS cash
+          FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1),
+tot AS (SELECT s.closure_date,
+               COALESCE(opening_cash, 0.0) + COALESCE(net_sales, 0.0) + COALESCE(click_amt, 0.0) AS inside,
+               COALESCE(card_amount, 0.0) + COALESCE(error_amt, 0.0) AS outside,
+               CASE WHEN dayofmonth(s.closure_date) % 5 <> 0 THEN net_sales END AS physical,
+               COALESCE(n.cash, 0.0) AS denomination_cash
+        FROM scal s LEFT JOIN notes n ON s.closure_date = n.closure_date)
+SELECT closure_date,
+       CAST(round(CAST(inside AS DECIMAL(28,10)), 2) AS DOUBLE) AS total_inside_counter,
+       CAST(round(CAST(outside AS DECIMAL(28,10)), 2) AS DOUBLE) AS total_outside_counter,
+       CAST(round(CAST(inside - outside AS DECIMAL(28,10)), 2) AS DOUBLE) AS expected_cash,
+       physical AS physical_cash_counted,
+       CASE WHEN physical IS NOT NULL THEN CAST(round(CAST(physical - (inside - outside) AS DECIMAL(28,10)), 2) AS DOUBLE) END
+           AS difference_amount,
+       denomination_cash
+FROM tot"""
+
+ORACLE["offer_pricing"] = """
+WITH sheet AS (
+    SELECT p_partkey AS sort_order,
+           NULLIF(trim(CASE WHEN p_partkey % 97 = 0 THEN ' ' ELSE p_name END), '') AS name,
+           NULLIF(TRY_CAST(NULLIF(trim(CASE WHEN p_partkey % 89 = 0 THEN 'NA' ELSE CAST(p_retailprice AS VARCHAR) END), '')
+                           AS DOUBLE), 0.0) AS mrp,
+           lower(trim(CASE p_partkey % 4 WHEN 0 THEN 'Percent' WHEN 1 THEN 'amount' WHEN 2 THEN 'combo' ELSE 'unknown' END)) AS dtype,
+           NULLIF(trim(CASE p_partkey % 4 WHEN 0 THEN CAST(p_size % 30 + 5 AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR)
+                            WHEN 2 THEN 'Buy 1 Get 1' ELSE '' END), '') AS draw,
+           'img/' || CAST(p_partkey AS VARCHAR) || '.png' AS image_url
+    FROM part),
+v AS (SELECT *, TRY_CAST(draw AS DOUBLE) AS dval FROM sheet WHERE name IS NOT NULL),
+w AS (SELECT *, (mrp IS NOT NULL AND dval IS NOT NULL AND dval <> 0) AS ok FROM v)
+SELECT name AS display_name, mrp AS original_price,
+       CASE WHEN dtype = 'percent' AND ok THEN CAST(round(CAST(mrp * (1.0 - dval / 100.0) AS DECIMAL(28,10)), 2) AS DOUBLE)
+            WHEN dtype = 'amount' AND ok THEN CAST(round(CAST(mrp - dval AS DECIMAL(28,10)), 2) AS DOUBLE) END AS offer_price,
+       CASE WHEN dtype = 'percent' AND ok THEN CAST(CAST(trunc(dval) AS INTEGER) AS VARCHAR) || '% OFF'
+            WHEN dtype = 'amount' AND ok THEN 'Save ₹' || CAST(CAST(trunc(dval) AS INTEGER) AS VARCHAR)
+            WHEN dtype IN ('combo', 'text') AND draw IS NOT NULL THEN draw END AS highlight_text,
+       image_url, sort_order
+FROM w"""
