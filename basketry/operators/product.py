@@ -96,16 +96,17 @@ def product_daily_sparse(items: DataFrame, pitems: DataFrame, aliases: DataFrame
     )
 
 
-def grid_partitions(spark, est_rows: int | None = None, rows_per_partition: int = 2_000_000) -> int:
+def grid_partitions(spark, est_rows: int | None = None, rows_per_partition: int = 1_000_000) -> int:
     """Partition count for the product grid.
 
     The product list is small, so an AQE-coalesced shuffle would collapse the
     whole grid into one task; a fixed count keeps it spread. It is at least
-    the session's shuffle partitions / default parallelism, and grows with
-    the estimated grid size when one is given.
+    the session's shuffle partitions and four waves of the cluster's cores
+    (measured: 4x cores cut the sf0.1 feature rebuild from 79 s to 57 s on
+    8 cores), and grows with the estimated grid size when one is given.
     """
     base = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-               spark.sparkContext.defaultParallelism)
+               4 * spark.sparkContext.defaultParallelism)
     if est_rows:
         base = max(base, -(-est_rows // rows_per_partition))
     return base
