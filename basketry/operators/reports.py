@@ -341,6 +341,7 @@ def customer_summary(cdim: DataFrame, cmetrics: DataFrame, as_of: dt.date) -> Da
         rep.alias("repeat_customer_count"),
         round_half_up(rep.cast("double") * F.lit(100.0) / F.nullif(n, F.lit(0)).cast("double"), 1)
         .alias("repeat_customer_percent"),
+        round_half_up(F.avg("avg_bill_value"), 4).alias("avg_bill_value"),
         F.count_if(F.col("is_member")).alias("members_count"),
         F.count_if(F.col("first_seen_date") >= F.date_sub(F.lit(as_of), 30)).alias("new_customers_last_30d"),
     ).select(

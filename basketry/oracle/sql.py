@@ -620,6 +620,7 @@ ORACLE["customer_list"] = oracle(
 ORACLE["customer_summary"] = oracle(
     f"""SELECT count(*) AS total_unique_customers, count(*) FILTER (WHERE is_repeat) AS repeat_customer_count,
               {rnd("CAST(count(*) FILTER (WHERE is_repeat) AS DOUBLE) * 100.0 / CAST(NULLIF(count(*), 0) AS DOUBLE)", 1)} AS repeat_customer_percent,
+              {rnd("avg(avg_bill_value)", 4)} AS avg_bill_value,
               count(*) FILTER (WHERE is_member) AS members_count,
               count(*) FILTER (WHERE first_seen_date >= {AS_OF} - 30) AS new_customers_last_30d,
               {rnd("(SELECT CAST(sum(CAST(COALESCE(total_revenue, 0.0) AS DECIMAL(38,4))) AS DOUBLE) FROM customer_metrics WHERE mobile_clean = 'WALK-IN') * 100.0 / NULLIF((SELECT CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE) FROM customer_metrics), 0.0)", 1)} AS walk_in_revenue_percent

@@ -192,3 +192,31 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order_col: st
 def insert_if_absent(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """New keys only; existing rows stay as they are."""
     return existing.unionByName(batch.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+
+
+# File-name substrings that route a dropped export to its report type.
+ROUTES = [
+    ("sales_itemwise", ["itemwise_sale", "sales_itemwise", "sale_itemwise", "item wise sale"]),
+    ("sales_billwise", ["billwise_sale", "sales_billwise", "sale_billwise", "bill wise sale"]),
+    ("purchase_itemwise", ["purchase_itemwise", "itemwise_purchase"]),
+    ("purchase_billwise", ["purchase_billwise", "billwise_purchase"]),
+    ("supplier_master", ["supplier_master", "supplier"]),
+    ("item_combinations", ["item_combination", "item_master"]),
+]
+
+
+def route_files(files: DataFrame, name_col: str = "file_name") -> DataFrame:
+    """Report type from the lower-cased file name (first matching route wins)."""
+    n = F.lower(F.col(name_col))
+    rt = None
+    for report, keys in ROUTES:
+        cond = None
+        for k in keys:
+            cond = n.contains(k) if cond is None else (cond | n.contains(k))
+        rt = F.when(cond, F.lit(report)) if rt is None else rt.when(cond, F.lit(report))
+    return files.withColumn("report_type", rt)
+
+
+def append_rows(rows: DataFrame, table_path: str) -> None:
+    """Append a loaded batch to its raw table (parallel write, no chunking needed)."""
+    rows.write.mode("append").parquet(table_path)

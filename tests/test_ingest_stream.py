@@ -84,3 +84,10 @@ def test_stream_daily_sales_equals_batch(spark):
     batch = {(r.sale_date, r.total_bills, r.total_revenue) for r in
              R.QUERIES["daily_sales_summary"](spark, SMALL).filter(F.col("total_bills").isNotNull()).collect()}
     assert stream == batch
+
+
+def test_route_files(spark):
+    df = spark.createDataFrame([("/drop/ItemWise_Sale_2025.csv",), ("/drop/Supplier_Master.csv",),
+                                ("/drop/purchase_billwise_1.csv",), ("/drop/notes.txt",)], "file_name string")
+    got = [r.report_type for r in ingest.route_files(df).collect()]
+    assert got == ["sales_itemwise", "supplier_master", "purchase_billwise", None]
