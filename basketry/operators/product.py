@@ -54,13 +54,20 @@ def remap(df: DataFrame, col: str, aliases: DataFrame, out: str = "product_id")
             .drop("__alias", "__canon"))
 
 
-def sales_by_product_day(items: DataFrame, aliases: DataFrame) -> DataFrame:
-    """A4: (date, product_id) -> sold qty (sale + free) and revenue, unscaled LONG."""
+def sales_by_product_day(items: DataFrame, aliases: DataFrame, keep_undated: bool = False) -> DataFrame:
+    """A4: (date, product_id) -> sold qty (sale + free) and revenue, unscaled LONG.
+
+    ``keep_undated`` keeps one NULL-date group per product for lines whose
+    date is garbage: the product list of the grid is then derived from this
+    same aggregate (one scan of the raw lines, exchange reused).
+    """
     lines = items.select(export_date("sale_datetime_raw").alias("date"), "barcode",
                          unscaled(z("sale_qty") + z("free_qty")).alias("_q"),
                          unscaled(z("net_total")).alias("_r"))
-    lines = remap(lines, "barcode", aliases).filter(
-        F.col("date").isNotNull() & F.col("product_id").isNotNull())
+    keep = F.col("product_id").isNotNull()
+    if not keep_undated:
+        keep = keep & F.col("date").isNotNull()
+    lines = remap(lines, "barcode", aliases).filter(keep)
     return lines.groupBy("date", "product_id").agg(F.sum("_q").alias("qty"), F.sum("_r").alias("rev"))
 
 
@@ -143,13 +150,14 @@ def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
     first = start if grid_from is None else F.greatest(start, F.lit(grid_from))
     zero = F.lit(0).cast("bigint")
     n_parts = grid_partitions(items.sparkSession)
-    sales = sales_by_product_day(items, aliases).select(
+    s_all = sales_by_product_day(items, aliases, keep_undated=True)
+    sales = s_all.filter(F.col("date").isNotNull()).select(
         "product_id", "date", "qty", "rev", zero.alias("pqty"), F.lit(False).alias("_grid"))
     purch = purchases_by_product_day(pitems, aliases).select(
         "product_id", "date", zero.alias("qty"), zero.alias("rev"), "pqty", F.lit(False).alias("_grid"))
     sparse = sales.unionByName(purch).repartition(n_parts, "product_id")
     grid = (
-        sold_products(items, aliases).repartition(n_parts, "product_id")
+        s_all.select("product_id").distinct().repartition(n_parts, "product_id")
         .select("product_id", F.explode(F.sequence(first, F.lit(as_of))).alias("date"))
         .select("product_id", "date", zero.alias("qty"), zero.alias("rev"), zero.alias("pqty"),
                 F.lit(True).alias("_grid"))
@@ -313,7 +321,8 @@ def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
     T = F.lit(as_of)
     span = F.datediff(T, start) + 1
     zero = F.lit(0).cast("bigint")
-    sales = sales_by_product_day(items, aliases).select("product_id", "date", "qty", zero.alias("pqty"))
+    s_all = sales_by_product_day(items, aliases, keep_undated=True)
+    sales = s_all.filter(F.col("date").isNotNull()).select("product_id", "date", "qty", zero.alias("pqty"))
     purch = purchases_by_product_day(pitems, aliases).select(
         "product_id", "date", zero.alias("qty"), "pqty")
     d, q, pq = F.col("date"), F.col("qty"), F.col("pqty")
@@ -340,7 +349,7 @@ def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
             F.max(F.when(in_grid & (pq > 0), d)).alias("last_purchase_date"),
         )
     )
-    s = sold_products(items, aliases).join(agg, "product_id", "left")
+    s = s_all.select("product_id").distinct().join(agg, "product_id", "left")
     zc = lambda c: F.coalesce(F.col(c), F.lit(0))
     n7, n30, n60 = F.least(F.lit(7), span), F.least(F.lit(30), span), F.least(F.lit(60), span)
     a7, a30, a60 = rolling_mean(zc("_s7"), n7), rolling_mean(zc("_s30"), n30), rolling_mean(zc("_s60"), n60)
