@@ -61,38 +61,47 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
 
 def kpi_summary(dss: DataFrame, dps: DataFrame, latest: DataFrame, restock: DataFrame,
                 cdim: DataFrame, cmetrics: DataFrame, as_of: dt.date) -> DataFrame:
-    """One row of dashboard KPIs."""
+    """One row of dashboard KPIs.
+
+    Each source is reduced by a single aggregate returning a struct scalar,
+    so the row costs one small job per source table.
+    """
     d = dss.agg(F.max("sale_date")).scalar()
-    rev = dss.filter(F.col("sale_date") >= F.date_sub(d, 6))
-    pur = dps.filter(F.col("purchase_date") >= F.date_sub(d, 6))
-    sig = latest.filter(F.col("date") == d)
-    cust = cdim.join(cmetrics.select("mobile_clean", "is_repeat"), "mobile_clean", "left")
+    rev = dss.filter(F.col("sale_date") >= F.date_sub(d, 6)).agg(F.struct(
+        exact_sum("total_revenue").alias("rev"), F.sum("total_bills").alias("bills"))).scalar()
+    pur = dps.filter(F.col("purchase_date") >= F.date_sub(d, 6)).agg(F.struct(
+        exact_sum("total_taxable_value").alias("purch"), F.sum("total_purchase_bills").alias("bills"),
+        exact_sum(F.coalesce("total_due_amount", F.lit(0.0))).alias("credit"))).scalar()
+    sig = latest.filter(F.col("date") == d).agg(F.struct(
+        F.count_if("fast_moving_flag").alias("fast"), F.count_if("slow_moving_flag").alias("slow"),
+        F.count_if("dead_stock_flag").alias("dead"), F.count_if("demand_spike_flag").alias("spike"))).scalar()
+    reorder = restock.filter((F.col("date") == d) & (F.col("required_quantity") > 0)).agg(F.count(F.lit(1))).scalar()
     ident = ~F.col("is_walk_in")
+    cust = cdim.join(cmetrics.select("mobile_clean", "is_repeat"), "mobile_clean", "left").agg(F.struct(
+        F.count_if(ident).alias("unique"),
+        F.count_if(F.coalesce(F.col("is_repeat"), F.lit(False)) & ident).alias("repeat"),
+        F.count_if((F.col("first_seen_date") >= F.date_sub(F.lit(as_of), 30)) & ident).alias("new30"))).scalar()
     walk = cmetrics.agg(
         (F.lit(100.0) * F.sum(F.when(F.col("mobile_clean") == WALK_IN_KEY, redecimal("total_revenue"))).cast("double")
          / F.nullif(F.sum(redecimal("total_revenue")).cast("double"), F.lit(0.0)))).scalar()
-    n_unique = cust.agg(F.count_if(ident)).scalar()
-    n_repeat = cust.agg(F.count_if(F.coalesce(F.col("is_repeat"), F.lit(False)) & ident)).scalar()
-    spark = dss.sparkSession
-    return spark.range(1).select(
+    n_unique, n_repeat = cust.getField("unique"), cust.getField("repeat")
+    return dss.sparkSession.range(1).select(
         d.alias("latest_date"),
-        rev.agg(exact_sum("total_revenue")).scalar().alias("total_revenue_last_7d"),
-        rev.agg(F.sum("total_bills")).scalar().alias("total_bills_last_7d"),
-        pur.agg(exact_sum("total_taxable_value")).scalar().alias("total_purchases_last_7d"),
-        pur.agg(F.sum("total_purchase_bills")).scalar().alias("total_purchase_bills_last_7d"),
-        pur.agg(exact_sum(F.coalesce("total_due_amount", F.lit(0.0)))).scalar().alias("total_credit_last_7d"),
-        sig.agg(F.count_if("fast_moving_flag")).scalar().alias("fast_moving_count"),
-        sig.agg(F.count_if("slow_moving_flag")).scalar().alias("slow_moving_count"),
-        sig.agg(F.count_if("dead_stock_flag")).scalar().alias("dead_stock_count"),
-        sig.agg(F.count_if("demand_spike_flag")).scalar().alias("demand_spike_count"),
-        restock.filter((F.col("date") == d) & (F.col("required_quantity") > 0)).agg(F.count(F.lit(1))).scalar()
-        .alias("products_needing_reorder"),
+        rev.getField("rev").alias("total_revenue_last_7d"),
+        rev.getField("bills").alias("total_bills_last_7d"),
+        pur.getField("purch").alias("total_purchases_last_7d"),
+        pur.getField("bills").alias("total_purchase_bills_last_7d"),
+        pur.getField("credit").alias("total_credit_last_7d"),
+        sig.getField("fast").alias("fast_moving_count"),
+        sig.getField("slow").alias("slow_moving_count"),
+        sig.getField("dead").alias("dead_stock_count"),
+        sig.getField("spike").alias("demand_spike_count"),
+        reorder.alias("products_needing_reorder"),
         n_unique.alias("total_unique_customers"),
         n_repeat.alias("repeat_customer_count"),
         F.when(n_unique > 0, round_half_up(n_repeat.cast("double") / n_unique.cast("double") * F.lit(100.0), 1))
         .alias("repeat_customer_percent"),
-        cust.agg(F.count_if((F.col("first_seen_date") >= F.date_sub(F.lit(as_of), 30)) & ident)).scalar()
-        .alias("new_customers_last_30d"),
+        cust.getField("new30").alias("new_customers_last_30d"),
         round_half_up(walk, 1).alias("walk_in_revenue_percent"),
     )
 
