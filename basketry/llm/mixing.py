@@ -54,8 +54,8 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, repeat:
             .select("_key", "source", "source_size", "target"))
 
 
-def _boundary(hist: DataFrame) -> DataFrame:
-    """Of a histogram (_key, _budget, _bucket, _words), the bucket in which the budget ends, and the words before it.
+def boundary(hist: DataFrame) -> DataFrame:
+    """Of a histogram (_key, _budget, _bucket, _words), the bucket in which the budget ends, the words before it and in it.
 
     A budget that no bucket exceeds ends in the last one. The window runs over
     at most 2^STEP buckets of a source.
@@ -65,8 +65,8 @@ def _boundary(hist: DataFrame) -> DataFrame:
     last = Window.partitionBy("_key")
     return (run.withColumn("_last", F.max("_bucket").over(last))
             .where((F.col("_before") <= F.col("_budget")) & ((F.col("_upto") > F.col("_budget")) | (F.col("_bucket") == F.col("_last"))))
-            .groupBy("_key").agg(F.min(F.struct("_bucket", "_before")).alias("_b"))
-            .select("_key", F.col("_b._bucket").alias("_edge"), F.col("_b._before").alias("_done")))
+            .groupBy("_key").agg(F.min(F.struct("_bucket", "_before", "_words")).alias("_b"))
+            .select("_key", F.col("_b._bucket").alias("_edge"), F.col("_b._before").alias("_done"), F.col("_b._words").alias("_here")))
 
 
 def thresholds(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2) -> DataFrame:
@@ -83,9 +83,9 @@ def thresholds(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     coarse = BITS - STEP
     hist = (sizes.groupBy("_key", F.shiftright("_h", coarse).alias("_bucket")).agg(F.sum("size").alias("_words"))
             .join(plan.select("_key", "_budget"), "_key"))
-    found = C.materialise(_boundary(hist), "mix-edge")
+    found = C.materialise(boundary(hist), "mix-edge")
     # the rows of the boundary buckets alone: about one in 2^STEP
-    rows = (sizes.withColumn("_edge", F.shiftright("_h", coarse)).join(found, ["_key", "_edge"])
+    rows = (sizes.withColumn("_edge", F.shiftright("_h", coarse)).join(found.drop("_here"), ["_key", "_edge"])
             .join(plan.select("_key", "_budget"), "_key")
             .select("_key", "size", F.col("_h").bitwiseAND((1 << coarse) - 1).alias("_rest"), (F.col("_budget") - F.col("_done")).alias("_budget")))
     rows = C.materialise(rows, "mix-rows")
@@ -93,7 +93,7 @@ def thresholds(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
             .select("_key", F.shiftleft("_edge", coarse).alias("_tau"), (F.col("_budget") - F.col("_done")).alias("_left")))
     for shift in range(coarse - STEP, -1, -STEP):
         hist = rows.groupBy("_key", "_budget", F.shiftright("_rest", shift).alias("_bucket")).agg(F.sum("size").alias("_words"))
-        at = C.materialise(_boundary(hist), "mix-at")
+        at = C.materialise(boundary(hist), "mix-at")
         edge = edge.join(at, "_key").select("_key", (F.col("_tau") + F.shiftleft("_edge", shift)).alias("_tau"), "_left", "_done")
         edge = C.materialise(edge.select("_key", "_tau", (F.col("_left") - F.col("_done")).alias("_left")), "mix-edge")
         rows = (rows.withColumn("_edge", F.shiftright("_rest", shift)).join(at.select("_key", "_edge", "_done"), ["_key", "_edge"])

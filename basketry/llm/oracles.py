@@ -1,5 +1,85 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express.
+
+The others have none: XXH64 (op4), BPE merges (op2), crc32 (op3) and fitted
+models (op5, op6, op8, op9) are tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s
+)
+SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM r WHERE rnk <= 10
+"""
+
+ORACLE["op7_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), t AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS at, CAST(source_size AS DOUBLE) * 2 AS cap FROM t
+), x AS (
+  SELECT *, CAST([5, 2, 1][(at - 1) % 3 + 1] AS DOUBLE) AS wt FROM w
+), l AS (
+  SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () * 1.5
+             - coalesce(sum(cap) OVER (ORDER BY cap / wt, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(wt) OVER (ORDER BY cap / wt, at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+  FROM x
+), p AS (
+  SELECT source, source_size, least(cap, wt * max(lvl) OVER ()) AS target FROM l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM p
+), g AS (
+  SELECT source, h, sum(size) AS words FROM d GROUP BY source, h
+), c AS (
+  SELECT g.source, g.h, b.target - b.whole * CAST(b.source_size AS DOUBLE) AS budget,
+         sum(g.words) OVER (PARTITION BY g.source ORDER BY g.h) AS upto
+  FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source
+), u AS (
+  SELECT source, min(CASE WHEN upto > budget THEN h END) AS tau,
+         max(budget) - coalesce(max(CASE WHEN upto <= budget THEN upto END), 0) AS rest
+  FROM c GROUP BY source
+), m AS (
+  SELECT d.source, arg_min(d.h, (abs(d.size - u.rest), d.h)) AS more
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+  WHERE d.h >= u.tau AND abs(d.size - u.rest) < u.rest GROUP BY d.source
+)
+SELECT d.doc_id, d.source, d.size, b.source_size, b.target,
+       CAST(d.size * (b.whole + CASE WHEN d.h < u.tau OR d.h = m.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+JOIN u ON d.source IS NOT DISTINCT FROM u.source
+LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source
+"""
+
+ORACLE["op10_chat"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
+         string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
+                    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM t GROUP BY conv_id
+), w AS (
+  SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies, min(text) AS text FROM c GROUP BY l
+), p AS (
+  SELECT DISTINCT list_slice(l, 1, CAST(i AS BIGINT)) AS k FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)
+)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies, text FROM w
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = w.l)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, mixing, quality, secrets, simhash
+from basketry.llm import bpe, chat, embed, html, mixing, quality, secrets, shards, simhash, topk
 from basketry.llm.common import read_table
 
 
@@ -13,14 +13,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(read_table(spark, sf_dir, "embeddings"), limit=0.95)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,10 +45,23 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
+    "op3_shards": op3_shards,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
+    "op10_chat": op10_chat,
 }

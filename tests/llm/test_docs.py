@@ -1,0 +1,337 @@
+"""Operators on documents against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from basketry.llm import bpe, mixing, quality, secrets, shards, simhash
+from basketry.llm.queries import tokenizer_path
+from tests.conftest import SMALL
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def tables(docs, odd_docs):
+    return [docs, odd_docs]
+
+
+# ---- BPE
+
+def test_bpe_equals_library(docs, odd_docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    for df in tables(docs, odd_docs):
+        rows = {r.doc_id: r.text or "" for r in df.collect()}
+        out = bpe.encode_documents(df, tokenizer_path()).collect()
+        assert len(out) == df.count()
+        for r in out:
+            ids = t.encode(rows[r.doc_id], add_special_tokens=False).ids
+            assert r.ids == ids and r.n_tokens == len(ids)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_odd_strings_and_ids():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    enc = bpe.Encoder(bpe.Vocabulary(tokenizer_path()))
+    texts = ["a" * 5000, "abab" * 999, " a  b\n c\t d ", "<|endoftext|><|endoftext|> x", "<|endoftext", "I'll've 'S it's", "x\0y z", " lead", "trail ",
+             "😀👩‍👩‍👧 ñ" * 40, "　 a  b \x1c c", *["a" + chr(c) + " " + chr(c) + "1" for c in range(1, 0x3000, 7)]]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    for ids in ([128], [50256, 220, 220], list(range(100, 400))):
+        assert enc.decode(np.array(ids)) == t.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_forgets_without_change(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "PART_BYTES", 10)
+    vocab = bpe.Vocabulary(tokenizer_path())
+    texts = [f"word{i} again {i}" for i in range(40)]
+    a = [x.tolist() for x in bpe.Encoder(vocab).encode(texts)]
+    monkeypatch.undo()
+    assert a == [x.tolist() for x in bpe.Encoder(vocab).encode(texts)]
+
+
+# ---- SimHash
+
+def brute_fingerprint(text):
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, fps, radius):
+    label = list(range(len(fps)))
+    near = [[j for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= radius] for i in range(len(fps))]
+    while True:
+        new = [min(label[j] for j in near[i]) for i in range(len(fps))]
+        if new == label:
+            break
+        label = new
+    least = defaultdict(list)
+    for i, lab in enumerate(label):
+        if ids[i] is not None:
+            least[lab].append(ids[i])
+    return [min(least[lab]) if least[lab] else None for lab in label]
+
+
+def test_simhash_equals_brute_force(docs, odd_docs):
+    for df in tables(docs, odd_docs):
+        rows = df.select("doc_id", "text").collect()
+        ids, fps = [r.doc_id for r in rows], [brute_fingerprint(r.text) for r in rows]
+        want = Counter(zip(ids, (f"{f:016x}" for f in fps), brute_components(ids, fps, 4)))
+        assert Counter(map(tuple, simhash.simhash_groups(df).collect())) == want
+
+
+def test_dedup_keeps_one_of_each_group(docs, odd_docs):
+    for df in tables(docs, odd_docs):
+        groups = simhash.simhash_groups(df).collect()
+        kept = simhash.dedup(df)
+        assert kept.columns == df.columns
+        ids = [r.doc_id for r in kept.select("doc_id").collect()]
+        assert Counter(ids) == Counter({g.component_id for g in groups})
+
+
+def test_bit_sliced_links_equal_pairs(spark, monkeypatch):
+    """Hot buckets, split ones, every table width and radius: all pairs of a brute-force search."""
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    near = [int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))) for c in centre for _ in range(60)]
+    values = sorted({*near, 0, 1, 3, 7, 15, 31, 2**64 - 1, *map(int, rng.integers(0, 2**63, 200, dtype=np.uint64))})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    monkeypatch.setattr(simhash, "SUB_BLOCK", 16)
+    df = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(3)
+    for radius in (4, 2):
+        got = simhash.C.components(simhash.links(df, radius)).collect()
+        root = dict(zip(signed, signed)) | {r.node: r.root for r in got}
+        want = brute_components(list(range(len(values))), values, radius)
+        mine = defaultdict(set)
+        for i, v in enumerate(signed):
+            mine[root[v]].add(i)
+        theirs = defaultdict(set)
+        for i, c in enumerate(want):
+            theirs[c].add(i)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_slices_find_every_pair_at_every_size():
+    for n in (10, 10**6, 10**8, 10**10):
+        masks = simhash.slices(4, n)
+        rng = np.random.default_rng(1)
+        for _ in range(300):
+            d = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(d & m == 0 for m in masks)
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(900, 901), (901, 900), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in simhash.C.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(1, n + 1)}, 901: 900}
+
+
+# ---- quality
+
+def test_quality_separates_and_never_reads_held_out_labels(spark):
+    from pyspark.sql import functions as F
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.score_documents(docs, labels).toPandas()
+    assert len(out) == docs.count() and out.score.between(0, 1).all()
+    assert ((out.score >= 0.7) == (out.predicted == 1)).all()
+    assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
+    both = out.merge(labels.toPandas(), on="doc_id")
+    held = both[both.held_out]
+    assert (held.predicted == held.quality).mean() > 0.97
+    assert held[held.quality == 1].predicted.mean() > 0.99
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.score_documents(docs, flipped).toPandas()
+    assert (again.sort_values("doc_id").score.values == out.sort_values("doc_id").score.values).all()
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (1, None, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(odd_docs, labels).count() == odd_docs.count()
+    assert {r.score for r in quality.score_documents(odd_docs, none).collect()} == {0.5}
+    assert quality.score_documents(no_docs, labels).count() == 0
+    kept = quality.keep_good(odd_docs, labels)
+    assert kept.columns == odd_docs.columns
+
+
+def test_prior_estimate():
+    rng = np.random.default_rng(2)
+    pos = rng.normal(2, 1, 20000)
+    web = np.where(rng.random(20000) < 0.7, rng.normal(2, 1, 20000), rng.normal(-2, 1, 20000))
+    s = lambda x: 1 / (1 + np.exp(-x))
+    assert abs(quality.estimate_prior(s(pos), s(web)) - 0.7) < 0.03
+
+
+# ---- mixing
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    """Targets by sharing the excess again and again, as the rule is told."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(names)
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * level >= 2 * sizes[s]}
+        if not over:
+            target |= {s: w[s] * level for s in open_}
+            break
+        for s in over:
+            target[s] = 2 * sizes[s]
+            left -= 2 * sizes[s]
+        open_ -= over
+    return target
+
+
+def test_mix_targets_and_taken(spark, docs, odd_docs):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (docs, odd_docs, big):
+        rows = df.select("doc_id", "text", "source").collect()
+        out = mixing.mix(df).collect()
+        assert Counter((r.doc_id, r.size) for r in out) == Counter((r.doc_id, len(WORDS.findall(r.text or ""))) for r in rows)
+        size, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+        for r in out:
+            size[r.source] += r.size
+            taken[r.source] += r.taken
+            largest[r.source] = max(largest[r.source], r.size)
+            assert r.taken in (0, r.size, 2 * r.size)
+        want = brute_targets(size)
+        for r in out:
+            assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source], abs=1e-6)
+        # whole documents only: off by at most half of one (rows that repeat are taken together)
+        assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in size if df is not odd_docs)
+        assert Counter(map(tuple, mixing.mix(df.repartition(7)).collect())) == Counter(map(tuple, out))
+
+
+def test_mixed_rows_follow_taken(odd_docs):
+    copies = Counter(r.doc_id for r in mixing.mixed(odd_docs).select("doc_id").collect())
+    rows = Counter(r.doc_id for r in odd_docs.select("doc_id").collect())
+    for r in mixing.mix(odd_docs).collect():
+        if r.size:
+            assert copies[r.doc_id] == rows[r.doc_id] * r.taken // r.size
+    assert mixing.mixed(odd_docs).columns == odd_docs.columns
+
+
+# ---- secrets
+
+def brute_base(text):
+    text = text or ""
+    out = []
+    for k, (p, g, least) in enumerate(((r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+                                       (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32))):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[g]) >= least]
+    return sorted(out)
+
+
+ODD_SECRETS = ["token: secret: abcdefgh12", "PassWord='abcdefgh", "api-key=aaaaaaaaaa api_KEY : \"aaaaaaaaaa\"", "token=password=abcdefgh12", "ſecret=abcdefghij toKen=abcdefghij",
+               "AKIA" + "A" * 11, "AKIA" + "A" * 12, "AKIAAKIA" + "B9" * 8, "é" * 5 + "0123456789abcdef" * 2, "0" * 31, "g" + "a" * 32 + "g", "passwd=short", "secret=" + "x" * 100000, "token = \"" + "ab12" * 10 + "\""]
+
+
+def test_base_spans_equal_plain_patterns(docs):
+    for t in [*ODD_SECRETS, None, "", *[r.text for r in docs.collect()]]:
+        assert secrets.base_spans(t or "", secrets.runs(t or ""))[0] == brute_base(t)
+
+
+def test_find_secrets_and_redact(spark, odd_docs, no_docs):
+    extra = "xK9fQ2mZ7tRw4LpB8vYc1Nd"
+    rows = [(1000 + i, t, "en", "a", None) for i, t in enumerate([*ODD_SECRETS, f"see {extra} there", "internationalisation2 of 4111111111111111 things", "x" * 20])]
+    df = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionAll(spark.createDataFrame(rows, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    out = secrets.find_secrets(df).collect()
+    assert len(out) == df.count()
+    for r in out:
+        base = brute_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        if texts[r.doc_id] == f"see {extra} there":
+            assert r.spans == f"markov:4:{4 + len(extra)}"
+        if texts[r.doc_id] and "4111" in texts[r.doc_id]:
+            assert r.spans == ""
+    red = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert red[1000 + len(ODD_SECRETS)].text == "see [SECRET] there" and red[1000 + len(ODD_SECRETS)].n_chars is None
+    for r in red.values():
+        assert not brute_base(r.text) and (r.n_chars is None or r.n_chars == len(r.text))
+    assert secrets.find_secrets(no_docs).count() == 0
+
+
+def test_markov_held_out(spark):
+    """Trained on one half's samples, the models tell random strings from ordinary words in the other half."""
+    import random
+    rnd = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratio = secrets.train(docs.where("doc_id % 2 = 0"))
+    random_ones = ["".join(rnd.choice("0123456789abcdef") for _ in range(24)) for _ in range(300)]
+    caught = sum(bool(secrets.markov_spans(t, secrets.runs(t), [], ratio)) for t in random_ones)
+    assert caught > 270
+    other = [r.text for r in docs.where("doc_id % 2 = 1").select("text").collect()]
+    wrong = 0
+    for t in other:
+        base, more = secrets.scan(t, ratio)
+        wrong += len(more)
+    assert wrong <= 0.001 * len(other)
+
+
+# ---- shards
+
+def check_shards(df, shards_n, near):
+    rows = df.select("doc_id", "text").collect()
+    out = shards.shard_documents(df, shards_n).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r.doc_id, size(r.text), zlib.crc32((r.text or "").encode())) for r in rows)
+    total, slots = [0] * shards_n, defaultdict(list)
+    for r in out:
+        total[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        assert r.law == "bytes" and r.grown_shard is None
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(total) / shards_n
+    assert max(abs(t - mean) for t in total) <= near * mean, total
+    return out
+
+
+def test_shards_hold_near_equal_bytes(spark, odd_docs):
+    out = check_shards(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 8, 0.02)
+    place = defaultdict(set)
+    for r in out:
+        place[(r.text_crc32, r.size)].add(r.shard)
+    assert sum(len(p) > 1 for p in place.values()) <= 3
+    check_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 5, 0.1)
+    check_shards(odd_docs.where("doc_id is null or length(text) < 10000 or text is null"), 8, 1.0)
+
+
+def test_shards_split_a_hot_text(spark, no_docs):
+    df = spark.createDataFrame([(i, "same text " * 20 if i % 2 else f"text {i} " * 20, "en") for i in range(4000)], "doc_id long, text string, lang string")
+    check_shards(df, 8, 0.03)
+    assert shards.shard_documents(no_docs).count() == 0
+    assert shards.target_shards(df, 100_000) > 1
+
+
+@pytest.mark.parametrize("name", ["bpe", "simhash", "mix", "secrets", "dedup", "mixed", "redact"])
+def test_empty_table(no_docs, name):
+    run = {"bpe": lambda d: bpe.encode_documents(d, tokenizer_path()), "simhash": simhash.simhash_groups, "mix": mixing.mix, "secrets": secrets.find_secrets,
+           "dedup": simhash.dedup, "mixed": mixing.mixed, "redact": secrets.redact}[name]
+    assert run(no_docs).count() == 0
