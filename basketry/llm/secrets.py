@@ -73,8 +73,8 @@ def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each letter pair, random against ordinary, learned from all documents.
 
     One row for each task and pair that occurs reaches the shuffle, and at most
-    2 * 67 * 67 sums reach the driver. Each row of the tables has one added to
-    every count, so a corpus without a match gives a uniform random model.
+    2 * 67 * 67 sums reach the driver. One is added to every count, so a corpus
+    without a match gives a uniform random model.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, LETTERS * LETTERS), np.int64)
@@ -100,7 +100,8 @@ def train(docs: DataFrame) -> np.ndarray:
         table[r["kind"], r["pair"]] += max(0, r["n"])
     table = table.reshape(2, LETTERS, LETTERS)
     table /= table.sum(axis=2, keepdims=True)
-    return np.log(table[0]) - np.log(table[1])
+    # half of the random strings are taken to come from alphabets that the samples do not show
+    return np.log((table[0] + 1 / LETTERS) / 2) - np.log(table[1])
 
 
 def markov_spans(text: str, found: list[tuple[int, int]], base: list[Span], ratio: np.ndarray) -> list[Span]:

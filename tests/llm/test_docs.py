@@ -254,10 +254,12 @@ def test_base_spans_equal_plain_patterns(docs):
         assert secrets.base_spans(t or "", secrets.runs(t or ""))[0] == brute_base(t)
 
 
-def test_find_secrets_and_redact(spark, odd_docs, no_docs):
+def test_find_secrets_and_redact(spark, docs, odd_docs, no_docs):
     extra = "xK9fQ2mZ7tRw4LpB8vYc1Nd"
     rows = [(1000 + i, t, "en", "a", None) for i, t in enumerate([*ODD_SECRETS, f"see {extra} there", "internationalisation2 of 4111111111111111 things", "x" * 20])]
-    df = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionAll(spark.createDataFrame(rows, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    real = docs.selectExpr("doc_id + 5000 as doc_id", *columns[1:])
+    df = odd_docs.select(*columns).unionAll(spark.createDataFrame(rows, odd_docs.select(*columns).schema)).unionAll(real)
     texts = {r.doc_id: r.text for r in df.collect()}
     out = secrets.find_secrets(df).collect()
     assert len(out) == df.count()
