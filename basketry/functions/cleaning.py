@@ -25,6 +25,9 @@ WALK_IN_DISPLAY = "Walk-in / Retail"
 DATE_GUARD = r"^\d{2}-\d{2}-\d{4}"
 # Ten-digit Indian mobile, optionally prefixed by 91 or 0 once digits are kept.
 MOBILE_PATTERN = r"^(?:91|0)?([6-9][0-9]{9})$"
+# Cell texts that mean no value in an export (as the source's CSV reader takes them).
+NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+            "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 # Journal-entry guard on bill payments.
 PAYMENT_CAP = 1_000_000
 # ---------------------------------------------------------------------------
@@ -82,10 +85,6 @@ def is_walk_in(mobile_clean, name) -> Column:
     return _c(mobile_clean).isNull() | placeholder
 
 
-def customer_key(mobile_clean, name) -> Column:
-    return F.when(is_walk_in(mobile_clean, name), F.lit(WALK_IN_KEY)).otherwise(_c(mobile_clean))
-
-
 def z(c) -> Column:
     """COALESCE(x, 0) on the money type."""
     return F.coalesce(_c(c), F.lit(0).cast(MONEY))
@@ -115,7 +114,7 @@ def blank_to_null(c) -> Column:
 
 
 def clean_cell(c) -> Column:
-    """``2796.0`` -> ``2796``; empty/NaN text -> NULL; other text unchanged."""
+    """``2796.0`` -> ``2796``; texts that mean no value -> NULL; other text only trimmed."""
     t = F.trim(_c(c))
-    t = F.when(F.lower(t).isin("nan", "none", ""), F.lit(None).cast("string")).otherwise(t)
+    t = F.when(t.isin(NO_VALUE), F.lit(None).cast("string")).otherwise(t)
     return F.regexp_replace(t, r"^(-?\d+)\.0+$", "$1")

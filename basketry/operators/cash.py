@@ -47,44 +47,3 @@ def cash_closure_totals(closures: DataFrame) -> DataFrame:
                r2(F.col("physical_cash_counted") - (inside - outside))).alias("difference_amount"),
         denomination_total(merged).alias("denomination_cash"),
     )
-
-
-def closures_from_events(events: DataFrame) -> DataFrame:
-    """Fixture: one closure per event day (FIXTURES.md §B).
-
-    Per-type day sums become the scalar and line-item columns (arrays hold
-    one entry per event type, so they are bounded); denomination maps count
-    purchase / signup events by ``user_id`` modulo the note list.
-    """
-    day = F.to_date("ts")
-    amt = F.col("value").cast("decimal(18,2)")
-    per = events.groupBy(day.alias("closure_date"), "event_type").agg(F.sum(amt).cast("double").alias("amount"))
-    item = F.struct(F.col("event_type").alias("description"), F.col("amount").alias("amount"))
-    t = lambda name: F.max(F.when(F.col("event_type") == name, F.col("amount")))
-    arr = lambda name: F.filter(F.collect_list(F.when(F.col("event_type") == name, item)),
-                                lambda x: x.isNotNull())
-    scal = per.groupBy("closure_date").agg(
-        t("signup").alias("opening_cash"), t("purchase").alias("net_sales"), t("view").alias("card_amount"),
-        arr("click").alias("manual_billings"), arr("error").alias("expenses"))
-    notes = F.array(*[F.lit(str(d)) for d in DENOMINATIONS])
-    note = F.element_at(notes, (F.col("user_id") % len(DENOMINATIONS) + 1).cast("int"))
-    cnt = (events.filter(F.col("event_type").isin("purchase", "signup"))
-           .groupBy(day.alias("closure_date"), "event_type", note.alias("note"))
-           .agg(F.count(F.lit(1)).cast("int").alias("n")))
-    maps = cnt.groupBy("closure_date").agg(
-        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("event_type") == "purchase",
-                                                          F.struct("note", "n"))), lambda x: x.isNotNull()))
-        .alias("denominations_opening"),
-        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("event_type") == "signup",
-                                                          F.struct("note", "n"))), lambda x: x.isNotNull()))
-        .alias("denominations_sales"))
-    return (scal.join(maps, "closure_date", "left")
-            .withColumn("physical_cash_counted",
-                        F.when(F.dayofmonth("closure_date") % 5 != 0, F.col("net_sales")))
-            .select("closure_date", "opening_cash", "net_sales",
-                    *[F.lit(None).cast("double").alias(c) for c in
-                      ["sodexo_collection", "distributor_expiry", "oil_crush", "other_income",
-                       "pluxee_amount", "paytm_amount", "phonepe_amount", "returns_amount"]],
-                    "card_amount", "manual_billings", F.array().cast(LINE_ITEM).alias("old_balance_collections"),
-                    F.array().cast(LINE_ITEM).alias("credits_given"), "expenses",
-                    "physical_cash_counted", "denominations_opening", "denominations_sales"))

@@ -32,7 +32,7 @@ SERVICE_KEYWORDS = ["labour", "labor", "service", "charge", "fee", "delivery", "
 def title_case(c) -> Column:
     """Collapse spaces, title-case on letter runs, lower small words."""
     s = F.regexp_replace(F.trim(F.col(c) if isinstance(c, str) else c), r"\s+", " ")
-    pieces = F.split(s, r"(?<=[A-Za-z])(?=[^A-Za-z])|(?<=[^A-Za-z])(?=[A-Za-z])")
+    pieces = F.split(s, r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})")
     s = F.array_join(F.transform(pieces, lambda p: F.initcap(p)), "")
     for w in SMALL_WORDS:
         s = F.regexp_replace(s, r"(?<!-)\b" + w + r"\b", w.lower())
@@ -50,8 +50,9 @@ def hsn_category(hsn) -> Column:
 def product_type(hsn, name, word_boundary: bool = False) -> Column:
     """Service by keyword, misc without HSN, else retail.
 
-    The source matches keywords as substrings ("fee" inside "coffee");
-    ``word_boundary=True`` matches whole words instead.
+    By decision the default equals the source, which matches keywords as
+    substrings ("fee" inside "coffee"); ``word_boundary=True`` asks for whole
+    words.
     """
     n = F.lower(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")))
     alt = "|".join(SERVICE_KEYWORDS)
@@ -85,14 +86,21 @@ def canonical_products(items_master: DataFrame, products: DataFrame) -> DataFram
 
 
 def bulk_categorize(products: DataFrame, barcodes: DataFrame, category: str | None = None,
-                    ptype: str | None = None) -> DataFrame:
-    """Set category / type on the listed barcodes and mark them reviewed."""
-    hit = barcodes.select("barcode").distinct().withColumn("_hit", F.lit(True))
-    p = products.join(hit, "barcode", "left")
+                    ptype: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(products with category / type set on the listed barcodes and marked reviewed, counts).
+
+    Counts is one row: ``updated`` listed barcodes that are products, and
+    ``skipped`` ones that are not. A barcode listed twice counts once.
+    """
+    listed = barcodes.select("barcode").where(F.col("barcode").isNotNull()).distinct()
+    p = products.join(listed.withColumn("_hit", F.lit(True)), "barcode", "left")
     h = F.coalesce(F.col("_hit"), F.lit(False))
     out = p
     if category is not None:
         out = out.withColumn("category", F.when(h, F.lit(category)).otherwise(F.col("category")))
     if ptype is not None:
         out = out.withColumn("product_type", F.when(h, F.lit(ptype)).otherwise(F.col("product_type")))
-    return out.withColumn("is_reviewed", F.when(h, F.lit(True)).otherwise(F.col("is_reviewed"))).drop("_hit")
+    known = products.select("barcode", F.lit(True).alias("_known")).distinct()
+    counts = listed.join(known, "barcode", "left").agg(
+        F.count_if(F.col("_known").isNotNull()).alias("updated"), F.count_if(F.col("_known").isNull()).alias("skipped"))
+    return out.withColumn("is_reviewed", F.when(h, F.lit(True)).otherwise(F.col("is_reviewed"))).drop("_hit"), counts

@@ -5,10 +5,11 @@
   barcodes sharing a name cost one comparison, not a quadratic block;
 * a sound Levenshtein prefilter (indel >= levenshtein) runs in codegen and
   only survivors reach the exact Arrow-batched ratio UDF;
-* a large block is a skewed join key and is split by AQE's skew-join;
-* clusters are connected components by iterative min-label propagation
-  over the edge table (distributed joins, checkpointed every round), so no
-  block or cluster is ever gathered into one task.
+* a large block is split into pairs of sub-blocks, so no task compares a
+  whole block;
+* clusters are connected components by star contraction over the edge table
+  (joins and minima, a table in the shared folder per round), so no cluster
+  is ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import indel_ratio_udf, token_sorted
 from ..functions.numeric import round_half_up
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import saved
 from .dims import latest_by
 
 # ---------------------------------------------------------------------------
@@ -75,47 +76,77 @@ def blocked(cands: DataFrame) -> DataFrame:
     return cands.select("barcode", "name", n.alias("norm")).withColumn("block_key", block_key("norm"))
 
 
-def name_pairs(blk: DataFrame, min_score: float) -> DataFrame:
+#: Names of one comparison part; a larger block is split into pairs of sub-blocks.
+PART_NAMES = 2000
+
+
+def split_blocks(names: DataFrame, limit: int = PART_NAMES) -> DataFrame:
+    """Deal the names of each block into parts (_p, _q), so that all pairs of the block meet in exactly one part.
+
+    A block of n names has ``s = ceil(n / limit)`` sub-blocks by hash (_sub)
+    and ``s (s + 1) / 2`` parts; no task compares more than limit x limit names
+    at a time. Block sizes are pre-aggregated counts.
+    """
+    hot = (names.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+           .select("block_key", F.ceil(F.col("_n") / limit).cast("int").alias("_s")))
+    s = F.coalesce("_s", F.lit(1))
+    return (names.join(hot, "block_key", "left").withColumn("_sub", F.pmod(F.xxhash64("norm"), s).cast("int"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), s - 1)))
+            .withColumn("_p", F.least("_sub", "_o")).withColumn("_q", F.greatest("_sub", "_o")).drop("_s", "_o"))
+
+
+def name_pairs(blk: DataFrame, min_score: float, limit: int = PART_NAMES) -> DataFrame:
     """Distinct-name pairs inside each block scoring >= ``min_score``."""
     names = blk.select("block_key", "norm").distinct().withColumn("_ts", token_sorted(F.col("norm")))
-    a = names.select("block_key", F.col("norm").alias("norm_a"), F.col("_ts").alias("ts_a"))
-    b = names.select("block_key", F.col("norm").alias("norm_b"), F.col("_ts").alias("ts_b"))
+    dealt = split_blocks(names, limit)
+    part = ["block_key", "_p", "_q"]
+    a = dealt.where("_sub = _p").select(*part, F.col("norm").alias("_na"), F.col("_ts").alias("ts_a"))
+    b = dealt.where("_sub = _q").select(*part, F.col("norm").alias("_nb"), F.col("_ts").alias("ts_b"))
     la, lb = F.length("ts_a"), F.length("ts_b")
     # score >= t  <=>  indel * 100 <= (100 - t) * (la + lb); levenshtein <= indel, so
     # bounding levenshtein the same way is sound. Scaled to integers (plus a margin)
     # so rounding can never drop a qualifying pair.
     budget = F.lit(100.0 - float(min_score)) * (la + lb).cast("double") + F.lit(1e-6)
-    cand = (a.join(b, "block_key")
-            .filter(F.col("norm_a") < F.col("norm_b"))
+    cand = (a.join(b, part)
+            .filter((F.col("_p") < F.col("_q")) | (F.col("_na") < F.col("_nb")))
             .filter((F.abs(la - lb) * 100).cast("double") <= budget)
             .filter((F.levenshtein("ts_a", "ts_b") * 100).cast("double") <= budget))
     return (cand.withColumn("score", indel_ratio_udf("ts_a", "ts_b"))
             .filter(F.col("score") >= F.lit(float(min_score)))
-            .select("block_key", "norm_a", "norm_b", "score"))
+            .select("block_key", F.least("_na", "_nb").alias("norm_a"), F.greatest("_na", "_nb").alias("norm_b"), "score"))
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, label) with label = smallest node of its component.
 
-    Min-label propagation until no label changes; each round is a join +
-    aggregation on the edge table, lineage cut by a reliable checkpoint.
+    Alternating large-star and small-star rounds: every node hands its larger
+    neighbours, then itself and its smaller ones, to the smallest it knows. A
+    chain of n nodes takes about log n rounds. Each round takes a minimum per
+    node (pre-aggregated) and joins it back; the edges of a round are a table
+    in the shared folder.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    und = (edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-           .unionByName(edges.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct())
-    und = cut_lineage(und)
-    labels = cut_lineage(und.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        nbr = (und.join(labels.withColumnRenamed("node", "v").withColumnRenamed("label", "_l"), "v")
-               .groupBy(F.col("u").alias("node")).agg(F.min("_l").alias("_m")))
-        new = (labels.join(nbr, "node", "left")
-               .select("node", F.least(F.col("label"), F.coalesce(F.col("_m"), F.col("label"))).alias("label"),
-                       (F.col("_m") < F.col("label")).alias("_chg")))
-        new = cut_lineage(new)
-        changed = new.agg(F.count_if(F.col("_chg"))).first()[0]
-        labels = new.drop("_chg")
-        if not changed:
-            return labels
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).distinct()
+    e = edges.where(F.col(src) != F.col(dst)).select(
+        F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
+    e = saved(e, "edges")
+    seen = mark(e)
+    while seen[0]:
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+            e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = saved(small, "edges")
+        before, seen = seen, mark(e)
+        if before == seen:
+            break
+    return nodes.join(e.withColumnRenamed("a", "node"), "node", "left").select(
+        "node", F.coalesce("b", "node").alias("label"))
 
 
 def name_clusters(cands: DataFrame, products: DataFrame,
@@ -125,7 +156,7 @@ def name_clusters(cands: DataFrame, products: DataFrame,
     Canonical = smallest barcode that has a products row, else the smallest.
     """
     blk = blocked(cands)
-    edges = name_pairs(blk, min_score)
+    edges = saved(name_pairs(blk, min_score), "name-edges")  # scored once, read by clusters and suggestions
     comp = connected_components(edges, "norm_a", "norm_b")
     members = (blk.join(comp.withColumnRenamed("node", "norm"), "norm", "left")
                .withColumn("_comp", F.coalesce(F.col("label"), F.col("norm"))).drop("label"))
@@ -166,13 +197,25 @@ def merge_suggestions(clusters: DataFrame, edges: DataFrame, existing: DataFrame
     return out
 
 
-def suggestion_clusters(suggestions: DataFrame, status: str = "pending", min_score: float = 0.0) -> DataFrame:
-    """Per-cluster summary (members stay row-level in the suggestions)."""
+def suggestion_clusters(suggestions: DataFrame, status: str = "pending", min_score: float = 0.0,
+                        limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Per-cluster summary, best score first; ``limit`` / ``offset`` ask for one page of it."""
+    s = suggestions.filter((F.col("status") == status) & (F.col("similarity_score") >= min_score))
+    out = (s.groupBy("cluster_key", "canonical_candidate", "canonical_name")
+           .agg(F.count(F.lit(1)).alias("member_count"), F.min("similarity_score").alias("min_score"),
+                F.max("similarity_score").alias("max_score"))
+           .orderBy(F.col("max_score").desc(), "cluster_key"))
+    return out.offset(offset).limit(limit) if limit is not None else out.offset(offset) if offset else out
+
+
+def suggestion_members(suggestions: DataFrame, page: DataFrame, status: str = "pending",
+                       min_score: float = 0.0) -> DataFrame:
+    """The members of the clusters on a page, one row each (a cluster may be large, so no list)."""
     s = suggestions.filter((F.col("status") == status) & (F.col("similarity_score") >= min_score))
-    return (s.groupBy("cluster_key", "canonical_candidate", "canonical_name")
-            .agg(F.count(F.lit(1)).alias("member_count"), F.min("similarity_score").alias("min_score"),
-                 F.max("similarity_score").alias("max_score"))
-            .orderBy(F.col("max_score").desc(), "cluster_key"))
+    keep = page.select("cluster_key", "member_count", "max_score")
+    return s.join(keep, "cluster_key").select(
+        "cluster_key", "member_count", "max_score", "alias_barcode", "alias_name", "canonical_candidate",
+        "canonical_name", "similarity_score")
 
 
 def alias_violations(aliases: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import export_date, plain_date, z
 from ..functions.numeric import round_half_up
 from ..plans.sizing import broadcast_if_small
+from ..session import saved
 
 
 
@@ -57,17 +58,15 @@ def remap(df: DataFrame, col: str, aliases: DataFrame, out: str = "product_id")
 def sales_by_product_day(items: DataFrame, aliases: DataFrame, keep_undated: bool = False) -> DataFrame:
     """A4: (date, product_id) -> sold qty (sale + free) and revenue, unscaled LONG.
 
-    ``keep_undated`` keeps one NULL-date group per product for lines whose
-    date is garbage: the product list of the grid is then derived from this
-    same aggregate (one scan of the raw lines, exchange reused).
+    ``keep_undated`` also keeps the groups without a date or a product, so
+    that the product list and the first day can derive from this aggregate.
     """
     lines = items.select(export_date("sale_datetime_raw").alias("date"), "barcode",
                          unscaled(z("sale_qty") + z("free_qty")).alias("_q"),
                          unscaled(z("net_total")).alias("_r"))
-    keep = F.col("product_id").isNotNull()
+    lines = remap(lines, "barcode", aliases)
     if not keep_undated:
-        keep = keep & F.col("date").isNotNull()
-    lines = remap(lines, "barcode", aliases).filter(keep)
+        lines = lines.filter(F.col("product_id").isNotNull() & F.col("date").isNotNull())
     return lines.groupBy("date", "product_id").agg(F.sum("_q").alias("qty"), F.sum("_r").alias("rev"))
 
 
@@ -119,45 +118,50 @@ def grid_partitions(spark, est_rows: int | None = None, rows_per_partition: int
     return base
 
 
-def spine_start(bills: DataFrame, items: DataFrame) -> Column:
-    """MIN(sale_date) of the daily summary, as a scalar subquery."""
+def spine_start_date(bills: DataFrame, sales_facts: DataFrame) -> dt.date | None:
+    """MIN(sale_date) of the daily summary: bills and, from the built facts, lines.
+
+    The grid and the fast path name it in many expressions; a literal is
+    planned once and lets the optimizer fold it.
+    """
     b = bills.select(export_date("bill_datetime_raw").alias("d"))
-    i = items.select(export_date("sale_datetime_raw").alias("d"))
-    return b.unionByName(i).agg(F.min("d")).scalar()
+    return b.unionByName(sales_facts.select(F.col("date").alias("d"))).agg(F.min("d").alias("d")).first()["d"]
 
 
-def spine_start_date(bills: DataFrame, items: DataFrame) -> dt.date | None:
-    """The same value resolved once (one partial+final min over the date column).
+def product_facts(items: DataFrame, pitems: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sales, purchases) by product and day, built once: each raw table is scanned one time.
 
-    The grid and fast path reference the spine start in many expressions;
-    binding it as a literal plans it once and lets the optimizer fold it.
+    The product list, the first day, the grid, the fast path and the windows
+    all derive from these two tables.
     """
-    b = bills.select(export_date("bill_datetime_raw").alias("d"))
-    i = items.select(export_date("sale_datetime_raw").alias("d"))
-    return b.unionByName(i).agg(F.min("d").alias("d")).first()["d"]
+    return (saved(sales_by_product_day(items, aliases, keep_undated=True), "sales-facts"),
+            saved(purchases_by_product_day(pitems, aliases), "purchase-facts"))
 
 
-def dense_metrics(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
-                  start: Column, as_of: dt.date, grid_from: dt.date | None = None) -> DataFrame:
-    """Densified (product, day) grid: date, product_id, qty, rev, pqty (unscaled LONG).
+def dense_metrics(facts: tuple[DataFrame, DataFrame], start: Column, as_of: dt.date,
+                  grid_from: dt.date | None = None) -> DataFrame:
+    """Densified (product, day) grid of :func:`product_facts`: date, product_id, qty, rev, pqty (unscaled LONG).
 
     The result is hash partitioned by product_id; the grid rows are generated
-    after the (small) product shuffle and never cross an exchange. With
-    ``grid_from`` the grid is truncated to [grid_from, as_of]: rolling
-    windows stay exact for days at least 59 days after ``grid_from``
-    (cumulative stock would need an opening balance and is not derived).
+    after the (small) product shuffle and never cross an exchange. The number
+    of partitions grows with products x days. With ``grid_from`` the grid is
+    truncated to [grid_from, as_of]: rolling windows stay exact for days at
+    least 59 days after ``grid_from`` (cumulative stock would need an opening
+    balance and is not derived).
     """
+    s_all, purchases = facts
     first = start if grid_from is None else F.greatest(start, F.lit(grid_from))
     zero = F.lit(0).cast("bigint")
-    n_parts = grid_partitions(items.sparkSession)
-    s_all = sales_by_product_day(items, aliases, keep_undated=True)
-    sales = s_all.filter(F.col("date").isNotNull()).select(
+    products = s_all.filter(F.col("product_id").isNotNull()).select("product_id").distinct()
+    size = products.agg((F.count(F.lit(1)) * (F.datediff(F.lit(as_of), F.any_value(first)) + 1)).alias("n")).first()["n"]
+    n_parts = grid_partitions(s_all.sparkSession, size)
+    sales = s_all.filter(F.col("date").isNotNull() & F.col("product_id").isNotNull()).select(
         "product_id", "date", "qty", "rev", zero.alias("pqty"), F.lit(False).alias("_grid"))
-    purch = purchases_by_product_day(pitems, aliases).select(
+    purch = purchases.select(
         "product_id", "date", zero.alias("qty"), zero.alias("rev"), "pqty", F.lit(False).alias("_grid"))
     sparse = sales.unionByName(purch).repartition(n_parts, "product_id")
     grid = (
-        s_all.select("product_id").distinct().repartition(n_parts, "product_id")
+        products.repartition(n_parts, "product_id")
         .select("product_id", F.explode(F.sequence(first, F.lit(as_of))).alias("date"))
         .select("product_id", "date", zero.alias("qty"), zero.alias("rev"), zero.alias("pqty"),
                 F.lit(True).alias("_grid"))
@@ -309,8 +313,7 @@ def product_stock_position(win: DataFrame) -> DataFrame:
 # from one conditional aggregation per product over the sparse facts.
 # --------------------------------------------------------------------------
 
-def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
-                 start: Column, as_of: dt.date) -> DataFrame:
+def latest_state(facts: tuple[DataFrame, DataFrame], start: Column, as_of: dt.date) -> DataFrame:
     """One row per sold product: the dense grid's windows evaluated on ``as_of``.
 
     On the last grid day a k-row window holds ``least(k, days since start + 1)``
@@ -321,10 +324,10 @@ def latest_state(items: DataFrame, pitems: DataFrame, aliases: DataFrame,
     T = F.lit(as_of)
     span = F.datediff(T, start) + 1
     zero = F.lit(0).cast("bigint")
-    s_all = sales_by_product_day(items, aliases, keep_undated=True)
+    s_all, purchases = facts
+    s_all = s_all.filter(F.col("product_id").isNotNull())
     sales = s_all.filter(F.col("date").isNotNull()).select("product_id", "date", "qty", zero.alias("pqty"))
-    purch = purchases_by_product_day(pitems, aliases).select(
-        "product_id", "date", zero.alias("qty"), "pqty")
+    purch = purchases.select("product_id", "date", zero.alias("qty"), "pqty")
     d, q, pq = F.col("date"), F.col("qty"), F.col("pqty")
     in_grid = (d >= start) & (d <= T)
 

@@ -187,14 +187,21 @@ def replenishment_page(restock: DataFrame, supplier: str | None = None, urgent_o
     return page(_restock_items(df), [F.col("days_of_cover").asc_nulls_last(), F.col("barcode")], limit, offset)
 
 
-def supplier_restock_pages(restock: DataFrame, limit: int = 100) -> DataFrame:
-    """L3 (batch form): every supplier's restock page, ranked by days of cover."""
+def supplier_restock_pages(restock: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """L3 (batch form): every supplier's restock rows, ranked by days of cover.
+
+    Without ``limit`` all of them; with it the page of each supplier that
+    starts after ``offset`` rows. ``total`` is the supplier's number of rows,
+    a pre-aggregated count joined on.
+    """
     d = restock.agg(F.max("date")).scalar()
     w = Window.partitionBy("supplier_name").orderBy(F.col("days_of_cover").asc_nulls_last(), F.col("barcode"))
     items = _restock_items(restock.filter((F.col("date") == d) & F.col("supplier_name").isNotNull()))
-    return (items.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("supplier_name")))
-            .filter(F.col("rank") <= limit))
+    totals = items.groupBy("supplier_name").agg(F.count(F.lit(1)).alias("total"))
+    ranked = items.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= offset + limit)  # pushed into the window as a per-group limit
+    return ranked.filter(F.col("rank") > offset).join(totals, "supplier_name")
 
 
 def top_products(sales_pd: DataFrame, dimension: DataFrame, as_of: dt.date, start: Column,
@@ -357,8 +364,8 @@ def customer_summary(cdim: DataFrame, cmetrics: DataFrame, as_of: dt.date) -> Da
         "*", round_half_up(walk * F.lit(100.0) / F.nullif(total, F.lit(0.0)), 1).alias("walk_in_revenue_percent"))
 
 
-def customer_history(bills: DataFrame, limit: int = 50) -> DataFrame:
-    """L7 P3 (batch form): each customer's newest ``limit`` bills."""
+def customer_history(bills: DataFrame, limit: int | None = None) -> DataFrame:
+    """L7 P3 (batch form): each customer's bills, newest first; with ``limit`` only so many of each."""
     df = bills.select(
         clean_mobile("customer_mobile_raw").alias("mobile_clean"), "bill_no",
         export_timestamp("bill_datetime_raw").alias("bill_ts"),
@@ -368,7 +375,10 @@ def customer_history(bills: DataFrame, limit: int = 50) -> DataFrame:
         upi_amount().cast("double").alias("upi_total"), z("credit_amount").cast("double").alias("credit_total"),
     ).filter(F.col("mobile_clean").isNotNull())
     w = Window.partitionBy("mobile_clean").orderBy(F.col("bill_ts").desc_nulls_last(), F.col("bill_no").desc())
-    return (df.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
+    ranked = df.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
+    return (ranked
             .withColumn("bill_date", F.to_date("bill_ts")).drop("bill_ts"))
 
 

@@ -8,7 +8,7 @@ one double division, rounding on DECIMAL(28,10).
 
 from __future__ import annotations
 
-from .views import AS_OF, oracle
+from .views import AS_OF, VIEWS, oracle
 
 ORACLE: dict[str, str] = {}
 
@@ -207,18 +207,18 @@ def _health(src: str, a7="last_7_day_avg", a30="last_30_day_avg", a60="last_60_d
 _FEST_ROWS = None
 
 
-def festival_values() -> str:
-    from ..operators.calendar import RETAIL_FESTIVALS
-    rows = []
-    for i, (name, pre, post, peaks) in enumerate(RETAIL_FESTIVALS):
-        for p in peaks:
-            rows.append(f"('{name}', {i}, DATE '{p}', {pre}, {post})")
-    return "fest(name, priority, peak, pre, post) AS (VALUES " + ", ".join(rows) + ")"
+_FEST = """fest AS (
+        SELECT n_name AS name, n_nationkey AS priority, make_date(y, n_nationkey % 12 + 1, n_nationkey % 27 + 1) AS peak,
+               CAST(n_nationkey % 5 AS INTEGER) AS pre, CAST(n_nationkey % 4 AS INTEGER) AS post
+        FROM nation, (SELECT unnest(range(1995, 2002)) AS y) years)"""
+_HOLI = """holi AS (
+        SELECT make_date(y, r_regionkey * 2 + 1, 26) AS date, 'Day of ' || r_name AS name
+        FROM region, (SELECT unnest(range(1995, 2002)) AS y) years)"""
 
 
 def calendar_ctes(lo: str, hi: str) -> list[str]:
     return [
-        festival_values(),
+        _FEST, _HOLI,
         f"""cdays AS (SELECT CAST(unnest(generate_series({lo}, {hi}, INTERVAL 1 DAY)) AS DATE) AS date)""",
         """fw AS (SELECT CAST(unnest(generate_series(peak - pre, peak + post, INTERVAL 1 DAY)) AS DATE) AS date,
                          name, priority FROM fest)""",
@@ -227,11 +227,12 @@ def calendar_ctes(lo: str, hi: str) -> list[str]:
             SELECT d.date, CAST(dayofweek(d.date) AS BIGINT) AS dow, dayofweek(d.date) IN (0, 6) AS is_weekend,
                    CAST(month(d.date) AS BIGINT) AS month, CAST(quarter(d.date) AS BIGINT) AS quarter,
                    CAST(weekofyear(d.date) AS BIGINT) AS week_of_year,
-                   fwin.festival_name IS NOT NULL AS is_holiday, fwin.festival_name AS holiday_name,
+                   (fwin.festival_name IS NOT NULL OR holi.name IS NOT NULL) AS is_holiday,
+                   COALESCE(holi.name, fwin.festival_name) AS holiday_name,
                    fwin.festival_name IS NOT NULL AS is_festival_window, fwin.festival_name,
                    CAST((SELECT min(peak) FROM fest WHERE peak >= d.date) - d.date AS BIGINT) AS days_to_next_festival,
                    CAST(d.date - (SELECT max(peak) FROM fest WHERE peak <= d.date) AS BIGINT) AS days_since_last_festival
-            FROM cdays d LEFT JOIN fwin ON d.date = fwin.date)""",
+            FROM cdays d LEFT JOIN fwin ON d.date = fwin.date LEFT JOIN holi ON d.date = holi.date)""",
     ]
 
 
@@ -559,7 +560,12 @@ ORACLE["supplier_restock_pages"] = oracle(
     f"""SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY days_of_cover ASC NULLS LAST, barcode) AS rank,
                  count(*) OVER (PARTITION BY supplier_name) AS total
-          FROM ({_RITEMS}) r WHERE supplier_name IS NOT NULL) x WHERE rank <= 100""", _REP_VIEWS, _REP_CTES)
+          FROM ({_RITEMS}) r WHERE supplier_name IS NOT NULL) x""", _REP_VIEWS, _REP_CTES)
+ORACLE["supplier_restock_second_page"] = oracle(
+    f"""SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY days_of_cover ASC NULLS LAST, barcode) AS rank,
+                 count(*) OVER (PARTITION BY supplier_name) AS total
+          FROM ({_RITEMS}) r WHERE supplier_name IS NOT NULL) x WHERE rank > 10 AND rank <= 20""", _REP_VIEWS, _REP_CTES)
 ORACLE["top_products"] = oracle(
     f"""SELECT row_number() OVER (ORDER BY s.rev DESC, s.product_id) AS rank, s.product_id AS barcode, pd.product_name,
               CAST(s.rev AS DOUBLE) AS total_revenue, CAST(s.qty AS DOUBLE) AS total_qty
@@ -642,7 +648,7 @@ ORACLE["customer_history"] = oracle(
                 FROM (SELECT *, trim(CASE WHEN substr(bill_datetime_raw, 11, 1) = ' ' THEN bill_datetime_raw
                                           ELSE substr(bill_datetime_raw, 1, 10) || ' ' || substr(bill_datetime_raw, 11) END) AS sp
                       FROM raw_sales_billwise) b) y
-          WHERE mobile_clean IS NOT NULL) z WHERE rank <= 50""",
+          WHERE mobile_clean IS NOT NULL) z""",
     ["raw_sales_billwise"])
 ORACLE["data_freshness"] = oracle(
     f"SELECT max(sale_date) AS last_data_date, CAST({AS_OF} - max(sale_date) AS BIGINT) AS days_behind FROM daily_sales_summary",
@@ -670,12 +676,15 @@ ORACLE["kpi_summary"] = oracle(
     _REP_CTES + _DPS_CTES + [c for c in _CUST_CTES])
 
 # ---------------------------------------------------------------- entity, ingest, misc
-ORACLE["alias_violations"] = oracle(
-    """SELECT a.alias_barcode, a.canonical_barcode, 'canonical_is_alias' AS reason FROM product_aliases a
-       WHERE a.canonical_barcode IN (SELECT alias_barcode FROM product_aliases)
-       UNION ALL
-       SELECT a.alias_barcode, a.canonical_barcode, 'alias_is_canonical' FROM product_aliases a
-       WHERE a.alias_barcode IN (SELECT canonical_barcode FROM product_aliases)""", ["product_aliases"])
+ORACLE["alias_violations"] = """
+WITH al AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS alias_barcode, CAST(p_partkey - 1 AS VARCHAR) AS canonical_barcode FROM part WHERE p_partkey % 50 = 49
+  UNION ALL
+  SELECT CAST(p_partkey - 1 AS VARCHAR), CAST(p_partkey - 2 AS VARCHAR) FROM part WHERE p_partkey % 100 = 99)
+SELECT *, 'canonical_is_alias' AS reason FROM al WHERE canonical_barcode IN (SELECT alias_barcode FROM al)
+UNION ALL
+SELECT *, 'alias_is_canonical' FROM al WHERE alias_barcode IN (SELECT canonical_barcode FROM al)
+"""
 ORACLE["alias_list"] = oracle(
     """SELECT a.alias_barcode, a.canonical_barcode, p.canonical_name, CAST(a.similarity_score AS DOUBLE) AS similarity_score,
               a.confirmed_at, a.notes
@@ -714,14 +723,62 @@ ORACLE["upsert"] = oracle(
        UNION ALL
        SELECT barcode, item_name_raw, CAST(mrp AS DOUBLE), import_batch_id FROM raw_item_combinations
        WHERE import_batch_id = 2""", ["raw_item_combinations"])
-ORACLE["ingest_report"] = oracle(
-    """SELECT bill_no, bill_datetime_raw, operator_name, location_name, CAST(net_total AS DOUBLE) AS net_total,
-              CAST(cash_amount AS DOUBLE) AS cash_amount FROM raw_sales_billwise""", ["raw_sales_billwise"])
-ORACLE["stream_daily_sales"] = oracle(
-    """SELECT sale_date, total_bills, CAST(rev AS DOUBLE) AS total_revenue FROM b""", DSS_VIEWS, _DSS_CTES)
-ORACLE["stream_ingest"] = oracle(
-    "SELECT bill_no, bill_datetime_raw, CAST(net_total AS DOUBLE) AS net_total FROM raw_sales_billwise",
-    ["raw_sales_billwise"])
+def _exported_bills() -> tuple[list[str], list[str]]:
+    """(CTEs, select list) of the exported bills: bill columns, and the fixture's values for the others."""
+    from ..sources.ingest import HEADER_MAP, NUMERIC
+    import re
+    known = set(re.findall(r" AS (\w+),?\n", VIEWS["raw_sales_billwise"])) | {"imported_at"}
+    out = []
+    for i, c in enumerate(HEADER_MAP["sales_billwise"].values()):
+        num = c in NUMERIC["sales_billwise"]
+        value = c if c in known else f"CAST(bill_no AS BIGINT) % {i + 2}" if num else f"'{c} ' || CAST(CAST(bill_no AS BIGINT) % {i + 2} AS VARCHAR)"
+        if c == "paytm_amount":  # the files of every third slice lack it
+            value = f"CASE WHEN slice % 3 <> 2 THEN {value} END"
+        out.append(f"CAST({value} AS DOUBLE) AS {c}" if num else f"{value} AS {c}")
+    ctes = ["n AS (SELECT greatest(24, CAST(ceil(count(*) / 100000) AS BIGINT)) AS slices FROM orders)",
+            "bills AS (SELECT b.*, CAST(bill_no AS BIGINT) % n.slices AS slice FROM raw_sales_billwise b, n)"]
+    return ctes, out
+
+
+_EXP_CTES, _EXP_COLUMNS = _exported_bills()
+ORACLE["ingest_report"] = oracle(f"SELECT {', '.join(_EXP_COLUMNS)}, CAST(1 AS BIGINT) AS import_batch_id FROM bills", ["raw_sales_billwise"], _EXP_CTES)
+ORACLE["stream_ingest"] = oracle(f"SELECT {', '.join(_EXP_COLUMNS)} FROM bills", ["raw_sales_billwise"], _EXP_CTES)
+ORACLE["ingest_manifest"] = oracle(
+    "SELECT DISTINCT slice, 'sales_billwise' AS report_type, slice % 3 <> 0 AS is_new FROM bills", ["raw_sales_billwise"], _EXP_CTES)
+ORACLE["ingest_ledger"] = oracle(
+    """SELECT CASE WHEN slice % 3 = 0 THEN 1 ELSE 2 END AS batch, slice, 'sales_billwise' AS report_type,
+              CASE WHEN slice % 3 <> 2 THEN count(*) END AS row_count,
+              CASE WHEN slice % 3 <> 2 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+              CASE WHEN slice % 3 = 2 THEN 'missing required columns: Net Total' END AS error_message,
+              CASE WHEN slice % 3 <> 2 THEN count(*) ELSE 0 END AS loaded
+       FROM bills GROUP BY slice""", ["raw_sales_billwise"], _EXP_CTES)
+ORACLE["latest_file"] = oracle(
+    "SELECT 'sales_billwise' AS report_type, count(DISTINCT slice) AS files, CAST(1 AS BIGINT) AS newest FROM bills", ["raw_sales_billwise"], _EXP_CTES)
+_DIRTY = """SELECT '{t}' AS "table", 'null_date' AS reason, count(*) FILTER (k % {n} = 0) AS rows FROM ({v})
+UNION ALL SELECT '{t}', 'bad_date', count(*) FILTER (k % {n} IN (1, 2) OR (k % {n} > 2 AND {bad})) FROM ({v})"""
+_CODE = """UNION ALL SELECT '{t}', 'null_barcode', count(*) FILTER (k % {n} = 0 OR barcode IS NULL) FROM ({v})"""
+_BK = "SELECT *, CAST(bill_no AS BIGINT) AS k FROM {}"
+_IK = "SELECT *, CAST(regexp_extract(invoice_no, '([0-9]+)', 1) AS BIGINT) AS k FROM {}"
+_ISO = "NOT regexp_matches({}, '^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}')"
+ORACLE["quarantine_counts"] = oracle("\nUNION ALL ".join([
+    _DIRTY.format(t="raw_sales_billwise", n=101, v=_BK.format("raw_sales_billwise"), bad=_ISO.format("bill_datetime_raw")),
+    _DIRTY.format(t="raw_sales_itemwise", n=103, v=_BK.format("raw_sales_itemwise"), bad=_ISO.format("sale_datetime_raw")),
+    _CODE.format(t="raw_sales_itemwise", n=107, v=_BK.format("raw_sales_itemwise")).removeprefix("UNION ALL "),
+    _DIRTY.format(t="raw_purchase_billwise", n=109, v=_IK.format("raw_purchase_billwise"), bad="false"),
+    _DIRTY.format(t="raw_purchase_itemwise", n=113, v=_IK.format("raw_purchase_itemwise"), bad="false"),
+    _CODE.format(t="raw_purchase_itemwise", n=127, v=_IK.format("raw_purchase_itemwise")).removeprefix("UNION ALL "),
+]), ["raw_sales_billwise", "raw_sales_itemwise", "raw_purchase_billwise", "raw_purchase_itemwise"])
+_DAY_SQL = """SELECT sale_date, total_bills, CAST(rev AS DOUBLE) AS total_revenue FROM b"""
+ORACLE["stream_daily_sales"] = oracle(_DAY_SQL, DSS_VIEWS, _DSS_CTES)
+ORACLE["stream_recomputed_days"] = oracle(_DAY_SQL, DSS_VIEWS, _DSS_CTES)
+ORACLE["stream_daily_payments"] = ORACLE["daily_payment_breakdown"]
+ORACLE["bulk_categorize"] = oracle(
+    """SELECT * FROM (
+         SELECT CASE WHEN CAST(barcode AS BIGINT) % 5 = 0 THEN 'Spices' ELSE category END AS category, count(*) AS products,
+                count(*) FILTER (CAST(barcode AS BIGINT) % 5 = 0 OR is_reviewed) AS reviewed
+         FROM products GROUP BY 1) p,
+       (SELECT count(*) FILTER (p_partkey % 3 = 0) AS updated, count(*) FILTER (p_partkey % 3 <> 0) AS skipped
+        FROM part WHERE p_partkey % 5 = 0) c""", ["products"])
 
 # ---------------------------------------------------------------- cash closure, offers
 ORACLE["cash_closure"] = """
@@ -774,3 +831,12 @@ SELECT name AS display_name, mrp AS original_price,
             WHEN dtype IN ('combo', 'text') AND draw IS NOT NULL THEN draw END AS highlight_text,
        image_url, sort_order
 FROM w"""
+
+# ---------------------------------------------------------------- exports read back
+ORACLE["supplier_sheets"] = f"""
+SELECT COALESCE(supplier_name, NULL) AS supplier_name, count(*) AS lines, CAST(1 AS BIGINT) AS folders, count(*) AS blank
+FROM ({ORACLE["supplier_purchase_sheet"]}) s GROUP BY supplier_name"""
+ORACLE["csv_exports"] = f"""
+SELECT 'health_report' AS report, count(*) AS rows FROM ({ORACLE["health_report"]}) a
+UNION ALL SELECT 'supplier_report', count(*) FROM ({ORACLE["supplier_report"]}) b
+UNION ALL SELECT 'conversion_sheet', count(*) FROM ({ORACLE["conversion_attention_sheet"]}) c"""

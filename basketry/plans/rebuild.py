@@ -1,9 +1,11 @@
 """Full rebuild in dependency order (the reference's ordered step chain).
 
-Every derived table is written under ``<out>/<run_id>/<table>``; the dense
-window pass is materialised once and feeds features, signals and stock; the
-run is published by writing ``<out>/_PUBLISHED`` last, so readers never see
-a half-built run. Executor loss is survived by Spark's task retry plus the
+Every derived table is written under ``<out>/<run_id>/<table>``. The raw
+lines are scanned once, into product-day facts; the dense window pass is
+materialised once and feeds features, signals and stock; pages and KPIs read
+the written tables. A run is published by adding one row to
+``<out>/_PUBLISHED`` last (a file that appears by rename), so readers see the
+old run or the new one, never a half-built one. Executor loss is survived by Spark's task retry plus the
 reliable (shared-folder) writes; nothing is kept on a machine-local disk.
 """
 
@@ -33,9 +35,10 @@ def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.
 
     save("daily_sales_summary", daily.daily_sales_summary(b, i))
     save("daily_purchase_summary", daily.daily_purchase_summary(pb, pi))
-    start_d = product.spine_start_date(b, i)
-    start = F.lit(start_d)
-    dense = product.dense_metrics(i, pi, al, start, as_of)
+    facts = (save("_sales_facts", product.sales_by_product_day(i, al, keep_undated=True)),
+             save("_purchase_facts", product.purchases_by_product_day(pi, al)))
+    start = F.lit(product.spine_start_date(b, facts[0]))
+    dense = product.dense_metrics(facts, start, as_of)
     win = save("_windowed", product.windowed(dense))  # one grid pass, reused three times
     save("product_daily_metrics", product.product_daily_metrics(win))
     save("product_daily_features", product.product_daily_features(win, cal.calendar_dim(spark, start, F.lit(as_of))))
@@ -45,7 +48,7 @@ def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.
     loc = save("supplier_location", dims.supplier_location(sm))
     psm = save("product_supplier_mapping", dims.product_supplier_mapping(pi))
     pdim = save("product_dimension", dims.product_dimension(im, i, al, pr))
-    latest = save("_latest", product.latest_state(i, pi, al, start, as_of))
+    latest = save("_latest", product.latest_state(facts, start, as_of))
     rs = save("supplier_restock_recommendations", restock.restock_recommendations(latest, psm, loc, pdim))
     save("replenishment_sheet", restock.replenishment_sheet(latest, pdim, psm, loc, lic))
     save("conversion_attention_sheet", restock.conversion_attention_sheet(latest, pdim, psm, lic))
@@ -54,5 +57,18 @@ def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.
     save("customer_dimension", customers.customer_dimension(b))
     save("customer_metrics", customers.customer_metrics(b, as_of))
     save("product_associations", baskets.product_associations(i, al))
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").text(f"{out.rstrip('/')}/_PUBLISHED")
+    (spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at")).coalesce(1)
+     .write.mode("append").parquet(f"{out.rstrip('/')}/_PUBLISHED"))
     return run
+
+
+def published_run(spark: SparkSession, out: str) -> str:
+    """Folder of the newest published run."""
+    marks = spark.read.parquet(f"{out.rstrip('/')}/_PUBLISHED")
+    return marks.agg(F.max_by("run", "published_at").alias("run")).first()["run"]
+
+
+def open_run(spark: SparkSession, out: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of the newest published run; each is one scan wherever it is used."""
+    run = published_run(spark, out)
+    return {n: spark.read.parquet(f"{run}/{n}") for n in names}

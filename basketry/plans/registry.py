@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import daily
+from ..session import saved, scratch
+from ..sources import fixtures
 from ..sources.fixtures import AS_OF, RetailTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,25 +80,30 @@ from ..operators import product  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
+def _facts(t: RetailTables):
+    """Product-day sales and purchases, built once per tables object."""
+    if not hasattr(t, "_pd_facts"):
+        t._pd_facts = product.product_facts(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases)
+    return t._pd_facts
+
+
 def _start(t: RetailTables):
     """Spine start bound as a literal, resolved once per tables object."""
     if not hasattr(t, "_spine_start"):
-        t._spine_start = product.spine_start_date(t.raw_sales_billwise, t.raw_sales_itemwise)
+        t._spine_start = product.spine_start_date(t.raw_sales_billwise, _facts(t)[0])
     return F.lit(t._spine_start)
 
 
 def _dense(t: RetailTables):
-    return product.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases,
-                                 _start(t), AS_OF)
+    return product.dense_metrics(_facts(t), _start(t), AS_OF)
 
 
 def _calendar(t: RetailTables):
-    return cal.calendar_dim(t.spark, _start(t), F.lit(AS_OF))
+    return cal.calendar_dim(t.spark, _start(t), F.lit(AS_OF), t.festivals, t.holidays)
 
 
 def _latest(t: RetailTables):
-    return product.latest_state(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases,
-                                _start(t), AS_OF)
+    return product.latest_state(_facts(t), _start(t), AS_OF)
 
 
 @register("product_daily_sparse")
@@ -155,6 +162,13 @@ def _restock(t, latest=None):
     return restock.restock_recommendations(latest if latest is not None else _latest(t), _psm(t), _loc(t), _pdim(t))
 
 
+def _built(t: RetailTables) -> RetailTables:
+    """The derived tables that pages read several times, built once for this query (as ``rebuild`` does for all)."""
+    t.latest = saved(_latest(t), "latest")
+    t.psm, t.lic, t.pdim = saved(_psm(t), "psm"), saved(_lic(t), "lic"), saved(_pdim(t), "pdim")
+    return t
+
+
 @register("latest_item_combinations")
 def q_latest_item_combinations(spark, sf_dir):
     return _lic(tables(spark, sf_dir))
@@ -275,37 +289,44 @@ def _cmet(t):
 
 @register("kpi_summary")
 def q_kpi_summary(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    latest = _latest(t)
-    return reports.kpi_summary(_dss(t), _dps(t), latest, _restock(t, latest), _cdim(t), _cmet(t), AS_OF)
+    t = _built(tables(spark, sf_dir))
+    dss, dps, cdim, cmet = (saved(df, "daily") for df in (_dss(t), _dps(t), _cdim(t), _cmet(t)))
+    rec = saved(restock.restock_recommendations(t.latest, t.psm, _loc(t), t.pdim), "restock")
+    return reports.kpi_summary(dss, dps, t.latest, rec, cdim, cmet, AS_OF)
 
 
 @register("health_signals_page")
 def q_health_signals_page(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return reports.health_signals_page(_latest(t), _pdim(t), _psm(t))
+    t = _built(tables(spark, sf_dir))
+    return reports.health_signals_page(t.latest, t.pdim, t.psm)
 
 
 @register("health_report")
 def q_health_report(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return reports.health_report(_latest(t), _pdim(t), _psm(t))
+    t = _built(tables(spark, sf_dir))
+    return reports.health_report(t.latest, t.pdim, t.psm)
 
 
 @register("supplier_report")
 def q_supplier_report(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return reports.supplier_report(_latest(t), _psm(t), _pdim(t), _lic(t))
+    t = _built(tables(spark, sf_dir))
+    return reports.supplier_report(t.latest, t.psm, t.pdim, t.lic)
 
 
 @register("replenishment_page")
 def q_replenishment_page(spark, sf_dir):
-    return reports.replenishment_page(_restock(tables(spark, sf_dir)))
+    return reports.replenishment_page(saved(_restock(tables(spark, sf_dir)), "restock"))
 
 
 @register("supplier_restock_pages")
 def q_supplier_restock_pages(spark, sf_dir):
-    return reports.supplier_restock_pages(_restock(tables(spark, sf_dir)))
+    """Every page of every supplier, without a limit; ``limit`` and ``offset`` ask for one page."""
+    return reports.supplier_restock_pages(saved(_restock(tables(spark, sf_dir)), "restock"))
+
+
+@register("supplier_restock_second_page")
+def q_supplier_restock_second_page(spark, sf_dir):
+    return reports.supplier_restock_pages(saved(_restock(tables(spark, sf_dir)), "restock"), limit=10, offset=10)
 
 
 @register("top_products")
@@ -327,9 +348,8 @@ def q_demand_trend(spark, sf_dir):
     """Every product's last 60 days; the grid is truncated to 60 + 59 days of history."""
     t = tables(spark, sf_dir)
     start = _start(t)
-    dense = product.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases, start, AS_OF,
-                                  grid_from=AS_OF - _dt.timedelta(days=60 + 59))
-    last_sale = _dss(t).agg(F.coalesce(F.max("sale_date"), F.date_sub(F.lit(AS_OF), 1))).scalar()
+    dense = product.dense_metrics(_facts(t), start, AS_OF, grid_from=AS_OF - _dt.timedelta(days=60 + 59))
+    last_sale = saved(_dss(t), "daily").agg(F.coalesce(F.max("sale_date"), F.date_sub(F.lit(AS_OF), 1))).scalar()
     return reports.demand_trend(product.windowed(dense, start), AS_OF, last_sale)
 
 
@@ -354,7 +374,8 @@ def q_product_list(spark, sf_dir):
 @register("product_detail")
 def q_product_detail(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return reports.product_detail(_pdim(t), t.products, _lic(t), _psm(t), _latest(t))
+    _built(t)
+    return reports.product_detail(t.pdim, t.products, t.lic, t.psm, t.latest)
 
 
 @register("customer_list")
@@ -371,6 +392,7 @@ def q_customer_summary(spark, sf_dir):
 
 @register("customer_history")
 def q_customer_history(spark, sf_dir):
+    """All bills of each customer, ranked; ``limit`` asks for the newest ones."""
     return reports.customer_history(tables(spark, sf_dir).raw_sales_billwise)
 
 
@@ -403,12 +425,21 @@ def q_merge_suggestions(spark, sf_dir):
 @register("suggestion_clusters")
 def q_suggestion_clusters(spark, sf_dir):
     clusters, edges = _clusters(tables(spark, sf_dir))
-    return entity.suggestion_clusters(entity.merge_suggestions(clusters, edges))
+    return entity.suggestion_clusters(saved(entity.merge_suggestions(clusters, edges), "suggestions"))
+
+
+@register("suggestion_members")
+def q_suggestion_members(spark, sf_dir):
+    """The second page of five clusters, with its members."""
+    clusters, edges = _clusters(tables(spark, sf_dir))
+    s = saved(entity.merge_suggestions(clusters, edges), "suggestions")
+    return entity.suggestion_members(s, entity.suggestion_clusters(s, limit=5, offset=5))
 
 
 @register("alias_violations")
 def q_alias_violations(spark, sf_dir):
-    return entity.alias_violations(tables(spark, sf_dir).product_aliases)
+    """The confirmed aliases with some chains among them."""
+    return entity.alias_violations(tables(spark, sf_dir).chained_aliases)
 
 
 @register("alias_list")
@@ -431,28 +462,12 @@ def q_canonical_products(spark, sf_dir):
 
 @register("cash_closure")
 def q_cash_closure(spark, sf_dir):
-    return cash.cash_closure_totals(cash.closures_from_events(tables(spark, sf_dir).base("events")))
-
-
-def offer_sheet(t: RetailTables) -> DataFrame:
-    """A promotion sheet derived from the part table (text cells, as a CSV would give)."""
-    pk = F.col("p_partkey")
-    dtype = (F.when(pk % 4 == 0, "Percent").when(pk % 4 == 1, "amount").when(pk % 4 == 2, "combo")
-             .otherwise("unknown"))
-    dval = (F.when(pk % 4 == 0, (F.col("p_size") % 30 + 5).cast("string"))
-            .when(pk % 4 == 1, F.col("p_size").cast("string")).when(pk % 4 == 2, F.lit("Buy 1 Get 1"))
-            .otherwise(F.lit("")))
-    return t.base("part").select(
-        pk.alias("_row"),
-        F.when(pk % 97 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("Name"),
-        F.when(pk % 89 == 0, F.lit("NA")).otherwise(F.col("p_retailprice").cast("string")).alias("MRP"),
-        dtype.alias("Discount Type"), dval.alias("Discount Value"),
-        F.concat(F.lit("img/"), pk.cast("string"), F.lit(".png")).alias("Image"))
+    return cash.cash_closure_totals(fixtures.closures_from_events(tables(spark, sf_dir).base("events")))
 
 
 @register("offer_pricing")
 def q_offer_pricing(spark, sf_dir):
-    return offers.offer_pricing(offer_sheet(tables(spark, sf_dir)))
+    return offers.offer_pricing(fixtures.offer_sheet(tables(spark, sf_dir)))
 
 
 @register("filter_query")
@@ -483,79 +498,149 @@ def q_upsert(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- files, ingest, streaming
-import uuid  # noqa: E402
-
-from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import sinks  # noqa: E402
 from ..streaming import jobs as stream_jobs  # noqa: E402
 
 
-def _scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir (never a machine-local temp dir)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/basketry-{name}-{uuid.uuid4().hex}"
+def _bill_exports(t: RetailTables, broken: bool = False) -> str:
+    return fixtures.export_bills(t, scratch(t.spark, "exports"), broken)
 
 
-def export_bills_csv(t: RetailTables, folder: str) -> str:
-    """Bill-wise export files (one per year) with the export headers and a trailing totals row."""
-    from ..sources.ingest import HEADER_MAP
-    rev = {v: k for k, v in HEADER_MAP["sales_billwise"].items()}
-    b = t.raw_sales_billwise.withColumn("_slice", F.substring("bill_datetime_raw", 7, 4))
-    cols = [c for c in rev if c in b.columns]
-    body = b.select("_slice", F.lit(0).alias("_total"), *[F.col(c).cast("string").alias(rev[c]) for c in cols])
-    totals = b.groupBy("_slice").agg(F.sum("net_total").cast("string").alias(rev["net_total"]),
-                                     F.sum("total_qty").cast("string").alias(rev["total_qty"]))
-    q = lambda n: F.col(f"`{n}`")  # noqa: E731 - export headers contain dots
-    totals = totals.select("_slice", F.lit(1).alias("_total"),
-                           *[q(rev[c]) if rev[c] in totals.columns else F.lit(None).cast("string").alias(rev[c])
-                             for c in cols])
-    out = (body.unionByName(totals).repartition("_slice")
-           .sortWithinPartitions("_slice", "_total", q(rev["bill_no"])).drop("_total"))
-    out.write.partitionBy("_slice").option("header", True).csv(folder)
-    return folder
+def _bill_columns() -> list:
+    """Every column of the report, numbers as DOUBLE."""
+    return [F.col(c).cast("double").alias(c) if c in ingest.NUMERIC["sales_billwise"] else F.col(c)
+            for c in ingest.HEADER_MAP["sales_billwise"].values()]
 
 
 @register("ingest_report")
 def q_ingest_report(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    folder = export_bills_csv(t, _scratch(spark, "bills-csv"))
-    rows, _quarantine = ingest.read_report(spark, f"{folder}/*/*.csv", "sales_billwise", batch_id=1)
-    return rows.select("bill_no", "bill_datetime_raw", "operator_name", "location_name",
-                       F.col("net_total").cast("double").alias("net_total"),
-                       F.col("cash_amount").cast("double").alias("cash_amount"))
+    """All 79 columns, from files with three header orders, an NBSP header and a missing optional column."""
+    folder = _bill_exports(tables(spark, sf_dir))
+    rows, _quarantine, _files = ingest.read_report(spark, f"{folder}/*/*/*.csv", "sales_billwise", batch_id=1)
+    return rows.select(*_bill_columns(), "import_batch_id")
+
+
+def _slice(path: str = "file_name"):
+    return F.regexp_extract(path, r"_slice=(\d+)", 1).cast("long").alias("slice")
 
 
 @register("ingest_manifest")
 def q_ingest_manifest(spark, sf_dir):
+    """A ledger that has the files of the first header order: the other files are new."""
+    folder = _bill_exports(tables(spark, sf_dir))
+    done = ingest.file_manifest(spark, f"{folder}/order=0/*/*.csv", None, "sales_billwise").select("file_hash")
+    m = ingest.file_manifest(spark, f"{folder}/*/*/*.csv", done, "sales_billwise")
+    return m.select(_slice(), "report_type", "is_new")
+
+
+@register("ingest_ledger")
+def q_ingest_ledger(spark, sf_dir):
+    """Three runs of the chain: some files, all files (one of them no such report), all files again."""
+    folder = _bill_exports(tables(spark, sf_dir), broken=True)
+    table, ledger = scratch(spark, "raw-bills"), scratch(spark, "ledger")
+    runs = []
+    for batch, paths in ((1, f"{folder}/order=0/*/*.csv"), (2, f"{folder}/*/*/*.csv"), (3, f"{folder}/*/*/*.csv")):
+        entries = ingest.ingest_batch(spark, paths, "sales_billwise", table, ledger, batch)
+        runs.append(entries.select(F.col("id").alias("batch"), _slice(), "report_type", "row_count", "status", "error_message"))
+    loaded = (spark.read.option("basePath", table).parquet(table)
+              .groupBy(F.col("import_batch_id").cast("long").alias("batch"), _slice("source_file_name")).agg(F.count(F.lit(1)).alias("loaded")))
+    log = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    return log.join(loaded, ["batch", "slice"], "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
+
+
+@register("quarantine_counts")
+def q_quarantine_counts(spark, sf_dir):
+    return ingest.quarantine_counts(*fixtures.dirty_tables(tables(spark, sf_dir)))
+
+
+@register("latest_file")
+def q_latest_file(spark, sf_dir):
+    """Routed exports, and how many of them are the newest of their report."""
+    folder = _bill_exports(tables(spark, sf_dir))
+    files = ingest.file_manifest(spark, f"{folder}/*/*/*.csv", None, "sales_billwise")
+    named = files.withColumn("_name", F.concat(F.lit("/drop/Sales-Billwise "), _slice(), F.lit(".csv")))
+    routed = ingest.route_files(named.drop("report_type"), "_name")
+    newest = ingest.latest_file(routed).select("file_name", F.lit(1).alias("newest"))
+    return (routed.join(newest, "file_name", "left").groupBy("report_type")
+            .agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("newest", F.lit(0))).cast("long").alias("newest")))
+
+
+@register("supplier_sheets")
+def q_supplier_sheets(spark, sf_dir):
+    """The order sheets as written, one folder per supplier, read back."""
+    t = tables(spark, sf_dir)
+    latest = saved(_latest(t), "latest")
+    sheet = restock.supplier_purchase_sheet(_restock(t, latest), latest, _pdim(t), _lic(t), _psm(t), _loc(t))
+    path = scratch(spark, "sheets")
+    sinks.write_supplier_sheets(sheet, path)
+    back = spark.read.option("header", True).option("basePath", path).csv(f"{path}/*")
+    return back.groupBy("supplier_name").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("safe_supplier").alias("folders"),
+        F.count_if(F.col("physical_stock").isNull() & F.col("order_qty").isNull()).alias("blank"))
+
+
+@register("csv_exports")
+def q_csv_exports(spark, sf_dir):
+    """Three CSV reports, written and read back: rows of each."""
+    t = tables(spark, sf_dir)
+    latest = saved(_latest(t), "latest")
+    out = None
+    for name, df, write in (
+            ("health_report", reports.health_report(latest, _pdim(t), _psm(t)), sinks.export_csv),
+            ("supplier_report", reports.supplier_report(latest, _psm(t), _pdim(t), _lic(t)), sinks.export_csv),
+            ("conversion_sheet", restock.conversion_attention_sheet(latest, _pdim(t), _psm(t), _lic(t)), sinks.write_conversion_sheet)):
+        path = scratch(spark, name)
+        write(df, path)
+        n = (spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in df.columns)).option("enforceSchema", True)
+             .csv(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@register("bulk_categorize")
+def q_bulk_categorize(spark, sf_dir):
+    """Every fifth part is listed; parts that are no product are skipped."""
     t = tables(spark, sf_dir)
-    folder = export_bills_csv(t, _scratch(spark, "bills-csv"))
-    m = ingest.file_manifest(spark, f"{folder}/*/*.csv", None, "sales_billwise")
-    return m.select("file_hash", "report_type", "is_new")
+    listed = t.base("part").where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("barcode"))
+    out, counts = catalog.bulk_categorize(t.products, listed, category="Spices")
+    return (out.groupBy("category").agg(F.count(F.lit(1)).alias("products"), F.count_if("is_reviewed").alias("reviewed"))
+            .crossJoin(F.broadcast(counts)))  # counts is one row
 
 
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
-    """Bill-wise exports dropped in a folder, ingested by a file stream with first-wins dedup."""
+    """The exports dropped in a folder, ingested by a file stream, several micro-batches."""
+    src, target = _bill_exports(tables(spark, sf_dir)), scratch(spark, "raw")
+    stream_jobs.stream_ingest(spark, f"{src}/*/*", "sales_billwise", target, scratch(spark, "ck"), files_per_batch=9).awaitTermination()
+    return spark.read.option("basePath", target).parquet(target).select(*_bill_columns())
+
+
+@register("stream_recomputed_days")
+def q_stream_recomputed_days(spark, sf_dir):
+    """After each micro-batch the days that it touches are recomputed from the raw table."""
+    src, target, days = _bill_exports(tables(spark, sf_dir)), scratch(spark, "raw"), scratch(spark, "days")
+    step = stream_jobs.recompute_days(target, days, stream_jobs.daily_sales)
+    stream_jobs.stream_ingest(spark, f"{src}/*/*", "sales_billwise", target, scratch(spark, "ck"), after=step, files_per_batch=9).awaitTermination()
+    return stream_jobs.current_days(spark, days)
+
+
+def _bill_stream(spark, sf_dir, daily):
+    """Bills dealt over many files without any order in time, a few files a micro-batch."""
     t = tables(spark, sf_dir)
-    src = export_bills_csv(t, _scratch(spark, "drop"))
-    target, ck = _scratch(spark, "raw"), _scratch(spark, "ck")
-    q = stream_jobs.stream_ingest(spark, f"{src}/*", "sales_billwise", target, ck, ["bill_no"])
-    q.awaitTermination()
-    return spark.read.parquet(target).select("bill_no", "bill_datetime_raw",
-                                             F.col("net_total").cast("decimal(18,4)").cast("double").alias("net_total"))
+    src = scratch(spark, "bills")
+    bills = t.raw_sales_billwise.drop("imported_at")
+    n = max(12, bills.count() // 100_000)
+    bills.repartition(n, "bill_no").write.parquet(src)
+    return stream_jobs.run_daily_stream(spark, src, bills.schema, scratch(spark, "daily"), scratch(spark, "ck"), daily, files_per_batch=-(-n // 4))
 
 
 @register("stream_daily_sales")
 def q_stream_daily_sales(spark, sf_dir):
-    """T4: daily bills and revenue maintained by a watermarked stream (equals the batch result)."""
-    t = tables(spark, sf_dir)
-    src = _scratch(spark, "bills")
-    b = t.raw_sales_billwise.select("bill_datetime_raw", "net_total")
-    yr = F.substring("bill_datetime_raw", 7, 4)
-    # the distinct export years (a handful of values) fix the slice order
-    years = sorted(r[0] for r in b.select(yr.alias("y")).filter(F.col("y").rlike("^[0-9]{4}$")).distinct().collect())
-    # event-time ordered slices so the stream sees days in order (nothing falls behind the watermark)
-    for y in years:
-        b.filter(yr == y).write.mode("append").parquet(f"{src}/y={y}")
-    schema = b.schema
-    return stream_jobs.run_daily_sales_stream(spark, f"{src}/*", schema, _scratch(spark, "daily"),
-                                              _scratch(spark, "ck"))
+    """T4: daily bills and revenue maintained by a stream (equals the batch result)."""
+    return _bill_stream(spark, sf_dir, stream_jobs.daily_sales)
+
+
+@register("stream_daily_payments")
+def q_stream_daily_payments(spark, sf_dir):
+    """T4: daily payments maintained by a stream (equals the batch result)."""
+    return _bill_stream(spark, sf_dir, daily.daily_payment_breakdown)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,31 +23,38 @@ DEFAULT_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "basketry") -> SparkSession:
+              app_name: str = "basketry", conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's settings.
 
-    On a cluster the master and sizing come from spark-submit; locally we
-    default to ``local[*]`` with a shuffle partition count that matches cores.
+    The library names no master and no memory of its own: on a cluster both
+    come from spark-submit, and a value set in code would override it. Tests
+    and the bench pass ``master`` and ``conf``.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
-    for k, v in DEFAULT_CONF.items():
+    if master:
+        builder = builder.master(master)
+    for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("BASKETRY_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if on_one_machine(spark):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """True for a plain local master, whose executors share the driver's disk."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset.
+    """The shared checkpoint folder.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; we never
-    override it. Only an unset session (tests, local runs) gets a scratch dir.
+    A cluster names it in ``spark.checkpoint.dir``; it is never overridden. A
+    plain local session without one gets a scratch folder; anywhere else a
+    machine's own folder would be out of the executors' reach, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,11 +62,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not on_one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="basketry-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: build once, read many times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY
+from ..operators.cash import DENOMINATIONS, LINE_ITEM
 
 # Fixed parameters of the fixture mapping (see FIXTURES.md §B).
 AS_OF = dt.date(2001, 8, 1)
@@ -265,3 +266,142 @@ class RetailTables:
             F.when(pk % 7 == 0, F.lit(None).cast("boolean")).when(pk % 7 == 1, F.lit(False))
             .otherwise(F.lit(True)).alias("is_active"),
         )
+
+    @cached_property
+    def chained_aliases(self) -> DataFrame:
+        """Aliases with chains: every second canonical product is itself an alias."""
+        a = self.product_aliases.select("alias_barcode", "canonical_barcode")
+        chain = self.base("part").filter(F.col("p_partkey") % 100 == 99).select(
+            (F.col("p_partkey") - 1).cast("string").alias("alias_barcode"), (F.col("p_partkey") - 2).cast("string").alias("canonical_barcode"))
+        return a.unionByName(chain)
+
+    def _years(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_year", F.explode(F.sequence(F.lit(1995), F.lit(AS_OF.year))))
+
+    @cached_property
+    def festivals(self) -> DataFrame:
+        """One festival per nation and year, with windows that overlap."""
+        k = F.col("n_nationkey").cast("int")
+        return self._years(self.base("nation")).select(
+            F.col("n_name").alias("name"), k.alias("priority"), F.make_date(F.col("_year").cast("int"), k % 12 + 1, k % 27 + 1).alias("peak"),
+            (k % 5).alias("pre"), (k % 4).alias("post"))
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        """One public holiday per region and year."""
+        k = F.col("r_regionkey").cast("int")
+        return self._years(self.base("region")).select(
+            F.make_date(F.col("_year").cast("int"), k * 2 + 1, F.lit(26)).alias("date"), F.concat(F.lit("Day of "), F.col("r_name")).alias("name"))
+
+
+# ---------------------------------------------------------------- promotion sheet, cash closures
+def offer_sheet(t: RetailTables) -> DataFrame:
+    """A promotion sheet derived from the part table (text cells, as a CSV would give)."""
+    pk = F.col("p_partkey")
+    dtype = (F.when(pk % 4 == 0, "Percent").when(pk % 4 == 1, "amount").when(pk % 4 == 2, "combo")
+             .otherwise("unknown"))
+    dval = (F.when(pk % 4 == 0, (F.col("p_size") % 30 + 5).cast("string"))
+            .when(pk % 4 == 1, F.col("p_size").cast("string")).when(pk % 4 == 2, F.lit("Buy 1 Get 1"))
+            .otherwise(F.lit("")))
+    return t.base("part").select(
+        pk.alias("_row"),
+        F.when(pk % 97 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("Name"),
+        F.when(pk % 89 == 0, F.lit("NA")).otherwise(F.col("p_retailprice").cast("string")).alias("MRP"),
+        dtype.alias("Discount Type"), dval.alias("Discount Value"),
+        F.concat(F.lit("img/"), pk.cast("string"), F.lit(".png")).alias("Image"))
+
+
+def closures_from_events(events: DataFrame) -> DataFrame:
+    """Fixture: one closure per event day (FIXTURES.md §B).
+
+    Per-type day sums become the scalar and line-item columns (arrays hold
+    one entry per event type, so they are bounded); denomination maps count
+    purchase / signup events by ``user_id`` modulo the note list.
+    """
+    day = F.to_date("ts")
+    amt = F.col("value").cast("decimal(18,2)")
+    per = events.groupBy(day.alias("closure_date"), "event_type").agg(F.sum(amt).cast("double").alias("amount"))
+    item = F.struct(F.col("event_type").alias("description"), F.col("amount").alias("amount"))
+    t = lambda name: F.max(F.when(F.col("event_type") == name, F.col("amount")))
+    arr = lambda name: F.filter(F.collect_list(F.when(F.col("event_type") == name, item)),
+                                lambda x: x.isNotNull())
+    scal = per.groupBy("closure_date").agg(
+        t("signup").alias("opening_cash"), t("purchase").alias("net_sales"), t("view").alias("card_amount"),
+        arr("click").alias("manual_billings"), arr("error").alias("expenses"))
+    notes = F.array(*[F.lit(str(d)) for d in DENOMINATIONS])
+    note = F.element_at(notes, (F.col("user_id") % len(DENOMINATIONS) + 1).cast("int"))
+    cnt = (events.filter(F.col("event_type").isin("purchase", "signup"))
+           .groupBy(day.alias("closure_date"), "event_type", note.alias("note"))
+           .agg(F.count(F.lit(1)).cast("int").alias("n")))
+    maps = cnt.groupBy("closure_date").agg(
+        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("event_type") == "purchase",
+                                                          F.struct("note", "n"))), lambda x: x.isNotNull()))
+        .alias("denominations_opening"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("event_type") == "signup",
+                                                          F.struct("note", "n"))), lambda x: x.isNotNull()))
+        .alias("denominations_sales"))
+    return (scal.join(maps, "closure_date", "left")
+            .withColumn("physical_cash_counted",
+                        F.when(F.dayofmonth("closure_date") % 5 != 0, F.col("net_sales")))
+            .select("closure_date", "opening_cash", "net_sales",
+                    *[F.lit(None).cast("double").alias(c) for c in
+                      ["sodexo_collection", "distributor_expiry", "oil_crush", "other_income",
+                       "pluxee_amount", "paytm_amount", "phonepe_amount", "returns_amount"]],
+                    "card_amount", "manual_billings", F.array().cast(LINE_ITEM).alias("old_balance_collections"),
+                    F.array().cast(LINE_ITEM).alias("credits_given"), "expenses",
+                    "physical_cash_counted", "denominations_opening", "denominations_sales"))
+
+
+# ---------------------------------------------------------------- dirty rows and export files
+def dirty_tables(t: RetailTables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four raw tables with broken dates and missing barcodes among their rows."""
+    n = F.col("bill_no").cast("long")
+    i = F.regexp_extract("invoice_no", r"(\d+)", 1).cast("long")
+    broken = lambda c, k, parts: (F.when(k % parts == 0, F.lit(None).cast("string")).when(k % parts == 1, F.lit("31-02-1996 oops"))
+                                  .when(k % parts == 2, F.lit("n/a")).otherwise(F.col(c)))
+    return (t.raw_sales_billwise.withColumn("bill_datetime_raw", broken("bill_datetime_raw", n, 101)),
+            t.raw_sales_itemwise.withColumn("sale_datetime_raw", broken("sale_datetime_raw", n, 103))
+            .withColumn("barcode", F.when(n % 107 == 0, F.lit(None).cast("string")).otherwise(F.col("barcode"))),
+            t.raw_purchase_billwise.withColumn("purchase_date_raw", broken("purchase_date_raw", i, 109)),
+            t.raw_purchase_itemwise.withColumn("purchase_date_raw", broken("purchase_date_raw", i, 113))
+            .withColumn("barcode", F.when(i % 127 == 0, F.lit(None).cast("string")).otherwise(F.col("barcode"))))
+
+
+#: Rows of one export file at most (about), and files at least.
+EXPORT_ROWS, EXPORT_FILES = 100_000, 24
+
+
+def export_bills(t: RetailTables, folder: str, broken: bool = False) -> str:
+    """Bill-wise export files with all columns of the report and a trailing totals row.
+
+    Bills are dealt by number over ``slices`` files. The files differ in their
+    headers: ``order=0`` has the usual order, ``order=1`` the reverse one with
+    a no-break space in ``Net Total``, ``order=2`` lacks the optional Paytm
+    column. With ``broken``, the files of ``order=2`` lack ``Net Total`` too.
+    """
+    from .ingest import HEADER_MAP, NUMERIC
+    hmap = HEADER_MAP["sales_billwise"]
+    b = t.raw_sales_billwise
+    n = F.col("bill_no").cast("long")
+    slices = max(EXPORT_FILES, -(-t.base("orders").count() // EXPORT_ROWS))
+    cells = []
+    for i, (h, c) in enumerate(hmap.items()):
+        if c in b.columns:
+            cells.append(F.col(c).cast("string").alias(h))
+        elif c in NUMERIC["sales_billwise"]:
+            cells.append((n % (i + 2)).cast("string").alias(h))
+        else:
+            cells.append(F.concat(F.lit(f"{c} "), (n % (i + 2)).cast("string")).alias(h))
+    body = b.select((n % slices).alias("_slice"), F.lit(0).alias("_total"), *cells)
+    q = lambda h: F.col(f"`{h}`")  # noqa: E731 - export headers contain dots
+    sums = ["Qty", "Net Total"]
+    totals = body.groupBy("_slice").agg(*[F.sum(q(h).cast("decimal(18,4)")).cast("string").alias(h) for h in sums])
+    totals = totals.select("_slice", F.lit(1).alias("_total"), *[q(h) if h in sums else F.lit(None).cast("string").alias(h) for h in hmap])
+    rows = body.unionByName(totals)
+    headers = list(hmap)
+    for order in range(3):
+        cols = {0: headers, 1: headers[::-1], 2: [h for h in headers if h != "Paytm" and not (broken and h == "Net Total")]}[order]
+        named = [q(h).alias("Net\u00a0Total") if order == 1 and h == "Net Total" else q(h) for h in cols]
+        (rows.where(F.col("_slice") % 3 == order).repartition("_slice").sortWithinPartitions("_slice", "_total", q("Bill No."))
+         .select("_slice", *named).write.partitionBy("_slice").option("header", True).csv(f"{folder}/order={order}"))
+    return folder

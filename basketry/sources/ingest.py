@@ -1,65 +1,102 @@
 """Report ingestion: CSV exports -> typed raw rows with lineage.
 
-Every step is a DataFrame transformation over *all* new files at once:
-header normalisation and the required-column check work on column names
-only; the trailing totals row of a file is found as that file's last row
-(non-splittable read, per-file max position, left-anti join) without any
-collection; file-level dedup is a left-anti join of content hashes against
-the ledger; row-level dedup is a window over the key within the batch plus a
-left-anti join against what is already loaded.
+Columns are matched by name in every file on its own: the reader takes cells
+without a header, the first record of each file is that file's header, and a
+small per-file table says at which position each known header stands. Files of
+one report may order their columns differently or leave optional ones out; a
+file that lacks a required one fails alone. The trailing totals row of a file
+is its last record. File-level dedup compares content hashes with the ledger;
+row-level dedup is a window over the key within the batch plus a left-anti
+join against what is loaded. Batch and stream use the same functions.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import clean_cell
 from ..functions.numeric import MONEY
 
 # ---------------------------------------------------------------------------
-# Export header -> raw column, per report type (the columns the
-# warehouse reads; other headers are ignored), required headers, numeric
-# columns, and the row-level dedup keys.
-HEADER_MAP = {
+# The exports' headers in their order, the headers whose raw
+# column has a name of its own, required headers, numeric columns, reports
+# with a totals row, and the row-level dedup keys.
+_GST = (0, 3, 5, 12, 18, 28, 40)
+
+
+def _half(rate: int) -> str:
+    return f"{rate / 2:g}"
+
+
+HEADERS = {
+    "sales_itemwise": [
+        "Store Name", "Sale Location", "Operator", "Bill No.", "Date", "Sale To", "Customer", "Mobile No", "GSTIN No",
+        "Item Name", "Barcode", "HSN Code", "Brand", "Size", "Colour", "Style", "Expiry Date", "Qty", "Free Qty",
+        "Cur Stk", "MRP", "Total MRP", "Rate", "Total Rate", "Disc1(%)", "Disc1(Rs)", "Other Discount(Rs)",
+        "Total Discount(Rs)", "Taxable Amt.",
+        *[f"{tax}({u})" for tax in ("IGST", "CGST", "SGST", "CESS") for u in ("%", "Rs")],
+        "Gross Amount", "Round Off", "Net Total"],
+    "sales_billwise": [
+        "Location", "Sale Type", "Bill Type", "Sale ID", "Bill No.", "Operator", "Date", "Dispatch Mode", "GST Type",
+        "Sale To", "Cust. Name", "Cust. Mobile", "Cust. Address", "Cust. City", "Cust. State", "Company Name",
+        "GSTIN No.", "Qty", "Total MRP", "Total Rate", "Gross Sale", "Cust Disc %", "Cust Discount",
+        "Bill Discount %", "Bill Discount", "Extra Discount %", "Extra Discount", "Membercard Disc.",
+        "Total Discount", "Taxable Amt.",
+        *[f"GST-{r}" for r in _GST], *[f"taxable Amt{r}  %" for r in _GST], *[f"IGST {r} %" for r in _GST[1:]],
+        *[f"CGST {_half(r)} %" for r in _GST[1:]], *[f"SGST {_half(r)} %" for r in _GST[1:]],
+        "Total IGST", "Total CGST", "Total SGST", "Net Tax", "Other Charges", "Credit Amt", "CN Adjust", "CN Amount",
+        "Cash", "Card", "Google Pay", "Phone Pe", "Paytm", "Actual Cash", "Cash Return", "Round Off", "Net Total"],
+    "purchase_itemwise": [
+        "Purchase Id", "Purchase Reference Id", "Invoice No", "Pur.Date", "Supplier", "Barcode", "Item Name",
+        "HSN Code", "Tax Type", "GST (%)", "Min Stock", "Max Stock", "Expiry Date", "Brand", "QTY - PHM",
+        "Free Qty- PHM", "QTY - WH", "Free Qty- WH", "Total Qty", "Profit(%)", "Taxable Value", "MRP", "Rate"],
+    "purchase_billwise": [
+        "Location", "Age", "ID", "Ref. ID", "Invoice", "Date", "Time", "Supplier", "Supplier Type", "Status",
+        "Total Qty", "Total Disc1(Rs)", "Extra Disc", "Taxable Value", *[f"GST-{r}" for r in _GST],
+        "Total Tax", "Round Off", "Settled Amount", "Due Amount"],
+    "supplier_master": [
+        "Id", "Status", "Supplier Code", "Supplier Name", "Location", "Address", "Mobile", "Email", "Supplier Date",
+        "city", "Country", "State", "Register Type", "GSTIN / UID", "Tin No", "Pan No",
+        "Registered Invoice Start Duration", "Supplier Category", "Create Ledger", "Closing Balance"],
+    "item_combinations": [
+        "Item_Id", "Barcode", "Item Name", "HsnCode", "Tax Category", "Brand", "Size", "Colour", "Style",
+        "Expiry Date", "Purchase Price", "MRP", "Rate", "System Stock"],
+}
+_ITEM_TEXT = {"Item Name": "item_name_raw", "Brand": "brand_raw", "Size": "size_raw", "Colour": "colour_raw",
+              "Style": "style_raw", "Expiry Date": "expiry_date_raw"}
+#: Raw columns whose name does not follow from the header by ``column_of``'s rule.
+NAMED = {
     "sales_itemwise": {
-        "Sale Location": "sale_location", "Operator": "operator_name", "Bill No.": "bill_no",
-        "Date": "sale_datetime_raw", "Mobile No": "mobile", "Item Name": "item_name_raw", "Barcode": "barcode",
-        "HSN Code": "hsn_code", "Brand": "brand_raw", "Size": "size_raw", "Colour": "colour_raw",
-        "Expiry Date": "expiry_date_raw", "Qty": "sale_qty", "Free Qty": "free_qty",
-        "Cur Stk": "current_stock_snapshot", "MRP": "mrp", "Rate": "rate", "Taxable Amt.": "taxable_amount",
-        "Round Off": "round_off", "Net Total": "net_total",
-    },
+        **_ITEM_TEXT, "Operator": "operator_name", "Date": "sale_datetime_raw", "Customer": "customer_name",
+        "Mobile No": "mobile", "GSTIN No": "gstin", "Qty": "sale_qty", "Cur Stk": "current_stock_snapshot",
+        "Disc1(%)": "discount_percent", "Disc1(Rs)": "discount_amount", "Taxable Amt.": "taxable_amount"},
     "sales_billwise": {
-        "Location": "location_name", "Bill No.": "bill_no", "Operator": "operator_name",
-        "Date": "bill_datetime_raw", "Cust. Name": "customer_name_raw", "Cust. Mobile": "customer_mobile_raw",
-        "Qty": "total_qty", "Membercard Disc.": "membercard_discount", "Total Discount": "total_discount",
-        "Taxable Amt.": "taxable_amount", "Credit Amt": "credit_amount", "CN Amount": "cn_amount",
-        "Cash": "cash_amount", "Card": "card_amount", "Google Pay": "google_pay_amount",
-        "Phone Pe": "phonepe_amount", "Paytm": "paytm_amount", "Actual Cash": "actual_cash",
-        "Round Off": "round_off", "Net Total": "net_total",
-    },
+        "Location": "location_name", "Operator": "operator_name", "Date": "bill_datetime_raw",
+        "Cust. Name": "customer_name_raw", "Cust. Mobile": "customer_mobile_raw",
+        "Cust. Address": "customer_address_raw", "Cust. City": "customer_city_raw",
+        "Cust. State": "customer_state_raw", "GSTIN No.": "customer_gstin_raw", "Qty": "total_qty",
+        "Cust Disc %": "cust_discount_percent", "Bill Discount": "bill_discount_amount",
+        "Extra Discount": "extra_discount_amount", "Membercard Disc.": "membercard_discount",
+        "Taxable Amt.": "taxable_amount", **{f"GST-{r}": f"taxable_amt_{r}" for r in _GST},
+        **{f"taxable Amt{r}  %": f"taxable_amt_{r}_percent" for r in _GST},
+        **{f"IGST {r} %": f"igst_{r}" for r in _GST[1:]},
+        **{f"{t} {_half(r)} %": f"{t.lower()}_{_half(r).replace('.', '_')}" for t in ("CGST", "SGST") for r in _GST[1:]},
+        "Credit Amt": "credit_amount", "Cash": "cash_amount", "Card": "card_amount",
+        "Google Pay": "google_pay_amount", "Phone Pe": "phonepe_amount", "Paytm": "paytm_amount"},
     "purchase_itemwise": {
-        "Purchase Id": "purchase_id", "Invoice No": "invoice_no", "Pur.Date": "purchase_date_raw",
-        "Supplier": "supplier_name_raw", "Barcode": "barcode", "Item Name": "item_name_raw",
-        "HSN Code": "hsn_code", "Min Stock": "min_stock", "Brand": "brand_raw", "Total Qty": "total_qty",
-        "Taxable Value": "taxable_value", "MRP": "mrp", "Rate": "rate",
-    },
+        "Pur.Date": "purchase_date_raw", "Supplier": "supplier_name_raw", "Item Name": "item_name_raw",
+        "Expiry Date": "expiry_date_raw", "Brand": "brand_raw"},
     "purchase_billwise": {
-        "ID": "purchase_id", "Invoice": "invoice_no", "Date": "purchase_date_raw",
-        "Supplier": "supplier_name_raw", "Total Qty": "total_qty", "Taxable Value": "taxable_value",
-        "Total Tax": "tax_amount", "Round Off": "round_off", "Settled Amount": "settled_amount",
-        "Due Amount": "due_amount",
-    },
-    "supplier_master": {
-        "Supplier Code": "supplier_code_raw", "Supplier Name": "supplier_name_raw", "Mobile": "mobile_raw",
-        "city": "city_raw",
-    },
-    "item_combinations": {
-        "Item_Id": "item_id_raw", "Barcode": "barcode", "Item Name": "item_name_raw", "HsnCode": "hsn_code",
-        "Brand": "brand_raw", "Size": "size_raw", "Colour": "colour_raw", "Expiry Date": "expiry_date_raw",
-        "Purchase Price": "purchase_price", "MRP": "mrp", "Rate": "rate", "System Stock": "system_stock_snapshot",
-    },
+        "Location": "location_name", "ID": "purchase_id", "Invoice": "invoice_no", "Date": "purchase_date_raw",
+        "Time": "purchase_time_raw", "Supplier": "supplier_name_raw", "Extra Disc": "extra_disc_amount",
+        "Total Tax": "tax_amount"},
+    "supplier_master": {"Id": "supplier_id_raw", "GSTIN / UID": "gstin_raw"},
+    "item_combinations": {**_ITEM_TEXT, "Item_Id": "item_id_raw", "HsnCode": "hsn_code",
+                          "Tax Category": "tax_category_raw", "System Stock": "system_stock_snapshot"},
 }
 REQUIRED = {
     "sales_itemwise": ["Item Name", "Barcode", "Qty", "Net Total"],
@@ -69,16 +106,14 @@ REQUIRED = {
     "supplier_master": ["Supplier Code", "Supplier Name", "Mobile"],
     "item_combinations": ["Item_Id", "Barcode", "Item Name", "MRP"],
 }
-NUMERIC = {
-    "sales_itemwise": ["sale_qty", "free_qty", "current_stock_snapshot", "mrp", "rate", "taxable_amount",
-                       "round_off", "net_total"],
-    "sales_billwise": ["total_qty", "taxable_amount", "net_total", "round_off", "total_discount",
-                       "membercard_discount", "cash_amount", "actual_cash", "card_amount", "google_pay_amount",
-                       "phonepe_amount", "paytm_amount", "credit_amount", "cn_amount"],
-    "purchase_itemwise": ["min_stock", "total_qty", "taxable_value", "mrp", "rate"],
-    "purchase_billwise": ["total_qty", "taxable_value", "tax_amount", "round_off", "settled_amount", "due_amount"],
+#: Numeric headers: a slice of the header list, or a list.
+_NUMBERS = {
+    "sales_itemwise": HEADERS["sales_itemwise"][17:],
+    "sales_billwise": HEADERS["sales_billwise"][17:],
+    "purchase_itemwise": ["Min Stock", "Max Stock", *HEADERS["purchase_itemwise"][14:]],
+    "purchase_billwise": ["Age", *HEADERS["purchase_billwise"][10:]],
     "supplier_master": [],
-    "item_combinations": ["mrp", "purchase_price", "rate", "system_stock_snapshot"],
+    "item_combinations": ["Purchase Price", "MRP", "Rate", "System Stock"],
 }
 HAS_TOTALS_ROW = {"sales_billwise", "purchase_itemwise", "purchase_billwise"}
 DEDUP_KEYS = {
@@ -90,74 +125,225 @@ DEDUP_KEYS = {
 # ---------------------------------------------------------------------------
 
 
+def column_of(report_type: str, header: str) -> str:
+    """Raw column of a header: its words in lower case, ``%`` as percent, ``(Rs)`` as amount, unless named."""
+    named = NAMED[report_type].get(header)
+    if named:
+        return named
+    words = header.replace("(Rs)", " amount").replace("%", " percent").lower()
+    name = "_".join(re.findall(r"[a-z0-9]+", words))
+    return name + "_raw" if report_type == "supplier_master" else name
+
+
+HEADER_MAP = {r: {h: column_of(r, h) for h in hs} for r, hs in HEADERS.items()}
+NUMERIC = {r: [HEADER_MAP[r][h] for h in hs] for r, hs in _NUMBERS.items()}
+#: Columns that a file may have beside the known ones; a wider file fails instead of losing cells.
+SPARE_COLUMNS = 64
+#: Rows are written with these beside the report's columns.
+LINEAGE = ["source_file_name", "import_batch_id", "imported_at"]
+
+
 def normalize_header(h: str) -> str:
-    """NBSP / newlines -> space, trimmed (column names only)."""
-    return " ".join(h.replace(" ", " ").replace("\n", " ").replace("\r", " ").split())
+    """NBSP and line breaks -> space, trimmed; inner spaces stay (column names only)."""
+    return h.replace(" ", " ").replace("\r\n", " ").replace("\n", " ").replace("\r", " ").strip()
+
+
+def _normal(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, " |\r\n|\n|\r", " "))
+
+
+def cell_schema(report_type: str) -> StructType:
+    return StructType([StructField(f"_c{i}", StringType()) for i in range(len(HEADERS[report_type]) + SPARE_COLUMNS + 1)])
 
 
-def check_required(columns: list[str], report_type: str) -> None:
-    """Fail loudly, before any job, when required headers are missing."""
-    missing = [c for c in REQUIRED[report_type] if c not in columns]
-    if missing:
-        raise ValueError(f"{report_type}: missing required columns {missing}")
+def cells(raw: DataFrame) -> DataFrame:
+    """Header-less CSV rows as (file, _pos, _cells): ``_pos`` orders the records of a file.
+
+    Blocks of a file are ordered by their offset and the rows of a block by a
+    growing id, so the order holds for split files too.
+    """
+    names = [c for c in raw.columns if re.fullmatch(r"_c\d+", c)]
+    return raw.select(
+        F.col("_metadata.file_path").alias("source_file_name"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_pos"),
+        F.array(*names).alias("_cells"))
+
+
+def read_cells(spark: SparkSession, paths: list[str] | str, report_type: str, multi_line: bool = True) -> DataFrame:
+    """Cells of all files. ``multi_line=False`` splits large files whose cells hold no line breaks."""
+    return cells(spark.read.schema(cell_schema(report_type)).option("header", False).option("multiLine", multi_line)
+                 .option("enforceSchema", True).csv(paths))
+
+
+def file_headers(rows: DataFrame, report_type: str, drop_totals: bool | None = None) -> DataFrame:
+    """S7 S8 S16, one row per file: _first, _last, _index (place of each known header), row_count, error_message.
+
+    ``row_count`` is the number of records before loading, without the header
+    and the totals row. A file that lacks a required header, or is wider than
+    the reader, has an ``error_message`` and a null count.
+    """
+    totals = report_type in HAS_TOTALS_ROW if drop_totals is None else drop_totals
+    known = [normalize_header(h) for h in HEADERS[report_type]]
+    per = rows.groupBy("source_file_name").agg(
+        F.min("_pos").alias("_first"), F.max("_pos").alias("_last"), F.min_by("_cells", "_pos").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    head = F.transform("_head", lambda h: F.coalesce(_normal(h), F.lit("")))
+    missing = F.array(*[F.when(~F.array_contains("_head", normalize_header(h)), F.lit(h)) for h in REQUIRED[report_type]])
+    per = per.withColumn("_head", head).withColumn("_missing", F.array_compact(missing))
+    wide = F.element_at("_head", -1) != ""
+    error = (F.when(F.size("_missing") > 0, F.concat(F.lit("missing required columns: "), F.array_join("_missing", ", ")))
+             .when(wide, F.lit(f"more than {len(known) + SPARE_COLUMNS} columns")))
+    index = F.array(*[F.array_position("_head", h) for h in known])
+    count = F.greatest(F.col("_n") - (2 if totals else 1), F.lit(0))
+    return per.select("source_file_name", "_first", "_last", index.alias("_index"), F.lit(totals).alias("_totals"),
+                      F.when(error.isNull(), count).alias("row_count"), error.alias("error_message"))
+
+
+def inexact(c: Column) -> Column:
+    """True where text is no number, or a number that the money type cannot hold without rounding."""
+    wide = c.try_cast("decimal(38,18)")
+    return c.isNotNull() & (wide.isNull() | c.try_cast(MONEY).isNull() | (wide != c.try_cast(MONEY).cast("decimal(38,18)")))
+
+
+def typed_rows(rows: DataFrame, files: DataFrame, report_type: str, batch_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, quarantine) of the files without an error.
+
+    Rows keep ``_order`` (file name, position), by which the first of equal
+    keys wins. Quarantined rows keep their text and the reason.
+    """
+    good = files.where(F.col("error_message").isNull()).select("source_file_name", "_first", "_last", "_index", "_totals")
+    body = rows.join(good, "source_file_name").where(
+        (F.col("_pos") > F.col("_first")) & ~(F.col("_totals") & (F.col("_pos") == F.col("_last"))))
+    columns = list(HEADER_MAP[report_type].values())
+    places = [i for i, c in enumerate(columns) if c in NUMERIC[report_type]]
+    # one array per row, not one expression per column, keeps the plan small at 79 columns
+    picked = F.transform("_index", lambda i: clean_cell(F.get("_cells", (i - 1).cast("int"))))
+    text = body.select("source_file_name", F.struct("source_file_name", "_pos").alias("_order"), picked.alias("_text"))
+    bad = (F.filter(F.array(*[F.lit(i) for i in places]), lambda i: inexact(F.get("_text", i))) if places
+           else F.array().cast("array<int>"))
+    flagged = text.withColumn("_bad", bad)
+    cell = [F.get("_text", F.lit(i)) for i in range(len(columns))]
+    good_rows = (flagged.where(F.size("_bad") == 0)
+                 .select(*[(cell[i].try_cast(MONEY) if i in places else cell[i]).alias(c) for i, c in enumerate(columns)],
+                         "source_file_name", "_order")
+                 .withColumn("import_batch_id", F.lit(batch_id).cast("long")).withColumn("imported_at", F.current_timestamp()))
+    names = F.array(*[F.lit(c) for c in columns])
+    quarantine = flagged.where(F.size("_bad") > 0).select(
+        *[cell[i].alias(c) for i, c in enumerate(columns)], "source_file_name",
+        F.concat(F.lit("bad_numeric: "), F.array_join(F.transform("_bad", lambda i: F.get(names, i)), ", ")).alias("reason"))
+    return good_rows, quarantine
 
 
 def read_report(spark: SparkSession, paths: list[str] | str, report_type: str, batch_id: int = 0,
-                drop_totals: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """(typed rows, quarantine) for one report type over many files."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-    raw = reader.csv(paths)
-    renamed = raw.toDF(*[normalize_header(c) for c in raw.columns])
-    check_required(renamed.columns, report_type)
-    hmap = {k: v for k, v in HEADER_MAP[report_type].items() if k in renamed.columns}
-    df = renamed.select(*[clean_cell(F.col(f"`{k}`")).alias(v) for k, v in hmap.items()],
-                        F.col("_metadata.file_path").alias("source_file_name"))
-    if drop_totals if drop_totals is not None else report_type in HAS_TOTALS_ROW:
-        # multiLine reads keep one file per partition, so the id grows with row order.
-        df = df.withColumn("_pos", F.monotonically_increasing_id())
-        last = df.groupBy("source_file_name").agg(F.max("_pos").alias("_pos"))
-        df = df.join(last, ["source_file_name", "_pos"], "left_anti").drop("_pos")
-    bad = F.lit(False)
-    typed = []
-    for c in df.columns:
-        if c in NUMERIC[report_type]:
-            typed.append(F.col(c).try_cast(MONEY).alias(c))
-            bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(MONEY).isNull())
-        else:
-            typed.append(F.col(c))
-    flagged = df.withColumn("_bad", bad)
-    rows = (flagged.filter(~F.col("_bad")).select(*typed)
-            .withColumn("import_batch_id", F.lit(batch_id).cast("long"))
-            .withColumn("imported_at", F.current_timestamp()))
-    quarantine = flagged.filter(F.col("_bad")).drop("_bad").withColumn("reason", F.lit("bad_numeric"))
-    return rows, quarantine
+                drop_totals: bool | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(typed rows, quarantine, files) of one report type over many files."""
+    rows = read_cells(spark, paths, report_type, multi_line)
+    files = file_headers(rows, report_type, drop_totals)
+    good, quarantine = typed_rows(rows, files, report_type, batch_id)
+    return good, quarantine, files
+
+
+def require_columns(files: DataFrame, report_type: str) -> None:
+    """S8 as an error: raise with the files that do not match the report (at most 20 are named)."""
+    bad = files.where(F.col("error_message").isNotNull()).select("source_file_name", "error_message").limit(20).collect()
+    if bad:
+        raise ValueError(f"{report_type}: " + "; ".join(f"{r[0]}: {r[1]}" for r in bad))
+
+
+#: Files above this size are hashed by lines, since one row cannot hold them.
+WHOLE_FILE_BYTES = 1 << 30
 
 
 def file_manifest(spark: SparkSession, paths: list[str] | str, ledger: DataFrame | None,
                   report_type: str) -> DataFrame:
-    """Content hash per file and whether it is new (dry run = this frame)."""
-    files = (spark.read.format("binaryFile").load(paths)
-             .select(F.col("path").alias("file_name"), F.sha2(F.col("content"), 256).alias("file_hash"),
-                     "modificationTime")
-             .withColumn("report_type", F.lit(report_type)))
+    """Content hash per file and whether it is new (a dry run is this frame).
+
+    A file is new if the ledger does not have its hash, whatever the status
+    was, and no file with a smaller name has the same content. Small files are
+    hashed whole; a large one by its length and two sums over its lines.
+    """
+    listed = spark.read.format("binaryFile").load(paths)
+    small = listed.where(F.col("length") <= WHOLE_FILE_BYTES).select(
+        F.col("path").alias("file_name"), F.sha2(F.col("content"), 256).alias("file_hash"), "modificationTime")
+    large = listed.where(F.col("length") > WHOLE_FILE_BYTES).select(F.col("path").alias("file_name"), "modificationTime", "length")
+    files = small
+    names = [r["file_name"] for r in large.select("file_name").collect()]
+    if names:
+        line = F.struct(F.col("_metadata.file_block_start"), F.col("value"))
+        sums = (spark.read.text(names).select(F.col("_metadata.file_path").alias("file_name"),
+                                              F.xxhash64("value").cast("decimal(38,0)").alias("a"), F.xxhash64(line, F.lit(1)).cast("decimal(38,0)").alias("b"))
+                .groupBy("file_name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")))
+        digest = F.sha2(F.concat_ws(":", "length", "n", "a", "b"), 256)
+        files = small.unionByName(large.join(sums, "file_name").select("file_name", digest.alias("file_hash"), "modificationTime"))
+    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_name")) == 1
+    files = files.withColumn("report_type", F.lit(report_type)).withColumn("_first", first)
     if ledger is None:
-        return files.withColumn("is_new", F.lit(True))
-    done = ledger.filter(F.col("status") == "SUCCESS").select("file_hash").distinct().withColumn("_seen", F.lit(True))
+        return files.withColumnRenamed("_first", "is_new")
+    done = ledger.select("file_hash").distinct().withColumn("_seen", F.lit(True))
     return files.join(done, "file_hash", "left").select(
-        "file_name", "file_hash", "report_type", "modificationTime", F.col("_seen").isNull().alias("is_new"))
+        "file_name", "file_hash", "report_type", "modificationTime", (F.col("_first") & F.col("_seen").isNull()).alias("is_new"))
 
 
 def latest_file(manifest: DataFrame) -> DataFrame:
-    """Newest file per report type by modification time."""
-    return manifest.groupBy("report_type").agg(F.max_by("file_name", "modificationTime").alias("file_name"))
+    """Newest file per report type by modification time, then name."""
+    return manifest.groupBy("report_type").agg(
+        F.max_by("file_name", F.struct("modificationTime", "file_name")).alias("file_name"))
+
+
+LEDGER = ("id long, file_name string, file_hash string, report_type string, row_count long, status string, "
+          "error_message string, imported_at timestamp")
+
+
+def ledger_rows(files: DataFrame, manifest: DataFrame, batch_id: int) -> DataFrame:
+    """One ledger row per new file: its hash, its records before loading, SUCCESS or FAILED with the error."""
+    new = manifest.where("is_new").select("file_name", "file_hash", "report_type")
+    seen = files.select(F.col("source_file_name").alias("file_name"), "row_count", "error_message")
+    empty = F.col("row_count").isNull() & F.col("error_message").isNull()  # no record at all
+    error = F.when(empty, F.lit("empty file")).otherwise(F.col("error_message"))
+    return new.join(seen, "file_name", "left").select(
+        F.lit(batch_id).cast("long").alias("id"), "file_name", "file_hash", "report_type", "row_count",
+        F.when(error.isNull(), F.lit("SUCCESS")).otherwise(F.lit("FAILED")).alias("status"),
+        error.alias("error_message"), F.current_timestamp().alias("imported_at"))
+
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-def ledger_rows(rows: DataFrame, batch_id: int, report_type: str) -> DataFrame:
-    """One ledger row per file with its loaded row count."""
-    return (rows.groupBy("source_file_name").agg(F.count(F.lit(1)).alias("row_count"))
-            .select(F.lit(batch_id).cast("long").alias("id"), F.col("source_file_name").alias("file_name"),
-                    F.lit(report_type).alias("report_type"), "row_count", F.lit("SUCCESS").alias("status"),
-                    F.current_timestamp().alias("imported_at")))
+
+def ingest_batch(spark: SparkSession, paths: list[str] | str, report_type: str, table: str, ledger: str,
+                 batch_id: int, multi_line: bool = True) -> DataFrame:
+    """S10-S20 in one chain: manifest -> read the new files -> dedup -> append -> ledger; returns the new ledger rows.
+
+    A batch writes its own folders (``import_batch_id=``) of the raw table,
+    its quarantine and the ledger, and overwrites them, so a batch that runs
+    again after a failure leaves nothing twice. The ledger is written last:
+    until then the files count as new.
+    """
+    mine = f"import_batch_id={batch_id}"
+
+    def earlier(path: str) -> DataFrame | None:
+        if not path_exists(spark, path):
+            return None
+        return spark.read.option("basePath", path).parquet(path).where(F.col("import_batch_id") != batch_id)
+
+    manifest = file_manifest(spark, paths, earlier(ledger), report_type)
+    manifest.write.mode("overwrite").parquet(f"{ledger}_manifest/{mine}")
+    manifest = spark.read.parquet(f"{ledger}_manifest/{mine}")
+    names = [r["file_name"] for r in manifest.where("is_new").select("file_name").collect()]  # the driver lists these files anyway
+    if names:
+        rows, quarantine, files = read_report(spark, names, report_type, batch_id, multi_line=multi_line)
+        keys = DEDUP_KEYS.get(report_type)
+        if keys:
+            before = earlier(table)
+            loaded = before if before is not None else rows.limit(0)
+            rows = load_dedup(loaded.select(*keys), rows, keys, "_order")
+        rows.drop("_order", "import_batch_id").write.mode("overwrite").parquet(f"{table}/{mine}")
+        quarantine.write.mode("overwrite").parquet(f"{table}_quarantine/{mine}")
+        entries = ledger_rows(files, manifest, batch_id)
+    else:
+        entries = spark.createDataFrame([], LEDGER)
+    entries.write.mode("overwrite").parquet(f"{ledger}/{mine}")
+    return spark.read.parquet(f"{ledger}/{mine}")
 
 
 def _key_null(keys: list[str]) -> Column:
@@ -189,34 +375,48 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order_col: st
     return kept.unionByName(first.select(*existing.columns))
 
 
-def insert_if_absent(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """New keys only; existing rows stay as they are."""
-    return existing.unionByName(batch.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
-
-
 # File-name substrings that route a dropped export to its report type.
 ROUTES = [
-    ("sales_itemwise", ["itemwise_sale", "sales_itemwise", "sale_itemwise", "item wise sale"]),
-    ("sales_billwise", ["billwise_sale", "sales_billwise", "sale_billwise", "bill wise sale"]),
-    ("purchase_itemwise", ["purchase_itemwise", "itemwise_purchase"]),
-    ("purchase_billwise", ["purchase_billwise", "billwise_purchase"]),
-    ("supplier_master", ["supplier_master", "supplier"]),
-    ("item_combinations", ["item_combination", "item_master"]),
+    ("sales_itemwise", ["sales-itemwise"]),
+    ("sales_billwise", ["sales-billwise"]),
+    ("purchase_itemwise", ["purchase-itemwise"]),
+    ("purchase_billwise", ["purchase-billwise"]),
+    ("supplier_master", ["supplier-master"]),
+    ("item_combinations", ["item-combination", "item-master"]),
 ]
 
 
 def route_files(files: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Report type from the lower-cased file name (first matching route wins)."""
-    n = F.lower(F.col(name_col))
-    rt = None
-    for report, keys in ROUTES:
-        cond = None
+    """Report type from the file's own name in lower case, blanks and ``_`` read as ``-`` (first route wins)."""
+    n = F.regexp_replace(F.lower(F.element_at(F.split(F.col(name_col), "/"), -1)), "%20|[ _]", "-")
+    rt = F.lit(None).cast("string")
+    for report, keys in reversed(ROUTES):
+        cond = F.lit(False)
         for k in keys:
-            cond = n.contains(k) if cond is None else (cond | n.contains(k))
-        rt = F.when(cond, F.lit(report)) if rt is None else rt.when(cond, F.lit(report))
+            cond = cond | n.contains(k)
+        rt = F.when(cond, F.lit(report)).otherwise(rt)
     return files.withColumn("report_type", rt)
 
 
-def append_rows(rows: DataFrame, table_path: str) -> None:
-    """Append a loaded batch to its raw table (parallel write, no chunking needed)."""
-    rows.write.mode("append").parquet(table_path)
+# ---------------------------------------------------------------- counted quarantine
+def quarantine_counts(bills: DataFrame, items: DataFrame, pbills: DataFrame, pitems: DataFrame) -> DataFrame:
+    """Rows of each raw table that the derived tables leave out, by reason (table, reason, rows).
+
+    One pass per table; every check is a conditional count, so nothing is
+    dropped without a number.
+    """
+    from ..functions.cleaning import export_date, plain_date
+
+    def count(df: DataFrame, table: str, **reasons: Column) -> DataFrame:
+        one = df.agg(*[F.count_if(c).alias(r) for r, c in reasons.items()])
+        pairs = F.map_from_arrays(F.array(*[F.lit(r) for r in reasons]), F.array(*[F.col(r) for r in reasons]))
+        return one.select(F.lit(table).alias("table"), F.explode(pairs).alias("reason", "rows"))
+
+    def dated(c: str, parse) -> dict[str, Column]:
+        return {"null_date": F.col(c).isNull(), "bad_date": F.col(c).isNotNull() & parse(c).isNull()}
+
+    no_code = {"null_barcode": F.col("barcode").isNull()}
+    return (count(bills, "raw_sales_billwise", **dated("bill_datetime_raw", export_date))
+            .unionByName(count(items, "raw_sales_itemwise", **dated("sale_datetime_raw", export_date), **no_code))
+            .unionByName(count(pbills, "raw_purchase_billwise", **dated("purchase_date_raw", plain_date)))
+            .unionByName(count(pitems, "raw_purchase_itemwise", **dated("purchase_date_raw", plain_date), **no_code)))

@@ -2,12 +2,12 @@
 
 Spark cannot overwrite a path it is reading, so a rebuild writes every table
 to a fresh run folder and readers switch to it only after the run completes
-(the ``_PUBLISHED`` marker names the current run).
+(the newest folder under ``_PUBLISHED`` names the current run).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,14 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def safe_name(c) -> F.Column:
-    """File-safe supplier name: spaces -> '_', '/' -> '-', other odd characters dropped, 40 chars."""
-    c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("NO_SUPPLIER")), " ", "_"), "/", "-")
-    return F.substring(F.regexp_replace(s, r"[^A-Za-z0-9_\-.]", ""), 1, 40)
+def safe_name(c: str | Column) -> Column:
+    """File-safe supplier name: odd characters become ``_``, and a hash of the raw name keeps names apart.
+
+    Letters, digits, space, ``-``, ``_`` and ``.`` of any script stay, at any
+    length; two names that differ anywhere get two files.
+    """
+    raw = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("NO_SUPPLIER"))
+    return F.concat(F.trim(F.regexp_replace(raw, r"[^\p{L}\p{N} _.\-]", "_")), F.lit("-"), F.substring(F.sha2(raw, 256), 1, 8))
 
 
 def write_supplier_sheets(sheet: DataFrame, path: str, supplier_col: str = "supplier_name") -> None:

@@ -1,79 +1,124 @@
-"""Structured Streaming jobs: incremental ingest (T1-T3) and daily sales (T4).
-
-``stream_ingest`` watches a drop folder of CSV exports with a fixed schema;
-each micro-batch goes through the same cleaning and first-wins dedup as the
-batch path inside ``foreachBatch`` and is appended to a parquet table.
-``stream_daily_sales`` maintains bills and revenue per day with an
-event-time watermark so a late bill still updates its day.
+"""Structured Streaming jobs: incremental ingest (T1-T3) and daily tables (T4).
+
+``stream_ingest`` watches a drop folder of CSV exports. Each micro-batch goes
+through the functions of the batch path (header per file, cleaning, typing,
+quarantine, lineage, first-wins dedup). A micro-batch writes folders named by
+its epoch and overwrites them, so a replayed epoch leaves nothing twice.
+``run_daily_stream`` keeps one state row per calendar day, without a
+watermark: a bill that comes late, however late, still updates its day.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from ..functions.cleaning import export_date
+from ..sources import ingest
+
+#: Folders by key hash, so that dedup reads only those that a micro-batch touches.
+BUCKETS = 64
 
-from ..functions.cleaning import export_timestamp
-from ..sources.ingest import HAS_TOTALS_ROW, HEADER_MAP, load_dedup
 
+def _bucket(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-def export_schema(report_type: str) -> StructType:
-    return StructType([StructField(h, StringType()) for h in HEADER_MAP[report_type]])
+
+def loaded_before(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
+    """Rows of earlier epochs, None before the first. A read error is an error, not an empty table."""
+    if not ingest.path_exists(spark, path):
+        return None
+    return spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch_id)
 
 
 def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: str, checkpoint: str,
-                  keys: list[str]):
-    """New files -> typed, deduplicated rows appended to ``target`` (availableNow)."""
-    src = (spark.readStream.schema(export_schema(report_type)).option("header", True)
-           .option("multiLine", True).option("pathGlobFilter", "[!.~]*").csv(folder))
-    hmap = HEADER_MAP[report_type]
-    mapped = src.select(*[F.col(f"`{h}`").alias(c) for h, c in hmap.items()],
-                        F.col("_metadata.file_path").alias("source_file_name"))
+                  keys: list[str] | None = None, after: Callable[[DataFrame, int], None] | None = None,
+                  multi_line: bool = True, files_per_batch: int | None = None):
+    """New files -> typed, deduplicated rows under ``target`` (availableNow).
+
+    ``after(fresh, epoch)`` runs once the rows of a batch are written.
+    Quarantined rows go to ``target``_quarantine, files that do not match the
+    report to ``target``_failed.
+    """
+    keys = keys or ingest.DEDUP_KEYS[report_type]
+    reader = (spark.readStream.schema(ingest.cell_schema(report_type)).option("header", False)
+              .option("multiLine", multi_line).option("pathGlobFilter", "[!.~]*"))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    src = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # row position inside the (static) micro-batch decides "first wins"
-        batch = batch.withColumn("_pos", F.monotonically_increasing_id())
-        if report_type in HAS_TOTALS_ROW:  # S10: each file's last row is its totals row
-            last = batch.groupBy("source_file_name").agg(F.max("_pos").alias("_pos"))
-            batch = batch.join(last, ["source_file_name", "_pos"], "left_anti")
-        try:
-            existing = spark.read.parquet(target)
-        except Exception:  # noqa: BLE001 - first batch: nothing loaded yet
-            existing = batch.limit(0)
-        fresh = load_dedup(existing.select(*keys), batch, keys, "_pos")
-        fresh.drop("_pos").write.mode("append").parquet(target)
-
-    return (mapped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        names = [c for c in batch.columns if c.startswith("_c")]
+        rows = batch.select(F.col("_file").alias("source_file_name"), F.array(*names).alias("_cells"),
+                            F.struct(F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_pos"))
+        files = ingest.file_headers(rows, report_type)
+        typed, quarantine = ingest.typed_rows(rows, files, report_type, epoch_id)
+        typed = typed.withColumn("bucket", F.coalesce(_bucket(keys), F.lit(0)))
+        before = loaded_before(spark, target, epoch_id)
+        if before is None:
+            before = typed.limit(0)
+        else:
+            touched = [r[0] for r in typed.select("bucket").distinct().collect()]  # at most BUCKETS
+            before = before.where(F.col("bucket").isin(touched))
+        fresh = ingest.load_dedup(before.select(*keys), typed, keys, "_order")
+        fresh.drop("_order").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/epoch={epoch_id}")
+        quarantine.write.mode("overwrite").parquet(f"{target}_quarantine/epoch={epoch_id}")
+        (files.where(F.col("error_message").isNotNull()).select("source_file_name", "error_message")
+         .write.mode("overwrite").parquet(f"{target}_failed/epoch={epoch_id}"))
+        if after is not None:
+            after(spark.read.schema(fresh.drop("_order").schema).parquet(f"{target}/epoch={epoch_id}"), epoch_id)
+
+    return (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def daily_sales_stream(bills: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """T4: bills and revenue per day on a streaming bill frame (update mode)."""
-    ts = export_timestamp("bill_datetime_raw")
-    return (bills.select(ts.alias("bill_ts"), F.col("net_total").cast("decimal(18,4)").alias("net_total"))
-            .filter(F.col("bill_ts").isNotNull())
-            .withWatermark("bill_ts", watermark)
-            .groupBy(F.window("bill_ts", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("total_bills"), F.sum("net_total").alias("_rev"))
-            .select(F.to_date(F.col("w.start")).alias("sale_date"), "total_bills",
-                    F.col("_rev").cast("double").alias("total_revenue")))
+def recompute_days(target: str, days: str, daily: Callable[[DataFrame], DataFrame],
+                   date_col: str = "bill_datetime_raw", day: str = "sale_date") -> Callable[[DataFrame, int], None]:
+    """An ``after`` step that recomputes, from the raw table, every day that the new rows touch.
+
+    The touched days (one row per day) select the raw rows; their new values
+    go to a folder of the epoch, and :func:`current_days` reads the newest.
+    """
+    def step(fresh: DataFrame, epoch_id: int) -> None:
+        spark = fresh.sparkSession
+        touched = fresh.select(export_date(date_col).alias("_day")).where(F.col("_day").isNotNull()).distinct()
+        raw = spark.read.option("basePath", target).parquet(target).where(F.col("epoch") <= epoch_id)
+        rows = raw.withColumn("_day", export_date(date_col)).join(touched, "_day", "left_semi").drop("_day")
+        daily(rows).write.mode("overwrite").parquet(f"{days}/epoch={epoch_id}")
+    return step
+
+
+def current_days(spark: SparkSession, days: str, day: str = "sale_date") -> DataFrame:
+    """The newest value of each day of a table that epochs write."""
+    t = spark.read.option("basePath", days).parquet(days)
+    rest = [c for c in t.columns if c not in (day, "epoch")]
+    return (t.groupBy(day).agg(F.max_by(F.struct(*rest), "epoch").alias("_v")).select(day, *[F.col(f"_v.{c}").alias(c) for c in rest]))
+
+
+def daily_sales(bills: DataFrame) -> DataFrame:
+    """Bills and revenue per day; the same on a stream and on a table."""
+    return (bills.select(export_date("bill_datetime_raw").alias("sale_date"), F.col("net_total").cast("decimal(18,4)").alias("net_total"))
+            .where(F.col("sale_date").isNotNull()).groupBy("sale_date")
+            .agg(F.count(F.lit(1)).alias("total_bills"), F.sum("net_total").cast("double").alias("total_revenue")))
 
 
-def run_daily_sales_stream(spark: SparkSession, source_dir: str, schema: StructType, target: str,
-                           checkpoint: str, watermark: str = "2 days") -> DataFrame:
-    """T4 end to end: file stream -> windowed update-mode aggregate -> versioned day table.
+def run_daily_stream(spark: SparkSession, source_dir: str, schema: StructType, target: str, checkpoint: str,
+                     daily: Callable[[DataFrame], DataFrame] = daily_sales, files_per_batch: int = 64) -> DataFrame:
+    """T4: file stream -> update-mode aggregate by day -> the newest value of each day.
 
-    Each micro-batch appends its updated days tagged with the epoch; the
-    table's current state is the newest epoch per day (upsert on read).
+    ``daily`` is an aggregate by ``sale_date`` (sales or payments). Its state
+    has one row per day, which days bound, so no day is ever closed. A replayed
+    epoch overwrites its own folder.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}")
 
-    q = (daily_sales_stream(stream, watermark).writeStream.outputMode("update").foreachBatch(sink)
+    q = (daily(stream).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    t = spark.read.parquet(target)
-    return (t.groupBy("sale_date").agg(F.max_by(F.struct("total_bills", "total_revenue"), "_epoch").alias("_v"))
-            .select("sale_date", "_v.total_bills", "_v.total_revenue"))
+    return current_days(spark, target)

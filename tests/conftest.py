@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from basketry.session import get_spark
-    s = get_spark("local[4]", 4)
+    s = get_spark("local[4]", 4, conf={"spark.driver.memory": "12g"})
     yield s
     s.stop()
 

@@ -1,7 +1,6 @@
 """Literal edge rows for the column cleaners."""
 
 import datetime as dt
-import re
 
 from pyspark.sql import functions as F
 
@@ -43,42 +42,22 @@ def test_walk_in(spark):
 
 
 def test_clean_cell(spark):
-    assert one_col(spark, ["2796.0", "12.5", "00123", "", "nan"], C.clean_cell) == \
-        ["2796", "12.5", "00123", None, None]
-
-
-def _py_title(raw):
-    """Brute-force reference behaviour: str.title + small words + hyphen re-capitalisation."""
-    if not raw or not raw.strip():
-        return None
-    name = re.sub(r"\s+", " ", raw.strip()).title()
-    for w in catalog.SMALL_WORDS:
-        name = re.sub(rf"\b{w}\b", w.lower(), name)
-    return re.sub(r"(?<=-)\w", lambda m: m.group().upper(), name)
-
-
-def test_title_case_matches_brute_force(spark):
-    vals = ["SUGAR-FREE  tea", "5KG atta", "salt and pepper", "the best OF india", "a-and-b",
-            "don't stop", "  ", "rice   AND dal 1kg"]
-    got = one_col(spark, vals, catalog.title_case)
-    assert got == [_py_title(v) for v in vals]
-
-
-def _py_normalize(name):
-    s = name.upper()
-    for pat, rep in entity.UNIT_FIXES:
-        s = re.sub(pat, rep.replace("$1", r"\1"), s)
-    s = re.sub(r"[^\w\s\-]", " ", s)
-    toks = [t for t in s.split() if t not in set(entity.NOISE_TOKENS)]
-    return " ".join(toks)
-
-
-def test_normalize_name_matches_brute_force(spark):
-    vals = ["SURF EXCEL 1KG", "Surf Excel 1 Kg", "Dettol 500ml", "Tata Salt 1kgs", "ABC Co. Ltd 2pcs",
-            "Amul (India) 200gm"]
-    got = one_col(spark, vals, entity.normalize_name)
-    assert got == [_py_normalize(v) for v in vals]
-    assert got[0] == got[1] == "SURF EXCEL 1 KG"
+    cells = {"2796.0": "2796", "12.5": "12.5", "00123": "00123", " x ": "x", "-3.00": "-3", "": None, "  ": None, "nan": None, "NaN": None,
+             "NA": None, "N/A": None, "NULL": None, "null": None, "None": None, "#N/A": None, "<NA>": None, "Nan bread": "Nan bread", "NAN": "NAN"}
+    assert one_col(spark, list(cells), C.clean_cell) == list(cells.values())
+
+
+def test_title_case_literals(spark):
+    titles = {"SUGAR-FREE  tea": "Sugar-Free Tea", "5KG atta": "5Kg Atta", "salt and pepper": "Salt and Pepper", "the best OF india": "the Best of India",
+              "a-and-b": "a-And-B", "don't stop": "Don'T Stop", "  ": None, "rice   AND dal 1kg": "Rice and Dal 1Kg", "CAFÉS PURÉE": "Cafés Purée",
+              "ÉCLAIR À LA MODE": "Éclair À La Mode", "o'neil-smith": "O'Neil-Smith", "crème-brûlée": "Crème-Brûlée"}
+    assert one_col(spark, list(titles), catalog.title_case) == list(titles.values())
+
+
+def test_normalize_name_literals(spark):
+    names = {"SURF EXCEL 1KG": "SURF EXCEL 1 KG", "Surf Excel 1 Kg": "SURF EXCEL 1 KG", "Dettol 500ml": "DETTOL 500 ML", "Tata Salt 1kgs": "TATA SALT 1 KG",
+             "ABC Co. Ltd 2pcs": "ABC 2 PCS", "Amul (India) 200gm": "AMUL 200 G", "Crème-Brûlée 5L": "CRÈME-BRÛLÉE 5 L", "Men's soap": "MEN S SOAP"}
+    assert one_col(spark, list(names), entity.normalize_name) == list(names.values())
 
 
 def test_block_key(spark):

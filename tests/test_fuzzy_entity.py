@@ -81,3 +81,24 @@ def test_alias_violations(spark):
     al = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "alias_barcode string, canonical_barcode string")
     got = sorted((r.alias_barcode, r.reason) for r in entity.alias_violations(al).collect())
     assert got == [("b", "alias_is_canonical"), ("c", "canonical_is_alias")]
+
+
+def test_large_block_is_split_and_loses_no_pair(spark):
+    """One block of 600 names in parts of about 40 gives the pairs of the unsplit block, over many parts."""
+    rnd = random.Random(3)
+    names = sorted({"ABC" + "".join(rnd.choice("DEFG ") for _ in range(rnd.randint(3, 9))).strip() for _ in range(600)})
+    blk = entity.blocked(spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "barcode string, name string"))
+    key = lambda df: sorted((r.norm_a, r.norm_b, r.score) for r in df.collect())
+    assert key(entity.name_pairs(blk, 80, limit=40)) == key(entity.name_pairs(blk, 80)) != []
+    parts = entity.split_blocks(blk.select("block_key", "norm").distinct(), 40).groupBy("_p", "_q").count().collect()
+    assert len(parts) > 50 and max(r["count"] for r in parts) < 200
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = entity.saved
+    monkeypatch.setattr(entity, "saved", lambda df, name: rounds.append(name) or keep(df, name))
+    df = spark.createDataFrame([(f"{i:05d}", f"{i + 1:05d}") for i in range(1000)], "a string, b string")
+    got = {r.node: r.label for r in entity.connected_components(df).collect()}
+    assert len(got) == 1001 and set(got.values()) == {"00000"}
+    assert len(rounds) <= 15

@@ -9,28 +9,101 @@ from basketry.operators import calendar as cal
 from basketry.sources import ingest
 
 
-def test_read_report_drops_totals_and_quarantines(spark, tmp_path):
-    hdr = "Bill No.,Date,Qty,Net Total,Cash\n"
-    (tmp_path / "a.csv").write_text(hdr + "1,04-04-2025 07:29 AM,2,100.0,100\n2,04-04-2025 08:00 AM,1,abc,0\n"
-                                    ",,3,200.0,\n")
-    (tmp_path / "b.csv").write_text(hdr + "3,05-04-2025 18:30,1,50.5,50.5\n,,1,50.5,\n")
-    rows, bad = ingest.read_report(spark, str(tmp_path), "sales_billwise", batch_id=7)
-    got = sorted((r.bill_no, float(r.net_total)) for r in rows.collect())
-    assert got == [("1", 100.0), ("3", 50.5)]
-    assert [r.bill_no for r in bad.collect()] == ["2"]
+def write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text, encoding="utf-8")
+
+
+def test_header_maps_are_whole():
+    """Column counts and names that the header rule must give."""
+    assert {r: len(m) for r, m in ingest.HEADER_MAP.items()} == {
+        "sales_itemwise": 40, "sales_billwise": 79, "purchase_itemwise": 23, "purchase_billwise": 25, "supplier_master": 20, "item_combinations": 14}
+    assert all(len(set(m.values())) == len(m) for m in ingest.HEADER_MAP.values())
+    m = ingest.HEADER_MAP
+    assert [m["sales_billwise"][h] for h in ("GST-0", "taxable Amt18  %", "IGST 40 %", "CGST 1.5 %", "SGST 20 %", "Cust Disc %", "Bill Discount", "Phone Pe", "Net Total")] == [
+        "taxable_amt_0", "taxable_amt_18_percent", "igst_40", "cgst_1_5", "sgst_20", "cust_discount_percent", "bill_discount_amount", "phonepe_amount", "net_total"]
+    assert [m["sales_itemwise"][h] for h in ("Disc1(%)", "Total Discount(Rs)", "CESS(Rs)", "GSTIN No", "Cur Stk")] == [
+        "discount_percent", "total_discount_amount", "cess_amount", "gstin", "current_stock_snapshot"]
+    assert [m["purchase_itemwise"][h] for h in ("GST (%)", "Free Qty- PHM", "QTY - WH", "Profit(%)", "Pur.Date")] == [
+        "gst_percent", "free_qty_phm", "qty_wh", "profit_percent", "purchase_date_raw"]
+    assert [m["purchase_billwise"][h] for h in ("Ref. ID", "Total Disc1(Rs)", "GST-28", "Total Tax", "Time")] == [
+        "ref_id", "total_disc1_amount", "gst_28", "tax_amount", "purchase_time_raw"]
+    assert [m["supplier_master"][h] for h in ("Id", "GSTIN / UID", "city", "Closing Balance")] == ["supplier_id_raw", "gstin_raw", "city_raw", "closing_balance_raw"]
+    assert [m["item_combinations"][h] for h in ("Item_Id", "HsnCode", "MRP")] == ["item_id_raw", "hsn_code", "mrp"]
+    assert "gst_percent" not in ingest.NUMERIC["purchase_itemwise"] and "age" in ingest.NUMERIC["purchase_billwise"]
+
+
+def test_columns_match_by_name_in_every_file(spark, tmp_path):
+    """Swapped columns, an NBSP header, a header with a line break, double blanks, a missing optional column, an unknown one."""
+    write(tmp_path / "a.csv", "Bill No.,Date,Qty,Net Total,Cash,taxable Amt0  %\n1,04-04-2025 07:29 AM,2,100.0,7,5\n2,04-04-2025 08:00 AM,1,abc,0,\n,,3,200.0,,\n")
+    write(tmp_path / "b.csv", "Cash,Net\u00a0Total,Qty,Strange,Date,\"Bill\nNo.\"\n50.5,60.5,1,zzz,05-04-2025 18:30,3\n,60.5,1,,,\n")
+    write(tmp_path / "c.csv", "Net Total,Qty,Date,Bill No.\n9.12345,1,06-04-2025 18:30,4\n8.1234,1,06-04-2025 18:30,5\n,,,\n")
+    rows, bad, files = ingest.read_report(spark, str(tmp_path), "sales_billwise", batch_id=7)
+    got = sorted((r.bill_no, float(r.net_total), r.cash_amount and float(r.cash_amount), r.taxable_amt_0_percent and float(r.taxable_amt_0_percent)) for r in rows.collect())
+    assert got == [("1", 100.0, 7.0, 5.0), ("3", 60.5, 50.5, None), ("5", 8.1234, None, None)]
+    # a bad number and a fifth decimal are kept aside with their text, never rounded
+    assert sorted((r.bill_no, r.net_total, r.reason) for r in bad.collect()) == [("2", "abc", "bad_numeric: net_total"), ("4", "9.12345", "bad_numeric: net_total")]
     assert {r.import_batch_id for r in rows.collect()} == {7}
+    assert sorted(r.row_count for r in files.collect()) == [1, 2, 2]
+    assert {os.path.basename(r.source_file_name) for r in rows.collect()} == {"a.csv", "b.csv", "c.csv"}
 
 
-def test_missing_required_column_fails(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("Bill No.,Qty\n1,2\n")
+def test_split_files_keep_their_order(spark, tmp_path):
+    """Without line breaks in cells a file may be split: header and totals row are still the file's own."""
+    body = "".join(f"{i},04-04-2025 07:29 AM,1,{i}.5\n" for i in range(3000))
+    write(tmp_path / "x.csv", "Bill No.,Date,Qty,Net Total\n" + body + "TOTAL,,3000,1\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
-        ingest.read_report(spark, str(tmp_path), "sales_billwise")
+        rows, _, files = ingest.read_report(spark, str(tmp_path), "sales_billwise", multi_line=False)
+        assert sorted(int(r.bill_no) for r in rows.collect()) == list(range(3000))
+        assert files.first().row_count == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_missing_required_column_fails_its_file_alone(spark, tmp_path):
+    write(tmp_path / "x.csv", "Bill No.,Qty\n1,2\n")
+    write(tmp_path / "y.csv", "Bill No.,Qty,Date,Net Total\n1,2,d,3\n,,,\n")
+    rows, _, files = ingest.read_report(spark, str(tmp_path), "sales_billwise")
+    assert [r.bill_no for r in rows.collect()] == ["1"]
+    try:
+        ingest.require_columns(files, "sales_billwise")
     except ValueError as e:
-        assert "Net Total" in str(e)
+        assert "Net Total" in str(e) and "Date" in str(e) and "x.csv" in str(e) and "y.csv" not in str(e)
     else:
         raise AssertionError("expected a missing-column error")
 
 
+def test_all_79_columns_round_trip(spark, tmp_path):
+    heads = ingest.HEADERS["sales_billwise"]
+    values = {h: str(i) if ingest.HEADER_MAP["sales_billwise"][h] in ingest.NUMERIC["sales_billwise"] else f"t{i}" for i, h in enumerate(heads)}
+    mixed = heads[40:] + heads[:40][::-1]
+    write(tmp_path / "w.csv", ",".join(mixed) + "\n" + ",".join(values[h] for h in mixed) + "\n" + "," * 78 + "\n")
+    row = ingest.read_report(spark, str(tmp_path), "sales_billwise")[0].first()
+    for h, c in ingest.HEADER_MAP["sales_billwise"].items():
+        assert (f"{row[c]:f}".rstrip("0").rstrip(".") or "0" if not isinstance(row[c], str) else row[c]) == values[h]
+
+
+def test_ingest_chain_is_idempotent(spark, tmp_path):
+    """Hash ledger, FAILED rows, first bill by file name, and a batch that runs twice."""
+    src, table, ledger = tmp_path / "in", str(tmp_path / "raw"), str(tmp_path / "ledger")
+    head = "Bill No.,Date,Qty,Net Total\n"
+    write(src / "b_second.csv", head + "1,d,1,200\n2,d,1,5\n" + "9,d,1,1\n" * 3000 + ",,,\n")
+    write(src / "a_first.csv", head + "1,d,1,100\n,,,\n")
+    write(src / "copy.csv", head + "1,d,1,100\n,,,\n")
+    write(src / "bad.csv", "Bill No.,Qty\n1,2\n")
+    run = lambda n: {os.path.basename(r.file_name): (r.status, r.row_count, r.file_hash) for r in
+                     ingest.ingest_batch(spark, str(src), "sales_billwise", table, ledger, n).collect()}
+    first = run(1)
+    assert {k: v[:2] for k, v in first.items()} == {"a_first.csv": ("SUCCESS", 1), "b_second.csv": ("SUCCESS", 3002), "bad.csv": ("FAILED", None)}
+    assert all(len(v[2]) == 64 for v in first.values())
+    assert run(1) == first  # the same batch again, as after a failure
+    assert run(2) == {}
+    got = {r.bill_no: float(r.net_total) for r in spark.read.parquet(table).collect()}
+    assert got == {"1": 100.0, "2": 5.0, "9": 1.0} and spark.read.parquet(table).count() == 3
+
+
 def test_load_dedup_first_wins_and_null_keys(spark):
     existing = spark.createDataFrame([("b1", "x", 0)], "bill_no string, barcode string, pos int")
     batch = spark.createDataFrame([("b1", "x", 1), ("b2", "y", 3), ("b2", "y", 2), (None, "z", 4), (None, "z", 5)],
@@ -77,6 +150,7 @@ def test_calendar_edges(spark):
 
 
 def test_stream_daily_sales_equals_batch(spark):
+    """Bills over many files without order in time: no bill is late."""
     from basketry.plans import registry as R
     from tests.conftest import SMALL
     stream = {(r.sale_date, r.total_bills, r.total_revenue) for r in
@@ -86,8 +160,53 @@ def test_stream_daily_sales_equals_batch(spark):
     assert stream == batch
 
 
+def test_stream_uses_the_batch_path(spark, tmp_path):
+    """By-name columns, cleaning, quarantine, failed files, order of file names, and a second run with new files."""
+    from basketry.streaming import jobs
+    src, target = tmp_path / "drop", str(tmp_path / "raw")
+    write(src / "b_second.csv", "Net Total,Qty,Date,Bill No.\n200,1,04-04-2025 18:30,1\n7,1,05-04-2025 18:30,2.0\n" + "3,1,05-04-2025 18:30,9\n" * 2000 + ",,,\n")
+    write(src / "a_first.csv", "Bill No.,Date,Qty,Net Total\n1,04-04-2025 18:30,1,100\n,04-04-2025 18:30,1,1\n3,04-04-2025 18:30,x,1\n,,,\n")
+    write(src / "bad.csv", "Bill No.,Qty\n1,2\n")
+    days = str(tmp_path / "days")
+    go = lambda: jobs.stream_ingest(spark, str(src), "sales_billwise", target, str(tmp_path / "ck"),
+                                    after=jobs.recompute_days(target, days, jobs.daily_sales)).awaitTermination()
+    rows = lambda: sorted((r.bill_no or "", float(r.net_total)) for r in spark.read.parquet(target).collect())
+    go()
+    assert rows() == [("", 1.0), ("1", 100.0), ("2", 7.0), ("9", 3.0)]
+    assert [r.reason for r in spark.read.parquet(f"{target}_quarantine").collect()] == ["bad_numeric: total_qty"]
+    assert [os.path.basename(r.source_file_name) for r in spark.read.parquet(f"{target}_failed").collect()] == ["bad.csv"]
+    write(src / "c_third.csv", "Qty,Bill No.,Net Total,Date\n1,2,99,05-04-2025 18:30\n1,4,50,04-04-2025 18:30\n,,,\n")
+    go()
+    assert rows() == [("", 1.0), ("1", 100.0), ("2", 7.0), ("4", 50.0), ("9", 3.0)]
+    got = {str(r.sale_date): (r.total_bills, r.total_revenue) for r in jobs.current_days(spark, days).collect()}
+    assert got == {"2025-04-04": (3, 151.0), "2025-04-05": (2, 10.0)}
+
+
+def test_session_names_no_master_and_no_local_checkpoint_off_a_local_master(spark, monkeypatch):
+    import pytest
+    from basketry import session
+    assert "spark.master" not in session.DEFAULT_CONF and "spark.driver.memory" not in session.DEFAULT_CONF
+    assert session.on_one_machine(spark)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Cluster())
+    for master, local in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("yarn", False)):
+        Context.master = master
+        assert session.on_one_machine(Cluster()) == local
+
+
 def test_route_files(spark):
-    df = spark.createDataFrame([("/drop/ItemWise_Sale_2025.csv",), ("/drop/Supplier_Master.csv",),
-                                ("/drop/purchase_billwise_1.csv",), ("/drop/notes.txt",)], "file_name string")
-    got = [r.report_type for r in ingest.route_files(df).collect()]
-    assert got == ["sales_itemwise", "supplier_master", "purchase_billwise", None]
+    names = {"/in/sales-itemwise-2025.csv": "sales_itemwise", "/in/Sales-Billwise_jan.csv": "sales_billwise", "/in/PURCHASE-ITEMWISE.csv": "purchase_itemwise",
+             "/in/purchase_billwise 3.csv": "purchase_billwise", "/in/Supplier Master.csv": "supplier_master", "/in/item-combinations.csv": "item_combinations",
+             "/sales-itemwise/notes.txt": None}
+    df = spark.createDataFrame([(n,) for n in names], "file_name string")
+    assert [r.report_type for r in ingest.route_files(df).collect()] == list(names.values())

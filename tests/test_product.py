@@ -11,8 +11,7 @@ from basketry.plans import registry as R
 def test_fast_path_equals_dense_last_day(spark, small_tables):
     t = small_tables
     start = R._start(t)
-    win = P.windowed(P.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases,
-                                     start, R.AS_OF))
+    win = P.windowed(P.dense_metrics(R._facts(t), start, R.AS_OF))
     dense = (P.product_health_signals(win).join(P.product_stock_position(win), ["date", "product_id"])
              .filter(F.col("date") == F.lit(R.AS_OF)))
     fast = R._latest(t)
@@ -25,9 +24,9 @@ def test_fast_path_equals_dense_last_day(spark, small_tables):
 def test_grid_size_and_revenue_parity(spark, small_tables):
     t = small_tables
     start = R._start(t)
-    dense = P.dense_metrics(t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases, start, R.AS_OF)
+    dense = P.dense_metrics(R._facts(t), start, R.AS_OF)
     n_prod = P.sold_products(t.raw_sales_itemwise, t.product_aliases).count()
-    first = P.spine_start_date(t.raw_sales_billwise, t.raw_sales_itemwise)
+    first = P.spine_start_date(t.raw_sales_billwise, R._facts(t)[0])
     assert dense.count() == n_prod * ((R.AS_OF - first).days + 1)
     sparse = P.sales_by_product_day(t.raw_sales_itemwise, t.product_aliases)
     assert dense.agg(F.sum("rev")).first()[0] == sparse.agg(F.sum("rev")).first()[0]
@@ -57,7 +56,7 @@ def test_windows_on_literal_product(spark):
 def test_truncated_grid_keeps_windows_exact(spark, small_tables):
     t = small_tables
     start = R._start(t)
-    args = (t.raw_sales_itemwise, t.raw_purchase_itemwise, t.product_aliases, start, R.AS_OF)
+    args = (R._facts(t), start, R.AS_OF)
     full = P.windowed(P.dense_metrics(*args), start)
     cut = P.windowed(P.dense_metrics(*args, grid_from=R.AS_OF - dt.timedelta(days=70)), start)
     keep = F.col("date") >= F.lit(R.AS_OF - dt.timedelta(days=10))
@@ -66,3 +65,11 @@ def test_truncated_grid_keeps_windows_exact(spark, small_tables):
     a = sorted(tuple(r) for r in full.filter(keep).select(*cols).collect())
     b = sorted(tuple(r) for r in cut.filter(keep).select(*cols).collect())
     assert a == b
+
+
+def test_grid_plan_scans_no_raw_lines(spark, small_tables):
+    """The grid reads the built facts; its partitions grow with products x days."""
+    t = small_tables
+    plan = P.dense_metrics(R._facts(t), R._start(t), R.AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "l_orderkey" not in plan and "sale_datetime_raw" not in plan
+    assert P.grid_partitions(spark, 10**9) == 1000

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from basketry.plans import registry as R
-from basketry.plans.rebuild import rebuild
+from basketry.plans.rebuild import open_run, published_run, rebuild
 from basketry.sources.sinks import write_supplier_sheets
 
 
@@ -15,10 +15,10 @@ def test_rebuild_publishes_all_tables(spark, small_tables, tmp_path):
                                       "raw_purchase_itemwise", "product_aliases", "raw_item_combinations",
                                       "raw_supplier_master", "products"]}
     run = rebuild(spark, raw, str(tmp_path), R.AS_OF, run_id="r1")
-    assert open(next((tmp_path / "_PUBLISHED").glob("part-*"))).read().strip() == run
+    assert published_run(spark, str(tmp_path)) == run
     feats = spark.read.parquet(f"{run}/product_daily_features")
     assert feats.count() == spark.read.parquet(f"{run}/product_daily_metrics").count() > 0
-    restock = spark.read.parquet(f"{run}/supplier_restock_recommendations")
+    restock = open_run(spark, str(tmp_path), ["supplier_restock_recommendations"])["supplier_restock_recommendations"]
     assert restock.agg(F.countDistinct("product_id")).first()[0] == restock.count()
 
 
@@ -28,3 +28,10 @@ def test_supplier_sheets(spark, small_tables, tmp_path):
     dirs = [d for d in os.listdir(tmp_path / "sheets") if d.startswith("safe_supplier=")]
     n = sheet.select("supplier_name").distinct().count()
     assert len(dirs) == n
+
+
+def test_suppliers_with_long_alike_names_get_sheets_of_their_own(spark, tmp_path):
+    names = ["SRI LAKSHMI VENKATESWARA TRADING COMPANY BELLARY", "SRI LAKSHMI VENKATESWARA TRADING COMPANY HOSPET", "A/B", "A-B", "A:B", "Café Ünlü", None]
+    sheet = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "supplier_name string, line int")
+    write_supplier_sheets(sheet, str(tmp_path / "s"))
+    assert len([d for d in os.listdir(tmp_path / "s") if d.startswith("safe_supplier=")]) == len(names)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import catalog, reports
 from basketry.plans import registry as R
+from basketry.session import saved
 
 
 def test_health_page_flag_and_search(spark, small_tables):
@@ -24,6 +25,18 @@ def test_bulk_categorize(spark):
     products = spark.createDataFrame([("1", "A", "retail", False), ("2", "B", "retail", False)],
                                      "barcode string, category string, product_type string, is_reviewed boolean")
     edits = spark.createDataFrame([("2",), ("9",)], "barcode string")
-    out = {r.barcode: r for r in catalog.bulk_categorize(products, edits, category="Snacks").collect()}
+    edits = edits.unionAll(edits)  # a barcode listed twice counts once
+    out, counts = catalog.bulk_categorize(products, edits, category="Snacks")
+    out = {r.barcode: r for r in out.collect()}
     assert out["2"].category == "Snacks" and out["2"].is_reviewed
     assert out["1"].category == "A" and not out["1"].is_reviewed
+    assert tuple(counts.first()) == (1, 1)
+
+
+def test_restock_pages_reach_every_row(spark, small_tables):
+    t = small_tables
+    rec = saved(R._restock(t), "restock")
+    every = reports.supplier_restock_pages(rec).collect()
+    pages = [reports.supplier_restock_pages(rec, limit=3, offset=o).collect() for o in range(0, max(r.total for r in every), 3)]
+    key = lambda r: (r.supplier_name, r["rank"])
+    assert sorted(map(key, (r for p in pages for r in p))) == sorted(map(key, every))
