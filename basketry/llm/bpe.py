@@ -33,7 +33,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Bytes of text that are pretokenised before the index is built.
 PART_BYTES = 32 << 20
 #: Units a task remembers; beyond it the memory starts anew (results do not change).
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -309,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                     cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else [], pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(C.lean(run), schema)
 
 
 def F_struct(fields: list, more: str):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm import common as C
+
 #: Expected size of each of the two samples of the fit.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, float]:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([v.tolist() for v in x], pa.list_(pa.float64()))],
                                              names=["doc_id", "good", "web", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, good boolean, web boolean, x array<double>").toPandas()
+    got = rows.mapInArrow(C.lean(measure), "doc_id long, good boolean, web boolean, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")  # the fit does not depend on the order of tasks
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x[got["good"].to_numpy(bool)], x[got["web"].to_numpy(bool)])
@@ -219,7 +221,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"))
+            .mapInArrow(C.lean(run), "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,4 +234,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = net.score(np.array([features(t.as_py()) for t in b.column(at)]).reshape(-1, len(FEATURES)))
             yield b.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

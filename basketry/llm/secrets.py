@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from basketry.llm.bpe import F_struct
+from basketry.llm import common as C
 
 #: Fixed patterns. ASCII letters of the key names in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -93,7 +92,7 @@ def train(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)),
                                           pa.array(total[kind, pair])], names=["kind", "pair", "n"])
 
-    rows = (docs.select(F.col("text").cast("string")).mapInArrow(count, "kind int, pair int, n long")
+    rows = (docs.select(F.col("text").cast("string")).mapInArrow(C.lean(count), "kind int, pair int, n long")
             .groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect())
     table = np.ones((2, LETTERS * LETTERS))
     for r in rows:
@@ -157,8 +156,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 [b.column(0), *(pa.array(x, pa.int64()) for x in (*n, extra)), pa.array(sha, pa.string()), pa.array(spans, pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(C.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def blank(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -187,7 +185,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, b.column(at).type) if i == at else c
                                               for i, c in enumerate(b.columns)], schema=b.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(C.lean(run), docs.schema)
     if "n_chars" in docs.columns:  # where it was the text's length it still is
         return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int, out: str = "fp") -> DataFrame:
             fps = np.fromiter((fingerprint_of(shingle_hashes(t.as_py(), words)) for t in b.column(1)),
                               np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", out])
-    return docs.select(C.take_id(), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {out} long")
+    return docs.select(C.take_id(), F.col("text").cast("string")).mapInArrow(C.lean(run), f"doc_id long, {out} long")
 
 
 def slices(radius: int, distinct: int) -> list[int]:
@@ -217,7 +217,7 @@ def links(distinct: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
                 lo = hi
 
     return (dealt.repartition(width, *keys).sortWithinPartitions(*keys)
-            .select("fp", "_sub", *keys).mapInArrow(run, "a long, b long"))
+            .select("fp", "_sub", *keys).mapInArrow(C.lean(run), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
