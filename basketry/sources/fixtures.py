@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY
 from ..operators.cash import DENOMINATIONS, LINE_ITEM
+from ..session import saved
 
 # Fixed parameters of the fixture mapping (see FIXTURES.md §B).
 AS_OF = dt.date(2001, 8, 1)
@@ -381,7 +382,8 @@ def export_bills(t: RetailTables, folder: str, broken: bool = False) -> str:
     """
     from .ingest import HEADER_MAP, NUMERIC
     hmap = HEADER_MAP["sales_billwise"]
-    b = t.raw_sales_billwise
+    # written step by step: 79 expressions of one column make the optimizer's constraints explode
+    b = saved(t.raw_sales_billwise, "bills")
     n = F.col("bill_no").cast("long")
     slices = max(EXPORT_FILES, -(-t.base("orders").count() // EXPORT_ROWS))
     cells = []
@@ -392,12 +394,12 @@ def export_bills(t: RetailTables, folder: str, broken: bool = False) -> str:
             cells.append((n % (i + 2)).cast("string").alias(h))
         else:
             cells.append(F.concat(F.lit(f"{c} "), (n % (i + 2)).cast("string")).alias(h))
-    body = b.select((n % slices).alias("_slice"), F.lit(0).alias("_total"), *cells)
+    body = saved(b.select((n % slices).alias("_slice"), F.lit(0).alias("_total"), *cells), "bill-cells")
     q = lambda h: F.col(f"`{h}`")  # noqa: E731 - export headers contain dots
     sums = ["Qty", "Net Total"]
     totals = body.groupBy("_slice").agg(*[F.sum(q(h).cast("decimal(18,4)")).cast("string").alias(h) for h in sums])
     totals = totals.select("_slice", F.lit(1).alias("_total"), *[q(h) if h in sums else F.lit(None).cast("string").alias(h) for h in hmap])
-    rows = body.unionByName(totals)
+    rows = saved(body.unionByName(totals), "bill-rows")
     headers = list(hmap)
     for order in range(3):
         cols = {0: headers, 1: headers[::-1], 2: [h for h in headers if h != "Paytm" and not (broken and h == "Net Total")]}[order]

@@ -218,8 +218,9 @@ def typed_rows(rows: DataFrame, files: DataFrame, report_type: str, batch_id: in
     # one array per row, not one expression per column, keeps the plan small at 79 columns
     picked = F.transform("_index", lambda i: clean_cell(F.get("_cells", (i - 1).cast("int"))))
     text = body.select("source_file_name", F.struct("source_file_name", "_pos").alias("_order"), picked.alias("_text"))
-    bad = (F.filter(F.array(*[F.lit(i) for i in places]), lambda i: inexact(F.get("_text", i))) if places
-           else F.array().cast("array<int>"))
+    # over the cells themselves: a filter may be pushed below and must stay linear in them
+    is_number = F.array(*[F.lit(i in places) for i in range(len(columns))])
+    bad = F.array_compact(F.transform("_text", lambda x, i: F.when(F.get(is_number, i) & inexact(x), i)))
     flagged = text.withColumn("_bad", bad)
     cell = [F.get("_text", F.lit(i)) for i in range(len(columns))]
     good_rows = (flagged.where(F.size("_bad") == 0)
