@@ -10,13 +10,13 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op1_topk"] = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s
@@ -33,13 +33,13 @@ WITH d AS (
 ), t AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
-  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS at, CAST(source_size AS DOUBLE) * 2 AS cap FROM t
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, CAST(source_size AS DOUBLE) * 2 AS cap FROM t
 ), x AS (
-  SELECT *, CAST([5, 2, 1][(at - 1) % 3 + 1] AS DOUBLE) AS wt FROM w
+  SELECT *, CAST([5, 2, 1][(place - 1) % 3 + 1] AS DOUBLE) AS wt FROM w
 ), l AS (
   SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () * 1.5
-             - coalesce(sum(cap) OVER (ORDER BY cap / wt, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(wt) OVER (ORDER BY cap / wt, at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+             - coalesce(sum(cap) OVER (ORDER BY cap / wt, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(wt) OVER (ORDER BY cap / wt, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
   FROM x
 ), p AS (
   SELECT source, source_size, least(cap, wt * max(lvl) OVER ()) AS target FROM l
