@@ -182,6 +182,21 @@ def test_repeated_runs_of_a_host_go_and_unique_runs_stay(spark):
         assert got[i] == "\n".join(want)
 
 
+def test_only_long_repeats_go_and_copies_stay(spark):
+    """Shared phrases of 12 words stay, a shared passage of 40 goes, copies of a page (with another menu) keep their text."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    phrase, notice = words("phrase", 12), words("notice", 40)
+    article = words("article", 90)
+    pages = [(i, "http://h.example/a", f"<p>{words(f'x{i}_', 30)} {phrase} {words(f'y{i}_', 30)}</p><p>{notice}</p>") for i in range(3)]
+    pages += [(i, f"http://h.example/{i}", f"<nav>{words(f'menu{i}_', 5)}</nav><div><p>{article}</p></div>") for i in (10, 11, None, None)]
+    pages += [(None, "http://h.example/n", f"<p>{words(f'null{i}_', 25)}</p><p>{notice}</p>") for i in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.text) for r in html.extract(df).collect())
+    want = [(i, f"{words(f'x{i}_', 30)} {phrase} {words(f'y{i}_', 30)}") for i in range(3)]
+    want += [(i, article) for i in (10, 11, None, None)] + [(None, words(f"null{i}_", 25)) for i in range(2)]
+    assert got == Counter(want)
+
+
 def test_articles_of_the_test_pages(spark):
     """Every article is what a plain reading of the fixture's fixed frame gives."""
     import html as entities
