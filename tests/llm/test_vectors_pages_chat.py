@@ -197,6 +197,34 @@ def test_only_long_repeats_go_and_copies_stay(spark):
     assert got == Counter(want)
 
 
+POST = "A long post. " * 20
+FRAMES = [
+    # an article inside a wrapper that is chrome by name, by a page-wide form or as an element
+    ('<div class="content has-sidebar"><div>Teaser</div><article><p>Text</p></article></div>', "Text"),
+    ('<form id="aspnetForm"><div>Menu</div><main><p>Text</p></main></form>', "Text"),
+    ('<div class="popup related share header"><article>Text<div class="share">Share</div></article></div>', "Text"),
+    ('<div class="page nav-open no-footer"><article>Text</article></div>', "Text"),
+    # but not in navigation, footer, comments and what is hidden
+    *((f"<article>Text</article>{a}<article>Other</article>{b}", "Text") for a, b in (
+        ("<nav>", "</nav>"), ("<footer>", "</footer>"), ('<div class="comment-list">', "</div>"), ('<div id="siteFooter">', "</div>"), ("<div hidden>", "</div>"))),
+    # the larger of article and open blocks decides
+    (f'<article>Teaser</article><div class="post-body"><p>{POST}</p></div>', f"Teaser\n{POST.strip()}"),
+    (f'<article>{POST}</article><div>Read on</div>', POST.strip()),
+    # all of an untagged page inside a wrapper
+    ('<nav>Home</nav><form><div class="post"><p>One</p><p>Two</p></div></form><footer>End</footer>', "One\nTwo"),
+    ("<nav>Home</nav><footer>End</footer>", ""),
+    # a head without its end tag
+    ("<html><head><title>t</title><meta charset=utf-8><style>p{}</style><body><article>Text</article>", "Text"),
+    ("<html><head><title>t</title><p>Text", "Text"),
+]
+
+
+def test_no_article_is_lost_to_its_frame(spark):
+    df = spark.createDataFrame([(i, f"http://f{i}.example/", h) for i, (h, _) in enumerate(FRAMES)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[i] for i in range(len(FRAMES))] == [t for _, t in FRAMES]
+
+
 def test_articles_of_the_test_pages(spark):
     """Every article is what a plain reading of the fixture's fixed frame gives."""
     import html as entities
