@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import common as C
@@ -58,14 +58,19 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, words: int, out: str = "fp") -> DataFrame:
-    """doc_id and the 64-bit fingerprint (as a signed long) of each row; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int, out: str = "fp", keys: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id and the 64-bit fingerprint (as a signed long) of each row; null text counts as empty. ``keys``: further long columns, made from the row."""
+    keys = keys or {}
+    names = ["doc_id", out, *keys]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint_of(shingle_hashes(t.as_py(), words)) for t in b.column(1)),
                               np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", out])
-    return docs.select(C.take_id(), F.col("text").cast("string")).mapInArrow(C.lean(run), f"doc_id long, {out} long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=names)
+    schema = ", ".join(f"{c} long" for c in names)
+    return (docs.select(C.take_id(), F.col("text").cast("string"), *[k.alias(c) for c, k in keys.items()])
+            .mapInArrow(C.lean(run), schema))
 
 
 def slices(radius: int, distinct: int) -> list[int]:
@@ -241,16 +246,28 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def row_key(docs: DataFrame) -> dict[str, Column]:
+    """Hashes of a row's text and of all its columns: the same for rows that repeat, whatever their doc_id."""
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return {"_text": F.xxhash64(F.col("text").cast("string"), F.lit(3)), "_all": F.xxhash64(*hashable)}
+
+
 def dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the one with the smallest doc_id.
 
-    All columns are kept, whatever their names. doc_id names a document, so rows
-    that repeat a kept doc_id are kept once. A class whose rows all have a null
-    doc_id keeps none of them but one row for the null id.
+    All columns are kept, whatever their names. The choice is by row: null ids
+    come last, and rows with one doc_id are ordered by hashes of their text and
+    columns, so every class keeps exactly one row, the same in every run.
     """
-    groups = simhash_groups(docs, words, radius)
-    no_id = F.lit(-(1 << 63))
-    keep = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce("doc_id", no_id).alias("__simhash_id")).distinct())
-    return (docs.withColumn("__simhash_id", F.coalesce(F.col("doc_id").cast("long"), no_id))
-            .join(keep, "__simhash_id", "left_semi").dropDuplicates(["__simhash_id"]).drop("__simhash_id"))
+    fps = fingerprints(docs, words, keys=row_key(docs))
+    # null ids last; all rows of one fingerprint are one node
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "_text", "_all")
+    nodes = C.materialise(fps.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    roots = C.components(links(nodes.select("fp"), radius))
+    keep = (nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("__simhash_key")).select("__simhash_key"))
+    key = row_key(docs)
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                    key["_text"].alias("_text"), key["_all"].alias("_all"))
+    return (docs.withColumn("__simhash_key", mine).join(keep, "__simhash_key", "left_semi")
+            .dropDuplicates(["__simhash_key"]).drop("__simhash_key"))

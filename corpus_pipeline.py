@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest doc_id."""
+    """One document of each SimHash group: the smallest doc_id, null ids last."""
     return simhash.dedup(docs, words=4, radius=4)
 
 

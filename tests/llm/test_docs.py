@@ -110,6 +110,20 @@ def test_dedup_keeps_one_of_each_group(docs, odd_docs):
         assert Counter(ids) == Counter({g.component_id for g in groups})
 
 
+def test_dedup_loses_no_document(spark):
+    """Null ids and one id for several texts: every class keeps one row, the same however the rows are dealt."""
+    word = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(None, word(0), "a"), (None, word(1), "b"), (None, word(1), "a"), (None, None, "n"), (None, word(2), "a"), (5, word(2), "b"),
+            (7, word(3), "a"), (7, word(4), "a"), (7, word(4), "b"), (8, word(3), "a"), (9, word(5), "a"), (9, word(5), "a"), (-(1 << 63), word(6), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in simhash.dedup(df).collect()]
+    want = [(None, word(0)), (None, word(1)), (None, None), (5, word(2)), (7, word(3)), (7, word(4)), (9, word(5)), (-(1 << 63), word(6))]
+    assert Counter(r[:2] for r in out) == Counter(want) and set(out) <= set(rows)
+    for n in (1, 5):
+        again = spark.createDataFrame(rows[::-1], df.schema).repartition(n)
+        assert Counter(map(tuple, simhash.dedup(again).collect())) == Counter(out)
+
+
 def test_bit_sliced_links_equal_pairs(spark, monkeypatch):
     """Hot buckets, split ones, every table width and radius: all pairs of a brute-force search."""
     rng = np.random.default_rng(3)
