@@ -3,16 +3,19 @@
 A rotation learned on a bounded sample turns each unit vector into a balanced
 binary code. Substrings of the code are the keys of several tables; vectors
 that share a key and differ in few bits of the code are candidates, and the
-original vectors decide. Key length and number of tables follow from the
-number of vectors, so that a bucket of unrelated vectors stays small and a
-pair right at the limit is found with probability 0.99. Every vector is in
-every table; a bucket is never cut, only split.
+original vectors decide. Codes are signs of centred vectors, and centring
+widens the angle of a near pair where vectors have a common mean; key length,
+number of tables and the share of the mean that is taken off follow from the
+number of vectors and the sample's centred lengths, so that a bucket of
+unrelated vectors stays small and a pair right at the limit is found with
+probability 0.99. Every vector is in every table; a bucket is never cut, only
+split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, log, log1p, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ RECALL = 0.99
 #: Unrelated vectors expected in a bucket.
 BUCKET = 128
 SUB_BLOCK = 512
+#: Shares of the sample's mean that may be taken off before signs are read.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 
 
 def itq(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -42,23 +47,47 @@ def itq(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return r
 
 
-def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and principal axes of the sample; all axes are kept, so angles are too."""
+def axes_of(x: np.ndarray) -> np.ndarray:
+    """Principal axes of the centred sample; all axes are kept, so angles are too."""
     if not len(x):
-        return np.zeros(x.shape[1]), np.eye(x.shape[1])
-    mean = x.mean(0)
-    _, _, v = np.linalg.svd(x - mean, full_matrices=True)
-    return mean, v.T
+        return np.eye(x.shape[1])
+    _, _, v = np.linalg.svd(x, full_matrices=True)
+    return v.T
 
 
-def plan(n: int, dims: int, limit: float) -> tuple[int, int, int]:
-    """Bits of a key, number of tables, and the largest Hamming distance (of 64 bits) of a candidate."""
-    p = acos(min(1.0, limit)) / pi  # share of bits in which a pair at the limit differs
-    bits = max(3, min(24, round(log2(max(n, 1) / BUCKET + 1))))
-    bits = min(bits, dims)
-    same = (1 - p) ** bits
-    tables = ceil(log(1 - RECALL) / log(1 - same))
-    return bits, tables, ceil(64 * p + 4.5 * sqrt(64 * p * (1 - p)))
+def tables_for(p: float, bits: int) -> int:
+    """Tables in which a pair that differs in a share ``p`` of the bits shares a key with probability RECALL."""
+    return ceil(log(1 - RECALL) / log1p(-(1 - p) ** bits))
+
+
+def plan(n: int, dims: int, limit: float, x: np.ndarray) -> tuple[float, int, int, int]:
+    """Share of the sample's mean to take off, bits of a key, tables, and the largest Hamming distance (of 64 bits) of a candidate.
+
+    ``x``: a sample of unit vectors. Two vectors of centred length ``r`` or more
+    whose cosine is ``limit`` have a centred cosine of 1 - (1 - limit) / r^2 at
+    least. Taking off the whole mean spreads the codes best but may widen this
+    angle too far; the share with the least work for the same recall is taken,
+    and with share 0 the angle is that of the limit itself.
+    """
+    usual = max(3, min(24, round(log2(max(n, 1) / BUCKET + 1))))
+    mean = x.mean(0) if len(x) else np.zeros(dims)
+    best: list[tuple[float, float, int, float]] = []
+    for share in SHARES:
+        y = x - share * mean
+        r = np.linalg.norm(y, axis=1)
+        p = acos(max(-1.0, min(1.0, 1 - (1 - limit) / max(1e-9, r.min(initial=1.0)) ** 2))) / pi  # share of bits in which a pair at the limit differs
+        if p >= 0.5 and share:
+            continue
+        y = y / np.maximum(r, 1e-9)[:, None]
+        half = len(y) // 2
+        alike = 1 - np.arccos(np.clip((y[:half] * y[half:2 * half]).sum(1), -1, 1)) / pi if half else np.full(1, 0.5)
+        for bits in range(3, (usual if share == 1 else 24) + 1):
+            bits = min(bits, dims)
+            # work of a vector: its rows, and its partners in the buckets; codes that are not fitted must save half
+            work = tables_for(p, bits) * (1 + n * float((alike ** bits).mean()) / BUCKET)
+            best.append((work * (1 if share == 1 else 2), -share, bits, p))
+    _, share, bits, p = min(best)
+    return -share, bits, tables_for(p, bits), ceil(64 * p + 4.5 * sqrt(64 * p * (1 - p)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -101,13 +130,16 @@ def links(nodes: DataFrame, dims: int, limit: float) -> DataFrame:
     """
     spark = nodes.sparkSession
     n = nodes.count()
-    bits, tables, radius = plan(n, dims, limit)
     sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
     x = unit(padded(sample, dims)) if len(sample) else np.zeros((0, dims))
-    mean, axes = principal(x)
+    share, bits, tables, radius = plan(n, dims, limit, x)
+    mean = share * x.mean(0) if len(x) else np.zeros(dims)
+    axes = axes_of(x - mean)
     rotations = max(1, -(-max(64, tables * bits) // dims))
     rng = np.random.default_rng(11)
-    turn = np.concatenate([axes @ itq((x - mean) @ axes, rng) for _ in range(rotations)], axis=1)
+    # where some of the mean stays, fitted codes would all point to it; any rotation keeps the angles
+    fit = (x - mean) @ axes if share == 1 else x[:0]
+    turn = np.concatenate([axes @ itq(fit, rng) for _ in range(rotations)], axis=1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(bits)).astype(np.int64)

@@ -125,6 +125,27 @@ def test_recall_holds_for_long_keys(monkeypatch, spark):
     assert got <= want and len(got) >= 0.97 * len(want) > 300
 
 
+@pytest.mark.parametrize("common", [0.7, 0.94])
+def test_recall_holds_with_a_common_mean(monkeypatch, spark, common):
+    """Vectors that share most of their length, pairs right at the limit, keys as long as those of a large table."""
+    monkeypatch.setattr(embed, "BUCKET", 1 if common < 0.9 else 64)
+    rng = np.random.default_rng(13)
+    n, dims, cos = 1500, 64, 0.9501
+    inner = (cos - common) / (1 - common)
+    g = rng.normal(size=(n, dims - 1))
+    g /= np.linalg.norm(g, axis=1)[:, None]
+    h = rng.normal(size=g.shape)
+    h -= (h * g).sum(1)[:, None] * g
+    h = inner * g + np.sqrt(1 - inner * inner) * h / np.linalg.norm(h, axis=1)[:, None]
+    x = np.concatenate([np.full((2 * n, 1), np.sqrt(common)), np.sqrt(1 - common) * np.concatenate([g, h])], axis=1)
+    assert ((x[:n] * x[n:]).sum(1) >= 0.95).all()
+    near = x @ x.T >= 0.95
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(df).collect()}
+    assert all(got[i] <= near[i].sum() - 1 for i in got)
+    assert sum(got.values()) >= 0.97 * (near.sum() - 2 * n) >= 0.97 * 2 * n
+
+
 def page(body, head="<title>t</title>"):
     return f"<!DOCTYPE html><html><head>{head}<style>p{{}}</style></head><body>{body}</body></html>"
 
