@@ -26,8 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEY_NAMES = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "markov")
-#: Runs of at least 16 token characters; every access and hex match lies inside one.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shortest string that the models compare: as short as the shortest assigned value.
+LEAST = 8
+#: Runs of token characters; every access and hex match lies inside one.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Letters of the models; every other byte ends a token.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LETTERS = len(ALPHABET)
@@ -54,6 +56,8 @@ def base_spans(text: str, found: list[tuple[int, int]]) -> tuple[list[Span], lis
                 spans.append((m.start(), 0, m.end()))
                 values.append(m.span(2))
     for s, e in found:
+        if e - s < 16:  # shorter than any access or hex match
+            continue
         for kind, pattern in ((1, ACCESS), (2, HEX)):
             for m in pattern.finditer(text, s, e):
                 spans.append((m.start(), kind, m.end()))
@@ -103,16 +107,33 @@ def train(docs: DataFrame) -> np.ndarray:
     return np.log((table[0] + 1 / LETTERS) / 2) - np.log(table[1])
 
 
-def markov_spans(text: str, found: list[tuple[int, int]], base: list[Span], ratio: np.ndarray) -> list[Span]:
-    """Runs with a letter and a digit that touch no base match and look random."""
+def left_over(found: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
+    """What base matches leave of the runs, in stretches of LEAST characters and more."""
+    if not base:
+        return found
     out = []
+    base = sorted(base)
+    k = 0
     for s, e in found:
-        run = text[s:e]
-        if not (any(ch.isdigit() for ch in run) and any(ch.isalpha() for ch in run)):
-            continue
-        if any(x < e and s < y for x, _, y in base):
-            continue
-        c = CODE[np.frombuffer(run.encode(), np.uint8)]
+        while k < len(base) and base[k][2] <= s:
+            k += 1
+        for i in range(k, len(base)):
+            x, _, y = base[i]
+            if x >= e:
+                break
+            if x - s >= LEAST:
+                out.append((s, x))
+            s = max(s, y)
+        if e - s >= LEAST:
+            out.append((s, e))
+    return out
+
+
+def markov_spans(text: str, found: list[tuple[int, int]], base: list[Span], ratio: np.ndarray) -> list[Span]:
+    """Stretches of runs outside base matches that look random by the margin of their log-likelihood ratio."""
+    out = []
+    for s, e in left_over(found, base):
+        c = CODE[np.frombuffer(text[s:e].encode(), np.uint8)]
         score = float(ratio[c[:-1], c[1:]].sum())
         if score > MARGIN and score > MARGIN_A_PAIR * (len(c) - 1):
             out.append((s, 3, e))
