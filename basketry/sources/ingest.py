@@ -13,6 +13,7 @@ join against what is loaded. Batch and stream use the same functions.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -252,6 +253,31 @@ def require_columns(files: DataFrame, report_type: str) -> None:
 
 #: Files above this size are hashed by lines, since one row cannot hold them.
 WHOLE_FILE_BYTES = 1 << 30
+#: Bytes of a range of a large file; part of the hash, so a change makes every large file new.
+RANGE_BYTES = 128 << 20
+
+
+def large_file_sums(spark: SparkSession, names: list[str]) -> list[tuple[str, int, str, str]]:
+    """(file name, lines, sum over the lines, sum over (line, number of its byte range)) of each file that has lines.
+
+    The ranges are the reader's splits. A session of its own sets them to
+    RANGE_BYTES, whatever the cores, the caller's settings and the other files:
+    splits are the smaller of maxPartitionBytes and the larger of
+    openCostInBytes and the bytes a core, so equal values fix them.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.unset("spark.sql.files.maxPartitionNum")
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(RANGE_BYTES))
+    own.conf.set("spark.sql.files.openCostInBytes", str(RANGE_BYTES))
+    line = F.struct((F.col("_metadata.file_block_start") / RANGE_BYTES).cast("long"), F.col("value"))
+    rows = (own.read.text(names).select(F.col("_metadata.file_path").alias("file_name"), F.xxhash64("value").cast("decimal(38,0)").alias("a"),
+                                        F.xxhash64(line, F.lit(1)).cast("decimal(38,0)").alias("b"))
+            .groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum("a").cast("string").alias("a"), F.sum("b").cast("string").alias("b")))
+    # one row a large file, which the driver lists anyway; odd characters are escaped in file_path only
+    return [(r[0] if r[0] in names else unquote(r[0]), *r[1:]) for r in rows.collect()]
 
 
 def file_manifest(spark: SparkSession, paths: list[str] | str, ledger: DataFrame | None,
@@ -260,7 +286,8 @@ def file_manifest(spark: SparkSession, paths: list[str] | str, ledger: DataFrame
 
     A file is new if the ledger does not have its hash, whatever the status
     was, and no file with a smaller name has the same content. Small files are
-    hashed whole; a large one by its length and two sums over its lines.
+    hashed whole; a large one by its length and two sums over its lines, which
+    are the same on every cluster and beside whatever other files.
     """
     listed = spark.read.format("binaryFile").load(paths)
     small = listed.where(F.col("length") <= WHOLE_FILE_BYTES).select(
@@ -269,12 +296,9 @@ def file_manifest(spark: SparkSession, paths: list[str] | str, ledger: DataFrame
     files = small
     names = [r["file_name"] for r in large.select("file_name").collect()]
     if names:
-        line = F.struct(F.col("_metadata.file_block_start"), F.col("value"))
-        sums = (spark.read.text(names).select(F.col("_metadata.file_path").alias("file_name"),
-                                              F.xxhash64("value").cast("decimal(38,0)").alias("a"), F.xxhash64(line, F.lit(1)).cast("decimal(38,0)").alias("b"))
-                .groupBy("file_name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")))
+        sums = spark.createDataFrame(large_file_sums(spark, names), "file_name string, n long, a string, b string")
         digest = F.sha2(F.concat_ws(":", "length", "n", "a", "b"), 256)
-        files = small.unionByName(large.join(sums, "file_name").select("file_name", digest.alias("file_hash"), "modificationTime"))
+        files = small.unionByName(large.join(sums, "file_name", "left").select("file_name", digest.alias("file_hash"), "modificationTime"))
     first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_name")) == 1
     files = files.withColumn("report_type", F.lit(report_type)).withColumn("_first", first)
     if ledger is None:

@@ -132,6 +132,36 @@ def test_file_manifest_skips_loaded_hashes(spark, tmp_path):
     assert again == {"a.csv": False, "b.csv": True}
 
 
+def test_large_files_keep_their_hash_under_other_splits(spark, tmp_path, monkeypatch):
+    """Above WHOLE_FILE_BYTES: one hash per content, whatever the reader's settings and the files beside it."""
+    monkeypatch.setattr(ingest, "WHOLE_FILE_BYTES", 100)
+    monkeypatch.setattr(ingest, "RANGE_BYTES", 4096, raising=False)
+    lines = [f"{i},name {i * 7919 % 1000},{i * i}" for i in range(3000)]
+    far = [lines[-1], *lines[1:-1], lines[0].ljust(len(lines[-1]))]
+    for name, rows in (("a b.csv", lines), ("c.csv", lines), ("far.csv", far), ("less.csv", lines[:-1])):
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    (tmp_path / "small.csv").write_text("x\n")
+    seen = []
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for size, paths in (("2k", str(tmp_path)), ("9k", str(tmp_path)), ("64m", str(tmp_path)), ("9k", str(tmp_path / "a b.csv"))):
+            spark.conf.set(sizes[0], size)
+            spark.conf.set(sizes[1], "1")
+            m = ingest.file_manifest(spark, paths, None, "t")
+            seen.append({os.path.basename(r.file_name): r.file_hash for r in m.collect()})
+            assert spark.conf.get(sizes[0]) == size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 5 and None not in seen[0].values()
+    assert seen[3] == {"a b.csv": seen[0]["a b.csv"]}
+    assert seen[0]["a b.csv"] == seen[0]["c.csv"] and len(set(seen[0].values())) == 4
+    ledger = spark.createDataFrame([(seen[0]["c.csv"],)], "file_hash string")
+    new = {os.path.basename(r.file_name): r.is_new for r in ingest.file_manifest(spark, str(tmp_path), ledger, "t").collect()}
+    assert new == {"a b.csv": False, "c.csv": False, "far.csv": True, "less.csv": True, "small.csv": True}
+
+
 def test_calendar_edges(spark):
     fest = spark.createDataFrame(
         [("Dhanteras", 0, dt.date(2024, 10, 29), 3, 1), ("Diwali", 1, dt.date(2024, 10, 31), 5, 3)],
