@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express.
 
-The others have none: XXH64 (op4), BPE merges (op2), crc32 (op3) and fitted
+The others have none: XXH64 (op4), BPE merges (op2, op13), crc32 (op3) and fitted
 models (op5, op6, op8, op9) are tested against brute-force versions.
 """
 
@@ -83,3 +83,57 @@ WITH t AS (
 SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies, text FROM w
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = w.l)
 """
+
+ORACLE["op11_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.c, v.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v ON a.row <> v.row WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS place
+  FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rnk
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, CAST(rnk AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rnk <= 5
+"""
+
+ORACLE["op12_lexical"] = r"""
+WITH i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), d AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n, words FROM w WHERE len(words) > 0
+), c AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d
+), f AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM d) GROUP BY row, term
+), g AS (
+  SELECT term, CAST(floor(1000 * ln((2 * c.docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM f, c GROUP BY term, c.docs
+), m AS (
+  SELECT row, doc_id, 100 - 90 + ((90 * n * docs) // length) AS m FROM d, c
+), s AS (
+  SELECT i.item_id, f.row, m.doc_id, CAST(sum(g.weight * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN g USING (term) JOIN m USING (row) GROUP BY i.item_id, f.row, m.doc_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rnk FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rnk AS INTEGER) AS rank, doc_id, score FROM r WHERE rnk <= 10
+"""

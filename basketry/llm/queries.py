@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, chat, embed, html, mixing, quality, secrets, shards, simhash, topk
+from basketry.llm import bpe, bytebpe, chat, embed, html, lexical, mixing, negatives, quality, secrets, shards, simhash, topk
 from basketry.llm.common import read_table
 
 
@@ -53,6 +53,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=5)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bytebpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                    public_tokenizers.PATTERN, ids=False)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -64,4 +78,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "op11_negatives": op11_negatives,
+    "op12_lexical": op12_lexical,
+    "op13_bytebpe": op13_bytebpe,
 }
