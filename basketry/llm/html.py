@@ -3,17 +3,16 @@
 A page is cut into blocks. Blocks inside the article are its text; blocks in
 menus, headers, footers, side bars, notices, adverts, forms and comments are
 not. An article inside such a wrapper is text again, unless the wrapper is
-navigation, a footer, comments or hidden. Where a page marks no article, or one
-that is smaller than what lies outside it, its other blocks are open, and the
-host decides: the token streams of a host's pages outside articles form one text,
-and its suffixes are grouped by their first GRAM tokens, which is the host's
-suffix array cut at that depth. A position is covered if its suffix starts
-like one of another page with other contents; the union of such stretches is
-what substrings of at least GRAM tokens repeated across distinct pages cover.
-Covered tokens go, unique runs stay; copies of a page count as one page, so
-they do not cover each other. The array is never in one place: its groups are
-rows keyed by (host, prefix), pre-aggregated in each task, so no host is too
-large.
+navigation, a footer, comments or hidden. Blocks in none of these are open,
+with or without an article beside them, and the host decides: the token
+streams of a host's pages outside articles form one text, and its suffixes are
+grouped by their first GRAM tokens, which is the host's suffix array cut at
+that depth. A position is covered if its suffix starts like one of another
+page with other contents; the union of such stretches is what substrings of at
+least GRAM tokens repeated across distinct pages cover. Covered tokens go,
+unique runs stay; copies of a page count as one page, so they do not cover
+each other. The array is never in one place: its groups are rows keyed by
+(host, prefix), pre-aggregated in each task, so no host is too large.
 """
 
 from __future__ import annotations
@@ -36,10 +35,18 @@ GRAM = 20
 #: WRAP: in a form or in an element that is chrome by its names only. CLOSED: chrome in which no article opens.
 MAIN, OPEN, WRAP, CHROME, CLOSED = range(5)
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|math|textarea|title|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+#: What a ``<`` can open: a comment, CDATA, a declaration, a tag. Any other ``<`` is text.
+_OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: Attributes up to the closing ``>``, where no ``<`` stands in them; it stops at the next ``<``, so it never reads far in vain.
+_ATTRS = re.compile(r"""((?>[^<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+'|(?!["'])))*+)>""")
+#: The same without regard to quotes, for a value whose quote is never closed.
+_BARE = re.compile(r"([^<>]*+)>")
+#: What changes the state of a scan through attributes that hold a ``<``.
+_QUOTES = re.compile(r"""=\s*+["']|["'<>]""")
+#: Elements whose content is no markup; without an end tag they run to the page's end.
+_RAW = frozenset("script style iframe textarea title".split())
+#: Elements left out whole; one without an end tag is ignored.
+_SKIPPED = frozenset("template noscript svg math select object".split())
 #: Elements that begin and end a block.
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
@@ -80,8 +87,90 @@ def _region(tag: str, attrs: str) -> int | None:
     return own
 
 
+class _Scanner:
+    """Tags of a page in linear time.
+
+    A tag ends at the first ``>`` outside quoted attribute values, or, if a
+    quote is never closed, at the first one. One that meets a ``<`` outside
+    quotes, or no ``>``, is no tag, and its ``<`` is text. A scan through quotes that ends in vain remembers where it was
+    outside quotes and inside which; a later scan that comes to the same state
+    ends there, so that all of them together read the page three times at most.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.end = page, page.rfind(">") + 1
+        self.vain: set[tuple[int, str]] = set()
+        self.absent: set[str] = set()
+
+    def attrs(self, at: int) -> tuple[str, int] | None:
+        """(attributes, end of the tag) of a tag whose name ends at ``at``."""
+        m = _ATTRS.match(self.page, at, self.end)
+        if m:
+            return m[1], m.end()
+        state, path, pos = "", [(at, "")], at
+        while path[-1] not in self.vain:
+            m = _QUOTES.search(self.page, pos, self.end)
+            if m is None:
+                break
+            mark = m[0][-1]
+            if state:
+                state = "" if mark == state else state
+            elif mark == ">":
+                return self.page[at:m.start()], m.end()
+            elif mark == "<":
+                return None
+            elif len(m[0]) > 1:
+                state = mark
+            pos = m.end()
+            path.append((pos, state))
+        self.vain.update(path)
+        m = _BARE.match(self.page, at, self.end)
+        return (m[1], m.end()) if m else None
+
+    def skip(self, name: str, at: int) -> int | None:
+        """Where the element ``name`` that opens before ``at`` is over; None if it has no end tag."""
+        if name in self.absent:
+            return None
+        m = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(self.page, at)
+        if m is None:
+            self.absent.add(name)
+            return None
+        return m.end()
+
+    def tags(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, is an end tag, name, attributes); comments and the like have no name, skipped elements end behind their end tag."""
+        pos, page = 0, self.page
+        while m := _OPENING.search(page, pos, self.end):
+            pos = m.end()
+            comment, cdata, other, slash, name = m.groups()
+            if comment or cdata:
+                close = page.find("-->" if comment else "]]>", pos)
+                pos = len(page) if close < 0 else close + 3
+                yield m.start(), pos, False, "", ""
+                continue
+            if other:
+                pos = page.index(">", pos) + 1
+                yield m.start(), pos, False, "", ""
+                continue
+            found = self.attrs(pos)
+            if found is None:
+                continue
+            attrs, pos = found
+            name = name.lower()
+            if not slash and (name in _RAW or name in _SKIPPED and not attrs.endswith("/")):
+                over = self.skip(name, pos)
+                if over is not None or name in _RAW:
+                    pos = len(page) if over is None else over
+                    yield m.start(), pos, False, name, ""
+                    continue
+            yield m.start(), pos, bool(slash), name, attrs
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(region, text) of the page's blocks in page order; text decoded, white space joined, never empty."""
+    """(region, text) of the page's blocks in page order; text decoded, white space joined, never empty.
+
+    A ``<`` that opens no tag is text, as is all that follows the last tag but an unclosed comment.
+    """
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
@@ -97,39 +186,40 @@ def blocks(page: str) -> list[tuple[int, str]]:
             held.clear()
 
     last = 0
-    for m in _TAG.finditer(page):
-        if m.start() > last:
-            held.append(page[last:m.start()])
-        last = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() in ("textarea", "select", "title"):
-                close()
-            continue
-        tag = tag.lower()
-        if tag in ("br", "td", "th", "wbr", "img", "option"):
-            held.append(" " if tag != "wbr" else "")
+    depth: dict[str, int] = {}  # open elements by name
+    for start, end, is_end, tag, attrs in _Scanner(page).tags():
+        if start > last:
+            held.append(page[last:start])
+        last = end
+        if tag in ("textarea", "select", "title"):
+            close()
+        if tag in ("br", "td", "th", "img", "option"):
+            held.append(" ")
         if tag not in _BLOCKS and tag not in _HOLDERS:
             continue
         close()
-        if m[2]:
+        if is_end:
             quiet = False if tag not in _HOLDERS else quiet
-            if tag in _HOLDERS and any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if depth.get(tag):
+                while True:
+                    name = stack.pop()[0]
+                    depth[name] -= 1
+                    if name == tag:
+                        break
                 region = stack[-1][1] if stack else OPEN
             continue
-        own = _region(tag, m[4])
+        own = _region(tag, attrs)
         if tag in _HOLDERS:
             quiet = False
-            if not m[4].endswith("/"):
+            if not attrs.endswith("/"):
                 # inside chrome only an article is text again
                 region = region if region == CLOSED or own is None else MAIN if own == MAIN else max(region, own)
                 stack.append((tag, region))
+                depth[tag] = depth.get(tag, 0) + 1
         else:
             quiet = own is not None and own >= WRAP
     if last < len(page):
-        held.append(page[last:] if "<" not in page[last:] else page[last:].split("<")[0])
+        held.append(page[last:].split("<!--")[0])
     close()
     return out
 
@@ -147,18 +237,17 @@ def grams(tokens: list[str]) -> list[int]:
 
 
 def candidates(found: list[tuple[int, str]]) -> tuple[list[str], list[tuple[bool, str]] | None]:
-    """The article's blocks if they decide alone, else none and the blocks (is open, text) of which the host decides the open ones.
+    """The article's blocks if nothing else is open, else none and the blocks (is open, text) of which the host decides the open ones.
 
-    The larger of article and open blocks decides; an article that is smaller (a
-    teaser) stays among the open blocks. A page that is all inside wrappers
-    that only a name or a form makes chrome has these for its open blocks.
+    An article is text in any case; what a page has open beside it may be its
+    continuation, and stays where the host's other pages do not have it too. A
+    page that is all inside wrappers that only a name or a form makes chrome
+    has these for its open blocks.
     """
-    size = [0] * 5
-    for r, t in found:
-        size[r] += len(t)
-    if size[MAIN] and size[MAIN] >= size[OPEN]:
+    regions = {r for r, _ in found}
+    if MAIN in regions and OPEN not in regions:
         return [t for r, t in found if r == MAIN], None
-    rest = OPEN if size[MAIN] or size[OPEN] else WRAP
+    rest = OPEN if OPEN in regions else WRAP
     return [], [(r == rest, t) for r, t in found if r in (MAIN, rest)]
 
 
@@ -181,7 +270,7 @@ def parse(pages: DataFrame) -> DataFrame:
                     chrome = [w for r, t in found if r not in ours for w in t.split(" ")]
                     seen.append([grams(stream), sorted(set(grams(chrome)))])
                     # chrome may differ between copies of an open page
-                    content.append(xxhash.xxh64_intdigest("\n".join([text[-1], *chrome] if main else stream)) - (1 << 63))
+                    content.append(xxhash.xxh64_intdigest("\n".join([text[-1], *chrome] if main else [t for _, t in rest or []])) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([
                     cut.column(0), cut.column(1), pa.array([host_of(u.as_py()) for u in cut.column(1)], pa.string()), pa.array(text, pa.string()),
                     pa.array(other, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_())), pa.array([s[0] for s in seen], pa.list_(pa.int64())), pa.array([s[1] for s in seen], pa.list_(pa.int64())),

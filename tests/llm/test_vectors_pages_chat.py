@@ -155,7 +155,7 @@ PAGES = [
     (page(f'{NAV}<div class="ad">Buy now</div><article><h1>Title &amp; more&nbsp;here</h1><p><b>Lead<br><p>Second  \n para &lt;x&gt;.</p></article><footer>&copy; us</footer>'),
      "Title & more here\nLead\nSecond para <x>."),
     (page('<main><header>Site</header><p>One<script>var t="</p>";</script> two</p><aside>Side</aside><form><p>Mail</p></form><ul><li>a</li><li>b</li></ul>'
-          '<div class="comments"><div><p>First!</p></div></div><p>End</p></main><p>after</p>'), "One two\na\nb\nEnd"),
+          '<div class="comments"><div><p>First!</p></div></div><p>End</p></main><p>after</p>'), "One two\na\nb\nEnd\nafter"),
     (page('<article><div id="cookie-notice"><p>We use cookies</p></div><div class="body"><p>Text &am &amp</p></div><p hidden>no</p><p class="share-bar">Share</p><p>x<!-- c --> y'),
      "Text &am &\nx y"),
     (page("<article><table><tr><td>1</td><td>2</td></tr></table><pre>a\n  b</pre></article>"), "1 2\na b"),
@@ -176,11 +176,12 @@ def test_blocks_and_extract(spark):
 
 
 def test_repeated_runs_of_a_host_go_and_unique_runs_stay(spark):
-    """Pages without an article: brute force over all substrings of GRAM and more tokens shared by two pages of the host."""
+    """Pages without an article: brute force over all substrings of 20 and more tokens shared by two pages of the host."""
+    least = 20
     import random
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
-    shared = [" ".join(word() for _ in range(n)) for n in (3, 5, 9)]
+    shared = [" ".join(word() for _ in range(n)) for n in (3, 9, 19, 20, 33)]
     pages = []
     for i in range(12):
         parts = [" ".join(word() for _ in range(rnd.randint(2, 12))) for _ in range(4)] + rnd.sample(shared, 2)
@@ -192,9 +193,9 @@ def test_repeated_runs_of_a_host_go_and_unique_runs_stay(spark):
         stream = [w for p in parts for w in p.split()]
         others = [" " + " ".join(w for p in o[3] for w in p.split()) + " " for o in pages if o[0] != i and o[0] % 2 == i % 2]
         gone = set()
-        for s in range(len(stream) - html.GRAM + 1):
-            if any(f" {' '.join(stream[s:s + html.GRAM])} " in o for o in others):
-                gone |= set(range(s, s + html.GRAM))
+        for s in range(len(stream) - least + 1):
+            if any(f" {' '.join(stream[s:s + least])} " in o for o in others):
+                gone |= set(range(s, s + least))
         want, at = [], 0
         for p in parts:
             left = [w for k, w in enumerate(p.split()) if at + k not in gone]
@@ -228,9 +229,9 @@ FRAMES = [
     # but not in navigation, footer, comments and what is hidden
     *((f"<article>Text</article>{a}<article>Other</article>{b}", "Text") for a, b in (
         ("<nav>", "</nav>"), ("<footer>", "</footer>"), ('<div class="comment-list">', "</div>"), ('<div id="siteFooter">', "</div>"), ("<div hidden>", "</div>"))),
-    # the larger of article and open blocks decides
+    # what is open beside an article stays, whichever is larger
     (f'<article>Teaser</article><div class="post-body"><p>{POST}</p></div>', f"Teaser\n{POST.strip()}"),
-    (f'<article>{POST}</article><div>Read on</div>', POST.strip()),
+    (f'<article>{POST}</article><div>It goes on</div>', f"{POST.strip()}\nIt goes on"),
     # all of an untagged page inside a wrapper
     ('<nav>Home</nav><form><div class="post"><p>One</p><p>Two</p></div></form><footer>End</footer>', "One\nTwo"),
     ("<nav>Home</nav><footer>End</footer>", ""),
@@ -246,6 +247,44 @@ def test_no_article_is_lost_to_its_frame(spark):
     assert [got[i] for i in range(len(FRAMES))] == [t for _, t in FRAMES]
 
 
+STRAY = [
+    ("<article><p>One</p><p>if a < b then the rest of the text", "One\nif a < b then the rest of the text"),
+    ("<p>price < 5 euro and more", "price < 5 euro and more"),
+    ("<p>5 <6 and 7> 3, x<=y <- z</p>", "5 <6 and 7> 3, x<=y <- z"),
+    ('<p>a <b c="d > e < f">bold</b> x</p>tail <i unclosed', "a bold x\ntail <i unclosed"),
+    ('<p title="x<y" data=\'a>b\'>t</p>', "t"),
+    ('<div title="foo> text <b>bold</b> more</div> x', "text bold more\nx"),
+    ("<p class=it's>Hello, it's me</p>", "Hello, it's me"),
+    ("one <svg>two<p>three", "one two\nthree"), ("one <svg/>two", "one two"), ("one <svg>gone</svg>two", "one two"),
+    ("<div><p>x <a <a <p>y", "x <a <a\ny"), ("x <! y", "x <! y"), ("x <!-- y", "x"), ("<script>a</script >b<script>c", "b"),
+]
+
+
+@pytest.mark.parametrize("source,text", STRAY)
+def test_stray_signs_lose_no_text(source, text):
+    assert "\n".join(t for _, t in html.blocks(source)) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', '<a "="', "<a '\">", '<a="', '<a ">" ', '<a =">" ', "<svg>", '<div ="<"', "</div>", "<div><p>", "<!", "<?", "<!--", "<title>", "&lt", "<b=\"'<b='\""])
+@pytest.mark.parametrize("tail", ["", ">", '">'])
+def test_a_page_is_read_in_linear_time(unit, tail):
+    """A megabyte of unclosed tags and quotes takes seconds, not hours."""
+    import time
+    begin = time.process_time()
+    html.blocks(unit * (1_000_000 // len(unit)) + tail)
+    assert time.process_time() - begin < 20
+
+
+def test_the_host_decides_beside_an_article(spark):
+    """Text that goes on outside its article stays; a notice that other articles of the host have too goes."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    notice = words("notice", 25)
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{words(f'a{i}_', 40)}</p></article><div>{words(f'more{i}_', 30)}</div><div>{notice}</div>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: f"{words(f'a{i}_', 40)}\n{words(f'more{i}_', 30)}" for i in range(4)}
+
+
 def test_articles_of_the_test_pages(spark):
     """Every article is what a plain reading of the fixture's fixed frame gives."""
     import html as entities
