@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.session import ensure_checkpoint_dir
@@ -87,6 +87,24 @@ def split_buckets(members: DataFrame, keys: Sequence[str], ident: str, limit: in
             .drop("_parts", "_other"))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], per_task: int = 20_000) -> DataFrame:
+    """Adds ``_nth``: 1, 2, 3 ... in each group of ``keys`` (never null).
+
+    ``rows`` is a written table with a ``_row`` of its own for every row. Rows
+    are numbered in buckets of about ``per_task`` by the hash of ``_row``, and a
+    bucket starts where those before it in its group end, so that no task
+    numbers a whole group.
+    """
+    n = max(16, -(-rows.count() // per_task))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int"))
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = (rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+             .select(*keys, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_from")))
+    own = Window.partitionBy(*keys, "_b").orderBy(*order, "_row")
+    return (rows.join(start, [*keys, "_b"]).withColumn("_nth", (F.col("_from") + F.row_number().over(own)).cast("long"))
+            .drop("_b", "_from"))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups out of batches sorted by integer ``keys``: (table, start of each group).
 

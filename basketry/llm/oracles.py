@@ -28,7 +28,7 @@ ORACLE["op7_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), t AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -46,7 +46,7 @@ WITH d AS (
 ), b AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM p
 ), g AS (
-  SELECT source, h, sum(size) AS words FROM d GROUP BY source, h
+  SELECT source, h, sum(size) AS words, max(size) AS each FROM d GROUP BY source, h
 ), c AS (
   SELECT g.source, g.h, b.target - b.whole * CAST(b.source_size AS DOUBLE) AS budget,
          sum(g.words) OVER (PARTITION BY g.source ORDER BY g.h) AS upto
@@ -55,16 +55,24 @@ WITH d AS (
   SELECT source, min(CASE WHEN upto > budget THEN h END) AS tau,
          max(budget) - coalesce(max(CASE WHEN upto <= budget THEN upto END), 0) AS rest
   FROM c GROUP BY source
+), k AS (
+  SELECT u.source, u.tau, CASE WHEN g.each > 0 THEN CAST(floor(u.rest / g.each) AS BIGINT) ELSE 0 END AS fit,
+         u.rest - CASE WHEN g.each > 0 THEN CAST(floor(u.rest / g.each) AS BIGINT) ELSE 0 END * coalesce(g.each, 0) AS rest
+  FROM u LEFT JOIN g ON g.source IS NOT DISTINCT FROM u.source AND g.h = u.tau
 ), m AS (
-  SELECT d.source, arg_min(d.h, (abs(d.size - u.rest), d.h)) AS more
-  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
-  WHERE d.h >= u.tau AND abs(d.size - u.rest) < u.rest GROUP BY d.source
+  SELECT d.source, arg_min(d.h, (abs(d.size - k.rest), d.h)) AS more
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+  WHERE d.h >= k.tau AND abs(d.size - k.rest) < k.rest GROUP BY d.source
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS nth FROM d
 )
-SELECT d.doc_id, d.source, d.size, b.source_size, b.target,
-       CAST(d.size * (b.whole + CASE WHEN d.h < u.tau OR d.h = m.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
-JOIN u ON d.source IS NOT DISTINCT FROM u.source
-LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source
+SELECT n.doc_id, n.source, n.size, b.source_size, b.target,
+       CAST(n.size * (b.whole + CASE WHEN n.h < k.tau THEN 1
+                                     WHEN n.nth <= CASE WHEN n.h = k.tau THEN k.fit ELSE 0 END + CASE WHEN n.h = m.more THEN 1 ELSE 0 END THEN 1
+                                     ELSE 0 END) AS BIGINT) AS taken
+FROM n JOIN b ON n.source IS NOT DISTINCT FROM b.source
+JOIN k ON n.source IS NOT DISTINCT FROM k.source
+LEFT JOIN m ON n.source IS NOT DISTINCT FROM m.source
 """
 
 ORACLE["op10_chat"] = r"""

@@ -69,7 +69,7 @@ def test_pipeline_is_registered():
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_equals_its_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     cols, rows = rows_spark(QUERIES[key](spark, SMALL))
     dcols, drows, _ = rows_duck(con, ORACLE[key])

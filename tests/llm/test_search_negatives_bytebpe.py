@@ -7,14 +7,12 @@ import random
 import re
 from collections import Counter
 
-import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
 from basketry.llm import bytebpe, lexical, negatives
-from basketry.llm.oracles import ORACLE
 from tests.conftest import SMALL
 from tests.llm.test_vectors_pages_chat import usable
 
@@ -236,15 +234,3 @@ def test_trees_merge_the_leftmost_lowest_pair(library):
         some = [p for p in pieces if bytebpe.tree_size(len(p)) == size]
         ids, count = bytebpe.merge_many(some, size, ranks)
         assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain_merges(p, ranks.id) for p in some]
-
-
-@pytest.mark.parametrize("key", ["op11_negatives", "op12_lexical"])
-def test_queries_equal_sql(spark, key):
-    from basketry.llm.queries import QUERIES
-    con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
-    df = QUERIES[key](spark, SMALL)
-    want = con.execute(ORACLE[key])
-    assert [c[0] for c in want.description] == df.columns
-    assert rows(df) == Counter(want.fetchall())
