@@ -83,7 +83,7 @@ def plan(n: int, dims: int, limit: float, x: np.ndarray) -> tuple[float, int, in
         alike = 1 - np.arccos(np.clip((y[:half] * y[half:2 * half]).sum(1), -1, 1)) / pi if half else np.full(1, 0.5)
         for bits in range(3, (usual if share == 1 else 24) + 1):
             bits = min(bits, dims)
-            # work of a vector: its rows, and its partners in the buckets; codes that are not fitted must save half
+            # work of a vector: its rows, and its partners in the buckets; codes that are less balanced must save half
             work = tables_for(p, bits) * (1 + n * float((alike ** bits).mean()) / BUCKET)
             best.append((work * (1 if share == 1 else 2), -share, bits, p))
     _, share, bits, p = min(best)
@@ -137,9 +137,9 @@ def links(nodes: DataFrame, dims: int, limit: float) -> DataFrame:
     axes = axes_of(x - mean)
     rotations = max(1, -(-max(64, tables * bits) // dims))
     rng = np.random.default_rng(11)
-    # where some of the mean stays, fitted codes would all point to it; any rotation keeps the angles
-    fit = (x - mean) @ axes if share == 1 else x[:0]
-    turn = np.concatenate([axes @ itq(fit, rng) for _ in range(rotations)], axis=1)
+    # learned on the centred sample whatever part of the mean stays: else all codes would point to it
+    centred = (x - x.mean(0)) @ axes if len(x) else x
+    turn = np.concatenate([axes @ itq(centred, rng) for _ in range(rotations)], axis=1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(bits)).astype(np.int64)

@@ -82,7 +82,7 @@ WITH t AS (
   SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
          string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
                     ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
-  FROM t GROUP BY conv_id
+  FROM t GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN {'turn': turn, 'role': role, 'text': text} END
 ), w AS (
   SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies, min(text) AS text FROM c GROUP BY l
 ), p AS (

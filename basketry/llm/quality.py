@@ -15,7 +15,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import common as C
@@ -178,11 +178,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, float]:
     """Fit on hash samples of the labelled good documents and of all documents, both outside the held-out fold.
 
     Labels that are null, or that contradict each other for a doc_id, teach
-    nothing. Each sample has about FIT_ROWS rows; the label side is that small
-    (a few hundred KB), so it is broadcast.
+    nothing. Each sample is drawn by row and has about FIT_ROWS rows, however
+    often a doc_id repeats; the label side is that small (a few hundred KB), so
+    it is broadcast.
     """
-    def drawn(salt: int, rows: int):
-        return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 20)) < _fraction(rows)
+    def drawn(salt: int, rows: int, *by: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id"), *by, F.lit(salt)), F.lit(1 << 20)) < _fraction(rows)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull())
@@ -190,8 +191,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, float]:
             .where((F.col("low") == 1) & (F.col("high") == 1) & ~held_out()).select("doc_id"))
     good = good.where(drawn(1, good.count())).withColumn("good", F.lit(True))
     n = ids.count()
-    rows = (ids.where(~held_out() & F.col("doc_id").isNotNull()).join(F.broadcast(good), "doc_id", "left")
-            .withColumn("good", F.coalesce("good", F.lit(False))).withColumn("web", drawn(2, n))
+    taught = ids.select("doc_id").join(F.broadcast(good), "doc_id").count()  # rows of the drawn labels
+    row = F.monotonically_increasing_id()
+    rows = (ids.withColumn("row", row).where(~held_out() & F.col("doc_id").isNotNull()).join(F.broadcast(good), "doc_id", "left")
+            .withColumn("good", F.coalesce("good", F.lit(False)) & drawn(3, taught, F.col("row"))).withColumn("web", drawn(2, n, F.col("row")))
             .where("good or web").select("doc_id", "good", "web", "text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, float]:
                                              names=["doc_id", "good", "web", "x"])
 
     got = rows.mapInArrow(C.lean(measure), "doc_id long, good boolean, web boolean, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")  # the fit does not depend on the order of tasks
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
+    order = np.lexsort((*x.T, got["doc_id"].to_numpy()))  # the fit does not depend on the order of tasks
+    got, x = got.iloc[order], x[order]
     return fit(x[got["good"].to_numpy(bool)], x[got["web"].to_numpy(bool)])
 
 
@@ -225,7 +229,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of THRESHOLD or more, all columns as they were."""
+    """The rows of ``docs`` with a score of THRESHOLD or more, all columns as they were.
+
+    Null and empty texts are judged like any other; an empty table gives an empty one.
+    """
     net, _ = train(docs, labels)
     at = docs.columns.index("text")
 

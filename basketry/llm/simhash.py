@@ -28,6 +28,8 @@ from basketry.llm import common as C
 SEED = 42
 #: Members of a sub-block; a bucket above it is split (never cut).
 SUB_BLOCK = 512
+#: Row keys go to all tasks up to this size, at so many bytes each; beyond it they are joined by a shuffle.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 64
 PLANES_A_STEP = 8
 QUERY_WORDS = 1 << 15
 
@@ -252,22 +254,40 @@ def row_key(docs: DataFrame) -> dict[str, Column]:
     return {"_text": F.xxhash64(F.col("text").cast("string"), F.lit(3)), "_all": F.xxhash64(*hashable)}
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A written table of row keys, for broadcast where it is small."""
+    keys = C.materialise(keys, "simhash-keys")
+    return F.broadcast(keys) if keys.count() * KEY_BYTES <= BROADCAST_BYTES else keys
+
+
 def dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the one with the smallest doc_id.
 
     All columns are kept, whatever their names. The choice is by row: null ids
     come last, and rows with one doc_id are ordered by hashes of their text and
-    columns, so every class keeps exactly one row, the same in every run.
+    columns, so every class keeps exactly one row, the same in every run. Null
+    and empty texts are one class. An empty table gives an empty one.
+
+    Only the keys of rows that go, and of rows that repeat, meet the documents
+    again; while they fit a broadcast of known size, no text is shuffled but
+    that of rows that repeat.
     """
     fps = fingerprints(docs, words, keys=row_key(docs))
     # null ids last; all rows of one fingerprint are one node
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "_text", "_all")
-    nodes = C.materialise(fps.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    rows = C.materialise(fps.select("fp", first.alias("__simhash_key")), "simhash-rows")
+    nodes = C.materialise(rows.groupBy("fp").agg(F.min("__simhash_key").alias("first")), "nodes")
     roots = C.components(links(nodes.select("fp"), radius))
-    keep = (nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("__simhash_key")).select("__simhash_key"))
+    rooted = C.materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    judged = C.materialise(rows.join(rooted.join(kept, "root").select("fp", "kept"), "fp")
+                           .groupBy("__simhash_key").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("__simhash_key") == F.col("kept")).alias("stays")), "simhash-judged")
+    gone = _sized(judged.where("not stays").select("__simhash_key"))
+    repeated = _sized(judged.where("stays and n > 1").select("__simhash_key"))
     key = row_key(docs)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
                     key["_text"].alias("_text"), key["_all"].alias("_all"))
-    return (docs.withColumn("__simhash_key", mine).join(keep, "__simhash_key", "left_semi")
-            .dropDuplicates(["__simhash_key"]).drop("__simhash_key"))
+    left = docs.withColumn("__simhash_key", mine).join(gone, "__simhash_key", "left_anti")
+    once = left.join(repeated, "__simhash_key", "left_anti")
+    twice = left.join(repeated, "__simhash_key", "left_semi").dropDuplicates(["__simhash_key"])
+    return once.unionAll(twice).drop("__simhash_key")

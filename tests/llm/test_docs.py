@@ -111,7 +111,7 @@ def test_dedup_keeps_one_of_each_group(docs, odd_docs):
         assert Counter(ids) == Counter({g.component_id for g in groups})
 
 
-def test_dedup_loses_no_document(spark):
+def test_dedup_loses_no_document(spark, monkeypatch):
     """Null ids and one id for several texts: every class keeps one row, the same however the rows are dealt."""
     word = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     rows = [(None, word(0), "a"), (None, word(1), "b"), (None, word(1), "a"), (None, None, "n"), (None, word(2), "a"), (5, word(2), "b"),
@@ -120,6 +120,7 @@ def test_dedup_loses_no_document(spark):
     out = [tuple(r) for r in simhash.dedup(df).collect()]
     want = [(None, word(0)), (None, word(1)), (None, None), (5, word(2)), (7, word(3)), (7, word(4)), (9, word(5)), (-(1 << 63), word(6))]
     assert Counter(r[:2] for r in out) == Counter(want) and set(out) <= set(rows)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)  # the way beyond the broadcast gives the same
     for n in (1, 5):
         again = spark.createDataFrame(rows[::-1], df.schema).repartition(n)
         assert Counter(map(tuple, simhash.dedup(again).collect())) == Counter(out)
@@ -192,6 +193,24 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
 
 
+def test_samples_of_the_fit_are_drawn_by_row(spark, monkeypatch):
+    """One id on most rows does not bring them all to the driver, and leaves unlabelled rows."""
+    monkeypatch.setattr(quality, "FIT_ROWS", 200)
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda good, web: seen.update(good=len(good), web=len(web)))
+    docs = spark.createDataFrame([(1 if i % 4 else i, f"text {i}") for i in range(8000)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 8000, 2)] + [(1, 1)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert 100 < seen["web"] < 300 and 0 < seen["good"] < 300
+
+
+def test_empty_and_null_texts_are_judged(spark, no_docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.keep_good(no_docs, labels).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
+    assert {r.doc_id for r in quality.keep_good(blank, labels).collect()} in ({1, 2, 3}, set())
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(2)
     pos = rng.normal(2, 1, 20000)

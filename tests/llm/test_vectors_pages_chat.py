@@ -298,8 +298,8 @@ def test_articles_of_the_test_pages(spark):
 
 def brute_chats(rows):
     convs = defaultdict(set)
-    for c, turn, role, text in rows:
-        convs[c].add((turn, role, text))
+    for c, turn, role, text in rows:  # a turn without an id is a conversation of its own
+        convs[c if c is not None else (turn, role, text)].add((turn, role, text))
     none_first = lambda x: (x is not None, x if x is not None else "")
     order = {c: [t[1:] for t in sorted(v, key=lambda t: tuple(map(none_first, t)))] for c, v in convs.items()}
     out = []
@@ -307,10 +307,10 @@ def brute_chats(rows):
         if any(len(o) > len(turns) and o[:len(turns)] == turns for o in order.values()):
             continue
         same = [k for k, o in order.items() if o == turns]
-        known = [k for k in same if k is not None]
-        if c == (min(known) if known else None):
+        known = [k for k in same if not isinstance(k, tuple)]
+        if c == (min(known) if known else same[0]):
             text = "".join(f"<|{r if r is not None else 'unknown'}|>\n{t if t is not None else ''}\n" for r, t in turns)
-            out.append((c, len(turns), len(same), text))
+            out.append((None if isinstance(c, tuple) else c, len(turns), len(same), text))
     return Counter(out)
 
 
@@ -318,7 +318,7 @@ CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "more"),
     (3, 0, "user", "hi"), (4, 5, "user", "hi"), (4, 9, "assistant", "yo"), (4, 11, "user", "more"), (5, 0, "user", None), (5, 1, None, ""),
     (6, 0, "user", ""), (6, 1, None, ""), (7, 0, "user", None), (8, 0, "user", "dup"), (8, 0, "user", "dup"), (8, 1, "assistant", "a"), (9, 0, "user", "dup"),
-    (10, 0, "user", "t1"), (10, 0, "user", "t0"), (None, 0, "user", "lost"), (None, None, None, None), (11, 0, "assistant", "hi"), (12, 0, "user", "x" * 200_000),
+    (10, 0, "user", "t1"), (10, 0, "user", "t0"), (None, 0, "user", "lost"), (None, None, None, None), (None, 3, "user", "lost"), (None, 3, "user", "lost"), (None, 1, "user", "hi"), (None, 0, "assistant", "end"), (11, 0, "assistant", "hi"), (12, 0, "user", "x" * 200_000),
     (13, 0, "unknown", ""),
 ]
 
@@ -334,8 +334,33 @@ def test_chats_equal_brute_force(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_a_third_of_the_turns_without_an_id(spark):
+    """They are conversations of their own, no group that one task would hold."""
+    rows = [(None if i % 3 == 0 else i // 10, i % 10, "user" if i % 2 else "assistant", f"turn {i % 77}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert Counter(map(tuple, chat.render(df).collect())) == brute_chats(rows)
+
+
 def test_chat_sql_agrees(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r for r in CHATS if r[0] is not None])
-    assert Counter(con.execute(ORACLE["op10_chat"]).fetchall()) == brute_chats([r for r in CHATS if r[0] is not None])
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", CHATS)
+    assert Counter(con.execute(ORACLE["op10_chat"]).fetchall()) == brute_chats(CHATS)
+
+
+def test_the_rotation_is_learned_with_one_vector_at_the_mean(spark, monkeypatch):
+    """A vector near the mean may change the plan, never the method: the codes come from a fitted rotation, and near pairs are found."""
+    fitted = []
+    learn = embed.itq
+    monkeypatch.setattr(embed, "itq", lambda x, rng: fitted.append(len(x)) or learn(x, rng))
+    rng = np.random.default_rng(21)
+    common = np.full(32, 0.6)
+    base = common + rng.normal(size=(500, 32)) * 0.5
+    twin = base + rng.normal(size=base.shape) * 0.08
+    x = np.concatenate([base, twin, base.mean(0)[None, :]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(df).collect()}
+    assert fitted and min(fitted) == len(x)
+    assert all(got[i] <= near[i] for i in got) and sum(got.values()) >= 0.97 * near.sum() > 500
