@@ -1,8 +1,10 @@
 """Report ingestion: CSV exports -> typed raw rows with lineage.
 
-Columns are matched by name in every file on its own: the reader takes cells
-without a header, the first record of each file is that file's header, and a
-small per-file table says at which position each known header stands. Files of
+Records come from :mod:`records`, which splits large files whatever their
+cells hold; their cells are staged once, and all that follows reads the staged
+table. Columns are matched by name in every file on its own: the first record
+of each file is that file's header, and a small per-file table says at which
+position each known header stands. Files of
 one report may order their columns differently or leave optional ones out; a
 file that lacks a required one fails alone. The trailing totals row of a file
 is its last record. File-level dedup compares content hashes with the ledger;
@@ -12,15 +14,19 @@ join against what is loaded. Batch and stream use the same functions.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import clean_cell
 from ..functions.numeric import MONEY
+from ..session import discard, saved
+from .records import FILE, parsed, read_lines, records
 
 # ---------------------------------------------------------------------------
 # The exports' headers in their order, the headers whose raw
@@ -138,8 +144,6 @@ def column_of(report_type: str, header: str) -> str:
 
 HEADER_MAP = {r: {h: column_of(r, h) for h in hs} for r, hs in HEADERS.items()}
 NUMERIC = {r: [HEADER_MAP[r][h] for h in hs] for r, hs in _NUMBERS.items()}
-#: Columns that a file may have beside the known ones; a wider file fails instead of losing cells.
-SPARE_COLUMNS = 64
 #: Rows are written with these beside the report's columns.
 LINEAGE = ["source_file_name", "import_batch_id", "imported_at"]
 
@@ -153,49 +157,40 @@ def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " |\r\n|\n|\r", " "))
 
 
-def cell_schema(report_type: str) -> StructType:
-    return StructType([StructField(f"_c{i}", StringType()) for i in range(len(HEADERS[report_type]) + SPARE_COLUMNS + 1)])
+def stage_cells(lines: DataFrame, report_type: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, files) of lines: cells are (file, _pos, _cells), staged; files tells which end inside a quoted cell.
 
-
-def cells(raw: DataFrame) -> DataFrame:
-    """Header-less CSV rows as (file, _pos, _cells): ``_pos`` orders the records of a file.
-
-    Blocks of a file are ordered by their offset and the rows of a block by a
-    growing id, so the order holds for split files too.
+    The text is read once, when its lines are staged; they go when the cells are there.
     """
-    names = [c for c in raw.columns if re.fullmatch(r"_c\d+", c)]
-    return raw.select(
-        F.col("_metadata.file_path").alias("source_file_name"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_pos"),
-        F.array(*names).alias("_cells"))
-
-
-def read_cells(spark: SparkSession, paths: list[str] | str, report_type: str, multi_line: bool = True) -> DataFrame:
-    """Cells of all files. ``multi_line=False`` splits large files whose cells hold no line breaks."""
-    return cells(spark.read.schema(cell_schema(report_type)).option("header", False).option("multiLine", multi_line)
-                 .option("enforceSchema", True).csv(paths))
+    lines = saved(lines, "csv-lines")
+    rows, files = records(lines)
+    rows, files = saved(rows, "csv-records"), saved(files, "csv-files")
+    cells = saved(parsed(rows, len(HEADERS[report_type])), "csv-cells")
+    discard(lines, rows)
+    return cells, files
 
 
-def file_headers(rows: DataFrame, report_type: str, drop_totals: bool | None = None) -> DataFrame:
+def file_headers(rows: DataFrame, read: DataFrame, report_type: str, drop_totals: bool | None = None) -> DataFrame:
     """S7 S8 S16, one row per file: _first, _last, _index (place of each known header), row_count, error_message.
 
     ``row_count`` is the number of records before loading, without the header
-    and the totals row. A file that lacks a required header, or is wider than
-    the reader, has an ``error_message`` and a null count.
+    and the totals row. A file that lacks a required header, whose last quoted
+    cell never ends, or that has no record has an ``error_message`` and a null
+    count. Columns of a file that the report does not know are not read.
     """
     totals = report_type in HAS_TOTALS_ROW if drop_totals is None else drop_totals
     known = [normalize_header(h) for h in HEADERS[report_type]]
-    per = rows.groupBy("source_file_name").agg(
+    per = rows.groupBy(FILE).agg(
         F.min("_pos").alias("_first"), F.max("_pos").alias("_last"), F.min_by("_cells", "_pos").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    per = read.select(FILE, "open").join(per, FILE, "left")
     head = F.transform("_head", lambda h: F.coalesce(_normal(h), F.lit("")))
     missing = F.array(*[F.when(~F.array_contains("_head", normalize_header(h)), F.lit(h)) for h in REQUIRED[report_type]])
     per = per.withColumn("_head", head).withColumn("_missing", F.array_compact(missing))
-    wide = F.element_at("_head", -1) != ""
-    error = (F.when(F.size("_missing") > 0, F.concat(F.lit("missing required columns: "), F.array_join("_missing", ", ")))
-             .when(wide, F.lit(f"more than {len(known) + SPARE_COLUMNS} columns")))
+    error = (F.when(F.col("open"), F.lit("a quoted cell never ends")).when(F.col("_head").isNull(), F.lit("empty file"))
+             .when(F.size("_missing") > 0, F.concat(F.lit("missing required columns: "), F.array_join("_missing", ", "))))
     index = F.array(*[F.array_position("_head", h) for h in known])
     count = F.greatest(F.col("_n") - (2 if totals else 1), F.lit(0))
-    return per.select("source_file_name", "_first", "_last", index.alias("_index"), F.lit(totals).alias("_totals"),
+    return per.select(FILE, "_first", "_last", index.alias("_index"), F.lit(totals).alias("_totals"),
                       F.when(error.isNull(), count).alias("row_count"), error.alias("error_message"))
 
 
@@ -235,13 +230,18 @@ def typed_rows(rows: DataFrame, files: DataFrame, report_type: str, batch_id: in
     return good_rows, quarantine
 
 
+def report_of(lines: DataFrame, report_type: str, batch_id: int = 0, drop_totals: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(typed rows, quarantine, files) of the lines of one report's files; batch and stream alike."""
+    cells, read = stage_cells(lines, report_type)
+    files = saved(file_headers(cells, read, report_type, drop_totals), "csv-headers")
+    good, quarantine = typed_rows(cells, files, report_type, batch_id)
+    return good, quarantine, files
+
+
 def read_report(spark: SparkSession, paths: list[str] | str, report_type: str, batch_id: int = 0,
-                drop_totals: bool | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                drop_totals: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(typed rows, quarantine, files) of one report type over many files."""
-    rows = read_cells(spark, paths, report_type, multi_line)
-    files = file_headers(rows, report_type, drop_totals)
-    good, quarantine = typed_rows(rows, files, report_type, batch_id)
-    return good, quarantine, files
+    return report_of(read_lines(spark, paths), report_type, batch_id, drop_totals)
 
 
 def require_columns(files: DataFrame, report_type: str) -> None:
@@ -251,54 +251,82 @@ def require_columns(files: DataFrame, report_type: str) -> None:
         raise ValueError(f"{report_type}: " + "; ".join(f"{r[0]}: {r[1]}" for r in bad))
 
 
-#: Files above this size are hashed by lines, since one row cannot hold them.
-WHOLE_FILE_BYTES = 1 << 30
-#: Bytes of a range of a large file; part of the hash, so a change makes every large file new.
-RANGE_BYTES = 128 << 20
+#: Files up to this size are hashed from one row; longer ones line by line, with the same result.
+WHOLE_FILE_BYTES = 64 << 20
+_WHOLE_SPLIT = str(1 << 50)
 
 
-def large_file_sums(spark: SparkSession, names: list[str]) -> list[tuple[str, int, str, str]]:
-    """(file name, lines, sum over the lines, sum over (line, number of its byte range)) of each file that has lines.
+def streamed_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_name, length, sha of files of any size: SHA-256 of their bytes, which no row could hold.
 
-    The ranges are the reader's splits. A session of its own sets them to
-    RANGE_BYTES, whatever the cores, the caller's settings and the other files:
-    splits are the smaller of maxPartitionBytes and the larger of
-    openCostInBytes and the bytes a core, so equal values fix them.
+    SHA-256 goes through a file from end to end, so a file is one task; its
+    lines pass through it in batches. A session of its own keeps the reader
+    from splitting files or packing several into a task. The line reader takes
+    off line feeds, and a byte order mark at the start; the file's length
+    tells whether the last line had one and whether a mark was there.
     """
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if own.conf.isModifiable(k):
             own.conf.set(k, v)
     own.conf.unset("spark.sql.files.maxPartitionNum")
-    own.conf.set("spark.sql.files.maxPartitionBytes", str(RANGE_BYTES))
-    own.conf.set("spark.sql.files.openCostInBytes", str(RANGE_BYTES))
-    line = F.struct((F.col("_metadata.file_block_start") / RANGE_BYTES).cast("long"), F.col("value"))
-    rows = (own.read.text(names).select(F.col("_metadata.file_path").alias("file_name"), F.xxhash64("value").cast("decimal(38,0)").alias("a"),
-                                        F.xxhash64(line, F.lit(1)).cast("decimal(38,0)").alias("b"))
-            .groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum("a").cast("string").alias("a"), F.sum("b").cast("string").alias("b")))
-    # one row a large file, which the driver lists anyway; odd characters are escaped in file_path only
-    return [(r[0] if r[0] in names else unquote(r[0]), *r[1:]) for r in rows.collect()]
+    own.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_SPLIT)
+    own.conf.set("spark.sql.files.openCostInBytes", _WHOLE_SPLIT)
+    lines = own.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = size = None
+        tries: list = []  # with and without a byte order mark
+        seen, held = 0, b""
+        for b in batches:
+            for n, s, line in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if n != name:
+                    if name is not None:
+                        yield digest(name, size, tries, seen, held)
+                    name, size, seen, held = n, s, 0, b""
+                    tries = [hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")]
+                else:
+                    held += b"\n"
+                for t in tries:
+                    t.update(held)
+                seen += len(held)
+                held = line
+        if name is not None:
+            yield digest(name, size, tries, seen, held)
+
+    def digest(name: str, size: int, tries: list, seen: int, held: bytes) -> pa.RecordBatch:
+        seen += len(held)
+        plain, marked = tries
+        for t in tries:
+            t.update(held)
+        mark = size - seen >= 3
+        one = marked if mark else plain
+        if size - seen - 3 * mark == 1:
+            one.update(b"\n")
+        return pa.RecordBatch.from_pylist([{"file_name": name, "length": size, "sha": one.hexdigest()}])
+
+    return lines.mapInArrow(run, "file_name string, length long, sha string")
 
 
 def file_manifest(spark: SparkSession, paths: list[str] | str, ledger: DataFrame | None,
                   report_type: str) -> DataFrame:
-    """Content hash per file and whether it is new (a dry run is this frame).
+    """SHA-256 per file and whether it is new (a dry run is this frame).
 
     A file is new if the ledger does not have its hash, whatever the status
-    was, and no file with a smaller name has the same content. Small files are
-    hashed whole; a large one by its length and two sums over its lines, which
-    are the same on every cluster and beside whatever other files.
+    was, and no file with a smaller name has the same content. The hash is that
+    of the file's bytes at every size.
     """
     listed = spark.read.format("binaryFile").load(paths)
     small = listed.where(F.col("length") <= WHOLE_FILE_BYTES).select(
         F.col("path").alias("file_name"), F.sha2(F.col("content"), 256).alias("file_hash"), "modificationTime")
-    large = listed.where(F.col("length") > WHOLE_FILE_BYTES).select(F.col("path").alias("file_name"), "modificationTime", "length")
+    large = listed.where(F.col("length") > WHOLE_FILE_BYTES).select(F.col("path").alias("file_name"), "modificationTime")
     files = small
-    names = [r["file_name"] for r in large.select("file_name").collect()]
+    names = [r["file_name"] for r in large.select("file_name").collect()]  # the driver lists these files anyway
     if names:
-        sums = spark.createDataFrame(large_file_sums(spark, names), "file_name string, n long, a string, b string")
-        digest = F.sha2(F.concat_ws(":", "length", "n", "a", "b"), 256)
-        files = small.unionByName(large.join(sums, "file_name", "left").select("file_name", digest.alias("file_hash"), "modificationTime"))
+        found = [(r["file_name"] if r["file_name"] in names else unquote(r["file_name"]), r["sha"]) for r in streamed_sha256(spark, names).collect()]
+        hashes = spark.createDataFrame(found, "file_name string, file_hash string")  # odd characters are escaped in file_path only
+        files = small.unionByName(large.join(hashes, "file_name", "left").select("file_name", "file_hash", "modificationTime"))
     first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_name")) == 1
     files = files.withColumn("report_type", F.lit(report_type)).withColumn("_first", first)
     if ledger is None:
@@ -336,13 +364,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def ingest_batch(spark: SparkSession, paths: list[str] | str, report_type: str, table: str, ledger: str,
-                 batch_id: int, multi_line: bool = True) -> DataFrame:
+                 batch_id: int) -> DataFrame:
     """S10-S20 in one chain: manifest -> read the new files -> dedup -> append -> ledger; returns the new ledger rows.
 
-    A batch writes its own folders (``import_batch_id=``) of the raw table,
-    its quarantine and the ledger, and overwrites them, so a batch that runs
-    again after a failure leaves nothing twice. The ledger is written last:
-    until then the files count as new.
+    The files' text is scanned once. A batch writes its own folders
+    (``import_batch_id=``) of the raw table, its quarantine, its counts and the
+    ledger, and overwrites them, so a batch that runs again after a failure
+    leaves nothing twice. The counts (``ledger``_counts: rows loaded and rows
+    quarantined) are observed while those rows are written. The ledger is
+    written last: until then the files count as new.
     """
     mine = f"import_batch_id={batch_id}"
 
@@ -356,14 +386,18 @@ def ingest_batch(spark: SparkSession, paths: list[str] | str, report_type: str,
     manifest = spark.read.parquet(f"{ledger}_manifest/{mine}")
     names = [r["file_name"] for r in manifest.where("is_new").select("file_name").collect()]  # the driver lists these files anyway
     if names:
-        rows, quarantine, files = read_report(spark, names, report_type, batch_id, multi_line=multi_line)
+        rows, quarantine, files = read_report(spark, names, report_type, batch_id)
         keys = DEDUP_KEYS.get(report_type)
         if keys:
             before = earlier(table)
             loaded = before if before is not None else rows.limit(0)
             rows = load_dedup(loaded.select(*keys), rows, keys, "_order")
-        rows.drop("_order", "import_batch_id").write.mode("overwrite").parquet(f"{table}/{mine}")
-        quarantine.write.mode("overwrite").parquet(f"{table}_quarantine/{mine}")
+        loads, bad = Observation(), Observation()
+        count = F.count(F.lit(1)).alias("rows")
+        rows.drop("_order", "import_batch_id").observe(loads, count).write.mode("overwrite").parquet(f"{table}/{mine}")
+        quarantine.observe(bad, count).write.mode("overwrite").parquet(f"{table}_quarantine/{mine}")
+        (spark.createDataFrame([(loads.get["rows"], bad.get["rows"])], "loaded long, quarantined long")
+         .write.mode("overwrite").parquet(f"{ledger}_counts/{mine}"))
         entries = ledger_rows(files, manifest, batch_id)
     else:
         entries = spark.createDataFrame([], LEDGER)

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.cleaning import export_date
 from ..sources import ingest
+from ..sources.records import as_lines
 
 #: Folders by key hash, so that dedup reads only those that a micro-batch touches.
 BUCKETS = 64
@@ -36,45 +37,58 @@ def loaded_before(spark: SparkSession, path: str, epoch_id: int) -> DataFrame |
 
 def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: str, checkpoint: str,
                   keys: list[str] | None = None, after: Callable[[DataFrame, int], None] | None = None,
-                  multi_line: bool = True, files_per_batch: int | None = None):
+                  files_per_batch: int | None = None):
     """New files -> typed, deduplicated rows under ``target`` (availableNow).
 
+    A report without a dedup key (a snapshot) keeps all its rows; see
+    :func:`keep_latest` for its current state.
+
     ``after(fresh, epoch)`` runs once the rows of a batch are written.
     Quarantined rows go to ``target``_quarantine, files that do not match the
     report to ``target``_failed.
     """
-    keys = keys or ingest.DEDUP_KEYS[report_type]
-    reader = (spark.readStream.schema(ingest.cell_schema(report_type)).option("header", False)
-              .option("multiLine", multi_line).option("pathGlobFilter", "[!.~]*"))
+    keys = keys or ingest.DEDUP_KEYS.get(report_type)
+    reader = spark.readStream.option("pathGlobFilter", "[!.~]*")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    src = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    src = reader.text(folder).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        names = [c for c in batch.columns if c.startswith("_c")]
-        rows = batch.select(F.col("_file").alias("source_file_name"), F.array(*names).alias("_cells"),
-                            F.struct(F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_pos"))
-        files = ingest.file_headers(rows, report_type)
-        typed, quarantine = ingest.typed_rows(rows, files, report_type, epoch_id)
-        typed = typed.withColumn("bucket", F.coalesce(_bucket(keys), F.lit(0)))
-        before = loaded_before(spark, target, epoch_id)
-        if before is None:
-            before = typed.limit(0)
-        else:
-            touched = [r[0] for r in typed.select("bucket").distinct().collect()]  # at most BUCKETS
-            before = before.where(F.col("bucket").isin(touched))
-        fresh = ingest.load_dedup(before.select(*keys), typed, keys, "_order")
-        fresh.drop("_order").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/epoch={epoch_id}")
+        typed, quarantine, files = ingest.report_of(as_lines(batch, F.col("_file"), F.col("_block")), report_type, epoch_id)
+        fresh = typed
+        if keys:
+            typed = typed.withColumn("bucket", F.coalesce(_bucket(keys), F.lit(0)))
+            before = loaded_before(spark, target, epoch_id)
+            if before is None:
+                before = typed.limit(0)
+            else:
+                touched = [r[0] for r in typed.select("bucket").distinct().collect()]  # at most BUCKETS
+                before = before.where(F.col("bucket").isin(touched))
+            fresh = ingest.load_dedup(before.select(*keys), typed, keys, "_order")
+        writer = fresh.drop("_order").write.mode("overwrite") if keys else fresh.write.mode("overwrite")
+        (writer.partitionBy("bucket") if keys else writer).parquet(f"{target}/epoch={epoch_id}")
         quarantine.write.mode("overwrite").parquet(f"{target}_quarantine/epoch={epoch_id}")
         (files.where(F.col("error_message").isNotNull()).select("source_file_name", "error_message")
          .write.mode("overwrite").parquet(f"{target}_failed/epoch={epoch_id}"))
         if after is not None:
-            after(spark.read.schema(fresh.drop("_order").schema).parquet(f"{target}/epoch={epoch_id}"), epoch_id)
+            after(spark.read.parquet(f"{target}/epoch={epoch_id}"), epoch_id)
 
     return (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def keep_latest(state: str, key: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
+    """T1 for snapshots: an ``after`` step that writes, for each key of the epoch, its newest row's ``columns``.
+
+    A later file, and a later line of a file, is newer. Only the epoch's own
+    rows are read; :func:`current` picks the newest epoch of each key.
+    """
+    def step(fresh: DataFrame, epoch_id: int) -> None:
+        (fresh.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), "_order").alias("_v"))
+         .select(key, *[F.col(f"_v.{c}").alias(c) for c in columns]).write.mode("overwrite").parquet(f"{state}/epoch={epoch_id}"))
+    return step
+
+
 def recompute_days(target: str, days: str, daily: Callable[[DataFrame], DataFrame],
                    date_col: str = "bill_datetime_raw", day: str = "sale_date") -> Callable[[DataFrame, int], None]:
     """An ``after`` step that recomputes, from the raw table, every day that the new rows touch.
@@ -91,11 +105,16 @@ def recompute_days(target: str, days: str, daily: Callable[[DataFrame], DataFram
     return step
 
 
+def current(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """The newest value of each key of a table that epochs write."""
+    t = spark.read.option("basePath", table).parquet(table)
+    rest = [c for c in t.columns if c not in (key, "epoch")]
+    return (t.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in rest]))
+
+
 def current_days(spark: SparkSession, days: str, day: str = "sale_date") -> DataFrame:
-    """The newest value of each day of a table that epochs write."""
-    t = spark.read.option("basePath", days).parquet(days)
-    rest = [c for c in t.columns if c not in (day, "epoch")]
-    return (t.groupBy(day).agg(F.max_by(F.struct(*rest), "epoch").alias("_v")).select(day, *[F.col(f"_v.{c}").alias(c) for c in rest]))
+    """The newest value of each day."""
+    return current(spark, days, day)
 
 
 def daily_sales(bills: DataFrame) -> DataFrame:

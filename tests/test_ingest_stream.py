@@ -49,13 +49,13 @@ def test_columns_match_by_name_in_every_file(spark, tmp_path):
 
 
 def test_split_files_keep_their_order(spark, tmp_path):
-    """Without line breaks in cells a file may be split: header and totals row are still the file's own."""
+    """A large file is split: header and totals row are still the file's own."""
     body = "".join(f"{i},04-04-2025 07:29 AM,1,{i}.5\n" for i in range(3000))
     write(tmp_path / "x.csv", "Bill No.,Date,Qty,Net Total\n" + body + "TOTAL,,3000,1\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
-        rows, _, files = ingest.read_report(spark, str(tmp_path), "sales_billwise", multi_line=False)
+        rows, _, files = ingest.read_report(spark, str(tmp_path), "sales_billwise")
         assert sorted(int(r.bill_no) for r in rows.collect()) == list(range(3000))
         assert files.first().row_count == 3000
     finally:
@@ -132,34 +132,115 @@ def test_file_manifest_skips_loaded_hashes(spark, tmp_path):
     assert again == {"a.csv": False, "b.csv": True}
 
 
-def test_large_files_keep_their_hash_under_other_splits(spark, tmp_path, monkeypatch):
-    """Above WHOLE_FILE_BYTES: one hash per content, whatever the reader's settings and the files beside it."""
-    monkeypatch.setattr(ingest, "WHOLE_FILE_BYTES", 100)
-    monkeypatch.setattr(ingest, "RANGE_BYTES", 4096, raising=False)
+def test_hash_is_sha256_of_the_bytes_at_every_size(spark, tmp_path, monkeypatch):
+    """Streamed or from one row, whatever the splits; moved lines, ends of line, a byte order mark and bytes that are no text count."""
+    import hashlib
     lines = [f"{i},name {i * 7919 % 1000},{i * i}" for i in range(3000)]
-    far = [lines[-1], *lines[1:-1], lines[0].ljust(len(lines[-1]))]
-    for name, rows in (("a b.csv", lines), ("c.csv", lines), ("far.csv", far), ("less.csv", lines[:-1])):
-        (tmp_path / name).write_text("\n".join(rows) + "\n")
-    (tmp_path / "small.csv").write_text("x\n")
-    seen = []
-    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    before = {k: spark.conf.get(k) for k in sizes}
+    text = "\n".join(lines).encode()
+    contents = {"a b.csv": text + b"\n", "c.csv": text + b"\n", "cut.csv": text, "crlf.csv": text.replace(b"\n", b"\r\n"), "mark.csv": b"\xef\xbb\xbf" + text,
+                "mark_end.csv": b"\xef\xbb\xbf" + text + b"\n", "raw.csv": bytes(range(256)) * 40, "moved.csv": "\n".join([lines[1], lines[0], *lines[2:]]).encode(),
+                "breaks.csv": b"\n" * 500, "small.csv": b"x\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size, paths in (("2k", str(tmp_path)), ("9k", str(tmp_path)), ("64m", str(tmp_path)), ("9k", str(tmp_path / "a b.csv"))):
-            spark.conf.set(sizes[0], size)
-            spark.conf.set(sizes[1], "1")
-            m = ingest.file_manifest(spark, paths, None, "t")
-            seen.append({os.path.basename(r.file_name): r.file_hash for r in m.collect()})
-            assert spark.conf.get(sizes[0]) == size
+        for limit, size in ((1 << 26, "64m"), (100, "2k"), (100, "64m")):
+            monkeypatch.setattr(ingest, "WHOLE_FILE_BYTES", limit)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            m = ingest.file_manifest(spark, str(tmp_path), None, "t")
+            assert {os.path.basename(r.file_name): r.file_hash for r in m.collect()} == want
+            assert spark.conf.get("spark.sql.files.maxPartitionBytes") == size
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 5 and None not in seen[0].values()
-    assert seen[3] == {"a b.csv": seen[0]["a b.csv"]}
-    assert seen[0]["a b.csv"] == seen[0]["c.csv"] and len(set(seen[0].values())) == 4
-    ledger = spark.createDataFrame([(seen[0]["c.csv"],)], "file_hash string")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    ledger = spark.createDataFrame([(want["c.csv"],)], "file_hash string")
     new = {os.path.basename(r.file_name): r.is_new for r in ingest.file_manifest(spark, str(tmp_path), ledger, "t").collect()}
-    assert new == {"a b.csv": False, "c.csv": False, "far.csv": True, "less.csv": True, "small.csv": True}
+    assert {n for n, is_new in new.items() if not is_new} == {"a b.csv", "c.csv"}
+
+
+def plain_records(text):
+    """Records as a character automaton finds them: a quote opens at a cell's start only, a doubled one is one."""
+    out, cur, state, i = [], "", "start", 0
+    while i < len(text):
+        ch = text[i]
+        if state == "in":
+            if ch == '"' and text[i + 1:i + 2] == '"':
+                cur, i = cur + '""', i + 2
+                continue
+            state = "plain" if ch == '"' else "in"
+        elif ch == "\n":
+            out.append(cur)
+            cur, state, i = "", "start", i + 1
+            continue
+        else:
+            state = "in" if ch == '"' and state == "start" else "start" if ch == "," else "plain"
+        cur, i = cur + ch, i + 1
+    return [r for r in [*out, cur] if r.strip(" ")], state == "in"
+
+
+def test_records_with_line_breaks_split_anywhere(spark, tmp_path):
+    """Cells with line breaks, quotes, commas and long runs of lines: 8 KB ranges give the same records as a character automaton."""
+    import random
+    from basketry.sources import records
+    rnd = random.Random(4)
+    cell = lambda: rnd.choice(['plain', '', '5" pipe', '"quoted"', '"a ""b"" c"', '"two\nlines"', '"x,\n""\n,y"', 'it\'s "so"', '"closed"tail', '""', '"\n"', '"' + "long\n" * rnd.randint(1, 400) + '"'])
+    for k in range(3):
+        text = "\n".join(",".join(cell() for _ in range(4)) if rnd.random() < 0.2 else f"{i},plain row,{i},x" for i in range(2500)) + "\n"
+        (tmp_path / f"f{k}.csv").write_text(text)
+    (tmp_path / "open.csv").write_text('a,b\n1,"never\nclosed\n' + "x,y\n" * 3000)
+    (tmp_path / "none.csv").write_text("a,b\n" * 4000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = records.read_lines(spark, str(tmp_path))
+        assert lines.select("source_file_name", "block").distinct().count() > 20
+        rows, files = records.records(lines)
+        got = {}
+        for r in sorted(rows.collect(), key=lambda r: r._pos):
+            got.setdefault(os.path.basename(r.source_file_name), []).append(r.record)
+        ends = {os.path.basename(r.source_file_name): r.open for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("f0.csv", "f1.csv", "f2.csv", "none.csv"):
+        want, is_open = plain_records((tmp_path / name).read_text())
+        assert got[name] == want and not is_open and not ends[name]
+    assert ends["open.csv"] and "open.csv" not in got
+
+
+def test_split_cells_equal_the_unsplit_read(spark, tmp_path):
+    """A report whose cells hold line breaks, in 8 KB ranges, against Spark's own unsplit reader."""
+    import csv
+    heads = ["Item_Id", "Item Name", "Barcode", "MRP", "Unknown", *[f"more {i}" for i in range(120)]]
+    with open(tmp_path / "m.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(heads)
+        for i in range(4000):
+            w.writerow([i, f'Oil "A"\n{i} ml, tin' if i % 7 == 0 else f"Plain {i}", f"b{i}", f"{i}.50", "x\ny" * (i % 3)] + [""] * 120)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows, bad, files = ingest.read_report(spark, str(tmp_path), "item_combinations")
+        got = sorted((int(r.item_id_raw), r.item_name_raw, r.barcode, float(r.mrp)) for r in rows.collect())
+        assert bad.count() == 0 and files.first().row_count == 4000 and files.first().error_message is None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    assert got == sorted((int(r["Item_Id"]), r["Item Name"], r["Barcode"], float(r["MRP"])) for r in whole.collect())
+
+
+def test_the_chain_scans_the_text_once(spark, tmp_path, monkeypatch):
+    """One text scan a batch, counts observed while writing."""
+    from pyspark.sql.readwriter import DataFrameReader
+    scans = []
+    text = DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **k: scans.append(a) or text(self, *a, **k))
+    monkeypatch.setattr(DataFrameReader, "csv", lambda *a, **k: scans.append(("csv", a)))
+    src, table, ledger = tmp_path / "in", str(tmp_path / "raw"), str(tmp_path / "ledger")
+    write(src / "a.csv", "Bill No.,Date,Qty,Net Total\n1,d,1,100\n2,d,x,5\n2,d,1,5\n2,d,1,6\n,,,\n")
+    ingest.ingest_batch(spark, str(src), "sales_billwise", table, ledger, 1)
+    assert len(scans) == 1
+    counts = spark.read.parquet(f"{ledger}_counts").first()
+    assert (counts.loaded, counts.quarantined) == (2, 1)
 
 
 def test_calendar_edges(spark):
