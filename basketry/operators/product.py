@@ -138,16 +138,49 @@ def product_facts(items: DataFrame, pitems: DataFrame, aliases: DataFrame) -> tu
             saved(purchases_by_product_day(pitems, aliases), "purchase-facts"))
 
 
+def opening_balances(facts: tuple[DataFrame, DataFrame], start: Column, day: dt.date) -> DataFrame:
+    """What the grid before ``day`` adds up to, one row per product: sold and purchased, last days of both.
+
+    One conditional aggregate over the sparse facts; it replaces the grid's
+    earlier rows for everything that is cumulative.
+    """
+    sales, purchases = facts
+    zero = F.lit(0).cast("bigint")
+    none = F.lit(None).cast("date")
+    both = (sales.select("product_id", "date", "qty", zero.alias("pqty")).unionByName(purchases.select("product_id", "date", zero.alias("qty"), "pqty"))
+            .where(F.col("product_id").isNotNull() & (F.col("date") >= start) & (F.col("date") < F.lit(day))))
+    return both.groupBy("product_id").agg(
+        F.sum("qty").alias("qty"), F.sum("pqty").alias("pqty"), F.coalesce(F.max(F.when(F.col("qty") > 0, F.col("date"))), none).alias("_sold"),
+        F.coalesce(F.max(F.when(F.col("pqty") > 0, F.col("date"))), none).alias("_bought"))
+
+
+#: Days of history that the windows of a day look back on.
+LOOK_BACK = 60
+
+
+def recent_windows(facts: tuple[DataFrame, DataFrame], start: Column, as_of: dt.date, since: dt.date) -> DataFrame:
+    """:func:`windowed` of the days [since, as_of] alone, equal to those of the whole grid.
+
+    The grid begins LOOK_BACK days earlier, after one opening row per product
+    that carries all cumulative values; so the work grows with the days asked
+    for, not with the history.
+    """
+    grid_from = since - dt.timedelta(days=LOOK_BACK)
+    dense = dense_metrics(facts, start, as_of, grid_from, opening=True)
+    return windowed(dense, start).where(F.col("date") >= F.lit(since))
+
+
 def dense_metrics(facts: tuple[DataFrame, DataFrame], start: Column, as_of: dt.date,
-                  grid_from: dt.date | None = None) -> DataFrame:
+                  grid_from: dt.date | None = None, opening: bool = False) -> DataFrame:
     """Densified (product, day) grid of :func:`product_facts`: date, product_id, qty, rev, pqty (unscaled LONG).
 
     The result is hash partitioned by product_id; the grid rows are generated
     after the (small) product shuffle and never cross an exchange. The number
     of partitions grows with products x days. With ``grid_from`` the grid is
     truncated to [grid_from, as_of]: rolling windows stay exact for days at
-    least 59 days after ``grid_from`` (cumulative stock would need an opening
-    balance and is not derived).
+    least 59 days after ``grid_from``; cumulative values need the ``opening``
+    rows, which stand on the day before it, with the days of the last sale and
+    purchase in _sold and _bought.
     """
     s_all, purchases = facts
     first = start if grid_from is None else F.greatest(start, F.lit(grid_from))
@@ -159,13 +192,25 @@ def dense_metrics(facts: tuple[DataFrame, DataFrame], start: Column, as_of: dt.d
         "product_id", "date", "qty", "rev", zero.alias("pqty"), F.lit(False).alias("_grid"))
     purch = purchases.select(
         "product_id", "date", zero.alias("qty"), zero.alias("rev"), "pqty", F.lit(False).alias("_grid"))
-    sparse = sales.unionByName(purch).repartition(n_parts, "product_id")
+    sparse = sales.unionByName(purch)
+    if opening:
+        balances = opening_balances(facts, start, grid_from).join(products, "product_id", "left_semi")
+        sparse = (sparse.where(F.col("date") >= first).select("*", F.lit(None).cast("date").alias("_sold"), F.lit(None).cast("date").alias("_bought"))
+                  .unionByName(balances.select("product_id", F.lit(grid_from - dt.timedelta(days=1)).alias("date"), "qty", zero.alias("rev"), "pqty",
+                                               F.lit(True).alias("_grid"), "_sold", "_bought")))
+    sparse = sparse.repartition(n_parts, "product_id")
     grid = (
         products.repartition(n_parts, "product_id")
         .select("product_id", F.explode(F.sequence(first, F.lit(as_of))).alias("date"))
         .select("product_id", "date", zero.alias("qty"), zero.alias("rev"), zero.alias("pqty"),
                 F.lit(True).alias("_grid"))
     )
+    if opening:
+        days = (F.max("_sold").alias("_sold"), F.max("_bought").alias("_bought"))
+        return (grid.select("*", F.lit(None).cast("date").alias("_sold"), F.lit(None).cast("date").alias("_bought")).unionByName(sparse)
+                .groupBy("product_id", "date")
+                .agg(F.sum("qty").alias("qty"), F.sum("rev").alias("rev"), F.sum("pqty").alias("pqty"), F.max("_grid").alias("_grid"), *days)
+                .filter("_grid").drop("_grid"))
     return (
         grid.unionByName(sparse)
         .groupBy("product_id", "date")
@@ -215,13 +260,17 @@ def windowed(dense: DataFrame, start: Column | None = None) -> DataFrame:
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
     q = F.col("qty")
     rn = F.row_number().over(w) if start is None else F.datediff(F.col("date"), start) + 1
+    sold, bought = F.when(q > 0, F.col("date")), F.when(F.col("pqty") > 0, F.col("date"))
+    if "_sold" in dense.columns:  # an opening row's quantities are of earlier days
+        opens = F.col("_sold").isNotNull() | F.col("_bought").isNotNull()
+        sold, bought = F.when(opens, F.col("_sold")).otherwise(sold), F.when(opens, F.col("_bought")).otherwise(bought)
     base = dense.select(
         "date", "product_id", "qty", "rev", "pqty",
         rn.alias("_rn"),
         F.sum(q).over(cum).alias("_cq"),
         F.sum("pqty").over(cum).alias("_tp"),
-        F.max(F.when(q > 0, F.col("date"))).over(cum).alias("last_sale_date"),
-        F.max(F.when(F.col("pqty") > 0, F.col("date"))).over(cum).alias("last_purchase_date"),
+        F.max(sold).over(cum).alias("last_sale_date"),
+        F.max(bought).over(cum).alias("last_purchase_date"),
         *[F.lag(q, i).over(w).alias(f"_l{i}") for i in range(1, 8)],
     )
     cq, rn = F.col("_cq"), F.col("_rn")

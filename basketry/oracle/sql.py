@@ -263,6 +263,18 @@ ORACLE["product_stock_position"] = oracle(
     """SELECT date, product_id, CAST(tp AS DOUBLE) AS total_purchased, CAST(ts AS DOUBLE) AS total_sold,
               CAST(tp - ts AS DOUBLE) AS pseudo_stock, last_sale_date, last_purchase_date FROM win2""",
     DENSE_VIEWS, _DENSE_CTES)
+# 130 days before 25 days before the last day, from the first of that month on
+_RECENT = f"date_trunc('month', {AS_OF} - 155)"
+ORACLE["rebuild_recent"] = oracle(
+    """SELECT w.date, w.product_id, CAST(qty AS DOUBLE) AS quantity_sold, CAST(rev AS DOUBLE) AS revenue,
+              CASE WHEN qty <> 0 THEN CAST(rev AS DOUBLE) / CAST(qty AS DOUBLE) END AS avg_price, CAST(pqty AS DOUBLE) AS purchase_quantity,
+              lag_1_qty, lag_7_qty, last_7_day_stddev, CAST(dayofweek(w.date) AS BIGINT) AS day_of_week,
+              (qty = 0 AND COALESCE(last_7_day_avg, 0) > 0.5 AND pqty = 0) AS stockout_proxy,
+              c.is_holiday, c.days_to_next_festival, c.days_since_last_festival, """ + _health("w") + f""",
+              CAST(tp AS DOUBLE) AS total_purchased, CAST(ts AS DOUBLE) AS total_sold, CAST(tp - ts AS DOUBLE) AS pseudo_stock,
+              last_sale_date, last_purchase_date
+       FROM win2 w LEFT JOIN calendar_dim c ON w.date = c.date WHERE w.date >= {_RECENT}""",
+    DENSE_VIEWS, _DENSE_CTES + calendar_ctes(*_CAL_BOUNDS))
 ORACLE["calendar_dim"] = oracle("SELECT * FROM calendar_dim", DSS_VIEWS,
                                 _DSS_CTES + calendar_ctes(*_CAL_BOUNDS))
 

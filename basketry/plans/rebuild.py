@@ -2,8 +2,9 @@
 
 Every derived table is written under ``<out>/<run_id>/<table>``. The raw
 lines are scanned once, into product-day facts; the dense window pass is
-materialised once and feeds features, signals and stock; pages and KPIs read
-the written tables. A run is published by adding one row to
+materialised once and feeds metrics, features, signals and stock, which are
+stored by month so that ``grid.rebuild_recent`` can make the last ones again;
+pages and KPIs read the written tables. A run is published by adding one row to
 ``<out>/_PUBLISHED`` last (a file that appears by rename), so readers see the
 old run or the new one, never a half-built one. Executor loss is survived by Spark's task retry plus the
 reliable (shared-folder) writes; nothing is kept on a machine-local disk.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators import baskets, customers, daily, dims, product, restock
 from ..operators import calendar as cal
+from ..session import discard, saved
+from . import grid
 
 
 def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.date,
@@ -39,11 +42,9 @@ def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.
              save("_purchase_facts", product.purchases_by_product_day(pi, al)))
     start = F.lit(product.spine_start_date(b, facts[0]))
     dense = product.dense_metrics(facts, start, as_of)
-    win = save("_windowed", product.windowed(dense))  # one grid pass, reused three times
-    save("product_daily_metrics", product.product_daily_metrics(win))
-    save("product_daily_features", product.product_daily_features(win, cal.calendar_dim(spark, start, F.lit(as_of))))
-    save("product_health_signals", product.product_health_signals(win))
-    save("product_stock_position", product.product_stock_position(win))
+    win = saved(product.windowed(dense), "windowed")  # one grid pass, reused four times
+    grid.write_months(grid.grid_tables(win, cal.calendar_dim(spark, start, F.lit(as_of))), run)
+    discard(win)
     lic = save("latest_item_combinations", dims.latest_item_combinations(im))
     loc = save("supplier_location", dims.supplier_location(sm))
     psm = save("product_supplier_mapping", dims.product_supplier_mapping(pi))
@@ -71,4 +72,14 @@ def published_run(spark: SparkSession, out: str) -> str:
 def open_run(spark: SparkSession, out: str, names: list[str]) -> dict[str, DataFrame]:
     """Tables of the newest published run; each is one scan wherever it is used."""
     run = published_run(spark, out)
-    return {n: spark.read.parquet(f"{run}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{run}/{n}").drop("month") for n in names}
+
+
+def refresh(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.date, days: int = 90) -> dt.date:
+    """Make the grid tables of the published run again from the month ``days`` before ``as_of`` on, from the raw frames."""
+    run = published_run(spark, out)
+    facts = product.product_facts(raw["raw_sales_itemwise"], raw["raw_purchase_itemwise"], raw["product_aliases"])
+    start = F.lit(product.spine_start_date(raw["raw_sales_billwise"], facts[0]))
+    since = grid.rebuild_recent(spark, facts, start, run, as_of, days)
+    discard(*facts)
+    return since

@@ -6,6 +6,7 @@ views of that directory, with ``as_of`` fixed to the fixture's last day.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import daily
 from ..session import saved, scratch
 from ..sources import fixtures
 from ..sources.fixtures import AS_OF, RetailTables
+from . import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -133,6 +135,20 @@ def q_product_stock_position(spark, sf_dir):
     return product.product_stock_position(product.windowed(_dense(tables(spark, sf_dir))))
 
 
+@register("rebuild_recent")
+def q_rebuild_recent(spark, sf_dir):
+    """The grid tables of some months before the last day as an earlier run left them, the last 90 days made again: all of them, side by side."""
+    t = tables(spark, sf_dir)
+    folder, earlier = scratch(spark, "grid"), AS_OF - dt.timedelta(days=25)
+    since = grid.rebuild_recent(spark, _facts(t), _start(t), folder, earlier, 130, _calendar(t))
+    grid.rebuild_recent(spark, _facts(t), _start(t), folder, AS_OF, 90, _calendar(t))
+    metrics, features, signals, stock = (grid.read_grid(spark, folder, n, since) for n in (
+        "product_daily_metrics", "product_daily_features", "product_health_signals", "product_stock_position"))
+    key = ["date", "product_id"]
+    return (metrics.join(features.drop("quantity_sold", "revenue", "purchase_quantity"), key)
+            .join(signals.drop("last_7_day_avg", "last_30_day_avg", "last_60_day_avg"), key).join(stock, key))
+
+
 @register("calendar_dim")
 def q_calendar_dim(spark, sf_dir):
     return _calendar(tables(spark, sf_dir))

@@ -22,6 +22,27 @@ def test_rebuild_publishes_all_tables(spark, small_tables, tmp_path):
     assert restock.agg(F.countDistinct("product_id")).first()[0] == restock.count()
 
 
+def test_a_rebuild_of_recent_days_equals_the_full_one(spark, small_tables, tmp_path):
+    """All four grid tables: older months from an earlier run, the last 90 days made again; nothing but those months is written."""
+    import datetime as dt
+    from basketry.operators import product
+    from basketry.plans import grid
+    t = small_tables
+    facts, start, calendar = R._facts(t), R._start(t), R._calendar(t)
+    full = {n: df for n, df in grid.grid_tables(product.windowed(product.dense_metrics(facts, start, R.AS_OF)), calendar).items()}
+    early = product.windowed(product.dense_metrics(facts, start, R.AS_OF - dt.timedelta(days=40)))
+    grid.write_months(grid.grid_tables(early, calendar), str(tmp_path))
+    old = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    since = grid.rebuild_recent(spark, facts, start, str(tmp_path), R.AS_OF, 90, calendar)
+    assert since.day == 1 and 90 <= (R.AS_OF - since).days < 125
+    for name, df in full.items():
+        got = grid.read_grid(spark, str(tmp_path), name).select(*df.columns)
+        assert got.count() == df.count() and got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+    kept = [f for f in old if f.exists()]
+    assert kept and all(f.stat().st_mtime_ns == old[f] for f in kept)
+    assert all(f.parent.name < f"month={since:%Y-%m}" for f in kept)
+
+
 def test_supplier_sheets(spark, small_tables, tmp_path):
     sheet = R.QUERIES["replenishment_sheet"](spark, "/root/testdata/sf0.001")
     write_supplier_sheets(sheet, str(tmp_path / "sheets"))
