@@ -8,6 +8,7 @@ one double division, rounding on DECIMAL(28,10).
 
 from __future__ import annotations
 
+from .exports import ORACLE as EXPORTS
 from .views import AS_OF, VIEWS, oracle
 
 ORACLE: dict[str, str] = {}
@@ -852,3 +853,9 @@ ORACLE["csv_exports"] = f"""
 SELECT 'health_report' AS report, count(*) AS rows FROM ({ORACLE["health_report"]}) a
 UNION ALL SELECT 'supplier_report', count(*) FROM ({ORACLE["supplier_report"]}) b
 UNION ALL SELECT 'conversion_sheet', count(*) FROM ({ORACLE["conversion_attention_sheet"]}) c"""
+
+# the written files read back cell by cell
+for _key, _of in (("csv_health_report", "health_report"), ("csv_supplier_report", "supplier_report"), ("csv_conversion_sheet", "conversion_attention_sheet"),
+                  ("supplier_sheet_lines", "supplier_purchase_sheet"), ("stream_item_master", "latest_item_combinations"), ("stream_supplier_location", "supplier_location")):
+    ORACLE[_key] = ORACLE[_of]
+ORACLE |= EXPORTS

@@ -432,6 +432,13 @@ def q_name_clusters(spark, sf_dir):
     return _clusters(tables(spark, sf_dir))[0]
 
 
+@register("name_blocks")
+def q_name_blocks(spark, sf_dir):
+    """The candidates with their normalised names and blocks."""
+    t = tables(spark, sf_dir)
+    return entity.blocked(entity.candidates(t.raw_item_combinations, t.raw_sales_itemwise, t.product_aliases))
+
+
 @register("merge_suggestions")
 def q_merge_suggestions(spark, sf_dir):
     clusters, edges = _clusters(tables(spark, sf_dir))
@@ -476,6 +483,13 @@ def q_canonical_products(spark, sf_dir):
     return catalog.canonical_products(t.raw_item_combinations, t.products)
 
 
+@register("product_categories")
+def q_product_categories(spark, sf_dir):
+    """Canonical products but for the title, which SQL cannot case."""
+    t = tables(spark, sf_dir)
+    return catalog.canonical_products(t.raw_item_combinations, t.products).drop("canonical_name")
+
+
 @register("cash_closure")
 def q_cash_closure(spark, sf_dir):
     return cash.cash_closure_totals(fixtures.closures_from_events(tables(spark, sf_dir).base("events")))
@@ -495,6 +509,27 @@ def q_filter_query(spark, sf_dir):
     return out.select("bill_no", "bill_datetime_raw", "operator_name", F.col("net_total").cast("double"))
 
 
+FILTER_SPECS = {
+    "eq": [("operator_name", "eq", "3-MEDIUM")], "ne": [("operator_name", "ne", "3-MEDIUM")], "gt": [("net_total", "gt", 150000)],
+    "gte": [("net_total", "gte", 150000)], "lt": [("net_total", "lt", 50000)], "lte": [("net_total", "lte", 50000)],
+    "like": [("customer_name_raw", "like", "Customer#00000000%")], "ilike": [("customer_name_raw", "ilike", "%CUSTOMER#000000_1%")],
+    "in": [("operator_name", "in", ["1-URGENT", "5-LOW"])], "or": [("net_total", "gt", 300000), ("operator_name", "eq", "2-HIGH")],
+    "and": [("net_total", "gt", 300000), ("operator_name", "eq", "2-HIGH")],
+}
+
+
+@register("filter_operators")
+def q_filter_operators(spark, sf_dir):
+    """Every operator and both conditions."""
+    bills = tables(spark, sf_dir).raw_sales_billwise
+    out = None
+    for name, filters in FILTER_SPECS.items():
+        spec = {"filters": [{"field": f, "operator": o, "value": v} for f, o, v in filters], "condition": "or" if name == "or" else "and"}
+        rows = offers.filter_query(bills, spec).select(F.lit(name).alias("operator"), "bill_no", "operator_name", F.col("net_total").cast("double"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("load_dedup")
 def q_load_dedup(spark, sf_dir):
     """Re-delivered export: everything loaded before 1998 is already in the table."""
@@ -536,6 +571,37 @@ def q_ingest_report(spark, sf_dir):
     return rows.select(*_bill_columns(), "import_batch_id")
 
 
+def _raw_columns(report: str) -> list:
+    return [F.col(c).cast("double").alias(c) if c in ingest.NUMERIC[report] else F.col(c) for c in ingest.HEADER_MAP[report].values()]
+
+
+def _exported(t: RetailTables, report: str) -> str:
+    return fixtures.write_export(fixtures.export_cells(t, report), scratch(t.spark, report))
+
+
+def _register_ingest(report: str) -> None:
+    @register(f"ingest_{report}")
+    def q(spark, sf_dir):
+        """All columns of the report, from several files with line breaks, quotes and broken numbers in their cells."""
+        return ingest.read_report(spark, f"{_exported(tables(spark, sf_dir), report)}/*", report)[0].select(*_raw_columns(report))
+
+
+for _report in ("sales_itemwise", "purchase_itemwise", "purchase_billwise", "supplier_master", "item_combinations"):
+    _register_ingest(_report)
+
+
+@register("ingest_quarantine")
+def q_ingest_quarantine(spark, sf_dir):
+    """Rows kept aside with a number that is none, or that would have to be rounded, by report and reason."""
+    t = tables(spark, sf_dir)
+    out = None
+    for report in ("sales_itemwise", "purchase_itemwise", "purchase_billwise"):
+        bad = ingest.read_report(spark, f"{_exported(t, report)}/*", report)[1]
+        n = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(report).alias("report"), "reason", "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def _slice(path: str = "file_name"):
     return F.regexp_extract(path, r"_slice=(\d+)", 1).cast("long").alias("slice")
 
@@ -581,6 +647,45 @@ def q_latest_file(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("newest", F.lit(0))).cast("long").alias("newest")))
 
 
+@register("latest_exports")
+def q_latest_exports(spark, sf_dir):
+    """The newest dropped file of each report, ties to the later name."""
+    files = ingest.route_files(fixtures.file_listing(tables(spark, sf_dir)))
+    return ingest.latest_file(files.where(F.col("report_type").isNotNull()))
+
+
+def _read_back(spark, path: str, schema, drop: tuple[str, ...] = ()) -> DataFrame:
+    """A written CSV export with the types that its table had."""
+    names = [f.name for f in schema]
+    back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in [*names, *drop])).csv(path)
+    return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _register_csv(key: str, build, write, blank: tuple[str, ...] = ()) -> None:
+    @register(key)
+    def q(spark, sf_dir):
+        """The export as written, read back cell by cell."""
+        df, path = build(_built(tables(spark, sf_dir))), scratch(spark, key)
+        write(df, path)
+        return _read_back(spark, path, df.schema, blank)
+
+
+_register_csv("csv_health_report", lambda t: reports.health_report(t.latest, t.pdim, t.psm), sinks.export_csv)
+_register_csv("csv_supplier_report", lambda t: reports.supplier_report(t.latest, t.psm, t.pdim, t.lic), sinks.export_csv)
+_register_csv("csv_conversion_sheet", lambda t: restock.conversion_attention_sheet(t.latest, t.pdim, t.psm, t.lic), sinks.write_conversion_sheet,
+              ("physical_stock", "order_qty"))
+
+
+@register("supplier_sheet_lines")
+def q_supplier_sheet_lines(spark, sf_dir):
+    """The lines of all order sheets, read back from the suppliers' folders."""
+    t = _built(tables(spark, sf_dir))
+    sheet = restock.supplier_purchase_sheet(_restock(t, t.latest), t.latest, t.pdim, t.lic, t.psm, _loc(t))
+    path = scratch(spark, "sheet-lines")
+    sinks.write_supplier_sheets(sheet, path)
+    return _read_back(spark, f"{path}/*", sheet.schema, ("physical_stock", "order_qty"))
+
+
 @register("supplier_sheets")
 def q_supplier_sheets(spark, sf_dir):
     """The order sheets as written, one folder per supplier, read back."""
@@ -636,10 +741,36 @@ def q_stream_recomputed_days(spark, sf_dir):
     """After each micro-batch the days that it touches are recomputed from the raw table."""
     src, target, days = _bill_exports(tables(spark, sf_dir)), scratch(spark, "raw"), scratch(spark, "days")
     step = stream_jobs.recompute_days(target, days, stream_jobs.daily_sales)
-    stream_jobs.stream_ingest(spark, f"{src}/*/*", "sales_billwise", target, scratch(spark, "ck"), after=step, files_per_batch=9).awaitTermination()
+    stream_jobs.stream_ingest(spark, f"{src}/*/*", "sales_billwise", target, scratch(spark, "ck"), after=step, files_per_batch=9,
+                              day=stream_jobs.export_date("bill_datetime_raw")).awaitTermination()
     return stream_jobs.current_days(spark, days)
 
 
+def _snapshot_stream(t: RetailTables, report: str, key: str, columns: list[str]) -> DataFrame:
+    """Both deliveries of a master report dropped one after the other, its newest rows kept by a stream."""
+    spark = t.spark
+    drop, state, target, ck = (scratch(spark, n) for n in ("drop", "state", "raw", "ck"))
+    cells = fixtures.export_cells(t, report)
+    for batch in (1, 2):
+        fixtures.write_export(cells.where(F.col("import_batch_id") == batch), drop)
+        stream_jobs.stream_ingest(spark, f"{drop}/*", report, target, ck, after=stream_jobs.keep_latest(state, key, columns)).awaitTermination()
+    now = stream_jobs.current(spark, state, key)
+    return now.withColumn("imported_at", F.current_timestamp()).withColumn("import_batch_id", F.lit(0).cast("long"))
+
+
+@register("stream_supplier_location")
+def q_stream_supplier_location(spark, sf_dir):
+    """Equal to the batch table."""
+    return dims.supplier_location(_snapshot_stream(tables(spark, sf_dir), "supplier_master", "supplier_name_raw", ["city_raw"]))
+
+
+@register("stream_item_master")
+def q_stream_item_master(spark, sf_dir):
+    """Equal to the batch table."""
+    columns = ["purchase_price", "rate", "mrp", "expiry_date_raw", "hsn_code", "system_stock_snapshot"]
+    return dims.latest_item_combinations(_snapshot_stream(tables(spark, sf_dir), "item_combinations", "barcode", columns))
+
+
 def _bill_stream(spark, sf_dir, daily):
     """Bills dealt over many files without any order in time, a few files a micro-batch."""
     t = tables(spark, sf_dir)

@@ -407,3 +407,79 @@ def export_bills(t: RetailTables, folder: str, broken: bool = False) -> str:
         (rows.where(F.col("_slice") % 3 == order).repartition("_slice").sortWithinPartitions("_slice", "_total", q("Bill No."))
          .select("_slice", *named).write.partitionBy("_slice").option("header", True).csv(f"{folder}/order={order}"))
     return folder
+
+
+# ---------------------------------------------------------------- the other export files
+def _export_rows(t: RetailTables, report: str) -> DataFrame:
+    """The raw view of a report with a number for each row."""
+    digits = F.regexp_extract("invoice_no", r"(\d+)", 1).cast("long") if report.startswith("purchase") else None
+    if report == "sales_itemwise":
+        return t.raw_sales_itemwise.withColumn("_n", F.col("bill_no").cast("long") * 8 + F.col("line_no"))
+    if report == "purchase_itemwise":
+        return t.raw_purchase_itemwise.withColumn("_n", digits + F.col("barcode").cast("long"))
+    if report == "purchase_billwise":
+        return t.raw_purchase_billwise.withColumn("_n", digits)
+    if report == "supplier_master":
+        return t.raw_supplier_master.withColumn("_n", F.col("supplier_code").cast("long") * 2 + F.col("import_batch_id"))
+    return t.raw_item_combinations.withColumn("_n", F.col("barcode").cast("long") * 2 + F.col("import_batch_id"))
+
+
+def export_cells(t: RetailTables, report: str) -> DataFrame:
+    """All cells of a report's export as text, beside _n, import_batch_id (0 where the view has none) and _total.
+
+    Columns that the view lacks count up from the row's number. In the first
+    such text column some cells hold line breaks, quotes, blanks around them,
+    ``nan`` or a number with ``.00``; in the first such numeric column some
+    hold no number, too many decimals, or nothing.
+    """
+    from .ingest import HAS_TOTALS_ROW, HEADER_MAP, NUMERIC
+    view = _export_rows(t, report)
+    batch = F.col("import_batch_id") if "import_batch_id" in view.columns else F.lit(0)
+    known = set(view.columns)
+    rows = saved(view.withColumn("import_batch_id", batch.cast("long")), "export-rows")
+    hmap, numbers, n = HEADER_MAP[report], set(NUMERIC[report]), F.col("_n")
+    text = next(c for c in hmap.values() if c not in known and c not in numbers)
+    number = next((c for c in hmap.values() if c not in known and c in numbers), None)
+    cells = []
+    for i, (h, c) in enumerate(hmap.items()):
+        if c in known:
+            cell = F.col(c).cast("string")
+        elif c in numbers:
+            cell = (n % (i + 2)).cast("string")
+            if c == number:
+                cell = F.when(n % 13 == 4, "x12").when(n % 13 == 5, "1.23456").when(n % 13 == 6, "").otherwise(cell)
+        else:
+            cell = F.concat(F.lit(f"{c} "), (n % (i + 2)).cast("string"))
+            if c == text:
+                cell = (F.when(n % 11 == 3, 'Oil "A"\n5, tin').when(n % 11 == 5, "  padded ").when(n % 11 == 6, "nan").when(n % 11 == 7, "2796.00")
+                        .when(n % 11 == 8, '"').otherwise(cell))
+        cells.append(cell.alias(h))
+    body = saved(rows.select("_n", "import_batch_id", F.lit(0).alias("_total"), *cells), "export-cells")
+    if report in HAS_TOTALS_ROW:
+        slices = body.select((F.col("_n") % EXPORT_SLICES).alias("_n"), "import_batch_id").distinct()
+        total = slices.select("_n", "import_batch_id", F.lit(1).alias("_total"), *[F.lit("TOTAL" if i == 0 else None).cast("string").alias(h) for i, h in enumerate(hmap)])
+        body = body.unionByName(total)
+    return body
+
+
+#: Files of one export, per batch of the master reports.
+EXPORT_SLICES = 7
+
+
+def write_export(cells: DataFrame, folder: str) -> str:
+    """Append a file for each slice of the rows to ``folder``, totals rows last."""
+    names = [f"`{c}`" for c in cells.columns if c not in ("_n", "import_batch_id", "_total")]
+    (cells.withColumn("_slice", F.col("_n") % EXPORT_SLICES).repartition(EXPORT_SLICES, "_slice").sortWithinPartitions("_slice", "_total", "_n")
+     .select("_slice", *names).write.mode("append").partitionBy("_slice").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder))
+    return folder
+
+
+def file_listing(t: RetailTables) -> DataFrame:
+    """Names and times of dropped files, one per order, in the spellings that the router knows and one that it does not."""
+    k = F.col("o_orderkey")
+    spelled = F.array(*[F.lit(x) for x in ("Sales Itemwise ", "sales-billwise_", "PURCHASE_ITEMWISE-", "Purchase-Billwise", "supplier master ",
+                                           "Item-Combinations", "item_master ", "notes ")])
+    return t.base("orders").select(
+        F.concat(F.lit("/drop/"), F.element_at(spelled, (k % 8 + 1).cast("int")), k.cast("string"), F.lit(".csv")).alias("file_name"),
+        F.col("o_orderdate").alias("modificationTime"))

@@ -405,7 +405,7 @@ def ingest_batch(spark: SparkSession, paths: list[str] | str, report_type: str,
     return spark.read.parquet(f"{ledger}/{mine}")
 
 
-def _key_null(keys: list[str]) -> Column:
+def key_null(keys: list[str]) -> Column:
     c = F.lit(False)
     for k in keys:
         c = c | F.col(k).isNull()
@@ -417,11 +417,11 @@ def load_dedup(existing: DataFrame, batch: DataFrame, keys: list[str], order_col
 
     Rows with a NULL key part always pass (SQL equality never matches them).
     """
-    nulls = batch.filter(_key_null(keys))
-    keyed = batch.filter(~_key_null(keys))
+    nulls = batch.filter(key_null(keys))
+    keyed = batch.filter(~key_null(keys))
     w = Window.partitionBy(*keys).orderBy(F.col(order_col))
     first = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    loaded = existing.select(*keys).filter(~_key_null(keys)).distinct()
+    loaded = existing.select(*keys).filter(~key_null(keys)).distinct()
     fresh = first.join(loaded, keys, "left_anti")
     return fresh.unionByName(nulls)
 

@@ -2,9 +2,11 @@
 
 ``stream_ingest`` watches a drop folder of CSV exports. Each micro-batch goes
 through the functions of the batch path (header per file, cleaning, typing,
-quarantine, lineage, first-wins dedup). A micro-batch writes folders named by
-its epoch and overwrites them, so a replayed epoch leaves nothing twice.
-``run_daily_stream`` keeps one state row per calendar day, without a
+quarantine, lineage). First-wins dedup over all batches is a second, keyed
+stream over the rows that arrived: the state store holds the keys, so a batch
+looks up its own keys and never reads the table. A micro-batch writes folders
+named by its epoch and overwrites them, so a replayed epoch leaves nothing
+twice. ``run_daily_stream`` keeps one state row per calendar day, without a
 watermark: a bill that comes late, however late, still updates its day.
 """
 
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,26 +22,31 @@ from ..functions.cleaning import export_date
 from ..sources import ingest
 from ..sources.records import as_lines
 
-#: Folders by key hash, so that dedup reads only those that a micro-batch touches.
-BUCKETS = 64
+#: Keys of the dedup stream live in a state store on disk, not on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _bucket(keys: list[str]):
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def first_arrivals(spark: SparkSession, arrivals: str, schema: StructType, keys: list[str], checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Pass on the rows of new files under ``arrivals`` whose key no earlier file had.
 
-
-def loaded_before(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
-    """Rows of earlier epochs, None before the first. A read error is an error, not an empty table."""
-    if not ingest.path_exists(spark, path):
-        return None
-    return spark.read.option("basePath", path).parquet(path).where(F.col("epoch") < epoch_id)
+    Keys are never null, and unique within what arrives at one time. The state
+    has one entry per key ever seen and is looked up by key.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    (own.readStream.schema(schema).parquet(f"{arrivals}/*").dropDuplicates(keys)
+     .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
 def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: str, checkpoint: str,
                   keys: list[str] | None = None, after: Callable[[DataFrame, int], None] | None = None,
-                  files_per_batch: int | None = None):
+                  files_per_batch: int | None = None, day: Column | None = None):
     """New files -> typed, deduplicated rows under ``target`` (availableNow).
 
+    ``target`` has a folder per kind (``keyed`` rows, ``free`` ones whose key
+    has a null or that need none) and epoch; with ``day``, rows have their day
+    and a folder per month, so that readers of some days open these alone.
+
     A report without a dedup key (a snapshot) keeps all its rows; see
     :func:`keep_latest` for its current state.
 
@@ -53,25 +60,38 @@ def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: st
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     src = reader.text(folder).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
+    def save(rows: DataFrame, path: str) -> None:
+        if day is not None:
+            # rows of a month come together, those of a large month in several parts
+            by_month(rows, day).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        here = batch.sparkSession
         typed, quarantine, files = ingest.report_of(as_lines(batch, F.col("_file"), F.col("_block")), report_type, epoch_id)
-        fresh = typed
+        written = [f"{target}/kind=free/epoch={epoch_id}"]
         if keys:
-            typed = typed.withColumn("bucket", F.coalesce(_bucket(keys), F.lit(0)))
-            before = loaded_before(spark, target, epoch_id)
-            if before is None:
-                before = typed.limit(0)
-            else:
-                touched = [r[0] for r in typed.select("bucket").distinct().collect()]  # at most BUCKETS
-                before = before.where(F.col("bucket").isin(touched))
-            fresh = ingest.load_dedup(before.select(*keys), typed, keys, "_order")
-        writer = fresh.drop("_order").write.mode("overwrite") if keys else fresh.write.mode("overwrite")
-        (writer.partitionBy("bucket") if keys else writer).parquet(f"{target}/epoch={epoch_id}")
+            free = ingest.key_null(keys)
+            save(typed.where(free).drop("_order"), written[0])
+            one = ingest.load_dedup(typed.limit(0).select(*keys), typed.where(~free), keys, "_order").drop("_order")
+            one.write.mode("overwrite").parquet(f"{target}_arrivals/epoch={epoch_id}")
+
+            def keyed(rows: DataFrame, n: int) -> None:
+                written.append(f"{target}/kind=keyed/epoch={n}")
+                save(rows, written[-1])
+
+            first_arrivals(here, f"{target}_arrivals", one.schema, keys, f"{checkpoint}-keys", keyed)
+        else:
+            save(typed, written[0])
         quarantine.write.mode("overwrite").parquet(f"{target}_quarantine/epoch={epoch_id}")
         (files.where(F.col("error_message").isNotNull()).select("source_file_name", "error_message")
          .write.mode("overwrite").parquet(f"{target}_failed/epoch={epoch_id}"))
         if after is not None:
-            after(spark.read.parquet(f"{target}/epoch={epoch_id}"), epoch_id)
+            rows = typed.limit(0) if not keys else one.limit(0)
+            if day is not None:
+                rows = by_month(rows, day)
+            after(here.read.schema(rows.schema).option("basePath", target).parquet(*written), epoch_id)
 
     return (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -89,22 +109,32 @@ def keep_latest(state: str, key: str, columns: list[str]) -> Callable[[DataFrame
     return step
 
 
-def recompute_days(target: str, days: str, daily: Callable[[DataFrame], DataFrame],
-                   date_col: str = "bill_datetime_raw", day: str = "sale_date") -> Callable[[DataFrame, int], None]:
+def recompute_days(target: str, days: str, daily: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """An ``after`` step that recomputes, from the raw table, every day that the new rows touch.
 
-    The touched days (one row per day) select the raw rows; their new values
-    go to a folder of the epoch, and :func:`current_days` reads the newest.
+    The raw table is stored by month, so only the touched months' folders are
+    opened, and in them the row groups of the days (the driver gets at most a
+    date per calendar day). The days' new values go to a folder of the epoch,
+    and :func:`current_days` reads the newest.
     """
     def step(fresh: DataFrame, epoch_id: int) -> None:
-        spark = fresh.sparkSession
-        touched = fresh.select(export_date(date_col).alias("_day")).where(F.col("_day").isNotNull()).distinct()
-        raw = spark.read.option("basePath", target).parquet(target).where(F.col("epoch") <= epoch_id)
-        rows = raw.withColumn("_day", export_date(date_col)).join(touched, "_day", "left_semi").drop("_day")
+        touched = [r["day"] for r in fresh.select("day").where(F.col("day").isNotNull()).distinct().collect()]
+        rows = touched_rows(fresh.sparkSession, target, fresh.schema, touched)
         daily(rows).write.mode("overwrite").parquet(f"{days}/epoch={epoch_id}")
     return step
 
 
+def by_month(rows: DataFrame, day: Column) -> DataFrame:
+    return rows.withColumn("day", day).withColumn("month", F.date_format("day", "yyyy-MM"))
+
+
+def touched_rows(spark: SparkSession, target: str, schema: StructType, days: list) -> DataFrame:
+    """The raw rows of some days; other months' folders are pruned."""
+    months = sorted({f"{d:%Y-%m}" for d in days})
+    return (spark.read.schema(schema).option("basePath", target).parquet(target)
+            .where(F.col("month").isin(months) & F.col("day").isin(days)))
+
+
 def current(spark: SparkSession, table: str, key: str) -> DataFrame:
     """The newest value of each key of a table that epochs write."""
     t = spark.read.option("basePath", table).parquet(table)

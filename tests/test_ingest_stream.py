@@ -280,7 +280,7 @@ def test_stream_uses_the_batch_path(spark, tmp_path):
     write(src / "bad.csv", "Bill No.,Qty\n1,2\n")
     days = str(tmp_path / "days")
     go = lambda: jobs.stream_ingest(spark, str(src), "sales_billwise", target, str(tmp_path / "ck"),
-                                    after=jobs.recompute_days(target, days, jobs.daily_sales)).awaitTermination()
+                                    after=jobs.recompute_days(target, days, jobs.daily_sales), day=jobs.export_date("bill_datetime_raw")).awaitTermination()
     rows = lambda: sorted((r.bill_no or "", float(r.net_total)) for r in spark.read.parquet(target).collect())
     go()
     assert rows() == [("", 1.0), ("1", 100.0), ("2", 7.0), ("9", 3.0)]
@@ -293,6 +293,48 @@ def test_stream_uses_the_batch_path(spark, tmp_path):
     assert got == {"2025-04-04": (3, 151.0), "2025-04-05": (2, 10.0)}
 
 
+def test_dedup_over_epochs_reads_no_earlier_rows(spark, tmp_path):
+    """Many epochs equal one batch, first row of a key wins, and the loaded table may be gone: keys come from the state."""
+    import random
+    import shutil
+    from basketry.streaming import jobs
+    rnd = random.Random(5)
+    src, target, ck = tmp_path / "drop", str(tmp_path / "raw"), str(tmp_path / "ck")
+    want = {}
+    go = lambda: jobs.stream_ingest(spark, str(src), "sales_billwise", target, ck).awaitTermination()
+    for epoch in range(3):
+        for part in range(2):
+            lines = []
+            for i in range(60):
+                bill, total = rnd.randint(1, 150), epoch * 1000 + part * 100 + i
+                want.setdefault(str(bill), float(total))
+                lines.append(f"{bill},04-04-2025 18:30,1,{total}")
+            write(src / f"e{epoch}p{part}.csv", "Bill No.,Date,Qty,Net Total\n" + "\n".join(lines) + "\n,,,\n")
+        go()
+        if epoch == 0:  # what the first epoch loaded is moved away: later epochs must not need it
+            first = {r.bill_no: float(r.net_total) for r in spark.read.parquet(target).collect()}
+            shutil.copytree(target, tmp_path / "kept")
+            for f in (tmp_path / "raw").rglob("*.parquet"):
+                f.write_bytes(b"unreadable")
+    spark.catalog.clearCache()
+    later = {}
+    for folder in sorted((tmp_path / "raw").glob("kind=keyed/epoch=*")):
+        if all(f.read_bytes() != b"unreadable" for f in folder.glob("*.parquet")):
+            later |= {r.bill_no: float(r.net_total) for r in spark.read.parquet(str(folder)).collect()}
+    assert not set(first) & set(later) and first | later == want
+
+
+def test_recomputed_days_open_their_folders_alone(spark, tmp_path):
+    from basketry.streaming import jobs
+    rows = spark.createDataFrame([(f"03-{m:02d}-2025 18:30", str(m)) for m in range(1, 13)] + [("04-04-2025 18:30", "x")], "bill_datetime_raw string, bill_no string")
+    rows = jobs.by_month(rows, jobs.export_date("bill_datetime_raw"))
+    rows.write.partitionBy("month").parquet(str(tmp_path / "raw" / "kind=keyed" / "epoch=0"))
+    some = jobs.touched_rows(spark, str(tmp_path / "raw"), rows.schema, [dt.date(2025, 4, 3), dt.date(2025, 9, 3)])
+    assert sorted(r.bill_no for r in some.collect()) == ["4", "9"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_session_names_no_master_and_no_local_checkpoint_off_a_local_master(spark, monkeypatch):
     import pytest
     from basketry import session
