@@ -4,9 +4,10 @@ Plan: deduplicate (bill, item) first (partial aggregation), drop items that
 appear in fewer than ``min_co`` bills (a pair can never co-occur more often
 than its rarer item -- exact pruning), then self-join on bill with
 ``a < b`` so each unordered pair is produced once. The pair counts are
-pre-aggregated per task before the shuffle on (a, b). A very large bill is
-a skewed join key; AQE's skew-join split divides it across tasks. Item
-bill counts and the total are joined back by key / as a scalar subquery.
+pre-aggregated per task before the shuffle on (a, b). A very large bill's
+items are dealt into pairs of sub-groups, each a join key of its own, so no
+task enumerates all pairs of a bill. Item bill counts and the total are
+joined back by key / as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from .parts import pair_parts
 from .product import remap
 
+#: Items of one sub-group of a bill; a larger bill is dealt into pairs of sub-groups.
+PART_ITEMS = 1000
+
 
 def bill_items(items: DataFrame, aliases: DataFrame | None, item_col: str = "barcode") -> DataFrame:
     """Distinct (bill_no, item) with alias barcodes folded into canonicals."""
@@ -28,18 +33,25 @@ def bill_items(items: DataFrame, aliases: DataFrame | None, item_col: str = "bar
     return df.filter(F.col("bill_no").isNotNull() & F.col("item").isNotNull()).distinct()
 
 
+def bill_pairs(bi: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """(barcode_a, barcode_b) once for every bill that holds both, from distinct (bill_no, item)."""
+    dealt, part = pair_parts(bi, "bill_no", "item", part_items), ["bill_no", "_p", "_q"]
+    a = dealt.where("_sub = _p").select(*part, F.col("item").alias("_a"))
+    b = dealt.where("_sub = _q").select(*part, F.col("item").alias("_b"))
+    return (a.join(b, part).where((F.col("_p") < F.col("_q")) | (F.col("_a") < F.col("_b")))
+            .select(F.least("_a", "_b").alias("barcode_a"), F.greatest("_a", "_b").alias("barcode_b")))
+
+
 def product_associations(items: DataFrame, aliases: DataFrame | None, min_co: int = 5,
-                         item_col: str = "barcode") -> DataFrame:
+                         item_col: str = "barcode", part_items: int = PART_ITEMS) -> DataFrame:
     """Pairs with >= ``min_co`` shared bills, support/confidence/lift."""
     n_bills = items.filter(F.col("bill_no").isNotNull()).agg(F.count_distinct("bill_no")).scalar()
     bi = bill_items(items, aliases, item_col)
     item_bills = bi.groupBy("item").agg(F.count(F.lit(1)).alias("bill_count"))
     frequent = item_bills.filter(F.col("bill_count") >= min_co).select("item")
     cand = bi.join(frequent, "item", "left_semi")
-    a = cand.select("bill_no", F.col("item").alias("barcode_a"))
-    b = cand.select("bill_no", F.col("item").alias("barcode_b"))
     pairs = (
-        a.join(b, "bill_no").filter(F.col("barcode_a") < F.col("barcode_b"))
+        bill_pairs(cand, part_items)
         .groupBy("barcode_a", "barcode_b").agg(F.count(F.lit(1)).alias("co_occurrences"))
         .filter(F.col("co_occurrences") >= min_co)
     )

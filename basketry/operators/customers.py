@@ -41,17 +41,32 @@ def classified_bills(bills: DataFrame) -> DataFrame:
 
 
 def customer_dimension(bills: DataFrame) -> DataFrame:
-    """Identified customers plus one synthetic walk-in row."""
+    """Identified customers plus one synthetic walk-in row.
+
+    The display name is a customer's commonest name, the smallest of equally
+    common ones, null if none is given: bills are counted by (customer, name)
+    first, so no task holds all names of a customer.
+    """
     c = classified_bills(bills)
-    ident = (
+    named = (
         c.filter(~F.col("is_walk_in"))
-        .groupBy("mobile_clean")
+        .groupBy("mobile_clean", F.trim(F.col("customer_name_raw")).alias("_name"))
         .agg(
-            F.mode(F.trim(F.col("customer_name_raw")), True).alias("display_name"),
-            F.bool_or(F.col("membercard_discount") > 0).alias("is_member"),
-            F.min("bill_date").alias("first_seen_date"),
-            F.max("bill_date").alias("last_seen_date"),
-            F.count(F.lit(1)).alias("total_bills"),
+            F.bool_or(F.col("membercard_discount") > 0).alias("_member"),
+            F.min("bill_date").alias("_first"),
+            F.max("bill_date").alias("_last"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+    )
+    commonest = F.when(F.col("_name").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_name").alias("name")))
+    ident = (
+        named.groupBy("mobile_clean")
+        .agg(
+            F.min_by("_name", commonest).alias("display_name"),
+            F.bool_or("_member").alias("is_member"),
+            F.min("_first").alias("first_seen_date"),
+            F.max("_last").alias("last_seen_date"),
+            F.sum("_n").alias("total_bills"),
         )
         .select("mobile_clean", "display_name", F.lit(False).alias("is_walk_in"), "is_member",
                 "first_seen_date", "last_seen_date", "total_bills")
