@@ -3,10 +3,11 @@
 * names are normalised and blocked JVM-side (regex expressions);
 * pairs are scored on *distinct* normalised names per block, so many
   barcodes sharing a name cost one comparison, not a quadratic block;
-* a sound Levenshtein prefilter (indel >= levenshtein) runs in codegen and
-  only survivors reach the exact Arrow-batched ratio UDF;
-* a large block is split into pairs of sub-blocks, so no task compares a
-  whole block;
+* lengths and character counts bound the distance of a pair; only pairs that
+  they allow reach a sound Levenshtein prefilter (indel >= levenshtein), and
+  only its survivors the exact Arrow-batched ratio UDF;
+* a large block is split by length into pairs of sub-blocks, so no task
+  compares a whole block, and pairs of lengths that cannot match never meet;
 * clusters are connected components by star contraction over the edge table
   (joins and minima, a table in the shared folder per round), so no cluster
   is ever gathered into one task.
@@ -14,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import indel_ratio_udf, token_sorted
@@ -78,39 +79,92 @@ def blocked(cands: DataFrame) -> DataFrame:
 
 #: Names of one comparison part; a larger block is split into pairs of sub-blocks.
 PART_NAMES = 2000
+#: Groups of characters whose counts bound the distance of two names (any disjoint groups do), by mask.
+BAG_GROUPS = [["A", "E", "I", "O", "U", "R", "T", "N", "S"], ["L", "C", "M", "DP", "BGHK", "FVWY", "01234", "56789", " "]]
+#: Bits of a group in its mask.
+BAG_BITS = 7
 
 
-def split_blocks(names: DataFrame, limit: int = PART_NAMES) -> DataFrame:
-    """Deal the names of each block into parts (_p, _q), so that all pairs of the block meet in exactly one part.
+def split_blocks(names: DataFrame, limit: int = PART_NAMES, min_score: float = 0.0) -> DataFrame:
+    """Deal the names of each block into parts (_p, _q), so that any two that can reach ``min_score`` meet in exactly one.
 
-    A block of n names has ``s = ceil(n / limit)`` sub-blocks by hash (_sub)
-    and ``s (s + 1) / 2`` parts; no task compares more than limit x limit names
-    at a time. Block sizes are pre-aggregated counts.
+    A block of more than ``limit`` names is cut into sub-blocks (_sub) of that
+    many by rising length, names of one length by hash. Sub-blocks whose lengths
+    are too far apart for the score form no part. Cuts follow from counts by
+    (block, length), which are few rows.
     """
-    hot = (names.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-           .select("block_key", F.ceil(F.col("_n") / limit).cast("int").alias("_s")))
-    s = F.coalesce("_s", F.lit(1))
-    return (names.join(hot, "block_key", "left").withColumn("_sub", F.pmod(F.xxhash64("norm"), s).cast("int"))
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), s - 1)))
-            .withColumn("_p", F.least("_sub", "_o")).withColumn("_q", F.greatest("_sub", "_o")).drop("_s", "_o"))
+    sized = names.withColumn("_len", F.length(token_sorted(F.col("norm"))))
+    w = Window.partitionBy("block_key")
+    ranks = (sized.groupBy("block_key", "_len").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_all", F.sum("_n").over(w))
+             .withColumn("_before", F.sum("_n").over(w.orderBy("_len")) - F.col("_n"))
+             .where(F.col("_all") > limit).drop("_all"))
+    cut = lambda position: F.floor(position / limit).cast("int")
+    subs = (ranks.withColumn("_sub", F.explode(F.sequence(cut(F.col("_before")), cut(F.col("_before") + F.col("_n") - 1))))
+            .groupBy("block_key", "_sub").agg(F.min("_len").alias("_lo"), F.max("_len").alias("_hi")))
+    p = subs.select("block_key", F.col("_sub").alias("_p"), F.col("_hi").alias("_la"))
+    q = subs.select("block_key", F.col("_sub").alias("_q"), F.col("_lo").alias("_lb"))
+    parts = (p.join(q, "block_key").where("_p <= _q")
+             .where(within(F.col("_lb") - F.col("_la"), F.col("_la"), F.col("_lb"), min_score))
+             .select("block_key", "_p", "_q"))
+    meets = (parts.withColumn("_sub", F.col("_p"))
+             .unionByName(parts.where("_p < _q").withColumn("_sub", F.col("_q"))))
+    place = cut(F.col("_before") + F.pmod(F.xxhash64("norm"), F.col("_n")))
+    return (sized.join(ranks, ["block_key", "_len"], "left").withColumn("_sub", F.coalesce(place, F.lit(0)))
+            .join(meets, ["block_key", "_sub"], "left")
+            .withColumn("_p", F.coalesce("_p", "_sub")).withColumn("_q", F.coalesce("_q", "_sub"))
+            .drop("_len", "_n", "_before"))
+
+
+def within(distance: Column, la: Column, lb: Column, min_score: float) -> Column:
+    """Whether a lower bound of the indel distance still allows ``min_score``.
+
+    score >= t  <=>  indel * 100 <= (100 - t) * (la + lb). Scaled to integers
+    (plus a margin), so rounding can never drop a qualifying pair.
+    """
+    budget = F.lit(100.0 - float(min_score)) * (la + lb).cast("double") + F.lit(1e-6)
+    return (distance * 100).cast("double") <= budget
+
+
+def bag(c: Column) -> list[Column]:
+    """Masks of a text's character counts: a group's lowest bits are as many as its characters, BAG_BITS at most.
+
+    The bits in which two masks differ are at most the difference of the counts.
+    """
+    def ones(group: str) -> Column:
+        count = F.least(F.length(c) - F.length(F.translate(c, group, "")), F.lit(BAG_BITS))
+        return (F.pow(F.lit(2.0), count) - 1).cast("long")
+    return [sum((ones(g) * F.lit(1 << BAG_BITS * i) for i, g in enumerate(groups)), F.lit(0).cast("long"))
+            for groups in BAG_GROUPS]
+
+
+def bounded_pairs(blk: DataFrame, min_score: float, limit: int = PART_NAMES) -> DataFrame:
+    """Distinct-name pairs inside each block that lengths and character counts allow to score ``min_score``.
+
+    An insertion or deletion changes one character count by one, so the
+    summed differences of the counts are at most the indel distance. Names are
+    few bytes and much work, so the parts go to as many tasks as the session
+    has shuffle partitions, neither coalesced nor broadcast by size.
+    """
+    names, masks = blk.select("block_key", "norm").distinct(), [f"_g{i}" for i in range(len(BAG_GROUPS))]
+    dealt = split_blocks(names, limit, min_score).withColumn("_ts", token_sorted(F.col("norm")))
+    dealt = dealt.select("*", F.length("_ts").alias("_l"), *[m.alias(n) for n, m in zip(masks, bag(F.col("_ts")))])
+    part, tasks = ["block_key", "_p", "_q"], int(blk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda at, s: dealt.where(F.col("_sub") == F.col(at)).select(
+        *part, F.col("norm").alias(f"_n{s}"), F.col("_ts").alias(f"ts_{s}"), *[F.col(m).alias(m + s) for m in ["_l", *masks]])
+    la, lb = F.col("_la"), F.col("_lb")
+    apart = sum((F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in masks), F.lit(0))
+    return (side("_p", "a").repartition(tasks, *part).hint("merge").join(side("_q", "b"), part)
+            .filter((F.col("_p") < F.col("_q")) | (F.col("_na") < F.col("_nb")))
+            .filter(within(F.abs(la - lb), la, lb, min_score))
+            .filter(within(apart, la, lb, min_score))
+            .select("block_key", "_na", "_nb", "ts_a", "ts_b"))
 
 
 def name_pairs(blk: DataFrame, min_score: float, limit: int = PART_NAMES) -> DataFrame:
     """Distinct-name pairs inside each block scoring >= ``min_score``."""
-    names = blk.select("block_key", "norm").distinct().withColumn("_ts", token_sorted(F.col("norm")))
-    dealt = split_blocks(names, limit)
-    part = ["block_key", "_p", "_q"]
-    a = dealt.where("_sub = _p").select(*part, F.col("norm").alias("_na"), F.col("_ts").alias("ts_a"))
-    b = dealt.where("_sub = _q").select(*part, F.col("norm").alias("_nb"), F.col("_ts").alias("ts_b"))
     la, lb = F.length("ts_a"), F.length("ts_b")
-    # score >= t  <=>  indel * 100 <= (100 - t) * (la + lb); levenshtein <= indel, so
-    # bounding levenshtein the same way is sound. Scaled to integers (plus a margin)
-    # so rounding can never drop a qualifying pair.
-    budget = F.lit(100.0 - float(min_score)) * (la + lb).cast("double") + F.lit(1e-6)
-    cand = (a.join(b, part)
-            .filter((F.col("_p") < F.col("_q")) | (F.col("_na") < F.col("_nb")))
-            .filter((F.abs(la - lb) * 100).cast("double") <= budget)
-            .filter((F.levenshtein("ts_a", "ts_b") * 100).cast("double") <= budget))
+    cand = bounded_pairs(blk, min_score, limit).filter(within(F.levenshtein("ts_a", "ts_b"), la, lb, min_score))
     return (cand.withColumn("score", indel_ratio_udf("ts_a", "ts_b"))
             .filter(F.col("score") >= F.lit(float(min_score)))
             .select("block_key", F.least("_na", "_nb").alias("norm_a"), F.greatest("_na", "_nb").alias("norm_b"), "score"))

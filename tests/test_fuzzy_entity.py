@@ -102,3 +102,38 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     got = {r.node: r.label for r in entity.connected_components(df).collect()}
     assert len(got) == 1001 and set(got.values()) == {"00000"}
     assert len(rounds) <= 15
+
+
+def random_names(rnd, count, low, high):
+    return sorted({"ABC" + "".join(rnd.choice("DEFGIKLMNOPRST 0189") for _ in range(rnd.randint(low, high))).strip()
+                   for _ in range(count)})
+
+
+def as_block(spark, names):
+    return spark.createDataFrame([("b", n) for n in names], "block_key string, norm string")
+
+
+def test_bounds_lose_no_pair_of_any_score(spark):
+    """Names of 3 to 60 characters, near copies among them, signs outside all groups: the pairs of brute force, split or not."""
+    rnd = random.Random(11)
+    names = random_names(rnd, 150, 0, 57)
+    names += [n[:rnd.randint(1, len(n))] + rnd.choice("XÜ東Z") + n[rnd.randint(1, len(n)):] for n in names[:100]] + ["", "Ü"]
+    names = sorted(set(names))
+    blk = as_block(spark, names)
+    for score in (0, 40, 62, 78, 95, 100):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if token_sort_ratio(a, b) >= score}
+        for limit in (30, 2000):
+            got = [(r.norm_a, r.norm_b) for r in entity.name_pairs(blk, score, limit).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_block_of_20000_names_is_hardly_compared(spark):
+    """Of 200 million pairs, few pass the counts; parts whose lengths cannot match do not exist."""
+    rnd = random.Random(5)
+    names = random_names(rnd, 20000, 4, 60)
+    blk, n = as_block(spark, names), len(names)
+    assert n > 19000
+    dealt = entity.split_blocks(blk, 1000, 78).groupBy("_p", "_q").count().collect()
+    s = -(-n // 1000)
+    assert max(r["count"] for r in dealt) <= 2300 and len(dealt) < 0.6 * s * (s + 1) / 2
+    assert entity.bounded_pairs(blk, 78, 1000).count() < 0.1 * n * (n - 1) / 2
