@@ -118,14 +118,20 @@ def grid_partitions(spark, est_rows: int | None = None, rows_per_partition: int
     return base
 
 
+def sale_days(bills: DataFrame, sales_facts: DataFrame) -> tuple[dt.date | None, dt.date | None]:
+    """MIN and MAX(sale_date) of the daily summary, in one pass: bills and, from the built facts, lines."""
+    b = bills.select(export_date("bill_datetime_raw").alias("d"))
+    both = b.unionByName(sales_facts.select(F.col("date").alias("d")))
+    return tuple(both.agg(F.min("d"), F.max("d")).first())
+
+
 def spine_start_date(bills: DataFrame, sales_facts: DataFrame) -> dt.date | None:
-    """MIN(sale_date) of the daily summary: bills and, from the built facts, lines.
+    """The first sale day.
 
     The grid and the fast path name it in many expressions; a literal is
     planned once and lets the optimizer fold it.
     """
-    b = bills.select(export_date("bill_datetime_raw").alias("d"))
-    return b.unionByName(sales_facts.select(F.col("date").alias("d"))).agg(F.min("d").alias("d")).first()["d"]
+    return sale_days(bills, sales_facts)[0]
 
 
 def product_facts(items: DataFrame, pitems: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

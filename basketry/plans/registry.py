@@ -89,11 +89,16 @@ def _facts(t: RetailTables):
     return t._pd_facts
 
 
+def _sale_days(t: RetailTables):
+    """First and last sale day, resolved once per tables object."""
+    if not hasattr(t, "_first_last"):
+        t._first_last = product.sale_days(t.raw_sales_billwise, _facts(t)[0])
+    return t._first_last
+
+
 def _start(t: RetailTables):
-    """Spine start bound as a literal, resolved once per tables object."""
-    if not hasattr(t, "_spine_start"):
-        t._spine_start = product.spine_start_date(t.raw_sales_billwise, _facts(t)[0])
-    return F.lit(t._spine_start)
+    """Spine start bound as a literal."""
+    return F.lit(_sale_days(t)[0])
 
 
 def _dense(t: RetailTables):
@@ -178,10 +183,14 @@ def _restock(t, latest=None):
     return restock.restock_recommendations(latest if latest is not None else _latest(t), _psm(t), _loc(t), _pdim(t))
 
 
-def _built(t: RetailTables) -> RetailTables:
-    """The derived tables that pages read several times, built once for this query (as ``rebuild`` does for all)."""
-    t.latest = saved(_latest(t), "latest")
-    t.psm, t.lic, t.pdim = saved(_psm(t), "psm"), saved(_lic(t), "lic"), saved(_pdim(t), "pdim")
+def _built(t: RetailTables, items: bool = True) -> RetailTables:
+    """The derived tables that pages read several times, built once for this query (as ``rebuild`` does for all).
+
+    ``items``: the newest item-master rows too, which some pages do not read.
+    """
+    t.latest, t.psm, t.pdim = saved(_latest(t), "latest"), saved(_psm(t), "psm"), saved(_pdim(t), "pdim")
+    if items:
+        t.lic = saved(_lic(t), "lic")
     return t
 
 
@@ -305,7 +314,7 @@ def _cmet(t):
 
 @register("kpi_summary")
 def q_kpi_summary(spark, sf_dir):
-    t = _built(tables(spark, sf_dir))
+    t = _built(tables(spark, sf_dir), items=False)
     dss, dps, cdim, cmet = (saved(df, "daily") for df in (_dss(t), _dps(t), _cdim(t), _cmet(t)))
     rec = saved(restock.restock_recommendations(t.latest, t.psm, _loc(t), t.pdim), "restock")
     return reports.kpi_summary(dss, dps, t.latest, rec, cdim, cmet, AS_OF)
@@ -313,13 +322,13 @@ def q_kpi_summary(spark, sf_dir):
 
 @register("health_signals_page")
 def q_health_signals_page(spark, sf_dir):
-    t = _built(tables(spark, sf_dir))
+    t = _built(tables(spark, sf_dir), items=False)
     return reports.health_signals_page(t.latest, t.pdim, t.psm)
 
 
 @register("health_report")
 def q_health_report(spark, sf_dir):
-    t = _built(tables(spark, sf_dir))
+    t = _built(tables(spark, sf_dir), items=False)
     return reports.health_report(t.latest, t.pdim, t.psm)
 
 
@@ -365,7 +374,7 @@ def q_demand_trend(spark, sf_dir):
     t = tables(spark, sf_dir)
     start = _start(t)
     dense = product.dense_metrics(_facts(t), start, AS_OF, grid_from=AS_OF - _dt.timedelta(days=60 + 59))
-    last_sale = saved(_dss(t), "daily").agg(F.coalesce(F.max("sale_date"), F.date_sub(F.lit(AS_OF), 1))).scalar()
+    last_sale = F.lit(_sale_days(t)[1] or AS_OF - _dt.timedelta(days=1))
     return reports.demand_trend(product.windowed(dense, start), AS_OF, last_sale)
 
 
