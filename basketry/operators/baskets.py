@@ -6,8 +6,8 @@ than its rarer item -- exact pruning), then self-join on bill with
 ``a < b`` so each unordered pair is produced once. The pair counts are
 pre-aggregated per task before the shuffle on (a, b). A very large bill's
 items are dealt into pairs of sub-groups, each a join key of its own, so no
-task enumerates all pairs of a bill. Item bill counts and the total are
-joined back by key / as a scalar subquery.
+key holds a whole bill; how many tasks share them is left to AQE. Item bill
+counts and the total are joined back by key / as a scalar subquery.
 """
 
 from __future__ import annotations
