@@ -3,8 +3,8 @@
 The base patterns label the corpus: the values they find are samples of
 random strings, all other token characters are samples of ordinary text and
 identifiers. Character pairs of both kinds are counted over every document,
-in one pass with one small table per task; a token that no pattern found is a
-secret if the model of random strings explains it better by a margin.
+in one pass with one small table per task; a stretch of a token that no pattern
+found is a secret if the model of random strings explains it better by a margin.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ LEAST = 8
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Letters of the models; every other byte ends a token.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: What lies between separators in a run.
+PIECE = re.compile(rb"[A-Za-z0-9]+")
 LETTERS = len(ALPHABET)
 CODE = np.full(256, LETTERS, np.int64)
 CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(LETTERS)
-#: A token is a secret if its ratio is above so many nats, and above so many for each of its pairs.
+#: A stretch is a secret if its ratio is above so many nats, and above so many for each of its pairs.
 MARGIN, MARGIN_A_PAIR = 12.0, 0.5
 
 Span = tuple[int, int, int]
@@ -129,14 +131,77 @@ def left_over(found: list[tuple[int, int]], base: list[Span]) -> list[tuple[int,
     return out
 
 
+def random_stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """Disjoint stretches [i, j) that maximise the sum of their scores less MARGIN for each stretch.
+
+    This is the best path through two states, ordinary and random, where entering
+    the random one costs MARGIN; one pass. A start is given up when its sum is
+    no longer above 0, and a stretch ends at its highest sum once a fall from
+    there costs more than a new start.
+    """
+    out = []
+    start, total, end, best = 0, 0.0, 0, 0.0
+    for i, x in enumerate(scores):
+        total += x
+        if total > best:
+            end, best = i + 1, total
+        if total <= 0 or total < best - MARGIN:
+            if best > MARGIN:
+                out.append((start, end))
+            start, total, end, best = i + 1, 0.0, i + 1, 0.0
+    if best > MARGIN:
+        out.append((start, end))
+    return out
+
+
+def run_units(letters: bytes, pairs: np.ndarray) -> list[tuple[int, int, float]]:
+    """A run in units (start, end, score): its pieces between separators, which score nothing themselves.
+
+    A piece above MARGIN_A_PAIR as a whole is one unit and scores its ratio, so
+    that a span begins and ends where a piece does. Any other is cut around the
+    stretches that are random by themselves, if it has any; a rest of fewer than
+    LEAST letters at an end of the piece goes with them, as a random string may
+    end in a common pair. What is left scores what it lacks of MARGIN_A_PAIR.
+    """
+    units = []
+    for m in PIECE.finditer(letters):
+        s, e = m.span()
+        over = pairs[s:e - 1] - MARGIN_A_PAIR
+        if float(over.sum()) > 0:
+            units.append((s, e, float(pairs[s:e - 1].sum())))
+            continue
+        last = 0
+        for i, j in random_stretches(over.tolist()):
+            score = float(pairs[s + i:s + j].sum())
+            # pairs i to j - 1 are the letters i to j
+            x, y = (0 if i < LEAST else i), (e - s if e - s - j - 1 < LEAST else j + 1)
+            if last < x:
+                units.append((s + last, s + x, float(over[last:x].sum())))
+            units.append((s + max(x, last), s + y, score))
+            last = y
+        if s + last < e:
+            units.append((s + last, e, float(over[last:].sum())))
+    return units
+
+
 def markov_spans(text: str, found: list[tuple[int, int]], base: list[Span], ratio: np.ndarray) -> list[Span]:
-    """Stretches of runs outside base matches that look random by the margin of their log-likelihood ratio."""
+    """Random stretches of the runs outside base matches, by the margins of their log-likelihood ratio."""
     out = []
     for s, e in left_over(found, base):
-        c = CODE[np.frombuffer(text[s:e].encode(), np.uint8)]
-        score = float(ratio[c[:-1], c[1:]].sum())
-        if score > MARGIN and score > MARGIN_A_PAIR * (len(c) - 1):
-            out.append((s, 3, e))
+        letters = text[s:e].encode()
+        c = CODE[np.frombuffer(letters, np.uint8)]
+        pairs = ratio[c[:-1], c[1:]]
+        if float(pairs[pairs > 0].sum()) <= MARGIN:  # no stretch of it can pass
+            continue
+        units = run_units(letters, pairs)
+        for i, j in random_stretches([u[2] for u in units]):
+            x, y = units[i][0], units[j - 1][1]
+            score = sum(u[2] for u in units[i:j])
+            if y - x >= LEAST and score > MARGIN_A_PAIR * (y - x - 1):
+                # separators at an end of the run, such as padding, go with the span beside them
+                x = 0 if x == units[0][0] else x
+                y = len(letters) if y == units[-1][1] else y
+                out.append((s + x, 3, s + y))
     return out
 
 

@@ -373,6 +373,54 @@ def test_markov_held_out(spark):
     assert wrong <= 0.001 * len(other)
 
 
+def test_random_stretches_are_the_best_path():
+    """One pass equals dynamic programming over two states, ordinary and random, with a price for entering the random one."""
+    import random
+    rnd = random.Random(4)
+    for _ in range(400):
+        scores = [rnd.choice([-9, -3, -1, 0, 1, 2, 5, 9, 14]) * 1.0 for _ in range(rnd.randrange(0, 60))]
+        ordinary, inside = 0.0, float("-inf")
+        for x in scores:
+            ordinary, inside = max(ordinary, inside), max(inside, max(ordinary, inside) - secrets.MARGIN, ordinary - secrets.MARGIN) + x
+        found = secrets.random_stretches(scores)
+        assert sum(sum(scores[i:j]) - secrets.MARGIN for i, j in found) == max(ordinary, inside)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and all(sum(scores[i:j]) > secrets.MARGIN for i, j in found)
+
+
+def test_markov_cuts_a_key_out_of_its_run(spark):
+    """Of paths, settings and long words around a key only the key is a span; a key far down a long path is found."""
+    import random
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ratio = secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    before = ["users/accounts/", "session=", "some/long/path/of/ordinary/words/that/goes/on/and/on/until/the/last/", "internationalisation_and_", ""]
+    exact = {b: 0 for b in before}
+    for b in before:
+        for _ in range(300):
+            key = "".join(rnd.choice(letters) for _ in range(20))
+            text = f"see {b}{key} there and {b}"
+            exact[b] += secrets.scan(text, ratio) == ([], [(4 + len(b), 3, 24 + len(b))])
+    assert min(exact.values()) >= 297, exact
+    one, two = "xK9fQ2mZ7tRw4LpB8vYc1Nd", "Zq7RkT2vXw9LmB4nPcY8"
+    text = f"{one}/users/accounts/and/others/of/the/house/{two}=="
+    assert secrets.scan(text, ratio)[1] == [(0, 3, len(one)), (text.index(two), 3, len(text))]
+    assert secrets.blank(text, secrets.scan(text, ratio)[1]) == "[SECRET]/users/accounts/and/others/of/the/house/[SECRET]"
+    glued = f"internationalisationandstraightforwardnessofconsiderations{one}"
+    (s, _, e), = secrets.scan(glued, ratio)[1]
+    assert abs(s - (len(glued) - len(one))) <= 3 and e == len(glued)
+
+
+def test_markov_is_linear_in_a_long_run(spark):
+    """A run of a million characters takes seconds, whether ordinary, random or both in turn."""
+    import time
+    ratio = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for piece in ("users/", "xK9fQ2mZ7tRw4LpB8vYc1Nd/", "users/accounts/xK9fQ2mZ7tRw4LpB8vYc1Nd/accounts/of/the/house/", "x", "/"):
+        text = piece * (1_000_000 // len(piece))
+        began = time.monotonic()
+        secrets.scan(text, ratio)
+        assert time.monotonic() - began < 20
+
+
 # ---- shards
 
 def check_shards(df, shards_n, near):
