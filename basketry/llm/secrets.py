@@ -34,7 +34,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: What lies between separators in a run.
 PIECE = re.compile(rb"[A-Za-z0-9]+")
-LETTERS = len(ALPHABET)
+LETTERS, SEPARATORS = len(ALPHABET), 62
+APART = -1e4
 CODE = np.full(256, LETTERS, np.int64)
 CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(LETTERS)
 #: A stretch is a secret if its ratio is above so many nats, and above so many for each of its pairs.
@@ -77,6 +78,8 @@ def pair_counts(text: str) -> np.ndarray:
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each letter pair, random against ordinary, learned from all documents.
 
+    Pairs with a separator tell nothing, pairs with the space between runs end any stretch.
+
     One row for each task and pair that occurs reaches the shuffle, and at most
     2 * 67 * 67 sums reach the driver. One is added to every count, so a corpus
     without a match gives a uniform random model.
@@ -106,7 +109,9 @@ def train(docs: DataFrame) -> np.ndarray:
     table = table.reshape(2, LETTERS, LETTERS)
     table /= table.sum(axis=2, keepdims=True)
     # half of the random strings are taken to come from alphabets that the samples do not show
-    return np.log((table[0] + 1 / LETTERS) / 2) - np.log(table[1])
+    ratio = np.log((table[0] + 1 / LETTERS) / 2) - np.log(table[1])
+    ratio[SEPARATORS:] = ratio[:, SEPARATORS:] = 0.0
+    return np.pad(ratio, (0, 1), constant_values=APART)
 
 
 def left_over(found: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
@@ -186,14 +191,23 @@ def run_units(letters: bytes, pairs: np.ndarray) -> list[tuple[int, int, float]]
 
 def markov_spans(text: str, found: list[tuple[int, int]], base: list[Span], ratio: np.ndarray) -> list[Span]:
     """Random stretches of the runs outside base matches, by the margins of their log-likelihood ratio."""
+    rest = left_over(found, base)
+    if not rest:
+        return []
+    joined = " ".join([text[s:e] for s, e in rest]).encode()
+    c = CODE[np.frombuffer(joined, np.uint8)]
+    pairs = ratio[c[:-1], c[1:]]
+    at = np.zeros(len(rest), np.int64)
+    np.cumsum([e - s + 1 for s, e in rest[:-1]], out=at[1:])
+    # the highest sum of neighbouring pairs that ends at each pair, or more; what has none above MARGIN has no span
+    total = np.concatenate([[0.0], np.cumsum(pairs)])
+    highest = np.maximum.reduceat((total - np.minimum.accumulate(total))[1:], at)
     out = []
-    for s, e in left_over(found, base):
-        letters = text[s:e].encode()
-        c = CODE[np.frombuffer(letters, np.uint8)]
-        pairs = ratio[c[:-1], c[1:]]
-        if float(pairs[pairs > 0].sum()) <= MARGIN:  # no stretch of it can pass
-            continue
-        units = run_units(letters, pairs)
+    for k in np.flatnonzero(highest > MARGIN):
+        s, e = rest[k]
+        lo = int(at[k])
+        letters = joined[lo:lo + e - s]
+        units = run_units(letters, pairs[lo:lo + e - s - 1])
         for i, j in random_stretches([u[2] for u in units]):
             x, y = units[i][0], units[j - 1][1]
             score = sum(u[2] for u in units[i:j])
