@@ -50,8 +50,10 @@ def supplier_list_str(mapping: DataFrame, sep: str) -> DataFrame:
         F.when(F.size(arr) > 0, F.array_join(arr, sep)).alias("suppliers"))
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """``total`` (scalar subquery) + one ordered page."""
+def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
+    """``total`` (scalar subquery) + one ordered page; all rows, for a ``pages.PageIndex``, without a limit."""
+    if limit is None:
+        return df
     total = df.agg(F.count(F.lit(1))).scalar()
     out = df.withColumn("total", total).orderBy(*order)
     if offset:
@@ -111,12 +113,24 @@ def health_rows(latest: DataFrame, dimension: DataFrame, mapping: DataFrame, sep
             .join(supplier_list_str(mapping, sep), "product_id", "left"))
 
 
+def health_order() -> list[Column]:
+    return [F.col("predicted_daily_demand").desc_nulls_last(), F.col("product_id")]
+
+
+def replenishment_order() -> list[Column]:
+    return [F.col("days_of_cover").asc_nulls_last(), F.col("barcode"), F.col("supplier_name")]
+
+
+def catalog_order() -> list[Column]:
+    return [F.col("canonical_name"), F.col("barcode")]
+
+
 FLAG_FILTERS = {"fast": "fast_moving_flag", "slow": "slow_moving_flag", "dead": "dead_stock_flag",
                 "spike": "demand_spike_flag"}
 
 
 def health_signals_page(latest: DataFrame, dimension: DataFrame, mapping: DataFrame, flag: str = "all",
-                        search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+                        search: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Latest-day signals, filtered and paged by demand."""
     df = health_rows(latest, dimension, mapping, ", ")
     if flag in FLAG_FILTERS:
@@ -127,7 +141,7 @@ def health_signals_page(latest: DataFrame, dimension: DataFrame, mapping: DataFr
     df = df.select("product_id", "product_name", "fast_moving_flag", "slow_moving_flag", "dead_stock_flag",
                    "demand_spike_flag", "predicted_daily_demand", "last_7_day_avg", "last_30_day_avg",
                    "last_60_day_avg", "demand_volatility", "avg_monthly_consumption", "suppliers")
-    return page(df, [F.col("predicted_daily_demand").desc_nulls_last(), F.col("product_id")], limit, offset)
+    return page(df, health_order(), limit, offset)
 
 
 def health_report(latest: DataFrame, dimension: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -176,7 +190,7 @@ def _restock_items(restock: DataFrame) -> DataFrame:
 
 
 def replenishment_page(restock: DataFrame, supplier: str | None = None, urgent_only: bool = False,
-                       limit: int = 100, offset: int = 0) -> DataFrame:
+                       limit: int | None = 100, offset: int = 0) -> DataFrame:
     """Restock list by days of cover, optional partial supplier filter."""
     d = restock.agg(F.max("date")).scalar()
     df = restock.filter(F.col("date") == d)
@@ -277,7 +291,7 @@ def product_search(dimension: DataFrame, products: DataFrame, item_latest: DataF
 
 def product_list(dimension: DataFrame, products: DataFrame, search: str | None = None,
                  category: str | None = None, is_reviewed: bool | None = None, active_only: bool = True,
-                 limit: int = 50, offset: int = 0) -> DataFrame:
+                 limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Filtered, paged catalog."""
     df = _catalog(dimension, products)
     if search:
@@ -292,7 +306,7 @@ def product_list(dimension: DataFrame, products: DataFrame, search: str | None =
     df = df.select(F.col("product_id").alias("barcode"), "canonical_name", "category", "subcategory",
                    F.col("_brand").alias("brand"), F.col("_pt").alias("product_type"), "size", "colour",
                    "is_active", F.col("_rev").alias("is_reviewed"))
-    return page(df, [F.col("canonical_name"), F.col("barcode")], limit, offset)
+    return page(df, catalog_order(), limit, offset)
 
 
 def product_detail(dimension: DataFrame, products: DataFrame, item_latest: DataFrame, mapping: DataFrame,
@@ -315,6 +329,10 @@ CUSTOMER_SORTS = {"total_revenue": "total_revenue", "total_bills": "m_total_bill
                   "last_seen_date": "last_seen_date", "avg_bill_value": "avg_bill_value"}
 
 
+def customer_order(sort_by: str = "total_revenue") -> list[Column]:
+    return [F.col(CUSTOMER_SORTS[sort_by]).desc_nulls_last(), F.col("mobile_clean")]
+
+
 def _customers(cdim: DataFrame, cmetrics: DataFrame) -> DataFrame:
     m = cmetrics.select("mobile_clean", "total_revenue", F.col("total_bills").alias("m_total_bills"),
                         "avg_bill_value", "total_discount_received", "days_since_last_visit",
@@ -324,7 +342,7 @@ def _customers(cdim: DataFrame, cmetrics: DataFrame) -> DataFrame:
 
 def customer_list(cdim: DataFrame, cmetrics: DataFrame, search: str | None = None,
                   is_repeat: bool | None = None, is_member: bool | None = None, include_walkin: bool = False,
-                  sort_by: str = "total_revenue", limit: int = 50, offset: int = 0) -> DataFrame:
+                  sort_by: str = "total_revenue", limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Filtered, sorted, paged customers."""
     df = _customers(cdim, cmetrics)
     if not include_walkin:
@@ -340,7 +358,9 @@ def customer_list(cdim: DataFrame, cmetrics: DataFrame, search: str | None = Non
                    "total_bills", "total_revenue", "avg_bill_value", "total_discount_received",
                    "days_since_last_visit", "avg_days_between_visits", "is_repeat", "preferred_payment",
                    "m_total_bills")
-    out = page(df, [F.col(CUSTOMER_SORTS[sort_by]).desc_nulls_last(), F.col("mobile_clean")], limit, offset)
+    out = page(df, customer_order(sort_by), limit, offset)
+    if limit is None:  # the index orders by it
+        return out
     return out.drop("m_total_bills")
 
 

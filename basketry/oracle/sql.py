@@ -544,6 +544,13 @@ ORACLE["health_signals_page"] = oracle(
        FROM hrow h LEFT JOIN sup_c s ON h.product_id = s.product_id
        ORDER BY predicted_daily_demand DESC NULLS LAST, h.product_id LIMIT 50""",
     _REP_VIEWS, _REP_CTES)
+ORACLE["health_signals_middle_page"] = oracle(
+    """SELECT h.product_id, h.product_name, fast_moving_flag, slow_moving_flag, dead_stock_flag, demand_spike_flag,
+              predicted_daily_demand, last_7_day_avg, last_30_day_avg, last_60_day_avg, demand_volatility,
+              avg_monthly_consumption, s.suppliers, (SELECT count(*) FROM hl) AS total
+       FROM hrow h LEFT JOIN sup_c s ON h.product_id = s.product_id
+       ORDER BY predicted_daily_demand DESC NULLS LAST, h.product_id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM hl)""",
+    _REP_VIEWS, _REP_CTES)
 ORACLE["health_report"] = oracle(
     f"""SELECT h.product_name, h.product_id AS barcode, s.suppliers,
               COALESCE(avg_monthly_consumption, 0.0) AS avg_monthly_consumption,
@@ -569,6 +576,10 @@ _RITEMS = f"""SELECT product_id AS barcode, product_name, supplier_name, current
 ORACLE["replenishment_page"] = oracle(
     f"""SELECT *, (SELECT count(*) FROM ({_RITEMS}) c) AS total FROM ({_RITEMS}) r
        ORDER BY days_of_cover ASC NULLS LAST, barcode LIMIT 100""", _REP_VIEWS, _REP_CTES)
+ORACLE["replenishment_every_page"] = oracle(
+    f"""SELECT *, CAST((rank - 1) // 100 + 1 AS BIGINT) AS page FROM (
+          SELECT *, row_number() OVER (ORDER BY days_of_cover ASC NULLS LAST, barcode, supplier_name NULLS FIRST) AS rank,
+                 count(*) OVER () AS total FROM ({_RITEMS}) r) x""", _REP_VIEWS, _REP_CTES)
 ORACLE["supplier_restock_pages"] = oracle(
     f"""SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY days_of_cover ASC NULLS LAST, barcode) AS rank,
@@ -620,6 +631,12 @@ ORACLE["product_list"] = oracle(
               (SELECT count(*) FROM ({_CAT}) x WHERE x.is_active IS NULL OR x.is_active) AS total
        FROM ({_CAT}) c WHERE c.is_active IS NULL OR c.is_active
        ORDER BY canonical_name, barcode LIMIT 50""", DIM_VIEWS, _DIM_CTES)
+_CATALOG_N = f"(SELECT count(*) FROM ({_CAT}) x WHERE x.is_active IS NULL OR x.is_active)"
+ORACLE["product_last_page"] = oracle(
+    f"""SELECT product_id AS barcode, canonical_name, category, subcategory, brand, product_type, size, colour,
+              is_active, is_reviewed, {_CATALOG_N} AS total
+       FROM ({_CAT}) c WHERE c.is_active IS NULL OR c.is_active
+       ORDER BY canonical_name NULLS FIRST, barcode LIMIT 50 OFFSET (SELECT greatest(0, {_CATALOG_N} - 1) // 50 * 50)""", DIM_VIEWS, _DIM_CTES)
 ORACLE["product_detail"] = oracle(
     f"""SELECT c.product_id AS barcode, c.canonical_name, c.category, c.subcategory, c.brand, c.product_type, c.size,
               c.colour, c.hsn_code, c.is_active, c.is_reviewed, ic.mrp, ic.purchase_price, ic.current_stock AS system_stock,
@@ -636,6 +653,14 @@ ORACLE["customer_list"] = oracle(
               is_repeat, preferred_payment, (SELECT count(*) FROM ({_CUSTJ}) x WHERE NOT x.is_walk_in) AS total
        FROM ({_CUSTJ}) c WHERE NOT is_walk_in ORDER BY total_revenue DESC NULLS LAST, mobile_clean LIMIT 50""",
     ["raw_sales_billwise"], _CUST_CTES)
+ORACLE["customer_every_page"] = oracle(
+    f"""SELECT *, CAST((rank - 1) // 50 + 1 AS BIGINT) AS page FROM (
+          SELECT mobile_clean, display_name, is_walk_in, is_member, first_seen_date, last_seen_date, total_bills,
+                 total_revenue, avg_bill_value, total_discount_received, days_since_last_visit, avg_days_between_visits,
+                 is_repeat, preferred_payment, count(*) OVER () AS total,
+                 row_number() OVER (ORDER BY m_total_bills DESC NULLS LAST, mobile_clean) AS rank
+          FROM ({_CUSTJ}) c WHERE NOT is_walk_in) x""",
+    ["raw_sales_billwise"], _CUST_CTES)
 ORACLE["customer_summary"] = oracle(
     f"""SELECT count(*) AS total_unique_customers, count(*) FILTER (WHERE is_repeat) AS repeat_customer_count,
               {rnd("CAST(count(*) FILTER (WHERE is_repeat) AS DOUBLE) * 100.0 / CAST(NULLIF(count(*), 0) AS DOUBLE)", 1)} AS repeat_customer_percent,

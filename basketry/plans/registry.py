@@ -301,7 +301,7 @@ def q_recon_flow(spark, sf_dir):
 # ---------------------------------------------------------------- reports
 import datetime as _dt  # noqa: E402
 
-from ..operators import reports  # noqa: E402
+from ..operators import pages, reports  # noqa: E402
 
 
 def _cdim(t):
@@ -326,6 +326,14 @@ def q_health_signals_page(spark, sf_dir):
     return reports.health_signals_page(t.latest, t.pdim, t.psm)
 
 
+@register("health_signals_middle_page")
+def q_health_signals_middle_page(spark, sf_dir):
+    """50 rows from the middle of the list, by its page index."""
+    t = _built(tables(spark, sf_dir), items=False)
+    index = pages.PageIndex(reports.health_signals_page(t.latest, t.pdim, t.psm, limit=None), reports.health_order())
+    return index.page(50, index.total // 2)
+
+
 @register("health_report")
 def q_health_report(spark, sf_dir):
     t = _built(tables(spark, sf_dir), items=False)
@@ -343,6 +351,13 @@ def q_replenishment_page(spark, sf_dir):
     return reports.replenishment_page(saved(_restock(tables(spark, sf_dir)), "restock"))
 
 
+@register("replenishment_every_page")
+def q_replenishment_every_page(spark, sf_dir):
+    """The whole replenishment list with rank and page of 100 rows, by its page index."""
+    rows = reports.replenishment_page(saved(_restock(tables(spark, sf_dir)), "restock"), limit=None)
+    return pages.PageIndex(rows, reports.replenishment_order()).ranked(100)
+
+
 @register("supplier_restock_pages")
 def q_supplier_restock_pages(spark, sf_dir):
     """Every page of every supplier, without a limit; ``limit`` and ``offset`` ask for one page."""
@@ -409,6 +424,22 @@ def q_customer_list(spark, sf_dir):
     return reports.customer_list(_cdim(t), _cmet(t))
 
 
+@register("customer_every_page")
+def q_customer_every_page(spark, sf_dir):
+    """All identified customers by bills, with rank and page of 50 rows, by the page index."""
+    t = tables(spark, sf_dir)
+    rows = reports.customer_list(_cdim(t), _cmet(t), sort_by="total_bills", limit=None)
+    return pages.PageIndex(rows, reports.customer_order("total_bills")).ranked(50).drop("m_total_bills")
+
+
+@register("product_last_page")
+def q_product_last_page(spark, sf_dir):
+    """The last, short page of the catalog, by its page index."""
+    t = tables(spark, sf_dir)
+    index = pages.PageIndex(reports.product_list(_pdim(t), t.products, limit=None), reports.catalog_order())
+    return index.page(50, max(0, index.total - 1) // 50 * 50)
+
+
 @register("customer_summary")
 def q_customer_summary(spark, sf_dir):
     t = tables(spark, sf_dir)
