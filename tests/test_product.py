@@ -73,3 +73,35 @@ def test_grid_plan_scans_no_raw_lines(spark, small_tables):
     plan = P.dense_metrics(R._facts(t), R._start(t), R.AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in plan and "l_orderkey" not in plan and "sale_datetime_raw" not in plan
     assert P.grid_partitions(spark, 10**9) == 1000
+
+
+def test_grid_windows_equal_the_dense_ones_without_a_grid_sort(spark, tmp_path):
+    """Odd facts: undated sales, a product sold on no day of the grid, one only bought, days outside, facts cut over batches."""
+    d0, end = dt.date(2024, 1, 1), dt.date(2024, 4, 30)
+    day = lambda i: d0 + dt.timedelta(days=i)
+    sales = [("a", day(i), (i % 5 - 1) * 10000, i * 7) for i in range(0, 121, 3)] + [("b", None, 5, 5), (None, day(4), 1, 1), ("c", day(400), 9, 9), ("e", day(60), 3, None),
+             ("a", None, 1, 1), ("z", day(0), 10001, 3)]
+    bought = [("a", day(i), i * 11) for i in range(0, 121, 7)] + [("d", day(5), 7), ("b", day(9), 2), ("c", day(119), 3), ("a", day(-3), 100), ("a", day(500), 100)]
+    facts = (spark.createDataFrame(sales, "product_id string, date date, qty long, rev long"), spark.createDataFrame(bought, "product_id string, date date, pqty long"))
+    start = F.lit(d0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        want = P.windowed(P.dense_metrics(facts, start, end))
+        got = P.grid_windows(facts, start, end)
+        assert got.select("product_id").distinct().count() == 5 and got.count() == 5 * 121
+        assert got.select(*want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(*want.columns)).isEmpty()
+        since = day(90)
+        cut = P.windowed(P.dense_metrics(facts, start, end, since - dt.timedelta(days=60), opening=True), start).where(F.col("date") >= F.lit(since))
+        got = P.recent_windows(facts, start, end, since).select(*cut.columns)
+        assert got.count() == 5 * 31 and got.exceptAll(cut).isEmpty() and cut.exceptAll(got).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = P.product_health_signals(P.grid_windows(facts, start, end, columns=P.SIGNALS_NEED))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
+    assert P.grid_windows(facts, F.lit(None).cast("date"), end).isEmpty()
+
+
+def test_every_grid_query_takes_the_windows_from_the_facts(spark):
+    for key in ("product_daily_metrics", "product_daily_features", "product_health_signals", "product_stock_position"):
+        plan = R.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "lag(" not in plan and "rowsBetween" not in plan and "RowFrame" not in plan.split("MapInArrow")[0]
