@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import indel_ratio_udf, token_sorted
 from ..functions.numeric import round_half_up
 from ..session import saved
-from .dims import latest_by
+from .dims import distinct_names, latest_by
 
 # ---------------------------------------------------------------------------
 # Fixed values for name normalisation (must equal the source behaviour).
@@ -61,7 +61,7 @@ def candidates(items_master: DataFrame, sales_items: DataFrame, aliases: DataFra
         named = df.filter(F.col("item_name_raw").isNotNull() & (F.col("item_name_raw") != ""))
         if "import_batch_id" not in named.columns:
             named = named.withColumn("import_batch_id", F.lit(0).cast("long"))
-        return latest_by(named, "barcode", ["imported_at", "import_batch_id", "item_name_raw"],
+        return latest_by(distinct_names(named), "barcode", ["imported_at", "import_batch_id", "item_name_raw"],
                          ["item_name_raw"], "barcode")
     im = newest(items_master).withColumnRenamed("item_name_raw", "_im")
     sf = newest(sales_items).withColumnRenamed("item_name_raw", "_sf")

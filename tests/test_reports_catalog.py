@@ -75,3 +75,21 @@ def test_page_index_of_nothing_and_of_equal_rows(spark):
     same = pages.PageIndex(spark.range(300).selectExpr("1 AS v"), [F.col("v")], parts=4)
     assert same.total == 300 and same.page(50, 280).count() == 20
     assert sorted(r["rank"] for r in same.ranked(50).collect()) == list(range(1, 301))
+
+
+def test_sheets_build_the_dimension_once_and_count_names_by_hash(spark, monkeypatch):
+    from basketry.operators import dims
+    from basketry.plans import registry as R
+    calls, make = [], dims.product_dimension
+    monkeypatch.setattr(dims, "product_dimension", lambda *a: calls.append(1) or make(*a))
+    for key in ("supplier_sheets", "supplier_sheet_lines", "csv_exports"):
+        del calls[:]
+        R.QUERIES[key](spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1, key
+    rows = [("a", "x", 1, 5), ("a", "y", 1, 5), ("a", "z", 2, None), ("a", "x", 1, 3), (None, "n", 1, 1), ("b", "q", None, 1)]
+    named = spark.createDataFrame(rows, "barcode string, item_name_raw string, import_batch_id long, imported_at int")
+    names = dims.distinct_names(named)
+    assert names.count() == 5
+    assert "SortAggregate" not in names._jdf.queryExecution().executedPlan().toString()
+    newest = lambda df: {tuple(r) for r in dims.latest_by(df, "barcode", ["imported_at", "import_batch_id", "item_name_raw"], ["item_name_raw"], "barcode").collect()}
+    assert newest(names) == newest(named) == {("a", "y"), (None, "n"), ("b", "q")}
