@@ -363,3 +363,24 @@ def test_route_files(spark):
              "/sales-itemwise/notes.txt": None}
     df = spark.createDataFrame([(n,) for n in names], "file_name string")
     assert [r.report_type for r in ingest.route_files(df).collect()] == list(names.values())
+
+
+def test_exports_grow_by_files_and_records_are_not_staged_again(spark, small_tables, tmp_path, monkeypatch):
+    """No export file has more rows than the limit, whatever the report's size; rows and totals are those of few files."""
+    from basketry import session
+    from basketry.sources import fixtures, records
+    read = lambda folder: ingest.read_report(spark, f"{folder}/*", "purchase_billwise")
+    few = fixtures.write_export(fixtures.export_cells(small_tables, "purchase_billwise"), "purchase_billwise", str(tmp_path / "few"))
+    monkeypatch.setattr(fixtures, "EXPORT_ROWS", 60)
+    many = fixtures.write_export(fixtures.export_cells(small_tables, "purchase_billwise"), "purchase_billwise", str(tmp_path / "many"))
+    staged, save = [], session.saved
+    for m in (ingest, records):
+        monkeypatch.setattr(m, "saved", lambda df, name, *a: staged.append(name) or save(df, name, *a))
+    out = []
+    for folder in (few, many):
+        good, bad, files = read(folder)
+        drop = ("source_file_name", "_order", "imported_at")
+        out.append((sorted(map(str, good.drop(*drop).collect())), sorted(map(str, bad.drop(*drop).collect())), files.count()))
+    assert out[0][:2] == out[1][:2] and out[0][2] == 7 < out[1][2] and len(out[0][0]) > 100
+    assert "csv-records" not in staged and "csv-cells" not in staged
+    assert fixtures.slices_of(36_000_000) == 600_000 and fixtures.slices_of(1) == 7
