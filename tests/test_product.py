@@ -105,3 +105,22 @@ def test_every_grid_query_takes_the_windows_from_the_facts(spark):
     for key in ("product_daily_metrics", "product_daily_features", "product_health_signals", "product_stock_position"):
         plan = R.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "lag(" not in plan and "rowsBetween" not in plan and "RowFrame" not in plan.split("MapInArrow")[0]
+
+
+def test_days_without_change_are_one_row_until_they_are_used(spark):
+    """Runs of days: their days are those of the grid, and few rows leave the tasks; tables made from runs equal those made day by day."""
+    d0 = dt.date(2024, 1, 1)
+    day = lambda i: d0 + dt.timedelta(days=i)
+    facts = (spark.createDataFrame([("a", day(3), 20000, 7), ("a", day(200), 50000, 9), ("b", day(0), 10000, 1)], "product_id string, date date, qty long, rev long"),
+             spark.createDataFrame([("a", day(5), 30000)], "product_id string, date date, pqty long"))
+    end, start = day(365), F.lit(d0)
+    dense = P.windowed(P.dense_metrics(facts, start, end))
+    for need, make in ((P.METRICS_NEED, P.product_daily_metrics), (P.SIGNALS_NEED, P.product_health_signals), (P.STOCK_NEED, P.product_stock_position),
+                       (P.FEATURES_NEED, lambda df: P.product_daily_features(df, None))):
+        runs = P.grid_runs(facts, start, end, columns=need)
+        got, want = make(runs), make(dense)
+        got = got if "date" in got.columns else P.days_of(got)
+        assert got.columns == want.columns and got.count() == 2 * 366
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert P.grid_runs(facts, start, end, columns=P.STOCK_NEED).count() == 5  # b: one run; a: before, sold, bought, sold
+    assert P.grid_runs(facts, start, end, columns=P.SIGNALS_NEED).count() < 2 * 366 // 3
