@@ -41,7 +41,7 @@ def rebuild(spark: SparkSession, raw: dict[str, DataFrame], out: str, as_of: dt.
     facts = (save("_sales_facts", product.sales_by_product_day(i, al, keep_undated=True)),
              save("_purchase_facts", product.purchases_by_product_day(pi, al)))
     start = F.lit(product.spine_start_date(b, facts[0]))
-    win = saved(product.grid_windows(facts, start, as_of), "windowed")  # one grid pass, reused four times
+    win = saved(product.grid_runs(facts, start, as_of), "windowed")  # one grid pass, reused four times
     grid.write_months(grid.grid_tables(win, cal.calendar_dim(spark, start, F.lit(as_of))), run)
     discard(win)
     lic = save("latest_item_combinations", dims.latest_item_combinations(im))

@@ -56,3 +56,16 @@ def test_suppliers_with_long_alike_names_get_sheets_of_their_own(spark, tmp_path
     sheet = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "supplier_name string, line int")
     write_supplier_sheets(sheet, str(tmp_path / "s"))
     assert len([d for d in os.listdir(tmp_path / "s") if d.startswith("safe_supplier=")]) == len(names)
+
+
+def test_months_are_written_without_a_sort_and_more_months_than_open_files(spark, tmp_path):
+    import datetime as dt
+    from basketry.plans import grid
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    rows = spark.range(900).select(F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("id").cast("int")).alias("date"), F.col("id").alias("v")).repartition(3, "v")
+    grid.write_months({"t": rows}, str(tmp_path))
+    assert grid.read_grid(spark, str(tmp_path), "t").select("date", "v").exceptAll(rows).isEmpty() and spark.conf.get(key) == before
+    assert len(list((tmp_path / "t").glob("month=*"))) == 30 > grid.OPEN_MONTHS
+    with grid.unsorted_months(spark):
+        assert spark.conf.get(key) == str(grid.OPEN_MONTHS)
