@@ -384,3 +384,28 @@ def test_exports_grow_by_files_and_records_are_not_staged_again(spark, small_tab
     assert out[0][:2] == out[1][:2] and out[0][2] == 7 < out[1][2] and len(out[0][0]) > 100
     assert "csv-records" not in staged and "csv-cells" not in staged
     assert fixtures.slices_of(36_000_000) == 600_000 and fixtures.slices_of(1) == 7
+
+
+def kept(spark):
+    """Names of the tables and folders in the shared folder."""
+    from urllib.parse import urlparse
+    return set(os.listdir(urlparse(spark.sparkContext.getCheckpointDir()).path))
+
+
+def test_lines_with_breaks_are_not_staged_again_and_read_exports_go(spark, tmp_path, monkeypatch):
+    from basketry import session
+    from basketry.plans import registry as R
+    from basketry.sources import records
+    from tests.conftest import SMALL
+    staged, save = [], session.saved
+    for m in (ingest, records):
+        monkeypatch.setattr(m, "saved", lambda df, name, *a: staged.append((name, df)) or save(df, name, *a))
+    write(tmp_path / "a.csv", 'Item_Id,Item Name,Barcode,MRP\n1,"Oil\n5",b1,2.5\n2,Salt,b2,3\n')
+    rows = ingest.read_report(spark, str(tmp_path), "item_combinations")[0]
+    assert sorted((r.item_id_raw, r.item_name_raw) for r in rows.collect()) == [("1", "Oil\n5"), ("2", "Salt")]
+    assert sorted(n for n, df in staged if "line" in df.columns or "record" in df.columns) == ["csv-files", "csv-heads", "csv-lines", "csv-spanning"]
+    before = kept(spark)
+    assert R.QUERIES["ingest_supplier_master"](spark, SMALL).count() > 0
+    R.QUERIES["ingest_quarantine"](spark, SMALL)
+    left = {n.split("-")[1] for n in kept(spark) - before if n.startswith("basketry-")}
+    assert left <= {"csv", "quarantine"} and len([n for n in kept(spark) - before if n.startswith("basketry-csv-lines")]) == 1
