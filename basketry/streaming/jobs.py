@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.cleaning import export_date
+from ..session import discard, released, saved
 from ..sources import ingest
-from ..sources.records import as_lines
+from ..sources.records import TEXT_CODEC, as_lines
 
 #: Keys of the dedup stream live in a state store on disk, not on the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,6 +39,13 @@ def first_arrivals(spark: SparkSession, arrivals: str, schema: StructType, keys:
      .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
+def elsewhere(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """A table of :func:`saved` as another session reads it."""
+    out = spark.read.schema(table.schema).parquet(table._saved_path)
+    out._saved_path = table._saved_path
+    return out
+
+
 def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: str, checkpoint: str,
                   keys: list[str] | None = None, after: Callable[[DataFrame, int], None] | None = None,
                   files_per_batch: int | None = None, day: Column | None = None):
@@ -67,31 +75,39 @@ def stream_ingest(spark: SparkSession, folder: str, report_type: str, target: st
         else:
             rows.write.mode("overwrite").parquet(path)
 
+    @released()  # what an epoch stages goes with it
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        here = batch.sparkSession
-        typed, quarantine, files = ingest.report_of(as_lines(batch, F.col("_file"), F.col("_block")), report_type, epoch_id)
+        # a micro-batch's own session plans without AQE: what follows its text runs in the caller's
+        lines = elsewhere(spark, saved(as_lines(batch, F.col("_file"), F.col("_block")), "csv-lines", TEXT_CODEC))
+        typed, quarantine, files = ingest.report_of_staged(lines, report_type, epoch_id, once=True)
+        discard(lines)
         written = [f"{target}/kind=free/epoch={epoch_id}"]
         if keys:
             free = ingest.key_null(keys)
             save(typed.where(free).drop("_order"), written[0])
-            one = ingest.load_dedup(typed.limit(0).select(*keys), typed.where(~free), keys, "_order").drop("_order")
+            # only keys and orders go through the dedup: rows are looked up by what it leaves out
+            marks = typed.where(~free).select(*keys, "_order")
+            one = ingest.load_dedup(typed.limit(0).select(*keys), marks, keys, "_order")
             one.write.mode("overwrite").parquet(f"{target}_arrivals/epoch={epoch_id}")
 
+            @released()
             def keyed(rows: DataFrame, n: int) -> None:
+                first = elsewhere(spark, saved(rows.select("_order"), "csv-first"))
+                repeated = marks.select("_order").join(first, "_order", "left_anti")
                 written.append(f"{target}/kind=keyed/epoch={n}")
-                save(rows, written[-1])
+                save(ingest.without(typed.where(~free), repeated, "_order").drop("_order"), written[-1])
 
-            first_arrivals(here, f"{target}_arrivals", one.schema, keys, f"{checkpoint}-keys", keyed)
+            first_arrivals(spark, f"{target}_arrivals", one.schema, keys, f"{checkpoint}-keys", keyed)
         else:
             save(typed, written[0])
         quarantine.write.mode("overwrite").parquet(f"{target}_quarantine/epoch={epoch_id}")
         (files.where(F.col("error_message").isNotNull()).select("source_file_name", "error_message")
          .write.mode("overwrite").parquet(f"{target}_failed/epoch={epoch_id}"))
         if after is not None:
-            rows = typed.limit(0) if not keys else one.limit(0)
+            rows = typed if not keys else typed.drop("_order")
             if day is not None:
                 rows = by_month(rows, day)
-            after(here.read.schema(rows.schema).option("basePath", target).parquet(*written), epoch_id)
+            after(spark.read.schema(rows.schema).option("basePath", target).parquet(*written), epoch_id)
 
     return (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -409,3 +409,37 @@ def test_lines_with_breaks_are_not_staged_again_and_read_exports_go(spark, tmp_p
     R.QUERIES["ingest_quarantine"](spark, SMALL)
     left = {n.split("-")[1] for n in kept(spark) - before if n.startswith("basketry-")}
     assert left <= {"csv", "quarantine"} and len([n for n in kept(spark) - before if n.startswith("basketry-csv-lines")]) == 1
+
+
+def test_stream_dedup_deals_keys_alone_and_an_epoch_leaves_nothing_staged(spark, tmp_path):
+    from basketry.streaming import jobs
+    src, target = tmp_path / "drop", str(tmp_path / "raw")
+    go = lambda: jobs.stream_ingest(spark, str(src), "sales_billwise", target, str(tmp_path / "ck")).awaitTermination()
+    before = kept(spark)
+    write(src / "a.csv", "Bill No.,Date,Qty,Net Total\n1,d,1,100\n2,d,1,5\n1,d,1,7\n,d,1,8\n,d,1,8\n3,d,x,1\n,,,\n")
+    go()
+    write(src / "b.csv", "Bill No.,Date,Qty,Net Total\n2,d,1,6\n4,d,1,50\n4,d,1,51\n,,,\n")
+    go()
+    assert sorted((r.bill_no or "", float(r.net_total)) for r in spark.read.parquet(target).collect()) == [("", 8.0), ("", 8.0), ("1", 100.0), ("2", 5.0), ("4", 50.0)]
+    assert set(spark.read.parquet(f"{target}_arrivals").columns) == {"bill_no", "_order", "epoch"}
+    assert not {n for n in kept(spark) - before if n.startswith("basketry-")}
+
+
+def test_cells_are_cleaned_once_and_records_parsed_once(spark, tmp_path):
+    write(tmp_path / "a.csv", "Bill No.,Date,Qty,Net Total\n1.0,d,1,100\n2,d,x,5\n,,,\n")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows, bad, _ = ingest.read_report(spark, str(tmp_path), "sales_billwise")
+    assert plan(rows).count("regexp_replace(") == plan(bad).count("regexp_replace(") == 1
+    rows, bad, _ = ingest.read_report(spark, str(tmp_path), "sales_billwise", once=True)
+    assert all("from_csv" not in plan(df) and "regexp_replace" not in plan(df) for df in (rows, bad))
+    assert [(r.bill_no, float(r.net_total)) for r in rows.collect()] == [("1", 100.0)] and [(r.bill_no, r.total_qty) for r in bad.collect()] == [("2", "x")]
+
+
+def test_plain_numbers_are_told_as_decimals_tell_them(spark):
+    from basketry.functions.numeric import MONEY
+    cells = ["0", "-1", "007", "1.2345", "1.23456", "1.23450", "99999999999999", "99999999999999.9999", "100000000000000", "1e3", "1e-5", "+5", ".5", "5.", "5\n", " 5", "x", "", "-", "1,5", "١", None]
+    c = F.col("c")
+    wide = c.try_cast("decimal(38,18)")
+    old = c.isNotNull() & (wide.isNull() | c.try_cast(MONEY).isNull() | (wide != c.try_cast(MONEY).cast("decimal(38,18)")))
+    got = spark.createDataFrame([(x,) for x in cells], "c string").select(c, ingest.inexact(c).alias("a"), old.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and {r.c for r in got if not r.a} >= {"0", "1.2345", "99999999999999.9999", "1e3"}
